@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
-from emberline.operators.ordered import exact_quantiles, log_bucket, quantiles_of_counts, right_closed_bin
+from emberline.operators.ordered import quantiles_of_counts, right_closed_bin, value_bucket
+from emberline.session import settle
 
 
 def with_global(counts: DataFrame, segment: str) -> DataFrame:
@@ -50,9 +50,9 @@ def fit_calibrators(df: DataFrame, segment: str, score: str, label: str) -> Data
         .agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(label).cast("double")).alias("y"))
     )
     both = with_global(counts, "segment").groupBy("segment", "x_lo").agg(F.sum("w").alias("w"), F.sum("y").alias("y"))
-    bucketed = both.withColumns({"x_hi": F.col("x_lo"), "bucket": log_bucket(F.col("x_lo"), 32)})
+    bucketed = both.withColumns({"x_hi": F.col("x_lo"), "bucket": value_bucket(F.col("x_lo"), 128)})
 
-    def local(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def local(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         return pool_adjacent_violators(rows).assign(segment=key[0])[["segment", "x_lo", "x_hi", "w", "y"]]
 
     pooled = bucketed.groupBy("segment", "bucket").applyInPandas(local, f"segment {BLOCKS}")
@@ -89,8 +89,11 @@ def with_segment_rows(df: DataFrame, segment: str, per_segment: DataFrame, paylo
     return joined.withColumn(payload, F.coalesce("_own", fallback)).drop("_seg", "_own")
 
 
-def apply_calibration(df: DataFrame, calibrators: DataFrame, segment: str, score: str, name: str = "calibrated_pd") -> DataFrame:
-    attached = with_segment_rows(df, segment, calibrator_arrays(calibrators), "knots")
+def apply_calibration(
+    df: DataFrame, calibrators: DataFrame, segment: str, score: str, name: str = "calibrated_pd"
+) -> DataFrame:
+    """Step function of the row's segment, the global one where the segment has none."""
+    attached = with_segment_rows(df, segment, calibrator_arrays(settle(calibrators)), "knots")
     return attached.withColumn(name, interpolate(F.col("knots"), F.col(score).cast("double"))).drop("knots")
 
 
@@ -102,7 +105,9 @@ def reliability_table(df: DataFrame, label: str, score: str, n_bins: int = 10) -
         .agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(label).cast("double")).alias("y"))
     )
     probabilities = [i / n_bins for i in range(n_bins + 1)]
-    edges = quantiles_of_counts(counts, "x", "w", probabilities).select(F.array_distinct("edges").alias("e")).scalar()
+    # n_bins + 1 numbers come to the driver, whatever the size of the table.
+    found = quantiles_of_counts(counts, "x", "w", probabilities).select(F.array_distinct("edges").alias("e")).first()
+    edges = F.array(*[F.lit(e) for e in (found["e"] if found else [0.0])])
     bins = counts.withColumn("bin", right_closed_bin(F.col("x"), edges)).groupBy("bin").agg(
         (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean_predicted"),
         (F.sum("y") / F.sum("w")).alias("observed_rate"),
@@ -151,7 +156,7 @@ def fit_confidence_bands(
 def confidence_band(df: DataFrame, bands: DataFrame, segment: str, pd_column: str) -> DataFrame:
     """Attach `band` (half_width, n_comparable, wide_band_flag): first covering band, else nearest."""
     entry = F.struct("band_no", "lo", "hi", "half_width", "n")
-    per_segment = bands.groupBy("segment").agg(F.array_sort(F.collect_list(entry)).alias("bands"))
+    per_segment = settle(bands).groupBy("segment").agg(F.array_sort(F.collect_list(entry)).alias("bands"))
     attached = with_segment_rows(df, segment, per_segment, "bands")
     pd_value = F.col(pd_column).cast("double")
     covering = F.filter("bands", lambda b: (b["lo"] <= pd_value) & (pd_value <= b["hi"]))

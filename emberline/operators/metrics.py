@@ -27,23 +27,17 @@ def roc_curve(df: DataFrame, label: str, score: str, groups: Sequence[str] = ())
     """tpr and fpr after each distinct score, from the highest down."""
     points = score_groups(df, label, score, groups)
     curve = running_totals(points, "score", ["pos", "neg"], groups, descending=True)
-    if groups:
-        totals = points.groupBy(*groups).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        curve = curve.join(totals, list(groups))
-    else:
-        totals = points.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("s")).scalar()
-        curve = curve.withColumns({"p": totals["p"], "n": totals["n"]})
     return curve.withColumns(
         {
-            "tpr": F.try_divide(F.col("cum_pos"), F.col("p")),
-            "fpr": F.try_divide(F.col("cum_neg"), F.col("n")),
+            "tpr": F.try_divide(F.col("cum_pos"), F.col("total_pos")),
+            "fpr": F.try_divide(F.col("cum_neg"), F.col("total_neg")),
         }
     )
 
 
 def curve_metrics(curve: DataFrame, groups: Sequence[str] = (), max_fpr: float = 0.10) -> DataFrame:
     """Unrounded AUC, KS, step-wise average precision, recall under a false-alarm cap, Brier."""
-    p, n = F.max("p"), F.max("n")
+    p, n = F.max("total_pos"), F.max("total_neg")
     above = F.col("cum_pos") - F.col("pos") / 2.0
     bounded = clip(F.col("score"), 0.0, 1.0)
     return curve.groupBy(*groups).agg(

@@ -13,91 +13,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LINEAR_BUCKETS = 512
-LOG_STEPS_PER_OCTAVE = 128
+STEPS_PER_OCTAVE = 4096
 
 
-def log_bucket(value: Column, steps: int = LOG_STEPS_PER_OCTAVE) -> Column:
-    """Monotone bucket number of a double; needs no statistics of the data."""
+def value_bucket(value: Column, steps: int = STEPS_PER_OCTAVE) -> Column:
+    """Monotone bucket number of a double: its logarithm in fixed steps, mirrored below zero.
+
+    Needs no statistics of the data. A double spans some 2100 octaves, real columns a few dozen, so
+    the number of buckets is bounded whatever the number of rows.
+    """
     v = value.cast("double")
-    # +1100 octaves keeps the magnitude part positive for subnormal values too.
+    # The shift keeps the magnitude part positive for the smallest doubles too.
     magnitude = F.floor((F.log2(F.abs(v)) + 1100.0) * F.lit(float(steps)))
     return F.when(v == 0, F.lit(0)).when(v > 0, magnitude).otherwise(-magnitude).cast("long")
 
 
-def linear_bucket(df: DataFrame, column: str, buckets: int = LINEAR_BUCKETS) -> Column:
-    """Monotone bucket number between the exact minimum and maximum of the column."""
-    v = F.col(column).cast("double")
-    bounds = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("b")).scalar()
-    span = bounds["hi"] - bounds["lo"]
-    position = F.when(span > 0, (v - bounds["lo"]) / span).otherwise(F.lit(0.0))
-    return F.floor(position * F.lit(float(buckets))).cast("long")
-
-
-def with_bucket(df: DataFrame, order: str, groups: Sequence[str], scale: str) -> DataFrame:
-    bucket = linear_bucket(df, order) if scale == "linear" and not groups else log_bucket(F.col(order))
-    return df.withColumn("_bucket", bucket)
-
-
 def running_totals(
-    df: DataFrame,
-    order: str,
-    measures: Sequence[str],
-    groups: Sequence[str] = (),
-    descending: bool = False,
-    scale: str = "log",
+    df: DataFrame, order: str, measures: Sequence[str], groups: Sequence[str] = (), descending: bool = False
 ) -> DataFrame:
-    """Add `cum_<m>` for each measure: its inclusive running total in value order per group.
+    """Add, for each measure, `cum_<m>` (inclusive, in value order) and `total_<m>` of the group.
 
-    Rows with equal order values must have been aggregated into one before.
+    Rows with equal order values must have been aggregated into one before. Rows are exchanged once,
+    on (groups, bucket); the table of bucket totals is joined on that same key.
     """
-    keyed = df.withColumn("_order", -F.col(order) if descending else F.col(order))
-    bucketed = with_bucket(keyed, "_order", groups, scale)
+    signed = -F.col(order) if descending else F.col(order)
+    bucketed = df.withColumns({"_order": signed, "_bucket": value_bucket(signed)})
     keys = [*groups, "_bucket"]
     totals = bucketed.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    before = W.partitionBy(*(groups or [F.lit(0)])).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    scope = W.partitionBy(*(groups or [F.lit(0)]))
+    before = scope.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures]
+        *keys,
+        *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+        *[F.sum(f"_t_{m}").over(scope).alias(f"total_{m}") for m in measures],
     )
     inside = W.partitionBy(*keys).orderBy("_order").rowsBetween(W.unboundedPreceding, 0)
     local = bucketed.select("*", *[F.sum(m).over(inside).alias(f"_c_{m}") for m in measures])
-    out = local.join(offsets, keys)
-    return out.select(
-        *df.columns, *[(F.col(f"_c_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures]
+    return local.join(offsets, keys).select(
+        *df.columns,
+        *[(F.col(f"_c_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures],
+        *[f"total_{m}" for m in measures],
     )
 
 
-def average_rank(df: DataFrame, value: str, name: str, scale: str = "log") -> DataFrame:
+def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Percentile rank with average ties, rank / n, over the whole frame."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, value, ["_n"], scale=scale)
-    total = df.agg(F.count(value).alias("n")).scalar()
-    ranks = ranked.select(value, ((F.col("cum__n") - (F.col("_n") - 1) / 2.0) / total).alias(name))
-    return df.join(ranks, value)
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, value, ["n"])
+    rank = F.col("cum_n") - (F.col("n") - 1) / 2.0
+    return df.join(ranked.select(value, (rank / F.col("total_n")).alias(name)), value, "left")
 
 
 def quantiles_of_counts(
-    counts: DataFrame,
-    value: str,
-    weight: str,
-    probabilities: Sequence[float],
-    groups: Sequence[str] = (),
-    scale: str = "log",
+    counts: DataFrame, value: str, weight: str, probabilities: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of a (group, value, weight) frame.
 
     One row per group with `edges`, an array in the order of `probabilities`, and `total`.
     """
-    ranked = running_totals(counts, value, [weight], groups, scale=scale)
-    if groups:
-        totals = counts.groupBy(*groups).agg(F.sum(weight).alias("_total"))
-        ranked = ranked.join(totals, list(groups))
-    else:
-        ranked = ranked.withColumn("_total", counts.agg(F.sum(weight).alias("t")).scalar())
+    ranked = running_totals(counts, value, [weight], groups)
+    total = F.col(f"total_{weight}")
     last, first = F.col(f"cum_{weight}"), F.col(f"cum_{weight}") - F.col(weight)
     wanted = F.array(
         *[
-            F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(p))).alias("h"))
+            F.struct(F.lit(i).alias("i"), ((total - 1) * F.lit(float(p))).alias("h"))
             for i, p in enumerate(probabilities)
         ]
     )
@@ -107,7 +86,7 @@ def quantiles_of_counts(
         lambda w: ((F.floor(w["h"]) >= first) & (F.floor(w["h"]) < last))
         | ((F.ceil(w["h"]) >= first) & (F.ceil(w["h"]) < last)),
     )
-    picked = ranked.select(*groups, F.col(value).cast("double").alias("_v"), "_total", F.explode(hits).alias("w"))
+    picked = ranked.select(*groups, F.col(value).cast("double").alias("_v"), total.alias("_total"), F.explode(hits).alias("w"))
     low, high = F.min("_v"), F.max("_v")
     per_prob = picked.groupBy(*groups, "_total", F.col("w.i").alias("i"), F.col("w.h").alias("h")).agg(
         (low + (high - low) * (F.col("h") - F.floor("h"))).alias("q")
@@ -118,11 +97,9 @@ def quantiles_of_counts(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = (), scale: str = "log"
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_w"))
-    return quantiles_of_counts(counts, value, "_w", probabilities, groups, scale)
+    return quantiles_of_counts(counts, value, "_w", probabilities, groups)
 
 
 def right_closed_bin(value: Column, edges: Column) -> Column:

@@ -17,14 +17,14 @@ def split_thresholds(
 
     The position is floor(n · fraction) − 1 in double arithmetic, fractions added first.
     """
-    counts = df.groupBy(id_column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, id_column, ["_n"], scale="linear")
-    total = counts.agg(F.sum("_n").alias("t")).scalar()
+    counts = df.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, id_column, ["n"])
+    total = F.col("total_n")
 
     def last_id(fraction: float):
         # Position −1 means the last row, as in an index from the end.
         position = F.pmod(F.floor(total * F.lit(fraction)) - 1, total)
-        inside = (F.col("cum__n") - F.col("_n") <= position) & (position < F.col("cum__n"))
+        inside = (F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n"))
         return F.max(F.when(inside, F.col(id_column)))
 
     return ranked.agg(last_id(train).alias("train_end"), last_id(train + calib).alias("calib_end"))
@@ -36,11 +36,11 @@ def oot_split(
     """Add `split`; all rows of one id fall in the same window."""
     ends = split_thresholds(df, id_column, train, calib).select(F.struct("train_end", "calib_end").alias("e")).scalar()
     window = (
-        F.when(F.col(id_column) <= ends["train_end"], "train")
-        .when(F.col(id_column) <= ends["calib_end"], "calib")
+        F.when(F.col(id_column) <= F.col("_ends.train_end"), "train")
+        .when(F.col(id_column) <= F.col("_ends.calib_end"), "calib")
         .otherwise("test")
     )
-    return df.withColumn("split", window)
+    return df.withColumn("_ends", ends).withColumn("split", window).drop("_ends")
 
 
 def deterministic_sample(df: DataFrame, id_column: str, n_train: int, n_test: int, seed: int = 42) -> DataFrame:

@@ -59,5 +59,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(fitted: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Evaluate a fitted table once, so that what uses it neither refits it nor guesses its size.
+
+    Up to `max_rows` rows it becomes a local relation, whose known size lets joins broadcast it.
+    Beyond that it is written to the checkpoint folder and joined like any other table.
+    """
+    rows = fitted.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return fitted.sparkSession.createDataFrame(rows, fitted.schema)
+    return cut_lineage(fitted)
+
+
 def table_path(directory: str, name: str) -> str:
     return os.path.join(directory, f"{name}.parquet")
