@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from emberline.plans import book_queries, metric_queries  # noqa: F401
+from emberline.plans import book_queries, insight_queries, metric_queries  # noqa: F401
 from emberline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
