@@ -8,14 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
-from emberline.functions.scalar import lookup
+from emberline.functions.scalar import let, lookup
 
 
 def pd_to_grade(pd: Column, bands: Sequence[tuple[float, str]] = K.GRADE_BANDS) -> Column:
-    chain = F
-    for upper, grade in bands:
-        chain = chain.when(pd < upper, F.lit(grade))
-    return F.when(pd.isNotNull(), chain.otherwise(F.lit(bands[-1][1])))
+    """Grade of the first band whose upper bound is above the PD; the last one beyond."""
+
+    def first_band(v: Column) -> Column:
+        chain = F
+        for upper, grade in bands:
+            chain = chain.when(v < upper, F.lit(grade))
+        return F.when(v.isNotNull(), chain.otherwise(F.lit(bands[-1][1])))
+
+    return let(pd, first_band)
 
 
 def grade_rank(grade: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from emberline.functions import constants as K
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body mentions it.
+
+    A Column is an expression, not a result: repeated inside another expression, or inside a lambda
+    run per array element, it is computed again each time.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is a value to Spark but a missing value here; normalise at the source."""
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}

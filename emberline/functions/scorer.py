@@ -9,7 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
-from emberline.functions.grades import cumulative_pd
+from emberline.functions.scalar import let
+
+
+def logistic(value: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-value))
 
 
 @dataclass(frozen=True)
@@ -37,19 +41,29 @@ class LinearHazard:
             total = total + self.contribution(name, replaced.get(name))
         return total
 
-    def hazards(self, logit: Column | None = None) -> Column:
+    def effects(self) -> Column:
+        return F.array(*[F.lit(e) for e in self.month_effects])
+
+    def hazards(self, logit: Column) -> Column:
         """Array of monthly hazards; no row expansion and no shuffle."""
-        logit = self.logit() if logit is None else logit
-        effects = F.array(*[F.lit(e) for e in self.month_effects])
-        return F.transform(effects, lambda e: F.lit(1.0) / (F.lit(1.0) + F.exp(-(logit + e))))
+        return let(logit, lambda v: F.transform(self.effects(), lambda e: logistic(v + e)))
+
+    def hazard_at(self, month: Column, logit: Column) -> Column:
+        return logistic(logit + F.element_at(self.effects(), month.cast("int")))
+
+    def cumulative(self, logit: Column) -> Column:
+        """Probability of the event within the horizon.
+
+        Folded over the months with the logit bound once: a filter on the result is pushed below the
+        projection as this expression, so its size matters.
+        """
 
-    def hazard_at(self, month: Column, logit: Column | None = None) -> Column:
-        logit = self.logit() if logit is None else logit
-        effect = F.element_at(F.array(*[F.lit(e) for e in self.month_effects]), month.cast("int"))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(logit + effect)))
+        def survival(v: Column) -> Column:
+            return F.aggregate(
+                self.effects(), F.lit(1.0), lambda acc, e: acc * (F.lit(1.0) - logistic(v + e))
+            )
 
-    def cumulative(self, logit: Column | None = None) -> Column:
-        return cumulative_pd(self.hazards(logit))
+        return F.lit(1.0) - let(logit, survival)
 
 
 # A fixed scorer whose numbers are arbitrary but documented; it lets plans be checked in SQL.

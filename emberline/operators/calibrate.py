@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
+from emberline.functions.scalar import let
 from emberline.operators.ordered import quantiles_of_counts, right_closed_bin, value_bucket
 from emberline.session import settle
 
@@ -71,14 +72,28 @@ def calibrator_arrays(calibrators: DataFrame) -> DataFrame:
 
 
 def interpolate(knots: Column, x: Column) -> Column:
-    """Piecewise-linear value between knots, flat outside them."""
-    below = F.size(F.filter(knots, lambda k: k["x"] <= x))
-    left = F.element_at(knots, F.greatest(below, F.lit(1)))
-    right = F.element_at(knots, F.least(below + 1, F.size(knots)))
-    span = right["x"] - left["x"]
-    inside = left["value"] + (right["value"] - left["value"]) * F.try_divide(x - left["x"], span)
-    outside = (below < 1) | (below >= F.size(knots))
-    return F.when(x.isNotNull(), F.when(outside, F.when(below < 1, right["value"]).otherwise(left["value"])).otherwise(inside))
+    """Piecewise-linear value between knots, flat outside them. Pass columns, not expressions."""
+
+    def between(point: Column) -> Column:
+        left, right, v = point["left"], point["right"], point["v"]
+        share = F.try_divide(v - left["x"], right["x"] - left["x"])
+        return F.when(share.isNull() | (v < left["x"]), left["value"]).otherwise(
+            F.when(share >= 1, right["value"]).otherwise(left["value"] + (right["value"] - left["value"]) * share)
+        )
+
+    def neighbours(v: Column) -> Column:
+        # The knots are sorted, so those at or below v are the first ones.
+        below = F.size(F.filter(knots, lambda k: k["x"] <= v))
+        return let(
+            below,
+            lambda n: F.struct(
+                v.alias("v"),
+                F.element_at(knots, F.greatest(n, F.lit(1))).alias("left"),
+                F.element_at(knots, F.least(n + 1, F.size(knots))).alias("right"),
+            ),
+        )
+
+    return F.when(x.isNotNull(), let(x, lambda v: let(neighbours(v), between)))
 
 
 def with_segment_rows(df: DataFrame, segment: str, per_segment: DataFrame, payload: str) -> DataFrame:

@@ -55,8 +55,8 @@ def score_record(
     Each loan's record is built in its own row; calibrators and bands are small joined tables.
     """
     route = G.route_model(F.col("data_richness"), thin_file_available)
-    raw = book.withColumns({"logit": scorer.logit(), "hazards": scorer.hazards(), "_route": route})
-    raw = raw.withColumn("raw_pd", G.cumulative_pd(F.col("hazards")))
+    raw = book.withColumns({"logit": scorer.logit(), "_route": route})
+    raw = raw.withColumns({"hazards": scorer.hazards(F.col("logit")), "raw_pd": scorer.cumulative(F.col("logit"))})
     arrays = cal.calibrator_arrays(cal.settle(calibrators))
     knots = cal.with_segment_rows(raw, "loan_type_segment", arrays, "knots")
     calibrated = knots.withColumn("pd", cal.interpolate(F.col("knots"), F.col("raw_pd")))

@@ -23,6 +23,7 @@ from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
 from emberline.plans.sqlscore import grade_sql, logit_sql, number, pd_sql
 from emberline.plans.sqlviews import sql, view
+from emberline.session import cut_lineage
 from emberline.sources import views
 
 # ---- graph
@@ -399,7 +400,8 @@ def stress_shock(spark: SparkSession, d: str) -> DataFrame:
 
 @query("score_record")
 def score_record(spark: SparkSession, d: str) -> DataFrame:
-    book = frames.scored_book(spark, d)
+    # Two fits and the report read the book; it is written once instead of being rebuilt three times.
+    book = cut_lineage(frames.scored_book(spark, d))
     known = book.where(S.evaluable(F.col("event"), F.col("duration")))
     calibrators = cal.fit_calibrators(known, "loan_type_segment", "pd", "event")
     bands = cal.fit_confidence_bands(known, "loan_type_segment", "pd", "event")

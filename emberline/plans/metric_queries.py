@@ -17,6 +17,7 @@ from emberline.plans import frames
 from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
 from emberline.plans.sqlviews import sql, view
+from emberline.session import cut_lineage
 from emberline.sources import views
 
 # ---- split
@@ -270,7 +271,8 @@ def band_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("confidence_band", sql(BAND_SQL, "book", "bands"))
 def confidence_band(spark: SparkSession, d: str) -> DataFrame:
-    book = frames.scored_book(spark, d).select("borrower_id", "loan_type_segment", "pd", "event", "duration")
+    # The fit and the lookup both read the book, so it is written once.
+    book = cut_lineage(frames.scored_book(spark, d).select("borrower_id", "loan_type_segment", "pd", "event", "duration"))
     known = book.where(S.evaluable(F.col("event"), F.col("duration")))
     bands = cal.fit_confidence_bands(known, "loan_type_segment", "pd", "event")
     banded = cal.confidence_band(book, bands, "loan_type_segment", "pd")
