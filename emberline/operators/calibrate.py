@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Any
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
 from emberline.functions.scalar import let
-from emberline.operators.ordered import quantiles_of_counts, right_closed_bin, value_bucket
+from emberline.operators.ordered import quantiles_of_counts, right_closed_bin
 from emberline.session import settle
 
 
@@ -21,29 +21,47 @@ def with_global(counts: DataFrame, segment: str) -> DataFrame:
     return counts.withColumn("_key", keys).drop(segment).withColumnRenamed("_key", segment)
 
 
-def pool_adjacent_violators(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Merge neighbouring blocks until their mean rises; columns x_lo, x_hi, w, y (a sum)."""
-    ordered = blocks.sort_values("x_lo")
-    stack: list[list[float]] = []
-    for x_lo, x_hi, w, y in ordered[["x_lo", "x_hi", "w", "y"]].itertuples(index=False):
-        current = [x_lo, x_hi, w, y]
-        while stack and stack[-1][3] * current[2] >= current[3] * stack[-1][2]:
-            previous = stack.pop()
-            current = [previous[0], current[1], previous[2] + current[2], previous[3] + current[3]]
-        stack.append(current)
-    return pd.DataFrame(stack, columns=["x_lo", "x_hi", "w", "y"])
+Block = list[float]  # x_lo, x_hi, weight, label sum
 
 
-BLOCKS = "string, x_lo double, x_hi double, w double, y double"
+def push_block(stack: list[Block], block: Block) -> None:
+    """Append a block and merge backwards while the mean does not rise."""
+    while stack and stack[-1][3] * block[2] >= block[3] * stack[-1][2]:
+        previous = stack.pop()
+        block = [previous[0], block[1], previous[2] + block[2], previous[3] + block[3]]
+    stack.append(block)
+
+
+def pool_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool neighbouring blocks of rows sorted by (segment, x_lo); holds one segment's blocks."""
+
+    def flushed(segment: str, stack: list[Block]) -> pd.DataFrame:
+        frame = pd.DataFrame(stack, columns=["x_lo", "x_hi", "w", "y"])
+        frame.insert(0, "segment", segment)
+        return frame
+
+    segment, stack = None, []
+    for batch in batches:
+        for name, x_lo, x_hi, w, y in batch[["segment", "x_lo", "x_hi", "w", "y"]].itertuples(index=False):
+            if name != segment:
+                if stack:
+                    yield flushed(segment, stack)
+                segment, stack = name, []
+            push_block(stack, [x_lo, x_hi, w, y])
+    if stack:
+        yield flushed(segment, stack)
+
+
+BLOCKS = "segment string, x_lo double, x_hi double, w double, y double"
 
 
 def fit_calibrators(df: DataFrame, segment: str, score: str, label: str) -> DataFrame:
     """Isotonic step function per segment and for the whole: (segment, x_lo, x_hi, value, weight).
 
-    Scores are grouped first. Then neighbouring blocks are pooled inside monotone score buckets, in
-    parallel, and the pooled blocks of a segment are pooled once more. Pooling in two levels gives
-    the same fit. Of a 0/1 label over n rows at most O(n^(2/3)) blocks can rise strictly, which
-    bounds what the second level sees.
+    Scores are grouped first. Then neighbouring blocks are pooled inside score ranges, in parallel,
+    and the pooled blocks of a segment are pooled once more: wherever the ranges are cut, the fit is
+    the same. Of a 0/1 label over n rows at most O(n^(2/3)) blocks can rise strictly, which bounds
+    what the second step sees.
     """
     counts = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -51,13 +69,11 @@ def fit_calibrators(df: DataFrame, segment: str, score: str, label: str) -> Data
         .agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(label).cast("double")).alias("y"))
     )
     both = with_global(counts, "segment").groupBy("segment", "x_lo").agg(F.sum("w").alias("w"), F.sum("y").alias("y"))
-    bucketed = both.withColumns({"x_hi": F.col("x_lo"), "bucket": value_bucket(F.col("x_lo"), 128)})
-
-    def local(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        return pool_adjacent_violators(rows).assign(segment=key[0])[["segment", "x_lo", "x_hi", "w", "y"]]
-
-    pooled = bucketed.groupBy("segment", "bucket").applyInPandas(local, f"segment {BLOCKS}")
-    final = pooled.groupBy("segment").applyInPandas(local, f"segment {BLOCKS}")
+    points = both.select("segment", "x_lo", F.col("x_lo").alias("x_hi"), "w", "y")
+    pooled = (
+        points.repartitionByRange("segment", "x_lo").sortWithinPartitions("segment", "x_lo").mapInPandas(pool_sorted, BLOCKS)
+    )
+    final = pooled.repartition("segment").sortWithinPartitions("segment", "x_lo").mapInPandas(pool_sorted, BLOCKS)
     value = F.least(F.greatest(F.col("y") / F.col("w"), F.lit(0.0)), F.lit(1.0))
     return final.select("segment", "x_lo", "x_hi", value.alias("value"), F.col("w").cast("long").alias("weight"))
 
