@@ -8,11 +8,11 @@ the exchange, so a borrower holding a third of all rows arrives as a handful of
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
 from emberline.functions.scalar import clip, days_late, is_late
+from emberline.operators.ordered import numbered_within
 
 KEYS = ["borrower_id", "loan_id"]
 
@@ -68,10 +68,11 @@ def other_loans_only(installments: DataFrame) -> DataFrame:
 def latest_loan_rank(installments: DataFrame) -> DataFrame:
     """Every (borrower, loan) with its recency rank, 1 being the latest."""
     per_loan = installments.groupBy(*KEYS).agg(F.max("due_day").alias("max_day"))
-    order = W.partitionBy("borrower_id").orderBy(
-        F.col("max_day").desc_nulls_first(), F.col("loan_id").desc()
-    )
-    return per_loan.select(*KEYS, "max_day", F.row_number().over(order).alias("loan_rank"))
+    # Falls with recency, unknown days first: numbering runs over (borrower, period), not borrowers.
+    period = F.coalesce(-F.floor(F.col("max_day") / 30), F.lit(-(1 << 40)))
+    order = [F.col("max_day").desc_nulls_first(), F.col("loan_id").desc()]
+    ranked = numbered_within(per_loan.withColumn("_period", period), ["borrower_id"], "_period", order, "loan_rank")
+    return ranked.select(*KEYS, "max_day", "loan_rank")
 
 
 def monthly_worst(installments: DataFrame, unpaid_days: int = K.UNPAID_DAYS_LATE) -> DataFrame:
@@ -188,20 +189,22 @@ def life_table_hazard(panel: DataFrame, segments: list[str]) -> DataFrame:
     )
 
 
-def life_table_from_durations(durations: DataFrame, segments: list[str], horizon: int = K.HORIZON_MONTHS) -> DataFrame:
-    """The same life table from one row per loan: the rows are aggregated before being expanded."""
+def life_table_from_durations(durations: DataFrame, segments: list[str], weight: str | None = None) -> DataFrame:
+    """The same life table from one row per loan: the rows are aggregated before being expanded.
+
+    `weight` names a count column when rows already stand for groups of equal loans.
+    """
+    loans = F.lit(1) if weight is None else F.col(weight)
     exits = durations.groupBy(*segments, "duration").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")
+        F.sum(loans).alias("n"), F.sum(F.col("event") * loans).alias("e")
     )
     months = exits.select(
         *segments, "n", "e", "duration",
         F.explode(F.sequence(F.lit(1), F.col("duration"))).alias("months_since_origination"),
     )
-    ends = F.col("months_since_origination") == F.col("duration")
+    ended = F.when(F.col("months_since_origination") == F.col("duration"), F.col("e")).otherwise(0)
     return months.groupBy(*segments, "months_since_origination").agg(
-        F.sum("n").alias("at_risk"),
-        F.sum(F.when(ends, F.col("e")).otherwise(0)).alias("events"),
-        (F.sum(F.when(ends, F.col("e")).otherwise(0)) / F.sum("n")).alias("hazard"),
+        F.sum("n").alias("at_risk"), F.sum(ended).alias("events"), (F.sum(ended) / F.sum("n")).alias("hazard")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,25 +18,36 @@ def grade_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "grade_no int, risk_grade string, action string")
 
 
-def grade_distribution(book: DataFrame) -> DataFrame:
+def loans_in(weight: str | None) -> Column:
+    """Loans a group stands for: its rows, or the sum of a column of counts."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def grade_distribution(book: DataFrame, weight: str | None = None) -> DataFrame:
     """Count and share of all seven grades, zero where a grade is empty."""
-    counts = book.groupBy("risk_grade").agg(F.count(F.lit(1)).alias("n"))
+    counts = book.groupBy("risk_grade").agg(loans_in(weight).alias("n"))
     full = grade_dimension(book.sparkSession).join(counts, "risk_grade", "left").na.fill(0, ["n"])
     # Seven rows, so one window over all of them is fine.
     total = F.sum("n").over(W.partitionBy(F.lit(0)))
     return full.select("risk_grade", "n", F.round(F.try_divide(F.col("n"), total), 4).alias("share"))
 
 
-def portfolio_summary(book: DataFrame, dimensions: Sequence[str] = K.SEGMENT_COLUMNS) -> DataFrame:
-    """One row: loans, expected-loss rate, count per grade, counts per segment value."""
-    cells = book.groupBy("risk_grade", *dimensions).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(expected_loss(F.col("pd"))).alias("loss")
-    )
+def portfolio_summary(
+    book: DataFrame, dimensions: Sequence[str] = K.SEGMENT_COLUMNS, weight: str | None = None
+) -> DataFrame:
+    """One row: loans, expected-loss rate, count per grade, counts per segment value.
+
+    `weight` names a count column when rows stand for groups of loans with the same PD.
+    """
+    loss = expected_loss(F.col("pd")) if weight is None else expected_loss(F.col("pd"), ead=F.col(weight))
     # The few cells carry everything; the book itself is read once.
-    counts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions])
+    cells = book.groupBy("risk_grade", *dimensions).agg(loans_in(weight).alias("n"), F.sum(loss).alias("loss"))
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions])
     per_value = (
-        cells.select("n", F.explode(counts).alias("p")).groupBy("p.dimension", "p.value").agg(F.sum("n").alias("n"))
+        cells.select("n", F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.sum("n").alias("n"))
     )
+    pieces = F.concat(F.col("dimension"), F.lit("="), F.col("value"), F.lit(":"), F.col("n").cast("string"))
+    entries = per_value.agg(F.array_join(F.array_sort(F.collect_list(pieces)), ";").alias("m"))
     totals = cells.agg(
         F.sum("n").alias("n_loans"),
         F.round(F.sum("loss") / F.sum("n"), 5).alias("expected_loss_rate"),
@@ -45,10 +56,6 @@ def portfolio_summary(book: DataFrame, dimensions: Sequence[str] = K.SEGMENT_COL
             for g in K.GRADES
         ],
     )
-    pieces = F.concat(F.col("dimension"), F.lit("="), F.col("value"), F.lit(":"), F.col("n").cast("string"))
-    entries = per_value.agg(
-        F.array_join(F.array_sort(F.collect_list(pieces)), ";").alias("m")
-    )
     return totals.withColumn("counts_by_segment", entries.scalar())
 
 

@@ -39,7 +39,7 @@ def summary_sql(book: str) -> str:
 
 @query("portfolio_summary", sql(summary_sql("lt_book"), "lt_book"))
 def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
-    return port.portfolio_summary(frames.life_table_book(spark, d))
+    return port.portfolio_summary(frames.life_table_groups(spark, d), weight="n_loans")
 
 
 @query(
@@ -52,7 +52,7 @@ def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def grade_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return port.grade_distribution(frames.life_table_book(spark, d))
+    return port.grade_distribution(frames.life_table_groups(spark, d), weight="n_loans")
 
 
 @query(

@@ -36,17 +36,38 @@ def scored_book(spark: SparkSession, directory: str) -> DataFrame:
     return score(feature_table(spark, directory).where(F.col("duration").isNotNull()))
 
 
-def life_table_book(spark: SparkSession, directory: str) -> DataFrame:
-    """Borrowers graded by the empirical 12-month curve of their market segment × region."""
-    cells = ["c_mktsegment", "n_regionkey"]
+CELLS = ["c_mktsegment", "n_regionkey"]
+
+
+def observed_loans(spark: SparkSession, directory: str) -> DataFrame:
+    """Borrowers with an observed loan: cell, segments, duration and event."""
     history = pan.recent_loan_durations(views.installments(spark, directory))
     applications = feat.data_richness(
-        feat.with_segments(views.applications(spark, directory)), views.bureau(spark, directory)
+        feat.with_segments(views.applications(spark, directory, with_credit=False)), views.bureau(spark, directory)
     )
-    columns = ["borrower_id", *cells, *K.SEGMENT_COLUMNS]
-    loans = applications.select(*columns).join(history, "borrower_id")
-    curves = pan.segment_curves(pan.life_table_from_durations(loans, cells), cells)
-    priced = curves.withColumn("pd", cumulative_pd(F.col("hazard_curve")))
-    book = loans.join(priced, cells)
+    return applications.select("borrower_id", *CELLS, *K.SEGMENT_COLUMNS).join(history, "borrower_id")
+
+
+def graded_cells(loans: DataFrame, weight: str | None = None) -> DataFrame:
+    """pd, grade and action of each cell from its empirical 12-month curve."""
+    curves = pan.segment_curves(pan.life_table_from_durations(loans, CELLS, weight), CELLS)
+    priced = curves.select(*CELLS, cumulative_pd(F.col("hazard_curve")).alias("pd"))
     grade = pd_to_grade(F.col("pd"))
-    return book.withColumns({"risk_grade": grade, "action": grade_action(grade)})
+    return priced.withColumn("risk_grade", grade).withColumn("action", grade_action(F.col("risk_grade")))
+
+
+def life_table_book(spark: SparkSession, directory: str) -> DataFrame:
+    """Borrowers graded by the curve of their market segment × region."""
+    loans = observed_loans(spark, directory)
+    return loans.join(graded_cells(loans), CELLS)
+
+
+def life_table_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """The same book with one row per combination of cell, segments and outcome, and its count.
+
+    Loans of a cell share a PD, so reports need only these rows: the loans are reduced once, and both
+    the curves and the report are built from the few that remain.
+    """
+    loans = observed_loans(spark, directory)
+    groups = loans.groupBy(*CELLS, *K.SEGMENT_COLUMNS, "duration", "event").agg(F.count(F.lit(1)).alias("n_loans"))
+    return groups.join(graded_cells(groups, "n_loans"), CELLS)

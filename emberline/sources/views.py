@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.operators.ordered import numbered_within
@@ -32,48 +32,40 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(table_path(directory, name))
 
 
-def installments(spark: SparkSession, directory: str) -> DataFrame:
-    """borrower_id, loan_id, instalment_no, due_day, paid_day (null when never paid)."""
-    orders = table(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = table(spark, directory, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
-    )
+def installment_columns() -> list[Column]:
+    """Keys and days of one order line read as an installment."""
     due = F.datediff("o_orderdate", F.lit("2002-01-01").cast("date"))
     lateness = F.greatest(F.pmod(F.datediff("l_shipdate", "o_orderdate"), F.lit(701)) - 668, F.lit(-30))
     unpaid = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1000 == 0
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return [
         F.col("o_custkey").alias("borrower_id"),
         (F.col("o_custkey") * 10 + F.col("o_orderkey") % 3).alias("loan_id"),
         due.alias("due_day"),
         F.when(~unpaid, due + lateness).alias("paid_day"),
-        F.floor(due / 30).alias("due_period"),
-        "o_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        "l_extendedprice",
-    )
-    order = ["due_day", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    numbered = numbered_within(rows, ["borrower_id", "loan_id"], "due_period", order, "instalment_no")
+    ]
+
+
+def order_lines(spark: SparkSession, directory: str) -> DataFrame:
+    orders = table(spark, directory, "orders")
+    return table(spark, directory, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def installments(spark: SparkSession, directory: str) -> DataFrame:
+    """borrower_id, loan_id, instalment_no, due_day, paid_day (null when never paid)."""
+    order = ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = order_lines(spark, directory).select(*installment_columns(), *order)
+    periods = rows.withColumn("due_period", F.floor(F.col("due_day") / 30))
+    numbered = numbered_within(periods, ["borrower_id", "loan_id"], "due_period", ["due_day", *order], "instalment_no")
     return numbered.select("borrower_id", "loan_id", "instalment_no", "due_day", "paid_day")
 
 
 def installment_rows(spark: SparkSession, directory: str) -> DataFrame:
     """The same rows without instalment numbers, for work that does not need them."""
-    orders = table(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = table(spark, directory, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
-    due = F.datediff("o_orderdate", F.lit("2002-01-01").cast("date"))
-    lateness = F.greatest(F.pmod(F.datediff("l_shipdate", "o_orderdate"), F.lit(701)) - 668, F.lit(-30))
-    unpaid = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1000 == 0
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("borrower_id"),
-        (F.col("o_custkey") * 10 + F.col("o_orderkey") % 3).alias("loan_id"),
-        due.alias("due_day"),
-        F.when(~unpaid, due + lateness).alias("paid_day"),
-    )
+    return order_lines(spark, directory).select(*installment_columns())
 
 
-def applications(spark: SparkSession, directory: str) -> DataFrame:
+def applications(spark: SparkSession, directory: str, with_credit: bool = True) -> DataFrame:
+    """One row per borrower; the amounts need the orders, which not every job reads."""
     customer = table(spark, directory, "customer")
     nation = table(spark, directory, "nation").select("n_nationkey", "n_regionkey")
     credit = (
@@ -107,6 +99,8 @@ def applications(spark: SparkSession, directory: str) -> DataFrame:
         F.when(key % 25 == 0, 365243).otherwise(300 - key * 53 % 9000).cast("int").alias("days_employed"),
         ((key * 7919 % 1000) / 1000 < 0.03 + 0.2 * (1 - ext2)).cast("int").alias("target"),
     )
+    if not with_credit:
+        return base
     joined = base.join(credit, "borrower_id", "left")
     return joined.withColumn("annuity", F.col("credit") / 20)
 
@@ -123,9 +117,7 @@ def bureau(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def edge_rows(spark: SparkSession, directory: str) -> DataFrame:
-    orders = table(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = table(spark, directory, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return order_lines(spark, directory).select(
         F.col("o_custkey").alias("firm_id"),
         F.col("l_suppkey").alias("counterparty_id"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("txn_value"),
@@ -144,9 +136,7 @@ def labelled_scores(spark: SparkSession, directory: str) -> DataFrame:
 
 def drift_rows(spark: SparkSession, directory: str) -> DataFrame:
     """Order lines with the window they belong to; four numeric features."""
-    orders = table(spark, directory, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    lines = table(spark, directory, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_linenumber")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return order_lines(spark, directory).select(
         (F.year("o_orderdate") >= 1999).alias("is_current"),
         "o_totalprice",
         "l_quantity",
