@@ -262,7 +262,21 @@ def driver_label(spark: SparkSession, d: str) -> DataFrame:
     return exploded(with_drivers(spark, d), "drivers").select("feature", "label", "direction").distinct()
 
 
-@query("templated_narrative")
+NARRATIVE_SQL = """
+SELECT b.borrower_id, printf('This account is graded %s with a calibrated 12-month default probability of %.1f%%. ', risk_grade, pd * 100)
+  || lead || ' Also contributing: ' || rest
+  || '. Taken together, these drivers determine the account''s position on the unified risk-grade scale and the mapped monitoring action.' AS narrative
+FROM book b JOIN (
+  SELECT borrower_id,
+    max(CASE WHEN r = 1 THEN 'The largest driver is ' || lower(label) || CASE WHEN value IS NULL THEN '' ELSE ' (value ' || printf('%g', value) || ')' END
+      || ', which ' || direction || ' with a SHAP contribution of ' || printf('%+g', shap + 0.0) || '.' END) AS lead,
+    string_agg(CASE WHEN r > 1 THEN lower(label) || CASE WHEN value IS NULL THEN '' ELSE ' at ' || printf('%g', value) END
+      || ' (' || direction || ', SHAP ' || printf('%+g', shap + 0.0) || ')' END, '; ' ORDER BY r) AS rest
+  FROM (SELECT *, CASE WHEN up THEN 'increases risk' ELSE 'decreases risk' END AS direction FROM drv) d GROUP BY 1) t ON t.borrower_id = b.borrower_id
+"""
+
+
+@query("templated_narrative", sql(NARRATIVE_SQL, "drv"))
 def templated_narrative(spark: SparkSession, d: str) -> DataFrame:
     rows = with_drivers(spark, d)
     return rows.select("borrower_id", ex.templated_narrative(F.col("drivers"), F.col("risk_grade"), F.col("pd")).alias("narrative"))

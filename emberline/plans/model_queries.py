@@ -16,6 +16,7 @@ from emberline.operators import woe
 from emberline.plans import frames
 from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
+from emberline.plans.sqlviews import sql
 from emberline.session import cut_lineage
 from emberline.sources import views
 
@@ -106,10 +107,22 @@ def tree_attributions(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs("contribution")), 6).alias("mean_size"))
 
 
-@query("training_matrix")
+SEGMENT_LEVELS = {
+    "loan_type_segment": ("other_proxy", "term_loan_proxy", "working_capital_proxy"),
+    "sector_segment": ("Agriculture_Allied", "Manufacturing", "Other_Public", "Retail_Trade", "Services_IT"),
+    "data_richness": (K.ESTABLISHED, K.THIN_FILE),
+}
+MATRIX_SQL = ", ".join(
+    [f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in STATIC]
+    + [f"CAST({c} = '{v}' AS INTEGER) AS \"{c}_{v}\"" for c, vs in SEGMENT_LEVELS.items() for v in vs]
+)
+
+
+@query("training_matrix", sql(f"SELECT borrower_id, {MATRIX_SQL} FROM feats", "feats"))
 def training_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Training matrix: numeric features with one-hot segments, in training column order."""
     rows = frames.feature_table(spark, d)
-    levels = feat.category_levels(rows, K.SEGMENT_COLUMNS)
+    levels = feat.category_levels(rows.select(*K.SEGMENT_COLUMNS), K.SEGMENT_COLUMNS)
     wide = S.one_hot(rows, levels)
-    return S.align_columns(wide, [*STATIC, *[f"{c}_{v}" for c, vs in levels.items() for v in vs]], keep=["borrower_id"])
+    columns = [*STATIC, *[f"{c}_{v}" for c, vs in levels.items() for v in vs]]
+    return rounded(S.align_columns(wide, columns, keep=["borrower_id"]), *STATIC)

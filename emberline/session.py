@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even where that costs one more exchange later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows here are small and their expressions heavy, so small outputs stay spread over the cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
 }
 
