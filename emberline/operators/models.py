@@ -217,6 +217,7 @@ def retrain_and_gate(
     if sample_fraction is not None and sample_fraction < 1.0:
         kept = F.pmod(F.xxhash64("borrower_id", F.lit(42)), F.lit(1_000_000)) < int(sample_fraction * 1_000_000)
         training = data.where((F.col("split") != "train") | kept)
+    # Missing values become 0 and a flag, so a stored model needs no statistics of its training data.
     means = {f: 0.0 for f in features}
     model = fit_trees(assemble(training, features, means), label, iterations=iterations, depth=depth)
     test = assemble(data.where(F.col("split") == "test"), features, means)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,17 +30,17 @@ def split_thresholds(
     return ranked.agg(last_id(train).alias("train_end"), last_id(train + calib).alias("calib_end"))
 
 
+def window_of(id_column: Column, train_end: Column, calib_end: Column) -> Column:
+    return F.when(id_column <= train_end, "train").when(id_column <= calib_end, "calib").otherwise("test")
+
+
 def oot_split(
     df: DataFrame, id_column: str, train: float = K.TRAIN_FRACTION, calib: float = K.CALIB_FRACTION
 ) -> DataFrame:
     """Add `split`; all rows of one id fall in the same window."""
     ends = split_thresholds(df, id_column, train, calib).select(F.struct("train_end", "calib_end").alias("e")).scalar()
-    window = (
-        F.when(F.col(id_column) <= F.col("_ends.train_end"), "train")
-        .when(F.col(id_column) <= F.col("_ends.calib_end"), "calib")
-        .otherwise("test")
-    )
-    return df.withColumn("_ends", ends).withColumn("split", window).drop("_ends")
+    split = window_of(F.col(id_column), F.col("_ends.train_end"), F.col("_ends.calib_end"))
+    return df.withColumn("_ends", ends).withColumn("split", split).drop("_ends")
 
 
 def deterministic_sample(df: DataFrame, id_column: str, n_train: int, n_test: int, seed: int = 42) -> DataFrame:
