@@ -25,7 +25,10 @@ def value_bucket(value: Column, steps: int = STEPS_PER_OCTAVE) -> Column:
     v = value.cast("double")
     # The shift keeps the magnitude part positive for the smallest doubles too.
     magnitude = F.floor((F.log2(F.abs(v)) + 1100.0) * F.lit(float(steps)))
-    return F.when(v == 0, F.lit(0)).when(v > 0, magnitude).otherwise(-magnitude).cast("long")
+    signed = F.when(v == 0, F.lit(0)).when(v > 0, magnitude).otherwise(-magnitude).cast("long")
+    # Never null: else a join on the bucket adds a null filter below one of its sides only, and the
+    # two sides no longer share one exchange of the aggregated rows.
+    return F.coalesce(signed, F.lit(0).cast("long"))
 
 
 def running_totals(

@@ -33,6 +33,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return gr.edge_build(views.edge_rows(spark, d), places=4)
 
 
+def edge_table(spark: SparkSession, d: str) -> DataFrame:
+    """The edges written once, for reports that read them several times."""
+    return cut_lineage(edges(spark, d))
+
+
 @query("edge_build", sql("SELECT firm_id, counterparty_id, txn_value FROM edges", "edges"))
 def edge_build(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d)
@@ -47,7 +52,7 @@ def counterparty_concentration(spark: SparkSession, d: str) -> DataFrame:
 @query("degree_centrality", sql(
     "SELECT firm_id, count(*) AS degree, round(count(*) / ((SELECT count(DISTINCT firm_id) + count(DISTINCT counterparty_id) FROM edges) - 1), 9) AS degree_centrality FROM edges GROUP BY 1", "edges"))
 def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gr.degree_centrality(edges(spark, d)), "degree_centrality", places=9)
+    return rounded(gr.degree_centrality(edge_table(spark, d)), "degree_centrality", places=9)
 
 
 TOP_SQL = "SELECT firm_id, counterparty_id, txn_value AS top_value FROM (SELECT *, row_number() OVER (PARTITION BY firm_id ORDER BY txn_value DESC, counterparty_id) AS r FROM edges) x WHERE r = 1"
@@ -83,7 +88,7 @@ def counterparty_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("anchor_linkage_flag", sql("SELECT firm_id, t.counterparty_id, round(volume_pct, 6) AS volume_pct, CAST(volume_pct > 0.8 AS INTEGER) AS anchor_linkage_flag FROM tops t JOIN ranks r ON t.counterparty_id = r.counterparty_id", "tops", "ranks"))
 def anchor_linkage_flag(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gr.anchor_linkage(edges(spark, d)), "volume_pct")
+    return rounded(gr.anchor_linkage(edge_table(spark, d)), "volume_pct")
 
 
 @query("graph_features", sql(
@@ -92,7 +97,7 @@ def anchor_linkage_flag(spark: SparkSession, d: str) -> DataFrame:
     CAST(max(volume_pct) > 0.8 AS INTEGER) AS anchor_linkage_flag
     FROM edges e JOIN tops t ON e.firm_id = t.firm_id JOIN ranks r ON r.counterparty_id = t.counterparty_id GROUP BY 1""", "tops", "ranks"))
 def graph_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = rounded(gr.graph_features(edges(spark, d)), "counterparty_concentration")
+    rows = rounded(gr.graph_features(edge_table(spark, d)), "counterparty_concentration")
     return rounded(rows, "degree_centrality", places=9)
 
 
