@@ -8,6 +8,8 @@ buckets is a small table of bucket totals whose size is bounded by the number of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,13 +85,18 @@ def quantiles_of_counts(
             for i, p in enumerate(probabilities)
         ]
     )
-    # A value is kept only where it holds the lower or the upper neighbour of a wanted rank.
-    hits = F.filter(
-        wanted,
-        lambda w: ((F.floor(w["h"]) >= first) & (F.floor(w["h"]) < last))
-        | ((F.ceil(w["h"]) >= first) & (F.ceil(w["h"]) < last)),
+
+    def holds(h: Column) -> Column:
+        """The value sits at the lower or the upper neighbour of rank h."""
+        low, high = F.floor(h), F.ceil(h)
+        return ((low >= first) & (low < last)) | ((high >= first) & (high < last))
+
+    # The compiled test goes first; only the few values that pass it meet the array functions.
+    passing = reduce(or_, [holds((total - 1) * F.lit(float(p))) for p in probabilities])
+    hits = F.filter(wanted, lambda w: holds(w["h"]))
+    picked = ranked.where(passing).select(
+        *groups, F.col(value).cast("double").alias("_v"), total.alias("_total"), F.explode(hits).alias("w")
     )
-    picked = ranked.select(*groups, F.col(value).cast("double").alias("_v"), total.alias("_total"), F.explode(hits).alias("w"))
     low, high = F.min("_v"), F.max("_v")
     per_prob = picked.groupBy(*groups, "_total", F.col("w.i").alias("i"), F.col("w.h").alias("h")).agg(
         (low + (high - low) * (F.col("h") - F.floor("h"))).alias("q")
