@@ -19,6 +19,7 @@ from emberline.plans.registry import query
 from emberline.plans.sqlscore import grade_sql, logit_sql, pd_sql
 from emberline.plans.sqlviews import sql, view
 from emberline.sources import views
+from emberline.sources.events import event_records, parse_events
 from emberline.streaming import replay
 
 # ---- replay
@@ -98,8 +99,6 @@ def event_feature_delta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bad_event_quarantine", sql("SELECT type, count(*) AS n FROM evts WHERE type NOT IN ('gst_filing', 'bank_transaction', 'repayment') GROUP BY 1", "evts"))
 def bad_event_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    from emberline.sources.events import event_records, parse_events
-
     events = views.loan_events(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "loan_id", "type")
     _, rejected = parse_events(event_records(events))
     return rejected.groupBy(F.get_json_object("value", "$.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
@@ -238,11 +237,12 @@ def new_alerts_since(spark: SparkSession, d: str) -> DataFrame:
     return jr.new_alerts_since(rows, 5000, "event_id")
 
 
-@query("loan_timeline", replay_sql("SELECT event_id, loan_id, round(post_pd, 6) AS pd, post_grade AS risk_grade FROM rescored r JOIN evts USING (event_id) WHERE r.loan_id = 7 ORDER BY ts, event_id LIMIT 100".replace("r JOIN evts USING (event_id) WHERE r.loan_id", "JOIN (SELECT event_id AS eid, ts FROM evts) e ON eid = event_id WHERE loan_id")))
+@query("loan_timeline", replay_sql("SELECT event_id, loan_id, round(post_pd, 6) AS pd, post_grade AS risk_grade FROM rescored JOIN (SELECT event_id AS eid, ts FROM evts) e ON eid = event_id WHERE loan_id = 7 ORDER BY ts, event_id LIMIT 100"))
 def loan_timeline(spark: SparkSession, d: str) -> DataFrame:
-    # One loan is a filter on the events; everything after it reads only that loan.
+    # One loan is a filter on both inputs, which reaches their scans.
     events = views.loan_events(spark, d).where(F.col("loan_id") == 7)
-    line = replay.risk_timeline(replay.replay_events(events, frames.feature_table(spark, d), DEMO_SCORER))
+    features = frames.feature_table(spark, d).where(F.col("borrower_id") == 7)
+    line = replay.risk_timeline(replay.replay_events(events, features, DEMO_SCORER))
     return rounded(jr.loan_timeline(line, 7, ["ts", "event_id"]).drop("ts"), "pd")
 
 

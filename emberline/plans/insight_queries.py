@@ -17,7 +17,9 @@ from emberline.operators import panel as pan
 from emberline.operators import portfolio as port
 from emberline.operators import stress as st
 from emberline.operators import text as tx
+from emberline.operators.features import data_richness, ratio_columns
 from emberline.operators.features import enrich_join as join_enrichment
+from emberline.operators.ordered import average_rank
 from emberline.plans import frames
 from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
@@ -75,8 +77,6 @@ def top_counterparty(spark: SparkSession, d: str) -> DataFrame:
 @query("pct_rank_average", "SELECT o_custkey, round(t, 4) AS total, round((rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2) / count(*) OVER (), 6) AS pct FROM (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS t FROM orders GROUP BY 1) x")
 def pct_rank_average(spark: SparkSession, d: str) -> DataFrame:
     counts = views.table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("total"))
-    from emberline.operators.ordered import average_rank
-
     return rounded(average_rank(counts, "total", "pct"), "pct").select("o_custkey", "total", "pct")
 
 
@@ -138,21 +138,15 @@ def separability(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("enrich_join", sql(
-    """SELECT f.borrower_id, f.data_richness, round(g.c, 6) AS counterparty_concentration, n.flag AS distress_keyword_flag,
-      CASE WHEN n.borrower_id IS NOT NULL AND g.firm_id IS NOT NULL THEN 'transaction_graph' END AS graph_data_provenance,
-      CASE WHEN n.borrower_id IS NOT NULL AND g.firm_id IS NOT NULL THEN 'documents' END AS text_data_provenance
+    """SELECT f.borrower_id, f.data_richness, round(e.c, 6) AS counterparty_concentration, e.flag AS distress_keyword_flag,
+      CASE WHEN e.borrower_id IS NOT NULL THEN 'transaction_graph' END AS graph_data_provenance,
+      CASE WHEN e.borrower_id IS NOT NULL THEN 'documents' END AS text_data_provenance
     FROM segd f LEFT JOIN (
-      SELECT firm_id, max(txn_value) / sum(txn_value) AS c FROM edges GROUP BY 1) g0 ON false
-    LEFT JOIN (SELECT borrower_id, CAST(regexp_matches(officer_note, 'license', 'i') AS INTEGER) AS flag FROM notes) n ON n.borrower_id = f.borrower_id
-    LEFT JOIN (SELECT firm_id, max(txn_value) / sum(txn_value) AS c FROM edges GROUP BY 1) g ON g.firm_id = f.borrower_id AND n.borrower_id IS NOT NULL""".replace(
-        "n.flag AS", "CASE WHEN g.firm_id IS NOT NULL THEN n.flag END AS"
-    ).replace(
-        " LEFT JOIN (\n      SELECT firm_id, max(txn_value) / sum(txn_value) AS c FROM edges GROUP BY 1) g0 ON false", ""
-    ),
+      SELECT n.borrower_id, g.c, CAST(regexp_matches(officer_note, 'license', 'i') AS INTEGER) AS flag
+      FROM notes n JOIN (SELECT firm_id, max(txn_value) / sum(txn_value) AS c FROM edges GROUP BY 1) g ON g.firm_id = n.borrower_id) e
+      ON e.borrower_id = f.borrower_id""",
     "segd", "edges", "notes"))
 def enrich_join(spark: SparkSession, d: str) -> DataFrame:
-    from emberline.operators.features import data_richness
-
     features = data_richness(views.applications(spark, d), views.bureau(spark, d)).select("borrower_id", "data_richness")
     graph = gr.firm_profile(edges(spark, d)).select(F.col("firm_id").alias("borrower_id"), "counterparty_concentration")
     notes = views.notes(spark, d).select("borrower_id", S.keyword_flag(F.col("officer_note"), "license").alias("distress_keyword_flag"))
@@ -409,8 +403,6 @@ def stress_rate(spark: SparkSession, d: str) -> DataFrame:
 @query("stress_shock", sql(
     "SELECT borrower_id, round(credit_income_ratio / 0.85e0, 6) AS credit_income_ratio, round(annuity_income_ratio / 0.85e0, 6) AS annuity_income_ratio FROM (SELECT borrower_id, credit / nullif(income, 0) AS credit_income_ratio, annuity / nullif(income, 0) AS annuity_income_ratio FROM apps) a", "apps"))
 def stress_shock(spark: SparkSession, d: str) -> DataFrame:
-    from emberline.operators.features import ratio_columns
-
     rows = views.applications(spark, d).withColumns(ratio_columns()).withColumns(G.stress_shock("revenue", -0.15))
     return rounded(rows.select("borrower_id", *RATIOS), *RATIOS)
 

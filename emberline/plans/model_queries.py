@@ -34,11 +34,11 @@ BIN = "(l_quantity >= 10)::INT + (l_quantity >= 20)::INT + (l_quantity >= 30)::I
 
 
 @query("apply_woe", f"""
-SELECT l_quantity, round(ln(((n - e) / (tn - te)) / (e / te)), 6) AS quantity_woe, count(*) AS n_rows
+SELECT l_quantity, round(ln(((n - e) / (sum_n - sum_e)) / (e / sum_e)), 6) AS quantity_woe, count(*) AS n_rows
 FROM (SELECT l_quantity, {BIN} AS b FROM lineitem) x
-JOIN (SELECT b, count(*) AS n, sum(y) AS e, sum(count(*)) OVER () AS tn0, sum(sum(y)) OVER () AS te, sum(count(*)) OVER () - 0 AS tall,
-        (sum(count(*)) OVER ()) AS t, (sum(count(*)) OVER ()) AS tn FROM (SELECT {BIN} AS b, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem) r GROUP BY b) w USING (b)
-GROUP BY ALL""".replace("(tn - te)", "(t - te)"))
+JOIN (SELECT b, count(*) AS n, sum(y) AS e, sum(count(*)) OVER () AS sum_n, sum(sum(y)) OVER () AS sum_e
+      FROM (SELECT {BIN} AS b, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem) r GROUP BY b) w USING (b)
+GROUP BY ALL""")
 def apply_woe(spark: SparkSession, d: str) -> DataFrame:
     rows = views.table(spark, d, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("y"))
     table = woe.fixed_bins(rows, "l_quantity", "y", QUANTITY_SPLITS)
