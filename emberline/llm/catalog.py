@@ -1,5 +1,6 @@
 """Names of the queries of this subpackage, what runs them, and the SQL they must agree with."""
 
+from emberline.llm.bpe import op5_merge_rounds
 from emberline.llm.lines import OP2_SQL, op2_line_spread
 from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
 from emberline.llm.shards import op1_vector_packing
@@ -8,6 +9,7 @@ QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_line_spread": op2_line_spread,
     "op4_weighted_mix": op4_weighted_mix,
+    "op5_merge_rounds": op5_merge_rounds,
 }
 ORACLES = {
     "op2_line_spread": OP2_SQL,
