@@ -35,7 +35,8 @@ REMEMBERED = 300_000
 # Fixed values of the vocabulary's format.
 WORD_END = "</w>"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: str.split() takes these for white space, the vocabulary does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_characters() -> list[str]:
@@ -65,7 +66,7 @@ class Vocabulary:
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks, self.made = pairs[order], order, made
         self.words = regex.compile(WORD_PATTERN)
-        self.spaces = regex.compile(f"[{WHITE_SPACE}]+")
+        self.spaces = regex.compile(rf"(?V1)[\s--[{SEPARATORS}]]+")
         self.specials = regex.compile("|".join(map(regex.escape, self.special)))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -74,8 +75,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         return np.where(self.pairs[at] == keys, self.ranks[at], len(self.ranks))
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The token ids of each word; words hold a byte or more."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The token ids of each word, as bytes; words hold a byte or more."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols = self.inner[raw]
@@ -93,7 +94,7 @@ class Vocabulary:
             over = lowest == none
             if over.any():
                 for i in np.flatnonzero(over):
-                    done[number[i]] = symbols[starts[i] : starts[i] + lengths[i]]
+                    done[number[i]] = symbols[starts[i] : starts[i] + lengths[i]].astype("<u4").tobytes()
                 stay = np.repeat(~over, lengths)
                 symbols, ranks = symbols[stay], ranks[stay]
                 number, lengths, lowest = number[~over], lengths[~over], lowest[~over]
@@ -124,18 +125,21 @@ class Vocabulary:
 
     def plain_chunks(self, text: str) -> list[str]:
         # Letters are lowered one by one, so a sigma at a word's end is as any other.
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return [c for c in text.split(" ") if c]
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if any(c in text for c in SEPARATORS):
+            return [c for c in self.spaces.split(text) if c]
+        return text.split()
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [[] if c[0] == " " else [w.encode() for w in self.words.findall(c)] for c in chunks]
         merged = self.merge([w for words in split for w in words])
         out, at = [], 0
         for chunk, words in zip(chunks, split, strict=True):
-            part = merged[at : at + len(words)]
+            if chunk[0] == " ":
+                out.append(self.special[chunk[1:]].to_bytes(4, "little"))
+            else:
+                out.append(b"".join(merged[at : at + len(words)]))
             at += len(words)
-            ids = [self.special[chunk[1:]]] if chunk[0] == " " else np.concatenate(part) if part else []
-            out.append(np.asarray(ids, dtype="<u4"))
         return out
 
 
@@ -157,7 +161,7 @@ class Encoder:
             self.known = {}
         new = sorted({c for chunks in split for c in chunks} - self.known.keys())
         if new:
-            self.known |= zip(new, (ids.tobytes() for ids in self.vocabulary.encode_chunks(new)), strict=True)
+            self.known |= zip(new, self.vocabulary.encode_chunks(new), strict=True)
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 

@@ -3,15 +3,18 @@
 from emberline.llm.bpe import op5_merge_rounds
 from emberline.llm.lines import OP2_SQL, op2_line_spread
 from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
+from emberline.llm.quality import OP3_SQL, op3_line_rules
 from emberline.llm.shards import op1_vector_packing
 
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_line_spread": op2_line_spread,
+    "op3_line_rules": op3_line_rules,
     "op4_weighted_mix": op4_weighted_mix,
     "op5_merge_rounds": op5_merge_rounds,
 }
 ORACLES = {
     "op2_line_spread": OP2_SQL,
+    "op3_line_rules": OP3_SQL,
     "op4_weighted_mix": OP4_SQL,
 }

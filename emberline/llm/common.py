@@ -14,7 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows of a batch that goes to Python; texts may be long.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return tune(spark).read.parquet(table_path(directory, name))
 
 
