@@ -1,6 +1,7 @@
 """Names of the queries of this subpackage, what runs them, and the SQL they must agree with."""
 
 from emberline.llm.bpe import op5_merge_rounds
+from emberline.llm.language import op10_script_viterbi
 from emberline.llm.lines import OP2_SQL, op2_line_spread
 from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
 from emberline.llm.quality import OP3_SQL, op3_line_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_line_rules": op3_line_rules,
     "op4_weighted_mix": op4_weighted_mix,
     "op5_merge_rounds": op5_merge_rounds,
+    "op10_script_viterbi": op10_script_viterbi,
 }
 ORACLES = {
     "op2_line_spread": OP2_SQL,
