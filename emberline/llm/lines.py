@@ -69,9 +69,10 @@ def removed_places(docs: DataFrame, min_sites: int) -> DataFrame:
     place = F.struct("doc_id", "row_a", "row_b", "pos")
     exact = seen.where(~F.col("sure")).groupBy(*line).agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     boilerplate = written(seen.where("sure").select(*line).distinct().union(exact.select(*line)))
-    first = seen.groupBy(*line).agg(F.min(place).alias("first"))
+    # Written, so that both sides of the join below are plain exchanges and a hot line's rows can be split.
+    first = written(seen.groupBy(*line).agg(F.min(place).alias("first")).join(boilerplate, line))
     return (
-        seen.join(first.join(boilerplate, line), line)
+        seen.join(first, line)
         .where(place != F.col("first"))
         .groupBy("row_a", "row_b")
         .agg(F.collect_set("pos").alias("removed"))
