@@ -6,6 +6,7 @@ from emberline.llm.lines import OP2_SQL, op2_line_spread
 from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
 from emberline.llm.quality import OP3_SQL, op3_line_rules
 from emberline.llm.shards import op1_vector_packing
+from emberline.llm.toxicity import op6_noisy_channel
 
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_line_rules": op3_line_rules,
     "op4_weighted_mix": op4_weighted_mix,
     "op5_merge_rounds": op5_merge_rounds,
+    "op6_noisy_channel": op6_noisy_channel,
     "op10_script_viterbi": op10_script_viterbi,
 }
 ORACLES = {
