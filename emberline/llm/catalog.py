@@ -5,6 +5,7 @@ from emberline.llm.language import op10_script_viterbi
 from emberline.llm.lines import OP2_SQL, op2_line_spread
 from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
 from emberline.llm.quality import OP3_SQL, op3_line_rules
+from emberline.llm.search import OP9_SQL, op9_pivot_table
 from emberline.llm.shards import op1_vector_packing
 from emberline.llm.toxicity import op6_noisy_channel
 
@@ -15,10 +16,12 @@ QUERIES = {
     "op4_weighted_mix": op4_weighted_mix,
     "op5_merge_rounds": op5_merge_rounds,
     "op6_noisy_channel": op6_noisy_channel,
+    "op9_pivot_table": op9_pivot_table,
     "op10_script_viterbi": op10_script_viterbi,
 }
 ORACLES = {
     "op2_line_spread": OP2_SQL,
     "op3_line_rules": OP3_SQL,
     "op4_weighted_mix": OP4_SQL,
+    "op9_pivot_table": OP9_SQL,
 }
