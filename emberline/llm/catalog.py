@@ -1,6 +1,7 @@
 """Names of the queries of this subpackage, what runs them, and the SQL they must agree with."""
 
 from emberline.llm.bpe import op5_merge_rounds
+from emberline.llm.jaccard import OP7_SQL, op7_chosen_path
 from emberline.llm.language import op10_script_viterbi
 from emberline.llm.lines import OP2_SQL, op2_line_spread
 from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_weighted_mix": op4_weighted_mix,
     "op5_merge_rounds": op5_merge_rounds,
     "op6_noisy_channel": op6_noisy_channel,
+    "op7_chosen_path": op7_chosen_path,
     "op9_pivot_table": op9_pivot_table,
     "op10_script_viterbi": op10_script_viterbi,
 }
@@ -23,5 +25,6 @@ ORACLES = {
     "op2_line_spread": OP2_SQL,
     "op3_line_rules": OP3_SQL,
     "op4_weighted_mix": OP4_SQL,
+    "op7_chosen_path": OP7_SQL,
     "op9_pivot_table": OP9_SQL,
 }
