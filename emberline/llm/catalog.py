@@ -8,6 +8,7 @@ from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
 from emberline.llm.quality import OP3_SQL, op3_line_rules
 from emberline.llm.search import OP9_SQL, op9_pivot_table
 from emberline.llm.shards import op1_vector_packing
+from emberline.llm.surrogates import op8_keyed_surrogates
 from emberline.llm.toxicity import op6_noisy_channel
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_merge_rounds": op5_merge_rounds,
     "op6_noisy_channel": op6_noisy_channel,
     "op7_chosen_path": op7_chosen_path,
+    "op8_keyed_surrogates": op8_keyed_surrogates,
     "op9_pivot_table": op9_pivot_table,
     "op10_script_viterbi": op10_script_viterbi,
 }
