@@ -15,18 +15,16 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.llm.common import read
+from emberline.llm.common import per_batch, read
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a task remembers; beyond it starts anew.
@@ -167,28 +165,22 @@ class Encoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """All columns of `docs`, and the token ids of its text as binary; a column of that name is replaced."""
-    schema = T.StructType([f for f in docs.schema if f.name != ids] + [T.StructField(ids, T.BinaryType())])
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         encoder = Encoder(path)
-        for frame in frames:
-            frame[ids] = encoder.encode([t if isinstance(t, str) else "" for t in frame[text]])
-            yield frame[schema.names]
+        return lambda texts: [encoder.encode([t or "" for t in texts])]
 
-    return docs.mapInPandas(batches, schema)
+    return per_batch(docs, [text], [T.StructField(ids, T.BinaryType())], make)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """All columns of `tokens`, and the text of its ids: this vocabulary's tokens with a space between."""
-    schema = T.StructType([f for f in tokens.schema if f.name != text] + [T.StructField(text, T.StringType())])
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         shown = vocabulary(path).tokens
-        for frame in frames:
-            frame[text] = [" ".join(shown[np.frombuffer(b or b"", dtype="<u4")]) for b in frame[ids]]
-            yield frame[schema.names]
+        return lambda coded: [[" ".join(shown[np.frombuffer(b or b"", dtype="<u4")]) for b in coded]]
 
-    return tokens.mapInPandas(batches, schema)
+    return per_batch(tokens, [ids], [T.StructField(text, T.StringType())], make)
 
 
 def op5_merge_rounds(spark: SparkSession, directory: str) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from emberline.session import ensure_checkpoint_dir, table_path, tune
 
@@ -34,6 +38,26 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_batch(df: DataFrame, inputs: list[str], added: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
+    """All columns of `df` and those of `added`, computed in Python a batch at a time; columns of those names go.
+
+    `make` is called once in each task; what it returns gets a list for each input column and returns one for each
+    added column. Other columns pass as Arrow data, whatever their types and nulls.
+    """
+    names = [f.name for f in added]
+    kept = [f for f in df.schema if f.name not in names]
+    types = [to_arrow_type(f.dataType) for f in added]
+
+    def batches(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in arrived:
+            made = compute(*(batch.column(name).to_pylist() for name in inputs))
+            arrays = [batch.column(f.name) for f in kept] + [pa.array(v, type=t) for v, t in zip(made, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + names)
+
+    return df.mapInArrow(batches, T.StructType(kept + added))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -12,8 +12,8 @@ many tasks. Tasks return a count of links and a spanning label for each node, ne
 connected components of the links.
 
 Words are runs of anything but ASCII space, as they stand. Defined results: a text of one to four words is a single
-shingle; a null or empty text has no shingle, links to nothing and is a class of its own. Links of a document are the
-other documents, copies counted, that it is joined to. A class is named by its least doc_id (nulls only if there is
+shingle; a text without words, such as an empty one, is joined to equal texts only; a null text is joined to nothing
+and is a class of its own. Links of a document are the other documents, copies counted, that it is joined to. A class is named by its least doc_id (nulls only if there is
 no other). Equal rows are copies. No documents give no rows. Only doc_id and text are read; `keep_one` returns all
 columns.
 """
@@ -21,15 +21,14 @@ columns.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberline.llm.common import WORD, read, written
+from emberline.llm.common import WORD, per_batch, read, written
 from emberline.llm.components import components
 
 SHINGLE = 5
@@ -105,28 +104,30 @@ def sampled_tokens(shingles: np.ndarray) -> bytes:
 
 
 def text_keys() -> list[Column]:
-    return [F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
+    """What knows a text by its content; null for a null text."""
+    some = F.col("text").isNotNull()
+    return [F.when(some, F.xxhash64("text")).alias("key_a"), F.when(some, F.xxhash64(F.lit(1), "text")).alias("key_b")]
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, the text's keys, its number of shingles and its sampled tokens (null without a shingle)."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         shingler = Shingler()
-        for frame in frames:
-            sets = shingler.sets(list(frame["text"]))
-            frame["shingles"] = [len(s) for s in sets]
-            frame["tokens"] = [sampled_tokens(s) if len(s) else None for s in sets]
-            yield frame.drop(columns="text")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key_a long, key_b long, shingles long, tokens binary"
-    return docs.select("doc_id", *text_keys(), "text").mapInPandas(batches, schema)
+        def sketch(texts: list[str | None]) -> list[list]:
+            sets = shingler.sets(texts)
+            return [[len(s) for s in sets], [sampled_tokens(s) if len(s) else None for s in sets]]
+
+        return sketch
+
+    added = [T.StructField("shingles", T.LongType()), T.StructField("tokens", T.BinaryType())]
+    return per_batch(docs.select("doc_id", *text_keys(), "text"), ["text"], added, make).drop("text")
 
 
 def text_nodes(rows: DataFrame) -> DataFrame:
-    """A node for each text with a shingle: copies, the least doc_id, and how many rows have that doc_id."""
-    by_id = rows.where(F.col("tokens").isNotNull()).groupBy("key_a", "key_b", "doc_id")
+    """A node for each text: copies, the least doc_id, and how many rows have that doc_id."""
+    by_id = rows.where(F.col("key_a").isNotNull()).groupBy("key_a", "key_b", "doc_id")
     by_id = by_id.agg(F.count(F.lit(1)).alias("rows"), F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rows")).alias("least")
     nodes = by_id.groupBy("key_a", "key_b").agg(F.sum("rows").alias("copies"), least, F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
@@ -258,13 +259,12 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFra
     named = keyed["doc_id"].eqNullSafe(members["first_doc"])
     texts = keyed.join(members, (keyed["key_a"] == members["key_a"]) & (keyed["key_b"] == members["key_b"]) & named)
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         shingler = Shingler()
-        for frame in frames:
-            frame["shingle_set"] = [s.astype("<u8").tobytes() for s in shingler.sets(list(frame["text"]))]
-            yield frame.drop(columns="text")
+        return lambda found: [[s.astype("<u8").tobytes() for s in shingler.sets(found)]]
 
-    shingled = texts.select("node", "root", "blocks", "copies", "text").mapInPandas(sets, "node long, root long, blocks int, copies long, shingle_set binary")
+    added = [T.StructField("shingle_set", T.BinaryType())]
+    shingled = per_batch(texts.select("node", "root", "blocks", "copies", "text"), ["text"], added, make).drop("text")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = shingled.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
@@ -279,7 +279,7 @@ def joined_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of `sketched`, and its nodes with class_node and links."""
     rows = written(sketched(docs))
     nodes = written(text_nodes(rows))
-    found = written(exact_links(docs, nodes, candidate_groups(nodes)))
+    found = written(exact_links(docs, nodes, candidate_groups(nodes.where(F.col("tokens").isNotNull()))))
     classes = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = nodes.drop("tokens", "shingles").join(links, "node", "left").join(classes, "node", "left")
@@ -299,21 +299,21 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each class: that of the least doc_id. Texts without a word stay."""
+    """The documents without all but one of each class: that of the least doc_id. Null texts stay."""
     columns = docs.columns
     slim = docs.select("doc_id", "text")
     _, nodes = joined_texts(slim)
     least = F.min(F.struct(F.col("first_doc").isNull().alias("unnamed"), "first_doc", "node", "key_a", "key_b", "first_rows")).alias("least")
     keepers = written(nodes.groupBy("class_node").agg(least).select("least.*"))
-    whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).alias("doc"), *text_keys(), F.col("doc_id").alias("row_doc"), F.col("text").alias("row_text"))
-    wordless = whole.where(~F.coalesce(F.col("row_text").rlike(WORD), F.lit(False))).select("doc")
+    whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).alias("doc"), *text_keys(), F.col("doc_id").alias("row_doc"))
+    without = whole.where(F.col("key_a").isNull()).select("doc")
     same = (whole["key_a"] == keepers["key_a"]) & (whole["key_b"] == keepers["key_b"]) & whole["row_doc"].eqNullSafe(keepers["first_doc"])
     kept = whole.join(keepers, same).select("doc", "node", "first_rows")
     # Only rows that repeat both doc_id and text are brought together to choose one.
     single = kept.where(F.col("first_rows") == 1).select("doc")
     chosen = Window.partitionBy("node").orderBy(F.to_json("doc"))
     repeated = kept.where(F.col("first_rows") > 1).withColumn("turn", F.row_number().over(chosen)).where("turn = 1").select("doc")
-    return single.union(repeated).union(wordless).select("doc.*")
+    return single.union(repeated).union(without).select("doc.*")
 
 
 def op7_chosen_path(spark: SparkSession, directory: str) -> DataFrame:
@@ -335,6 +335,8 @@ WITH RECURSIVE listed AS (
 ), links AS (
     SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
     WHERE shared * {LEAST[1]} >= {LEAST[0]} * (x.n + y.n - shared)
+    UNION
+    SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id
 ), reach AS (
     SELECT doc_id AS a, doc_id AS b FROM documents
     UNION

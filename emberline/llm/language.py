@@ -20,7 +20,7 @@ from __future__ import annotations
 import bisect
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.llm.common import read
+from emberline.llm.common import per_batch, read
 from emberline.llm.ngrams import letters, summed_counts, trigrams, word_sums
 
 UNKNOWN = "und"
@@ -205,19 +205,20 @@ ADDED = (
 
 def identify(docs: DataFrame, model: Model | None, added: tuple = ADDED) -> DataFrame:
     """All columns of `docs` and the three of `added`; columns of those names are replaced."""
-    names = [f.name for f in added]
-    schema = T.StructType([f for f in docs.schema if f.name not in names] + list(added))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         labeller = Labeller(shared.value)
-        for frame in frames:
-            found = labeller.label([t if isinstance(t, str) else None for t in frame["text"]])
-            for i, name in enumerate(names):
-                frame[name] = pd.Series([f[i] for f in found], index=frame.index, dtype=object)
-            yield frame[schema.names]
 
-    return docs.mapInPandas(batches, schema)
+        def label(texts: list[str | None]) -> list[list]:
+            found = labeller.label(texts)
+            names = ("first_word", "words", "lang")
+            spans = [[dict(zip(names, span, strict=True)) for span in f[2]] for f in found]
+            return [[f[0] for f in found], [f[1] for f in found], spans]
+
+        return label
+
+    return per_batch(docs, ["text"], list(added), make)
 
 
 def op10_script_viterbi(spark: SparkSession, directory: str) -> DataFrame:

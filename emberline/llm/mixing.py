@@ -49,9 +49,9 @@ def uniform() -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, key and the bucket of the key."""
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.ln(uniform()) / quality()).alias("key"))
+def measure(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, key, the bucket of the key, and `more`."""
+    keyed = docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), (-F.ln(uniform()) / quality()).alias("key"))
     # Grows with the key alone; no bucket expects more than BUCKETS ** -1 / LEAST_QUALITY of a source.
     bucket = F.least(F.floor((1 - F.exp(-F.col("key") * LEAST_QUALITY)) * BUCKETS), F.lit(BUCKETS - 1))
     return keyed.withColumn("bucket", bucket.cast("int"))
@@ -116,6 +116,13 @@ def drawn(measured: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
     return both.select(*kept, "source_size", "target", (F.col("epochs") + F.col("more")).cast("int").alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
+    """All columns of the documents, each row as often as the mix takes it."""
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc")
+    taken = drawn(measure(docs, whole), weights, share, most).where(F.col("copies") > 0)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+
+
 def op4_weighted_mix(spark: SparkSession, directory: str) -> DataFrame:
     mixed = mix(read(spark, directory, "documents"))
     taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")

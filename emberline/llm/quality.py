@@ -17,13 +17,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from emberline.llm.common import WORD, read
+from emberline.llm.common import WORD, per_batch, read
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20
@@ -101,22 +99,10 @@ def screened(text: str | None) -> tuple:
 
 def screen(docs: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept, and the cleaned text of every document."""
-    flags = ("base_failed", "kept")
-    schema = T.StructType(
-        [docs.schema["doc_id"]]
-        + [T.StructField(c, T.LongType()) for c in COUNTS]
-        + [T.StructField(c, T.BooleanType()) for c in flags]
-        + [T.StructField("cleaned", T.StringType())]
-    )
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [screened(t if isinstance(t, str) else None) for t in frame["text"]]
-            out = pd.DataFrame(rows, columns=schema.names[1:], index=frame.index)
-            out.insert(0, "doc_id", frame["doc_id"])
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(batches, schema)
+    added = [T.StructField(c, T.LongType()) for c in COUNTS]
+    added += [T.StructField(c, T.BooleanType()) for c in ("base_failed", "kept")] + [T.StructField("cleaned", T.StringType())]
+    screened_all = lambda texts: list(zip(*map(screened, texts), strict=True))
+    return per_batch(docs.select("doc_id", "text"), ["text"], added, lambda: screened_all).drop("text")
 
 
 def op3_line_rules(spark: SparkSession, directory: str) -> DataFrame:

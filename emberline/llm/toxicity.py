@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.llm.common import read
+from emberline.llm.common import per_batch, read
 from emberline.llm.language import fold
 from emberline.llm.ngrams import hashed, letters, summed_counts
 
@@ -304,16 +304,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id and the score of every document."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         scorer = Scorer(shared.value)
-        for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [shared.value.score(g) for g in scorer.gains(texts)]})
+        return lambda texts: [[shared.value.score(g) for g in scorer.gains(texts)]]
 
-    return docs.select("doc_id", "text").mapInPandas(batches, schema)
+    return per_batch(docs.select("doc_id", "text"), ["text"], [T.StructField("score", T.DoubleType())], make).drop("text")
 
 
 def op6_noisy_channel(spark: SparkSession, directory: str) -> DataFrame:
