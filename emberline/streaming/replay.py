@@ -15,7 +15,37 @@ ARRAYS = "scale array<double>, shift array<double>, cap array<double>"
 
 
 def known_events(events: DataFrame) -> DataFrame:
-    return events.where(F.col("type").isin(*K.EVENT_TYPES) & F.col("loan_id").isNotNull())
+    """Usable events, each (loan_id, event_id) once: a repeat is applied as its earliest copy."""
+    usable = events.where(F.col("type").isin(*K.EVENT_TYPES) & F.col("loan_id").isNotNull())
+    rest = [c for c in usable.columns if c not in ("loan_id", "event_id")]
+    # Maps have no order, so their text stands for them.
+    order = [F.to_json(c).alias(c) if f.dataType.typeName() == "map" else F.col(c) for c, f in ((f.name, f) for f in usable.schema) if c in rest]
+    first = F.min_by(F.struct(*rest), F.struct("ts", *[o for o, c in zip(order, rest, strict=True) if c != "ts"])).alias("e")
+    return usable.groupBy("loan_id", "event_id").agg(first).select("loan_id", "event_id", *[F.col(f"e.{c}").alias(c) for c in rest])
+
+
+def unknown_loans(events: DataFrame, features: DataFrame, key: str = "borrower_id") -> DataFrame:
+    """Usable events of loans without offline features, with the problem; they are refused, not dropped."""
+    known = features.select(F.col(key).alias("loan_id"))
+    return known_events(events).join(known, "loan_id", "left_anti").withColumn("problem", F.lit("unknown_loan"))
+
+
+def online_rows(events: DataFrame, features: DataFrame, key: str = "borrower_id") -> DataFrame:
+    """(loan_id, features): what the newest online row of each loan with events holds beside its offline values.
+
+    The dynamic features are those after its last event; any other feature that an event names has its last value.
+    """
+    newest = replay_states(events, features, key).groupBy("loan_id").agg(F.max_by("after", F.struct("ts", "event_id")).alias("x"))
+    dynamic = newest.select("loan_id", F.posexplode("x").alias("at", "value"))
+    names = F.array(*map(F.lit, state.FEATURES))
+    dynamic = dynamic.where(~F.isnan("value")).select("loan_id", F.get(names, "at").alias("name"), "value")
+    both = dynamic
+    if "feature_updates" in events.columns:
+        named = known_events(events).join(newest.select("loan_id"), "loan_id", "left_semi")
+        named = named.select("loan_id", "ts", "event_id", F.explode("feature_updates").alias("name", "value"))
+        last = named.where(~F.col("name").isin(*state.FEATURES)).groupBy("loan_id", "name")
+        both = dynamic.union(last.agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")))
+    return both.groupBy("loan_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("features"))
 
 
 def base_values(features: DataFrame, key: str = "borrower_id") -> DataFrame:
@@ -72,15 +102,15 @@ def score_array(scorer: LinearHazard, values: Column) -> Column:
     return scorer.logit({name: at(name) for name in scorer.coefficients})
 
 
-def score_states(states: DataFrame, scorer: LinearHazard) -> DataFrame:
-    """PD and grade before and after each event."""
+def score_states(states: DataFrame, scorer: LinearHazard, *kept: str) -> DataFrame:
+    """PD and grade before and after each event, and the columns `kept`."""
     logits = states.select(
-        "event_id", "ts", "loan_id", "type",
+        "event_id", "ts", "loan_id", "type", *kept,
         score_array(scorer, F.col("before")).alias("_b"),
         score_array(scorer, F.col("after")).alias("_a"),
     )
     probabilities = logits.select(
-        "event_id", "ts", "loan_id", "type",
+        "event_id", "ts", "loan_id", "type", *kept,
         scorer.cumulative(F.col("_b")).alias("pre_pd"),
         scorer.cumulative(F.col("_a")).alias("post_pd"),
     )

@@ -1,10 +1,10 @@
-"""Live re-scoring: parse, dedupe, update keyed features, score before and after, two sinks."""
+"""Live re-scoring: parse, drop repeats and update features in keyed state, score before and after, several sinks."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,59 +15,94 @@ from emberline.functions.scorer import LinearHazard
 from emberline.sources.events import parse_events
 from emberline.streaming import replay, state
 
-OUTPUT = "event_id string, ts timestamp, loan_id bigint, type string, before array<double>, after array<double>"
-
-
-def dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each event_id once; ids are forgotten after the watermark delay."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+OUTPUT = (
+    "event_id string, ts timestamp, loan_id bigint, type string, before array<double>, after array<double>, "
+    "named map<string,double>, problem string"
+)
+#: A loan's values, the hashes of the event ids that it has seen, and its features outside the dynamic ones.
+HELD = "x array<double>, seen array<bigint>, named map<string,double>"
 
 
 def update_loan(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one loan's new events, in (ts, event_id) order, into its held feature values.
+    """Fold one loan's new events, in (ts, event_id) order, into its held values.
 
-    A loan brings at most what the source admits per micro-batch; the state is one array.
+    An event whose id the loan has seen is a repeat and is left out, however late; a late event is applied when it
+    comes. Events of a loan without offline features are given back with a problem. Rows come a batch at a time.
     """
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-    x = np.asarray(held.get[0] if held.exists else rows["base"].iloc[0], dtype=float)
-    before, after = [], []
-    for row in rows.itertuples(index=False):
-        before.append(x)
-        x = state.apply_effect(x, *state.effect_of(row))
-        after.append(x)
-    held.update((x.tolist(),))
-    yield rows[["event_id", "ts", "loan_id", "type"]].assign(
-        before=[b.tolist() for b in before], after=[a.tolist() for a in after]
-    )
+    x, seen, named = held.get if held.exists else (None, [], {})
+    seen, named = set(seen), dict(named or {})
+    for batch in batches:
+        rows = batch.sort_values(["ts", "event_id"]).drop_duplicates("event_id")
+        rows = rows[~rows["id_hash"].isin(seen)]
+        if not len(rows):
+            continue
+        out = rows[["event_id", "ts", "loan_id", "type"]]
+        base = x if x is not None else rows["base"].iloc[0]
+        if base is None:
+            nothing = [None] * len(rows)
+            yield out.assign(before=nothing, after=nothing, named=nothing, problem="unknown_loan")
+            continue
+        start = rows.assign(start=[base] * len(rows))
+        _, before, after = next(state.walked(iter([start]), ["loan_id"], "start"))
+        shown = []
+        for updates in rows["feature_updates"]:
+            named = {**named, **{n: v for n, v in dict(updates or {}).items() if n not in state.FEATURES}}
+            shown.append(named)
+        x = after[-1].tolist()
+        seen.update(rows["id_hash"].tolist())
+        yield out.assign(before=before.tolist(), after=after.tolist(), named=shown, problem=None)
+    if x is not None:
+        held.update((x, sorted(seen), named))
 
 
 def rescore_stream(events: DataFrame, features: DataFrame, scorer: LinearHazard, key: str = "borrower_id") -> DataFrame:
-    """Stream of (event, pre and post PD and grade). `features` is the static offline table."""
+    """Stream of events with values and grades before and after. `features` is the static offline table."""
     effect = state.event_effect(F.col("type"), F.col("feature_updates"))
     rows = (
-        events.join(replay.base_values(features, key), "loan_id")
-        .select("event_id", "ts", "loan_id", "type", "base", effect.alias("e"))
-        .select("event_id", "ts", "loan_id", "type", "base", "e.scale", "e.shift", "e.cap")
-    )
-    states = rows.groupBy("loan_id").applyInPandasWithState(
-        update_loan, OUTPUT, "x array<double>", "append", GroupStateTimeout.NoTimeout
+        events.join(replay.base_values(features, key), "loan_id", "left")
+        .withColumn("e", effect)
+        .select("event_id", "ts", "loan_id", "type", "base", "feature_updates", F.xxhash64("event_id").alias("id_hash"), "e.scale", "e.shift", "e.cap")
     )
-    return replay.score_states(states, scorer)
+    states = rows.groupBy("loan_id").applyInPandasWithState(update_loan, OUTPUT, HELD, "append", GroupStateTimeout.NoTimeout)
+    return replay.score_states(states, scorer, "after", "named", "problem")
 
 
-def write_once(df: DataFrame, path: str, batch_id: int) -> None:
+def write_once(df: DataFrame, path: str, run: str, batch_id: int) -> None:
     """Rows of a micro-batch under its own folder, so a repeated batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
-def two_sink_fanout(rescored: DataFrame, timeline_path: str, alerts_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Every re-score goes to the timeline, grade moves also to the alerts."""
+def online_row(rescored: DataFrame) -> DataFrame:
+    """(loan_id, features, updated_at) after each loan's newest event: what the next lookup must read."""
+    newest = rescored.groupBy("loan_id").agg(F.max_by(F.struct("after", "named", "ts"), F.struct("ts", "event_id")).alias("r"))
+    names = F.array(*map(F.lit, state.FEATURES))
+    dynamic = F.map_filter(F.map_from_arrays(names, "r.after"), lambda _, v: ~F.isnan(v))
+    whole = F.map_concat(dynamic, F.coalesce("r.named", F.create_map().cast("map<string,double>")))
+    return newest.select("loan_id", whole.alias("features"), F.col("r.ts").alias("updated_at"))
+
+
+def two_sink_fanout(
+    rescored: DataFrame, timeline_path: str, alerts_path: str, checkpoint: str, once: bool = True,
+    online_path: str | None = None, quarantine_path: str | None = None,
+) -> StreamingQuery:
+    """Every re-score goes to the timeline, grade moves also to the alerts.
+
+    Optional sinks: the online rows, and the events that could not be scored. A run has a folder of its own in each,
+    so a new checkpoint never overwrites what an earlier one wrote.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            write_once(replay.risk_timeline(held), timeline_path, batch_id)
-            write_once(replay.alerts(held), alerts_path, batch_id)
+            good = held.where(F.col("problem").isNull())
+            write_once(replay.risk_timeline(good), timeline_path, run, batch_id)
+            write_once(replay.alerts(good), alerts_path, run, batch_id)
+            if online_path:
+                write_once(online_row(good), online_path, run, batch_id)
+            if quarantine_path:
+                refused = held.where(F.col("problem").isNotNull())
+                write_once(refused.select(F.to_json(F.struct("event_id", "ts", "loan_id", "type")).alias("value"), "problem"), quarantine_path, run, batch_id)
         finally:
             held.unpersist()
 
@@ -83,10 +118,13 @@ def quarantine_sink(rejected: DataFrame, path: str, checkpoint: str, once: bool
 def start_rescoring(
     raw: DataFrame, features: DataFrame, scorer: LinearHazard, folder: str, key: str = "borrower_id", once: bool = True
 ) -> list[StreamingQuery]:
-    """The whole job on a raw event source: quarantine, re-scores and alerts under `folder`."""
+    """The whole job on a raw event source: quarantine, re-scores, alerts, online rows and refused events under `folder`."""
     good, rejected = parse_events(raw)
-    rescored = rescore_stream(dedupe_events(good), features, scorer, key)
+    rescored = rescore_stream(good, features, scorer, key)
     return [
         quarantine_sink(rejected, f"{folder}/quarantine", f"{folder}/_checkpoints/quarantine", once),
-        two_sink_fanout(rescored, f"{folder}/timeline", f"{folder}/alerts", f"{folder}/_checkpoints/rescore", once),
-    ]
+        two_sink_fanout(
+            rescored, f"{folder}/timeline", f"{folder}/alerts", f"{folder}/_checkpoints/rescore", once,
+            f"{folder}/online", f"{folder}/refused",
+        ),
+    ]

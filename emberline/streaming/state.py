@@ -48,16 +48,20 @@ def event_effect(kind: Column, updates: Column | None = None) -> Column:
     return F.struct(*[F.array(*[c[i] for c in columns]).alias(n) for i, n in enumerate(("scale", "shift", "cap"))])
 
 
+Effects = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 def apply_effect(x: np.ndarray, scale: np.ndarray, shift: np.ndarray, cap: np.ndarray) -> np.ndarray:
-    """New values; a missing late rate counts as 0 once an event touches it, other missing ones stay."""
-    if np.isnan(x[LATE]) and (scale[LATE] != 1.0 or shift[LATE] != 0.0):
+    """New values, of one row or of many; a missing late rate counts as 0 once touched, other missing ones stay."""
+    touched = np.isnan(x[..., LATE]) & ((scale[..., LATE] != 1.0) | (shift[..., LATE] != 0.0))
+    if touched.any():
         x = x.copy()
-        x[LATE] = 0.0
+        x[..., LATE] = np.where(touched, 0.0, x[..., LATE])
     with np.errstate(invalid="ignore"):
         return np.minimum(cap, np.where(scale == 0.0, shift, scale * x + shift))
 
 
-def compose(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+def compose(first: Effects, then: Effects) -> Effects:
     """The effect of `first` followed by `then`."""
     (a1, b1, c1), (a2, b2, c2) = first, then
     with np.errstate(invalid="ignore"):
@@ -66,52 +70,76 @@ def compose(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tupl
     return a1 * a2, shift, cap
 
 
-def effect_of(row) -> tuple[np.ndarray, ...]:
-    return tuple(np.asarray(v, dtype=float) for v in (row.scale, row.shift, row.cap))
+def scan(effects: Effects, place: np.ndarray) -> Effects:
+    """Running composition inside each run, in log2(longest run) steps; `place` counts from 0 within the run."""
+    step = 1
+    while (reached := place >= step).any():
+        earlier = np.flatnonzero(reached) - step
+        made = compose(tuple(e[earlier] for e in effects), tuple(e[reached] for e in effects))
+        effects = tuple(e.copy() for e in effects)
+        for whole, part in zip(effects, made, strict=True):
+            whole[reached] = part
+        step *= 2
+    return effects
+
+
+def effects_of(batch: pd.DataFrame) -> Effects:
+    return tuple(np.stack(batch[c].to_list()).astype(float) for c in ("scale", "shift", "cap"))
+
+
+def runs_of(batch: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted rows: where each run of equal keys starts, and each row's place in its run."""
+    values = batch[keys].to_numpy()
+    starts = np.flatnonzero(np.append(True, (values[1:] != values[:-1]).any(axis=1)))
+    lengths = np.diff(np.append(starts, len(batch)))
+    return starts, np.arange(len(batch)) - np.repeat(starts, lengths)
 
 
 def compose_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (loan_id, chunk, order) → one composed effect per (loan_id, chunk).
 
-    Only the current run is held, however long it is.
+    Of a run that the next batch may continue, only the composed effect is held.
     """
-    key, effect = None, None
+    columns = ["loan_id", "chunk", "scale", "shift", "cap"]
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch[columns] if held is None else pd.concat([held, batch[columns]], ignore_index=True)
+        starts, place = runs_of(rows, ["loan_id", "chunk"])
+        ends = np.append(starts[1:], len(rows)) - 1
+        done = rows[["loan_id", "chunk"]].iloc[ends].reset_index(drop=True)
+        done = done.assign(**{c: list(e[ends]) for c, e in zip(columns[2:], scan(effects_of(rows), place), strict=True)})
+        held = done.tail(1)
+        yield done.iloc[:-1]
+    if held is not None:
+        yield held
+
+
+def walked(batches: Iterator[pd.DataFrame], keys: list[str], start: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows sorted by keys and order, with their run's start → each batch with values before and after its rows."""
+    last, x = None, None
     for batch in batches:
-        done = []
-        for row in batch.itertuples(index=False):
-            if (row.loan_id, row.chunk) != key:
-                if key is not None:
-                    done.append((*key, *effect))
-                key, effect = (row.loan_id, row.chunk), effect_of(row)
-            else:
-                effect = compose(effect, effect_of(row))
-        yield pd.DataFrame(done, columns=["loan_id", "chunk", "scale", "shift", "cap"])
-    if key is not None:
-        yield pd.DataFrame([(*key, *effect)], columns=["loan_id", "chunk", "scale", "shift", "cap"])
+        if not len(batch):
+            continue
+        starts, place = runs_of(batch, keys)
+        begun = np.stack(batch[start].iloc[starts].to_list()).astype(float)
+        if last == tuple(batch[keys].iloc[0]):
+            begun[0] = x
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(batch))))
+        after = apply_effect(begun[run], *scan(effects_of(batch), place))
+        before = np.where((place == 0)[:, None], begun[run], np.roll(after, 1, axis=0))
+        last, x = tuple(batch[keys].iloc[-1]), after[-1]
+        yield batch, before, after
 
 
 def start_of_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Composed runs sorted by (loan_id, chunk), with the loan's base values → values each run starts from."""
-    loan, x = None, None
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.loan_id != loan:
-                loan, x = row.loan_id, np.asarray(row.base, dtype=float)
-            out.append((row.loan_id, row.chunk, x))
-            x = apply_effect(x, *effect_of(row))
-        yield pd.DataFrame(out, columns=["loan_id", "chunk", "start"])
+    for batch, before, _ in walked(batches, ["loan_id"], "base"):
+        yield batch[["loan_id", "chunk"]].assign(start=list(before))
 
 
 def states_of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Events sorted by (loan_id, chunk, order), with their run's start → values before and after each."""
-    key, x = None, None
-    for batch in batches:
-        before, after = [], []
-        for row in batch.itertuples(index=False):
-            if (row.loan_id, row.chunk) != key:
-                key, x = (row.loan_id, row.chunk), np.asarray(row.start, dtype=float)
-            before.append(x)
-            x = apply_effect(x, *effect_of(row))
-            after.append(x)
-        yield batch[["event_id", "ts", "loan_id", "type"]].assign(before=before, after=after)
+    for batch, before, after in walked(batches, ["loan_id", "chunk"], "start"):
+        yield batch[["event_id", "ts", "loan_id", "type"]].assign(before=list(before), after=list(after))

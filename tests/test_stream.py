@@ -156,3 +156,47 @@ def test_stamping_and_sink(spark):
     good, bad = ev.parse_events(spark.read.text(folder))
     got = {r["loan_id"]: r for r in good.collect()}
     assert bad.count() == 0 and got[6]["event_id"] == "kept" and got[5]["event_id"] and got[5]["ts"] is not None
+
+
+def events_frame(spark, rows):
+    df = spark.createDataFrame(rows, "event_id string, ts string, loan_id long, type string, feature_updates map<string,double>")
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_batch_applies_repeats_once_and_refuses_unknown_loans(spark):
+    base_rows = features(spark, [1, 2])
+    rows = [("a", "2024-01-01 00:00:00", 1, "repayment", None)] * 3 + [("b", "2024-01-01 01:00:00", 99, "repayment", None)]
+    df = events_frame(spark, rows + [("c", "2024-01-01 02:00:00", 1, "gst_filing", {"margin": 0.5})])
+    got = replay.replay_states(df, base_rows).collect()
+    assert sorted(r["event_id"] for r in got) == ["a", "c"]
+    assert {r["event_id"]: r["after"] for r in got}["a"][state.LATE] == pytest.approx(0.008)
+    refused = replay.unknown_loans(df, base_rows).collect()
+    assert [(r["event_id"], r["problem"]) for r in refused] == [("b", "unknown_loan")]
+    online = {r["loan_id"]: r["features"] for r in replay.online_rows(df, base_rows).collect()}
+    assert online.keys() == {1} and online[1]["margin"] == 0.5 and online[1]["prior_late_rate"] == pytest.approx(0.008)
+
+
+def test_stream_keeps_late_unknown_and_foreign_features(spark):
+    base_rows = features(spark, [1, 2]).persist()
+    source, target = tempfile.mkdtemp(prefix="emberline-in-"), tempfile.mkdtemp(prefix="emberline-out-")
+
+    def record(name, ts, loan, updates=None):
+        return {"event_id": name, "ts": ts, "loan_id": loan, "type": "repayment", "feature_updates": updates}
+
+    parts = [
+        [record("new", "2024-01-09T00:00:00Z", 1, {"margin": 0.25}), record("gone", "2024-01-09T00:00:00Z", 77)],
+        [record("late", "2024-01-02T00:00:00Z", 1), record("new", "2024-01-09T00:00:00Z", 1, {"margin": 0.25})],
+    ]
+    for i, part in enumerate(parts):
+        with open(f"{source}/{i}.txt", "w") as f:
+            f.writelines(json.dumps(e) + "\n" for e in part)
+        for query in rescore.start_rescoring(ev.event_source(spark, source), base_rows, DEMO_SCORER, target):
+            query.awaitTermination(240)
+            assert query.exception() is None
+    timeline = sorted(r["event_id"] for r in spark.read.parquet(f"{target}/timeline").collect())
+    assert timeline == ["late", "new"]
+    refused = spark.read.parquet(f"{target}/refused").collect()
+    assert [(json.loads(r["value"])["event_id"], r["problem"]) for r in refused] == [("gone", "unknown_loan")]
+    newest = spark.read.parquet(f"{target}/online").orderBy(F.desc("batch_id")).first()
+    assert newest["loan_id"] == 1 and newest["features"]["margin"] == 0.25
+    assert newest["features"]["prior_late_rate"] == pytest.approx(0.01 * 0.8)
