@@ -127,10 +127,12 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def text_nodes(rows: DataFrame) -> DataFrame:
     """A node for each text: copies, the least doc_id, and how many rows have that doc_id."""
-    by_id = rows.where(F.col("key_a").isNotNull()).groupBy("key_a", "key_b", "doc_id")
-    by_id = by_id.agg(F.count(F.lit(1)).alias("rows"), F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
+    keys, some = ["key_a", "key_b"], rows.where(F.col("key_a").isNotNull())
+    by_id = some.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rows")).alias("least")
-    nodes = by_id.groupBy("key_a", "key_b").agg(F.sum("rows").alias("copies"), least, F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
+    named = by_id.groupBy(*keys).agg(F.sum("rows").alias("copies"), least)
+    # Tokens are exchanged once, after copies have been combined.
+    nodes = some.groupBy(*keys).agg(F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens")).join(named, keys)
     return nodes.select(
         F.monotonically_increasing_id().alias("node"),
         "key_a", "key_b", "copies", "shingles", "tokens",
