@@ -259,7 +259,8 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFra
 
     keyed = docs.select("doc_id", *text_keys(), "text")
     named = keyed["doc_id"].eqNullSafe(members["first_doc"])
-    texts = keyed.join(members, (keyed["key_a"] == members["key_a"]) & (keyed["key_b"] == members["key_b"]) & named)
+    # Merged at any size: candidates grow with the table, so they are never broadcast and the plan stays one.
+    texts = keyed.join(members.hint("merge"), (keyed["key_a"] == members["key_a"]) & (keyed["key_b"] == members["key_b"]) & named)
 
     def make():  # noqa: ANN202
         shingler = Shingler()
