@@ -62,7 +62,7 @@ def summed_counts(frame: DataFrame, count: Callable[[Iterable[pd.DataFrame]], np
             some = cells[at : at + 50_000]
             yield pd.DataFrame({"cell": some.astype(np.int64), "n": flat[some].astype(np.int64)})
 
-    cells = frame.mapInPandas(batches, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = frame.mapInPandas(batches, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(int(np.prod(shape)), dtype=np.int64)
-    total[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=np.int64)
+    total[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return total.reshape(shape)
