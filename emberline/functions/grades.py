@@ -117,9 +117,9 @@ def ews_next(state: Column, pd: Column, indicator: Column, days_past_due: Column
     )
 
 
-def ews_fold(observations: Column) -> Column:
-    """State after each of an ordered array of (pd, indicator, days_past_due)."""
-    start = F.array(F.lit(K.EWS_STATES[0]))
+def ews_fold(observations: Column, first: Column | str = K.EWS_STATES[0]) -> Column:
+    """State after each of an ordered array of (pd, indicator, days_past_due), from the state `first`."""
+    start = F.array(F.lit(first) if isinstance(first, str) else first)
     states = F.aggregate(
         observations,
         start,

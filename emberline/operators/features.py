@@ -163,15 +163,12 @@ def segment_counts(segmented: DataFrame, dimensions: Sequence[str]) -> DataFrame
     )
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:
-    """Sorted distinct values per column, for one-hot columns; refuses high-cardinality columns."""
+def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per column. Each becomes a column of its own where wide one-hot columns are asked for."""
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
     )
-    rows = df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
-    found = rows.limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} categories; one-hot columns are for small domains")
+    found = df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct().collect()
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for row in found:
         levels[row["c"]].append(row["v"])

@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,8 @@ def move_alias(spark: SparkSession, path: str, model: str, alias: str, run_id: s
     """Register the run as the model's next version and point the alias at it."""
     try:
         last = spark.read.schema(ALIAS_SCHEMA).parquet(path).where(F.col("model") == model).agg(F.max("version")).first()[0]
-    except Exception as error:  # only a table that does not exist yet is expected here
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # only a table that does not exist yet is expected here
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         last = None
     version = (last or 0) + 1
@@ -92,8 +93,8 @@ def move_alias(spark: SparkSession, path: str, model: str, alias: str, run_id: s
 
 
 def alias_runs(aliases: DataFrame, runs: DataFrame) -> DataFrame:
-    """The run behind each (model, alias): the highest version wins."""
-    newest = aliases.groupBy("model", "alias").agg(F.max_by("run_id", "version").alias("run_id"), F.max("version").alias("version"))
+    """The run behind each (model, alias): the highest version wins, then the latest move."""
+    newest = aliases.groupBy("model", "alias").agg(F.max_by("run_id", F.struct("version", "moved_at", "run_id") if "moved_at" in aliases.columns else F.struct("version", "run_id")).alias("run_id"), F.max("version").alias("version"))
     return newest.join(runs, "run_id")
 
 
@@ -106,13 +107,6 @@ def production_metrics(aliases: DataFrame, runs: DataFrame, model: str) -> DataF
 def gate_decision(challenger_auc: Column, production_auc: Column) -> Column:
     """Promote on rounded AUC at least as good: (promoted, reason)."""
     promoted = challenger_auc >= production_auc
-    won = F.format_string(
-        "PROMOTED: challenger AUC %.4f >= production AUC %.4f on the same OOT test window.", challenger_auc, production_auc
-    )
-    held = F.format_string(
-        "HELD: challenger AUC %.4f < production AUC %.4f on the same OOT test window — a worse model is never "
-        "auto-promoted; flagged for manual review.",
-        challenger_auc,
-        production_auc,
-    )
+    won = F.format_string("PROMOTED: AUC %.4f against %.4f in production, same test window.", challenger_auc, production_auc)
+    held = F.format_string("HELD: AUC %.4f against %.4f in production, same test window; a person decides.", challenger_auc, production_auc)
     return F.struct(promoted.alias("promoted"), F.when(promoted, won).otherwise(held).alias("reason"))

@@ -229,7 +229,7 @@ def retrain_and_gate(
     table = evaluate(scored, label, models)
     challenger, production = table["challenger"], table.get("production")
     if production is None:
-        promoted, reason = True, "PROMOTED: no production model exists yet."
+        promoted, reason = True, "PROMOTED: there is no production model."
     else:
         verdict = spark.range(1).select(
             jr.gate_decision(F.lit(challenger["auc_roc"]), F.lit(production["auc_roc"])).alias("g")

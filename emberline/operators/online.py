@@ -17,11 +17,12 @@ def slice_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def slice_by_sector(df: DataFrame, sector: str, column: str = "sector_segment") -> DataFrame:
-    """The sector's rows; an unknown sector is an error naming the known ones."""
-    known = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1000).collect())
-    if sector not in known:
-        raise ValueError(f"unknown sector {sector!r}; known: {known}")
-    return df.where(F.col(column) == sector)
+    """The sector's rows; a sector without rows is an error that names some that have rows."""
+    found = df.where(F.col(column) == sector)
+    if found.isEmpty():
+        names = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(column).limit(20)
+        raise ValueError(f"unknown sector {sector!r}; known, among others: {[r[0] for r in names.collect()]}")
+    return found
 
 
 def materialize(

@@ -1,8 +1,9 @@
 """Order statistics that never sort a whole table, or one hot key, in a single task.
 
-Rows are put into monotone buckets computed from the value alone (so every consumer, and every
-retried task, sees the same bucket). Work inside a bucket is an ordinary window; what crosses
-buckets is a small table of bucket totals whose size is bounded by the number of buckets.
+Rows are put into ranges of the order column whose ends Spark samples from the data, so ids, timestamps, strings and
+amounts in a narrow band are spread alike. The ranged rows are written once: every consumer, and every retried task,
+sees the same ranges. Work inside a range is an ordinary window; what crosses ranges is a small table of their totals,
+with as many rows as there are shuffle partitions for each group.
 """
 
 from __future__ import annotations
@@ -15,34 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 4096
-
-
-def value_bucket(value: Column, steps: int = STEPS_PER_OCTAVE) -> Column:
-    """Monotone bucket number of a double: its logarithm in fixed steps, mirrored below zero.
-
-    Needs no statistics of the data. A double spans some 2100 octaves, real columns a few dozen, so
-    the number of buckets is bounded whatever the number of rows.
-    """
-    v = value.cast("double")
-    # The shift keeps the magnitude part positive for the smallest doubles too.
-    magnitude = F.floor((F.log2(F.abs(v)) + 1100.0) * F.lit(float(steps)))
-    signed = F.when(v == 0, F.lit(0)).when(v > 0, magnitude).otherwise(-magnitude).cast("long")
-    # Never null: else a join on the bucket adds a null filter below one of its sides only, and the
-    # two sides no longer share one exchange of the aggregated rows.
-    return F.coalesce(signed, F.lit(0).cast("long"))
-
+from emberline.session import settle
 
 def running_totals(
     df: DataFrame, order: str, measures: Sequence[str], groups: Sequence[str] = (), descending: bool = False
 ) -> DataFrame:
     """Add, for each measure, `cum_<m>` (inclusive, in value order) and `total_<m>` of the group.
 
-    Rows with equal order values must have been aggregated into one before. Rows are exchanged once,
-    on (groups, bucket); the table of bucket totals is joined on that same key.
+    Rows with equal order values must have been aggregated into one before. Any type that sorts will do.
     """
-    signed = -F.col(order) if descending else F.col(order)
-    bucketed = df.withColumns({"_order": signed, "_bucket": value_bucket(signed)})
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    bucketed = settle(df.repartitionByRange(*groups, by).withColumn("_bucket", F.spark_partition_id()))
     keys = [*groups, "_bucket"]
     totals = bucketed.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     scope = W.partitionBy(*(groups or [F.lit(0)]))
@@ -52,7 +36,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_t_{m}").over(scope).alias(f"total_{m}") for m in measures],
     )
-    inside = W.partitionBy(*keys).orderBy("_order").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, 0)
     local = bucketed.select("*", *[F.sum(m).over(inside).alias(f"_c_{m}") for m in measures])
     return local.join(offsets, keys).select(
         *df.columns,

@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
-from emberline.functions.grades import expected_loss, high_risk_flag
+from emberline.functions.grades import ews_fold, expected_loss, high_risk_flag
 from emberline.functions.scalar import evaluable
+from emberline.operators.ordered import numbered_within
+from emberline.session import settle
 
 
 def grade_dimension(spark: SparkSession) -> DataFrame:
@@ -110,3 +112,23 @@ def fairness_audit(book: DataFrame, dimensions: Sequence[str] = K.SEGMENT_COLUMN
 
 def fairness_flags(audit: DataFrame, threshold: float = K.DISPARITY_FLAG) -> DataFrame:
     return audit.where(F.col("disparity_ratio") > threshold)
+
+
+def ews_history(observed: DataFrame, key: str, order: str, chunk: int = 64) -> DataFrame:
+    """(key, m, state): the early-warning state after every observation (pd, indicator, days_past_due), in order.
+
+    A loan's observations are numbered and cut into chunks. What a chunk does to each of the five states is found on
+    its own; chunks are then chained, and each is walked from the state it starts in. `order` is a whole number.
+    """
+    numbered = numbered_within(observed.withColumn("_era", F.floor(F.col(order) / chunk)), [key], "_era", [order], "m")
+    entry = F.struct("m", "pd", "indicator", "days_past_due")
+    chunks = settle(numbered.groupBy(key, "_era").agg(F.array_sort(F.collect_list(entry)).alias("o")))
+    ends = F.create_map(*[x for s in K.EWS_STATES for x in (F.lit(s), F.element_at(ews_fold(F.col("o"), s), -1))])
+    era = F.struct(F.col("_era").alias("era"), F.map_entries(ends).alias("ends"))
+    chained = chunks.groupBy(key).agg(F.array_sort(F.collect_list(era)).alias("eras"))
+    first = F.array(F.lit(K.EWS_STATES[0]))
+    moves = F.aggregate("eras", first, lambda acc, c: F.concat(acc, F.array(F.map_from_entries(c["ends"])[F.element_at(acc, -1)])))
+    starts = chained.select(key, F.explode(F.arrays_zip(F.col("eras.era").alias("era"), F.slice(moves, 1, F.size("eras")).alias("state"))).alias("s"))
+    begun = chunks.join(starts.select(key, F.col("s.era").alias("_era"), F.col("s.state").alias("_start")), [key, "_era"])
+    walked = F.arrays_zip(F.col("o.m").alias("m"), ews_fold(F.col("o"), F.col("_start")).alias("state"))
+    return begun.select(key, F.explode(walked).alias("w")).select(key, "w.m", "w.state")

@@ -72,10 +72,9 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("alert_message", replay_sql(
-    "SELECT event_id, type || ' moved loan ' || loan_id || ' from grade ' || pre_grade || ' to ' || post_grade AS start FROM rescored WHERE pre_grade <> post_grade"))
+    "SELECT event_id, printf('%s moved loan %d from grade %s to %s (PD %.4f -> %.4f)', type, loan_id, pre_grade, post_grade, pre_pd, post_pd) AS message FROM rescored WHERE pre_grade <> post_grade"))
 def alert_message(spark: SparkSession, d: str) -> DataFrame:
-    rows = replay.alerts(rescored(spark, d))
-    return rows.select("event_id", F.regexp_extract("message", r"^(.*) \(PD \d\.\d{4} -> \d\.\d{4}\)$", 1).alias("start"))
+    return replay.alerts(rescored(spark, d)).select("event_id", "message")
 
 
 @query("risk_timeline", replay_sql("SELECT event_id, loan_id, round(post_pd, 6) AS pd, post_grade AS risk_grade FROM rescored"))
@@ -257,14 +256,15 @@ def explanation_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("gate_reason", sql(
-    """SELECT loan_type_segment, promoted, CASE WHEN promoted THEN 'PROMOTED' ELSE 'HELD' END AS verdict FROM (
-      SELECT loan_type_segment, round(avg(pd), 4) >= round(avg(late_installment_rate), 4) AS promoted FROM book GROUP BY 1) g""", "book"))
+    """SELECT loan_type_segment, c >= p AS promoted, CASE WHEN c >= p THEN printf('PROMOTED: AUC %.4f against %.4f in production, same test window.', c, p)
+      ELSE printf('HELD: AUC %.4f against %.4f in production, same test window; a person decides.', c, p) END AS reason FROM (
+      SELECT loan_type_segment, round(avg(pd), 4) AS c, round(avg(late_installment_rate), 4) AS p FROM book GROUP BY 1) g""", "book"))
 def gate_reason(spark: SparkSession, d: str) -> DataFrame:
     arms = frames.scored_book(spark, d).groupBy("loan_type_segment").agg(
         F.round(F.avg("pd"), 4).alias("challenger"), F.round(F.avg("late_installment_rate"), 4).alias("production")
     )
     decided = arms.withColumn("g", jr.gate_decision(F.col("challenger"), F.col("production")))
-    return decided.select("loan_type_segment", "g.promoted", F.regexp_extract("g.reason", "^([A-Z]+):", 1).alias("verdict"))
+    return decided.select("loan_type_segment", "g.promoted", "g.reason")
 
 
 @query("run_log", """SELECT p_brand AS model, version, run_id, metric, value FROM (

@@ -262,16 +262,13 @@ def driver_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 NARRATIVE_SQL = """
-SELECT b.borrower_id, printf('This account is graded %s with a calibrated 12-month default probability of %.1f%%. ', risk_grade, pd * 100)
-  || lead || ' Also contributing: ' || rest
-  || '. Taken together, these drivers determine the account''s position on the unified risk-grade scale and the mapped monitoring action.' AS narrative
+SELECT b.borrower_id, printf('Grade %s: %.1f%% chance of default within 12 months. First comes ', risk_grade, pd * 100)
+  || lead || '. Then: ' || rest || '.' AS narrative
 FROM book b JOIN (
-  SELECT borrower_id,
-    max(CASE WHEN r = 1 THEN 'The largest driver is ' || lower(label) || CASE WHEN value IS NULL THEN '' ELSE ' (value ' || printf('%g', value) || ')' END
-      || ', which ' || direction || ' with a SHAP contribution of ' || printf('%+g', shap + 0.0) || '.' END) AS lead,
-    string_agg(CASE WHEN r > 1 THEN lower(label) || CASE WHEN value IS NULL THEN '' ELSE ' at ' || printf('%g', value) END
-      || ' (' || direction || ', SHAP ' || printf('%+g', shap + 0.0) || ')' END, '; ' ORDER BY r) AS rest
-  FROM (SELECT *, CASE WHEN up THEN 'increases risk' ELSE 'decreases risk' END AS direction FROM drv) d GROUP BY 1) t ON t.borrower_id = b.borrower_id
+  SELECT borrower_id, max(told) FILTER (r = 1) AS lead, string_agg(told, '; ' ORDER BY r) FILTER (r > 1) AS rest
+  FROM (SELECT *, lower(label) || CASE WHEN value IS NULL THEN '' ELSE ' = ' || printf('%g', value) END || ' '
+      || CASE WHEN up THEN 'increases risk' ELSE 'decreases risk' END || ' by ' || printf('%+g', shap + 0.0) AS told FROM drv) d
+  GROUP BY 1) t ON t.borrower_id = b.borrower_id
 """
 
 
@@ -348,17 +345,16 @@ def counterfactual_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("find_counterfactual", sql(
     """SELECT b.borrower_id, feature, round(current, 4) AS current_value, round(value, 4) AS suggested_value, round(new_pd, 5) AS new_pd, new_grade,
-      CASE WHEN b.risk_grade = 'A' THEN 'already at the best grade (A)'
-        WHEN b.borrower_id NOT IN (SELECT borrower_id FROM cands) THEN 'no actionable risk-increasing numeric feature among the top SHAP drivers'
-        WHEN feature IS NULL THEN 'no single-feature move' END AS reason
+      CASE WHEN b.risk_grade = 'A' THEN 'grade A has no better one'
+        WHEN b.borrower_id NOT IN (SELECT borrower_id FROM cands) THEN 'none of the main drivers is a lever'
+        WHEN feature IS NULL THEN printf('one lever alone does not lift grade %s to %s (PD %.3f)', b.risk_grade, chr(ascii(b.risk_grade) - 1), b.pd) END AS reason
     FROM book b LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY borrower_id ORDER BY frac, c) AS q FROM outcomes WHERE new_grade < risk_grade) x WHERE q = 1) o
       ON b.borrower_id = o.borrower_id""", "outcomes"))
 def find_counterfactual(spark: SparkSession, d: str) -> DataFrame:
     rows = with_drivers(spark, d)
     found = ex.counterfactual(DEMO_SCORER, F.col("drivers"), F.col("logit"), F.col("pd"), F.col("risk_grade"))
-    reason = F.regexp_replace("c.reason", "^no single-feature move.*$", "no single-feature move")
     return rows.withColumn("c", found).select(
-        "borrower_id", "c.feature", "c.current_value", "c.suggested_value", "c.new_pd", "c.new_grade", reason.alias("reason")
+        "borrower_id", "c.feature", "c.current_value", "c.suggested_value", "c.new_pd", "c.new_grade", "c.reason"
     )
 
 
@@ -442,22 +438,19 @@ def next_state_sql(state: str) -> str:
       WHEN 'Critical' THEN CASE WHEN dpd > 90 THEN 'NPA_Stage3' ELSE 'Critical' END ELSE {state} END"""
 
 
-@query("ews_state", "WITH RECURSIVE " + sql("SELECT loan_id, m, state FROM walk WHERE m > 0", "recent").removeprefix("WITH ").replace(
+@query("ews_state", "WITH RECURSIVE " + sql("SELECT loan_id, m, state FROM walk WHERE m > 0", "recent", "book").removeprefix("WITH ").replace(
     "SELECT loan_id, m, state FROM walk WHERE m > 0",
-    f""", obs AS (SELECT borrower_id AS loan_id, instalment_no AS m, coalesce(paid_day - due_day, 100) AS dpd,
-        ((borrower_id * 31 + instalment_no * 17) % 100) / 100 AS p, (borrower_id + instalment_no) % 7 = 0 AS fired FROM recent WHERE instalment_no <= 12),
-    walk(loan_id, m, state) AS (SELECT DISTINCT loan_id, 0, 'Performing' FROM obs UNION ALL
+    f""", obs AS (SELECT r.borrower_id AS loan_id, row_number() OVER (PARTITION BY r.borrower_id ORDER BY instalment_no) AS m,
+        coalesce(paid_day - due_day, 100) AS dpd, pd AS p, coalesce(paid_day - due_day > 15, true) AS fired
+      FROM recent r JOIN (SELECT borrower_id, pd FROM book) b ON b.borrower_id = r.borrower_id),
+    walk(loan_id, m, state) AS (SELECT DISTINCT loan_id, CAST(0 AS BIGINT), 'Performing' FROM obs UNION ALL
       SELECT o.loan_id, o.m, {next_state_sql('w.state')} FROM walk w JOIN obs o ON o.loan_id = w.loan_id AND o.m = w.m + 1)
     SELECT loan_id, m, state FROM walk WHERE m > 0"""))
 def ews_state(spark: SparkSession, d: str) -> DataFrame:
-    rows = pan.keep_most_recent_loan(views.installments(spark, d)).where(F.col("instalment_no") <= K.HORIZON_MONTHS)
-    observed = F.struct(
-        F.col("instalment_no").alias("m"),
-        (((F.col("borrower_id") * 31 + F.col("instalment_no") * 17) % 100) / 100).alias("pd"),
-        ((F.col("borrower_id") + F.col("instalment_no")) % 7 == 0).alias("indicator"),
-        F.coalesce(F.col("paid_day") - F.col("due_day"), F.lit(100)).alias("days_past_due"),
+    late = F.col("paid_day") - F.col("due_day")
+    rows = pan.keep_most_recent_loan(views.installments(spark, d)).join(frames.scored_book(spark, d).select("borrower_id", "pd"), "borrower_id")
+    observed = rows.select(
+        F.col("borrower_id").alias("loan_id"), F.col("instalment_no").alias("m"), "pd",
+        F.coalesce(late > 15, F.lit(True)).alias("indicator"), F.coalesce(late, F.lit(100)).alias("days_past_due"),
     )
-    # At most twelve monthly observations per loan are gathered.
-    per_loan = rows.groupBy(F.col("borrower_id").alias("loan_id")).agg(F.array_sort(F.collect_list(observed)).alias("o"))
-    states = per_loan.select("loan_id", F.posexplode(G.ews_fold(F.col("o"))).alias("m", "state"))
-    return states.select("loan_id", (F.col("m") + 1).alias("m"), "state")
+    return port.ews_history(observed, "loan_id", "m")

@@ -327,12 +327,15 @@ def drift_report(spark: SparkSession, d: str) -> DataFrame:
 DRIFT_TEXT = """
 SELECT feature AS worst_feature, psi AS worst_psi, k > 0 AS retrain_triggered,
   CASE WHEN score_psi < 0.1 THEN 'stable' ELSE 'score_distribution_shifted' END AS calibration_status,
-  CASE WHEN k > 0 THEN 'shifted' ELSE printf('No material population shift detected: the worst feature-level PSI is %.2f on ''%s'', below the 0.2 retrain threshold. Borrowers being scored in the current window still look like the population the model was trained on.', psi, feature)
-    || CASE WHEN score_psi < 0.1 THEN ' No action needed beyond routine monthly monitoring.' ELSE ' The model''s score distribution has shifted, however — a recalibration check is recommended.' END END AS plain_language,
-  CASE WHEN k > 0 THEN 'retrain' WHEN score_psi < 0.1 THEN 'Continue routine monitoring; next retrain check runs on the scheduled monthly cycle.' ELSE 'recheck' END AS recommendation
+  CASE WHEN k > 0 THEN printf('Drift: %d of 2 watched core features moved, most of all %s with PSI %.2f (limit 0.20). A retrain is started, and its model must win the gate before it is used.', k, feature, psi)
+    ELSE printf('Stable inputs: the highest feature PSI is %.2f, on %s (limit 0.20).', psi, feature)
+    || CASE WHEN score_psi < 0.1 THEN ' Nothing to do before the next look.' ELSE ' The scores themselves moved; look at calibration.' END END AS plain_language,
+  CASE WHEN k > 0 THEN 'Retrain now, past the limit: ' || names || '.' WHEN score_psi < 0.1 THEN 'Keep to the monthly cycle.'
+    ELSE 'Check calibration: scores moved while inputs are stable.' END AS recommendation
 FROM (SELECT feature, round(psi, 4) AS psi, row_number() OVER (ORDER BY round(psi, 4) DESC, feature DESC) AS r,
     count(*) FILTER (WHERE round(psi, 4) > 0.2 AND feature IN ('o_totalprice', 'l_quantity')) OVER () AS k FROM ({0}) p WHERE feature <> 'l_discount') w,
-  (SELECT round(psi, 4) AS score_psi FROM ({0}) q WHERE feature = 'l_discount') s
+  (SELECT round(psi, 4) AS score_psi FROM ({0}) q WHERE feature = 'l_discount') s,
+  (SELECT string_agg(feature, ', ' ORDER BY feature) AS names FROM ({0}) n WHERE round(psi, 4) > 0.2 AND feature IN ('o_totalprice', 'l_quantity')) t
 WHERE r = 1
 """
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,16 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(fitted: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Evaluate a fitted table once, so that what uses it neither refits it nor guesses its size.
+def settle(df: DataFrame) -> DataFrame:
+    """Write `df` once under the checkpoint folder and go on from the files, whatever its size.
 
-    Up to `max_rows` rows it becomes a local relation, whose known size lets joins broadcast it.
-    Beyond that it is written to the checkpoint folder and joined like any other table.
+    Users neither compute it again nor guess its size; a lost executor costs a re-read.
     """
-    rows = fitted.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return fitted.sparkSession.createDataFrame(rows, fitted.schema)
-    return cut_lineage(fitted)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table_path(directory: str, name: str) -> str:

@@ -28,9 +28,9 @@ def test_template_text(spark):
     got = story(spark)
     assert got["source"] == "template" and got["verified"]
     assert got["text"].startswith(
-        "This account is graded E with a calibrated 12-month default probability of 10.4%. The largest driver is external "
-        "credit score 2 (value 0.1537), which increases risk with a SHAP contribution of +0.61234. Also contributing: "
-        "credit-to-income ratio at 5.25 (increases risk, SHAP +0.20111); late-payment rate on earlier loans (increases risk, SHAP +0.1);"
+        "Grade E: 10.4% chance of default within 12 months. First comes external credit score 2 = 0.1537 increases risk by "
+        "+0.61234. Then: credit-to-income ratio = 5.25 increases risk by +0.20111; late-payment rate on earlier loans "
+        "increases risk by +0.1;"
     )
 
 
@@ -129,7 +129,7 @@ def test_counterfactual_reasons(spark):
     # Only features nobody can move push the risk up.
     fixed = loans(spark, {"prior_late_rate": 0.0, "ext_source_2": 0.5, "credit_income_ratio": 2.0, "ext_source_1": 0.5, "annuity_income_ratio": 0.1,
                           "bureau_overdue_flag": 0, "bureau_active_count": 0, "age_years": -400.0, "employed_years": -100.0})
-    for df, text in ((best, "already at the best grade"), (fixed, "no actionable")):
+    for df, text in ((best, "grade A has"), (fixed, "none of the main")):
         c = df.select(ex.counterfactual(DEMO_SCORER, F.col("drivers"), F.col("logit"), F.col("pd"), F.col("risk_grade")).alias("c")).first()["c"]
         assert c["feature"] is None and c["reason"].startswith(text)
 

@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from emberline.operators import ordered, split
 
 
-def test_bucket_is_monotone(spark):
-    rng = random.Random(5)
-    values = sorted([rng.uniform(-1, 1) * 10 ** rng.randint(-8, 8) for _ in range(3000)] + [0.0, 1.0, -1.0])
-    rows = spark.createDataFrame([(v,) for v in values], "v double")
-    buckets = [r[0] for r in rows.orderBy("v").select(ordered.value_bucket(F.col("v"))).collect()]
-    assert buckets == sorted(buckets)
+@pytest.mark.parametrize("first", [1, 10**10, 1_700_000_000_000_000, "text"])
+def test_ranges_are_even_wherever_the_ids_lie(spark, first, monkeypatch):
+    """No range holds more than a few times its share, and string ids are ranked too."""
+    n, kept = 40_000, []
+    settle = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    ids = F.format_string("id%09d", F.col("id")) if first == "text" else F.col("id") + first
+    df = spark.range(n).select(ids.alias("v"), F.lit(1).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordered.running_totals(df, "v", ["n"]).orderBy("v").select("cum_n", "total_n").collect()
+        sizes = [r["count"] for r in kept[0].groupBy("_bucket").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r["cum_n"] for r in got] == list(range(1, n + 1)) and got[0]["total_n"] == n
+    assert len(sizes) > 2 and max(sizes) < 3 * n / len(sizes)
 
 
 @pytest.mark.parametrize("descending", [False, True])

@@ -3,6 +3,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.operators import features
 from emberline.operators import journal as jr
 from emberline.operators import metrics as met
 from emberline.operators import models as mod
@@ -205,3 +206,16 @@ def test_tree_attributions_add_up(spark):
     scored = mod.score_trees(vectors, model, "s").join(total, "borrower_id")
     worst = scored.agg(F.max(F.abs(F.col("s") - F.lit(base_mean) - F.col("c")))).first()[0]
     assert scored.count() == 400 and worst < 1e-9
+
+
+def test_every_sector_with_rows_is_known(spark):
+    rows = spark.range(3000).select(F.format_string("sector%04d", F.col("id")).alias("sector_segment"))
+    for name in ("sector0000", "sector1500", "sector2999"):
+        assert on.slice_by_sector(rows, name).count() == 1
+    with pytest.raises(ValueError, match="nowhere"):
+        on.slice_by_sector(rows, "nowhere")
+
+
+def test_more_than_a_thousand_levels(spark):
+    rows = spark.range(1500).select(F.col("id").cast("string").alias("c"))
+    assert len(features.category_levels(rows, ["c"])["c"]) == 1500
