@@ -269,7 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     characters = CharacterModel(character_counts(docs))
     shared = context.broadcast(characters)
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    # Labels grow with the table, so they are merged at any size and the plan stays one.
+    labelled = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     width = 1 << WORD_BITS
 
     def count(frames: Iterable[pd.DataFrame]) -> np.ndarray:
