@@ -82,9 +82,9 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, width: int, lo
     """The best candidates of a block for each query of a block."""
     if not len(queries) or not len(candidates):
         return pd.DataFrame({name: pd.Series(dtype=np.int64) for name in ("query_row", "query_id", "row", "vec_id", "score")})
-    q, x = matrix(queries["v"], width, np.int64), matrix(candidates["v"], width, np.int64)
+    q, x = matrix(queries["v"], width, np.int64), matrix(candidates["other_v"], width, np.int64)
     asked, near = np.stack(queries["asked"].to_list()), np.stack(candidates["near"].to_list())
-    ids, rows = candidates["vec_id"].to_numpy(), candidates["row"].to_numpy()
+    ids, rows = candidates["other_id"].to_numpy(), candidates["other_row"].to_numpy()
     square = np.einsum("ij,ij->i", q.astype(float), q.astype(float))
     found = []
     for start in range(0, len(q), TOGETHER):
@@ -131,7 +131,9 @@ def top_products(vectors: DataFrame, is_query: Column, top: int = TOP, pivots: i
     own = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = table.where(is_query).select("row", "vec_id", "v", "asked", own(query_blocks).alias("qb"), every(candidate_blocks).alias("cb"))
-    candidates = table.select("row", "vec_id", "v", "near", own(candidate_blocks).alias("cb"), every(query_blocks).alias("qb"))
+    # Columns of their own: Spark prunes both sides of a cogroup by the same attributes.
+    other = [F.col(c).alias(n) for c, n in (("row", "other_row"), ("vec_id", "other_id"), ("v", "other_v"))]
+    candidates = table.select(*other, "near", own(candidate_blocks).alias("cb"), every(query_blocks).alias("qb"))
     found = (
         queries.groupBy("qb", "cb")
         .cogroup(candidates.groupBy("qb", "cb"))
