@@ -97,3 +97,11 @@ DEMO_SCORER = LinearHazard(
     },
     month_effects=tuple(round(0.04 * (m - 6.5), 4) for m in range(1, K.HORIZON_MONTHS + 1)),
 )
+
+# A fixed point scorer for thin files: one step, so its only hazard is the probability itself.
+DEMO_THIN_SCORER = LinearHazard(
+    intercept=-2.0,
+    coefficients={"credit_income_ratio": 0.1, "annuity_income_ratio": 1.5, "ext_source_2": -2.0, "age_years": -0.02},
+    means={"credit_income_ratio": 2.0, "annuity_income_ratio": 0.1, "ext_source_2": 0.5, "age_years": 44.0},
+    month_effects=(0.0,),
+)

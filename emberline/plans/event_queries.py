@@ -250,8 +250,8 @@ def id_continuity(spark: SparkSession, d: str) -> DataFrame:
     return jr.id_continuity(views.table(spark, d, "orders"), "o_orderkey")
 
 
-@query("explanation_cache", sql("SELECT loan_id, max(record_id) AS record_id, arg_max(decision, record_id) AS decision FROM decs GROUP BY 1", "decs"))
-def explanation_cache(spark: SparkSession, d: str) -> DataFrame:
+@query("newest_decision", sql("SELECT loan_id, max(record_id) AS record_id, arg_max(decision, record_id) AS decision FROM decs GROUP BY 1", "decs"))
+def newest_decision(spark: SparkSession, d: str) -> DataFrame:
     return on.latest_per_key(decisions(spark, d).select("loan_id", "record_id", "decision"), "loan_id", ["record_id"])
 
 

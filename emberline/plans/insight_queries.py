@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from emberline.functions import constants as K
 from emberline.functions import explain as ex
 from emberline.functions import grades as G
 from emberline.functions import scalar as S
-from emberline.functions.scorer import DEMO_SCORER
+from emberline.functions.scorer import DEMO_SCORER, DEMO_THIN_SCORER
 from emberline.operators import calibrate as cal
 from emberline.operators import graph as gr
 from emberline.operators import metrics as met
@@ -19,13 +21,14 @@ from emberline.operators import stress as st
 from emberline.operators import text as tx
 from emberline.operators.features import data_richness, ratio_columns
 from emberline.operators.features import enrich_join as join_enrichment
+from emberline.operators.journal import append_log
 from emberline.operators.ordered import average_rank
 from emberline.plans import frames
 from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
 from emberline.plans.sqlscore import grade_sql, logit_sql, number, pd_sql
 from emberline.plans.sqlviews import sql, view
-from emberline.session import cut_lineage
+from emberline.session import cut_lineage, ensure_checkpoint_dir
 from emberline.sources import views
 
 # ---- graph
@@ -405,14 +408,50 @@ def stress_shock(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- the full record
 
-@query("score_record")
-def score_record(spark: SparkSession, d: str) -> DataFrame:
+def thin_logit_sql() -> str:
+    parts = [f"coalesce({number(c)} * ({n} - {number(DEMO_THIN_SCORER.means[n])}), 0)" for n, c in DEMO_THIN_SCORER.coefficients.items()]
+    return f"{number(DEMO_THIN_SCORER.intercept)} + " + " + ".join(parts)
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
     # Two fits and the report read the book; it is written once instead of being rebuilt three times.
     book = cut_lineage(frames.scored_book(spark, d))
     known = book.where(S.evaluable(F.col("event"), F.col("duration")))
     calibrators = cal.fit_calibrators(known, "loan_type_segment", "pd", "event")
     bands = cal.fit_confidence_bands(known, "loan_type_segment", "pd", "event")
-    return st.score_record(book, DEMO_SCORER, calibrators, bands)
+    return st.score_record(book, DEMO_SCORER, calibrators, bands, DEMO_THIN_SCORER)
+
+
+ROUTED = f"""routed AS (SELECT borrower_id, data_richness = 'ntc_ntb' AS thin,
+  CASE WHEN data_richness = 'ntc_ntb' THEN 1e0 / (1e0 + exp(-({thin_logit_sql()}))) ELSE pd END AS raw_pd FROM book)"""
+
+
+@query("score_record", sql("SELECT 1 AS marker", "book").replace("SELECT 1 AS marker", f""", {ROUTED}
+  SELECT borrower_id, CASE WHEN thin THEN 'thin_file' ELSE 'hazard' END AS model_used, thin AS point_estimate, round(raw_pd, 4) AS raw_pd,
+    NOT thin AS has_curve, CASE WHEN thin THEN 4 ELSE 5 END AS n_drivers, CASE WHEN thin THEN '{st.NO_LEVERS}' END AS fixed_reason FROM routed"""))
+def score_record(spark: SparkSession, d: str) -> DataFrame:
+    """Every route's own score; calibration, which has no SQL, is tested on its own."""
+    reason = F.col("counterfactual.reason")
+    return records(spark, d).select(
+        "borrower_id", "model_used", "point_estimate", F.col("raw_cum_pd_12m").alias("raw_pd"),
+        F.col("hazard_curve").isNotNull().alias("has_curve"), F.size("top_drivers").alias("n_drivers"),
+        F.when(reason == st.NO_LEVERS, reason).alias("fixed_reason"),
+    )
+
+
+@query("explanation_cache", sql("SELECT borrower_id AS loan_id, data_richness = 'ntc_ntb' AS thin, true AS told, true AS graded FROM book", "book"))
+def explanation_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Explanations come from the audit rows that scoring appended, the newest of each loan."""
+    log = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    scored = records(spark, d)
+    append_log(st.audit_rows(scored), log)
+    append_log(st.audit_rows(scored, "again").where(F.col("loan_id") % 2 == 0), log)
+    stored = st.explanations(spark.read.parquet(log))
+    return stored.select(
+        "loan_id", F.coalesce(F.col("counterfactual.reason") == st.NO_LEVERS, F.lit(False)).alias("thin"),
+        F.col("narrative.text").startswith(F.concat(F.lit("Grade "), F.col("risk_grade"))).alias("told"),
+        (G.pd_to_grade(F.col("calibrated_pd_12m")) <= "G").alias("graded"),
+    )
 
 
 @query("regulatory_lookup", sql(
