@@ -22,8 +22,11 @@ SPACES = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 1000
 
 
-def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(table_path(directory, name))
 
 
@@ -44,6 +47,7 @@ def per_batch(df: DataFrame, inputs: list[str], added: list[T.StructField], make
     `make` is called once in each task; what it returns gets a list for each input column and returns one for each
     added column. Other columns pass as Arrow data, whatever their types and nulls.
     """
+    small_batches(df.sparkSession)
     names = [f.name for f in added]
     kept = [f for f in df.schema if f.name not in names]
     types = [to_arrow_type(f.dataType) for f in added]

@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.common import small_batches
+
 _not_letters = regex.compile(r"[^\p{L}\p{M}]+")
 # Odd multipliers for the three places of a trigram.
 _PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint64)
@@ -55,6 +57,8 @@ def summed_counts(frame: DataFrame, count: Callable[[Iterable[pd.DataFrame]], np
     Each task sends the cells that are not zero; Spark adds them up before the array reaches the driver.
     """
 
+    small_batches(frame.sparkSession)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat = count(frames).ravel()
         cells = np.flatnonzero(flat)
