@@ -44,8 +44,8 @@ def oot_split(
 
 
 def deterministic_sample(df: DataFrame, id_column: str, n_train: int, n_test: int, seed: int = 42) -> DataFrame:
-    """n_train + n_test rows chosen by hash, then the lower ids for training."""
-    keyed = df.withColumn("_h", F.xxhash64(F.col(id_column), F.lit(seed)))
+    """n_train + n_test rows chosen by the md5 of seed and id, then the lower ids for training."""
+    keyed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string"))))
     sample = keyed.orderBy("_h", id_column).limit(n_train + n_test).drop("_h")
     # The window runs over the sample only, whose size is the caller's.
     position = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(id_column))

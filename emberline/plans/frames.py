@@ -10,6 +10,7 @@ from emberline.functions.grades import cumulative_pd, grade_action, pd_to_grade
 from emberline.functions.scorer import DEMO_SCORER, LinearHazard
 from emberline.operators import features as feat
 from emberline.operators import panel as pan
+from emberline.session import settle
 from emberline.sources import views
 
 
@@ -69,5 +70,5 @@ def life_table_groups(spark: SparkSession, directory: str) -> DataFrame:
     the curves and the report are built from the few that remain.
     """
     loans = observed_loans(spark, directory)
-    groups = loans.groupBy(*CELLS, *K.SEGMENT_COLUMNS, "duration", "event").agg(F.count(F.lit(1)).alias("n_loans"))
+    groups = settle(loans.groupBy(*CELLS, *K.SEGMENT_COLUMNS, "duration", "event").agg(F.count(F.lit(1)).alias("n_loans")))
     return groups.join(graded_cells(groups, "n_loans"), CELLS)

