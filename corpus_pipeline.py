@@ -16,7 +16,7 @@ from emberline.llm import bpe, jaccard, language, lines, mixing
 from emberline.llm.common import read, written
 
 #: A document is rejected where its language holds a smaller share of its letters.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 1 / 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
