@@ -9,8 +9,8 @@ from emberline.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    session = local_session(4, shuffle_partitions=4, memory="4g", checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
