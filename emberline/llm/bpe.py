@@ -28,7 +28,7 @@ from emberline.llm.common import per_batch, read
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a task remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 # Fixed values of the vocabulary's format.
 WORD_END = "</w>"
