@@ -20,10 +20,21 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Rows of a batch that goes to Python; texts may be long.
 BATCH_ROWS = 1000
+BATCH_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df` in a session of its own with small Arrow batches; the caller's session keeps its limit.
+
+    The limit is read when a frame runs, which may be long after it was made.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_LIMIT) == str(BATCH_ROWS):
+        return df
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(BATCH_LIMIT, BATCH_ROWS)
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan())
+    return DataFrame(rows, own)
 
 
 def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -47,7 +58,7 @@ def per_batch(df: DataFrame, inputs: list[str], added: list[T.StructField], make
     `make` is called once in each task; what it returns gets a list for each input column and returns one for each
     added column. Other columns pass as Arrow data, whatever their types and nulls.
     """
-    small_batches(df.sparkSession)
+    df = small_batches(df)
     names = [f.name for f in added]
     kept = [f for f in df.schema if f.name not in names]
     types = [to_arrow_type(f.dataType) for f in added]

@@ -57,7 +57,7 @@ def summed_counts(frame: DataFrame, count: Callable[[Iterable[pd.DataFrame]], np
     Each task sends the cells that are not zero; Spark adds them up before the array reaches the driver.
     """
 
-    small_batches(frame.sparkSession)
+    frame = small_batches(frame)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat = count(frames).ravel()

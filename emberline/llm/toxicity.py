@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.llm.common import per_batch, read
+from emberline.llm.common import per_batch, read, small_batches
 from emberline.llm.language import fold
 from emberline.llm.ngrams import hashed, letters, summed_counts
 
@@ -297,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
                 rows = [ToxicModel.evidence(g) for g in scorer.gains(list(frame["text"]))]
                 yield pd.DataFrame({"row": rows, "toxic": frame["toxic"].to_numpy()})
 
-        fitted = sampled.mapInPandas(evidence, "row array<double>, toxic int").toPandas()
+        fitted = small_batches(sampled).mapInPandas(evidence, "row array<double>, toxic int").toPandas()
         if fitted["toxic"].nunique() == 2:
             model.fit(np.stack(fitted["row"].to_list()), fitted["toxic"].to_numpy(dtype=float))
     return model

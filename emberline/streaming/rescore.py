@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +26,70 @@ OUTPUT = (
 HELD = "x array<double>, seen array<bigint>, named map<string,double>"
 
 
+#: Rows of one loan that are sorted in memory; further ones wait in a temporary file. Rows of a fold.
+SORTED_ROWS, FOLD_ROWS = 100_000, 10_000
+ORDER = ["ts", "event_id"]
+
+
+def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One loan's rows in (ts, event_id) order, a slice at a time, however Arrow batches cut them.
+
+    A streaming plan cannot sort, so runs of SORTED_ROWS are sorted here and merged a slice of each at a time.
+    """
+    with tempfile.TemporaryFile() as file:
+        runs: list[list[int]] = []
+
+        def spill(rows: pd.DataFrame) -> None:
+            rows, places = rows.sort_values(ORDER), []
+            for at in range(0, len(rows), FOLD_ROWS):
+                places.append(file.seek(0, 2))
+                pickle.dump(rows.iloc[at : at + FOLD_ROWS], file, pickle.HIGHEST_PROTOCOL)
+            runs.append(places[::-1])
+
+        def load(places: list[int]) -> pd.DataFrame:
+            file.seek(places.pop())
+            return pickle.load(file)  # noqa: S301
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= SORTED_ROWS:
+                spill(pd.concat(held, ignore_index=True))
+                held = []
+        if not runs:
+            rows = pd.concat(held, ignore_index=True).sort_values(ORDER) if held else pd.DataFrame()
+            for at in range(0, len(rows), FOLD_ROWS):
+                yield rows.iloc[at : at + FOLD_ROWS]
+            return
+        if held:
+            spill(pd.concat(held, ignore_index=True))
+        heads = [load(places) for places in runs]
+        while heads:
+            # What comes up to the least end of the loaded slices is complete.
+            ts, event = min((h["ts"].iloc[-1], h["event_id"].iloc[-1]) for h in heads)
+            upto = [int(np.count_nonzero((h["ts"] < ts) | ((h["ts"] == ts) & (h["event_id"] <= event)))) for h in heads]
+            ready = pd.concat([h.iloc[:n] for h, n in zip(heads, upto, strict=True)], ignore_index=True).sort_values(ORDER)
+            heads = [h.iloc[n:] for h, n in zip(heads, upto, strict=True)]
+            heads = [load(places) if not len(h) and places else h for h, places in zip(heads, runs, strict=True)]
+            left = [(h, places) for h, places in zip(heads, runs, strict=True) if len(h)]
+            heads, runs = [h for h, _ in left], [places for _, places in left]
+            yield ready
+
+
 def update_loan(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one loan's new events, in (ts, event_id) order, into its held values.
+    """Fold one loan's new events, in (ts, event_id) order over the whole micro-batch, into its held values.
 
     An event whose id the loan has seen is a repeat and is left out, however late; a late event is applied when it
-    comes. Events of a loan without offline features are given back with a problem. Rows come a batch at a time.
+    comes. Events of a loan without offline features are given back with a problem.
     """
     x, seen, named = held.get if held.exists else (None, [], {})
     seen, named = set(seen), dict(named or {})
-    for batch in batches:
-        rows = batch.sort_values(["ts", "event_id"]).drop_duplicates("event_id")
+    for batch in in_order(batches):
+        rows = batch.drop_duplicates("event_id")
         rows = rows[~rows["id_hash"].isin(seen)]
         if not len(rows):
             continue
+        seen.update(rows["id_hash"].tolist())
         out = rows[["event_id", "ts", "loan_id", "type"]]
         base = x if x is not None else rows["base"].iloc[0]
         if base is None:
@@ -49,7 +103,6 @@ def update_loan(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -
             named = {**named, **{n: v for n, v in dict(updates or {}).items() if n not in state.FEATURES}}
             shown.append(named)
         x = after[-1].tolist()
-        seen.update(rows["id_hash"].tolist())
         yield out.assign(before=before.tolist(), after=after.tolist(), named=shown, problem=None)
     if x is not None:
         held.update((x, sorted(seen), named))

@@ -3,10 +3,13 @@ import random
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.functions.scorer import DEMO_SCORER
+from emberline.llm import common
 from emberline.sources import events as ev
 from emberline.streaming import replay, rescore, state
 
@@ -121,6 +124,41 @@ def test_stream_equals_batch_with_duplicates_and_bad_events(spark):
     assert problems == ["unknown_type", "unreadable", "unreadable"]
 
 
+def test_stream_order_does_not_follow_arrow_batches(spark):
+    """Batches below one loan's events, shuffled arrival: the same rows as the replay; and no operator leaves a limit behind."""
+    raw = make_events(9, n=150)
+    random.Random(10).shuffle(raw)
+    records = [json.dumps(e) for e in raw]
+    base_rows = features(spark, range(1, 9)).persist()
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "7")
+    try:
+        folder = run_stream(spark, records, base_rows)
+    finally:
+        spark.conf.set(limit, before)
+    good, _ = ev.parse_events(spark.createDataFrame([(r,) for r in records], "value string"))
+    want = {r["event_id"]: (r["post_pd"], r["post_grade"]) for r in replay.replay_events(good, base_rows, DEMO_SCORER).collect()}
+    got = {r["event_id"]: (r["pd"], r["risk_grade"]) for r in spark.read.parquet(f"{folder}/timeline").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(want[k][0], rel=1e-9), want[k][1]) for k in want)
+    docs = spark.createDataFrame([("a",)] * 3, "text string")
+    assert common.per_batch(docs, ["text"], [T.StructField("n", T.LongType())], lambda: lambda t: [[len(t)] * len(t)]).count() == 3
+    assert spark.conf.get(limit) == before
+
+
+@pytest.mark.parametrize(("most", "step", "cut"), [(100, 10, 7), (20, 6, 9), (5, 2, 5), (1, 1, 1), (1000, 1000, 50)])
+def test_rows_of_a_loan_are_merged_in_order(monkeypatch, most, step, cut):
+    monkeypatch.setattr(rescore, "SORTED_ROWS", most)
+    monkeypatch.setattr(rescore, "FOLD_ROWS", step)
+    g = random.Random(most)
+    rows = pd.DataFrame([(pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=g.randint(0, 40)), f"e{g.randint(0, 99)}") for _ in range(211)], columns=rescore.ORDER)
+    slices = list(rescore.in_order(rows.iloc[at : at + cut] for at in range(0, len(rows), cut)))
+    assert len(slices) > 1 or most == 1000
+    assert [tuple(r) for s in slices for r in s.to_numpy()] == sorted(tuple(r) for r in rows.to_numpy())
+    assert not list(rescore.in_order(iter([])))
+
+
 def test_state_survives_between_runs(spark):
     raw = sorted(make_events(4, n=60), key=lambda e: (e["ts"], e["event_id"]))
     base_rows = features(spark, range(1, 9)).persist()
