@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from emberline.operators.metrics import METRICS, long_scores, metrics_row
 from emberline.operators.woe import WoeTable, apply_woe, fit_woe
 
 FUSED = "fused"
+#: Most boosting rounds, those of a segment's small model, and rounds without a better calib loss after which they stop.
+ROUNDS, SEGMENT_ROUNDS, PATIENCE = 1000, 300, 50
 
 
 def feature_means(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -103,10 +106,38 @@ def assemble(df: DataFrame, features: Sequence[str], means: dict[str, float], ou
     return VectorAssembler(inputCols=columns, outputCol=output).transform(complete)
 
 
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Trees of the least loss before `patience` rounds without a lesser one, and whether these came to pass."""
+    best = 0
+    for at, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = at
+        elif at - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after its first n rounds."""
+    java, context = model._java_obj, SparkContext._active_spark_context
+    kept = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(context._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], model.treeWeights[:n], strict=True)):
+        kept[i], weights[i] = tree, float(weight)
+    shorter = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, weights, java.numFeatures(), java.numClasses())
+    java.copyValues(shorter, context._jvm.org.apache.spark.ml.param.ParamMap())
+    return GBTClassificationModel(shorter)
+
+
 def fit_trees(
-    df: DataFrame, label: str, vector: str = "_x", iterations: int = 20, depth: int = 4, weighted: bool = True
+    df: DataFrame, label: str, vector: str = "_x", iterations: int = ROUNDS, depth: int = 4, weighted: bool = True, patience: int = PATIENCE
 ):
-    """Boosted trees on split = train, stopped on split = calib."""
+    """Boosted trees on split = train, with the rounds that split = calib likes best.
+
+    Boosting ends after `patience` rounds without a lesser weighted log loss of calib. MLlib cannot go on from a fitted
+    model, so a fit that has not come to its end is fitted anew with four times the rounds, up to `iterations`.
+    Without calib rows all rounds are taken.
+    """
     rows = df.where(F.col("split").isin("train", "calib")).withColumn("_validation", F.col("split") == "calib")
     training = rows.where(~F.col("_validation"))
     ratio = training.agg(
@@ -114,15 +145,20 @@ def fit_trees(
     ).first()[0]
     weight = F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)) if weighted else F.lit(1.0)
     has_validation = rows.where(F.col("_validation")).limit(1).count() > 0
-    trees = GBTClassifier(
-        featuresCol=vector, labelCol=label, weightCol="_w", maxIter=iterations, maxDepth=depth, stepSize=0.1,
-        minInstancesPerNode=20, subsamplingRate=0.8, seed=42, validationTol=0.001,
-    )
-    if has_validation:
-        trees = trees.setValidationIndicatorCol("_validation")
     held = rows.select(F.col(label).cast("double").alias(label), vector, weight.alias("_w"), "_validation").persist()
+    rounds = min(iterations, 2 * patience) if has_validation else iterations
     try:
-        return trees.fit(held)
+        while True:
+            model = GBTClassifier(
+                featuresCol=vector, labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=0.1,
+                minInstancesPerNode=20, subsamplingRate=0.8, seed=42,
+            ).fit(held.where(~F.col("_validation")))
+            if not has_validation:
+                return model
+            best, ended = best_round(model.evaluateEachIteration(held.where("_validation")), patience)
+            if ended or rounds >= iterations:
+                return first_trees(model, best)
+            rounds = min(iterations, 4 * rounds)
     finally:
         held.unpersist()
 
@@ -132,7 +168,7 @@ def score_trees(df: DataFrame, model, name: str) -> DataFrame:
     return scored.drop("rawPrediction", "probability", "prediction")
 
 
-def fit_loan_classifier(df: DataFrame, features: Sequence[str], label: str, iterations: int = 20):
+def fit_loan_classifier(df: DataFrame, features: Sequence[str], label: str, iterations: int = ROUNDS):
     """Loan-level boosted trees with a positive-class weight: (scored rows, model, means)."""
     means = feature_means(df.where(F.col("split") == "train"), features)
     vectors = assemble(df, features, means)
@@ -140,19 +176,14 @@ def fit_loan_classifier(df: DataFrame, features: Sequence[str], label: str, iter
     return score_trees(vectors, model, "classifier_pd"), model, means
 
 
-def fit_segment_model(df: DataFrame, features: Sequence[str], label: str, iterations: int = 15) -> DataFrame:
-    """The segment's own low-capacity models, compared on the same ordered test rows."""
-    train = df.where(F.col("split") != "test")
+def fit_segment_model(df: DataFrame, features: Sequence[str], label: str, iterations: int = SEGMENT_ROUNDS) -> DataFrame:
+    """The segment's own low-capacity models, fitted on train and compared on the same ordered test rows."""
+    train = df.where(F.col("split") == "train")
     means = feature_means(train, features)
     vectors = assemble(df, features, means)
-    fitting = vectors.where(F.col("split") != "test").persist()
-    try:
-        linear = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.05, maxIter=100).fit(fitting)
-        trees = GBTClassifier(
-            featuresCol="_x", labelCol=label, maxIter=iterations, maxDepth=3, stepSize=0.1, minInstancesPerNode=20, seed=42
-        ).fit(fitting)
-    finally:
-        fitting.unpersist()
+    fitting = vectors.where(F.col("split") == "train")
+    linear = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.05, maxIter=100).fit(fitting)
+    trees = fit_trees(vectors, label, iterations=iterations, depth=3, weighted=False)
     test = score_trees(vectors.where(F.col("split") == "test"), linear, "linear_pd")
     both = score_trees(test, trees, "trees_pd")
     arms = long_scores(both, label, {"segment_linear": "linear_pd", "small_trees": "trees_pd"})
@@ -164,25 +195,27 @@ def permutation_attributions(
 ) -> DataFrame:
     """Sampled Shapley values of any vector model: (key, feature, contribution).
 
-    One permutation per background row. A row is expanded to permutations × (features + 1) vectors,
-    all scored by one pass of the model; contributions add up to score − mean background score.
+    One permutation per background row, in which None is a missing value. A row meets the bounded table of
+    permutations × (features + 1) steps, and all vectors are scored by one pass of the model; contributions add up to
+    score − mean background score.
     """
     rng = random.Random(seed)
     size, rounds = len(features), len(background)
-    values = [F.coalesce(F.col(f).cast("double"), F.lit(means[f])) for f in features]
-    missing = [F.col(f).isNull().cast("double") for f in features]
     entries = []
     for base in background:
+        filled_base = [float(means[f] if v is None else v) for f, v in zip(features, base, strict=True)]
+        flags = [float(v is None) for v in base]
         order = rng.sample(range(size), size)
         for k in range(size + 1):
-            mine = set(order[:k])
-            parts = [values[i] if i in mine else F.lit(float(base[i])) for i in range(size)]
-            flags = [missing[i] if i in mine else F.lit(0.0) for i in range(size)]
-            gains = F.lit(features[order[k - 1]]) if k > 0 else F.lit(None).cast("string")
-            loses = F.lit(features[order[k]]) if k < size else F.lit(None).cast("string")
-            entries.append(F.struct(F.array(*parts, *flags).alias("x"), gains.alias("gains"), loses.alias("loses")))
-    steps = df.select(key, F.explode(F.array(*entries)).alias("s")).select(
-        key, array_to_vector("s.x").alias("_x"), "s.gains", "s.loses"
+            mine = [i in order[:k] for i in range(size)]
+            entries.append(([*filled_base, *flags], mine * 2, features[order[k - 1]] if k else None, features[order[k]] if k < size else None))
+    table = df.sparkSession.createDataFrame(entries, "base array<double>, mine array<boolean>, gains string, loses string")
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(means[f])) for f in features]
+    missing = [F.col(f).isNull().cast("double") for f in features]
+    pairs = F.zip_with("own", "base", lambda own, base: F.struct(own.alias("own"), base.alias("base")))
+    taken = F.zip_with(pairs, "mine", lambda pair, mine: F.when(mine, pair["own"]).otherwise(pair["base"]))
+    steps = df.select(key, F.array(*values, *missing).alias("own")).crossJoin(F.broadcast(table)).select(
+        key, array_to_vector(taken).alias("_x"), "gains", "loses"
     )
     scored = score_trees(steps, model, "score")
     signed = F.array(
@@ -204,7 +237,7 @@ def retrain_and_gate(
     label: str,
     folder: str,
     name: str = FUSED,
-    iterations: int = 20,
+    iterations: int = ROUNDS,
     depth: int = 4,
     sample_fraction: float | None = None,
 ) -> dict:

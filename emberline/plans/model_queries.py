@@ -23,6 +23,9 @@ from emberline.sources import views
 STATIC = list(K.CORE_FEATURES)
 SCORECARD = ["credit_income_ratio", "ext_source_2", "age_years", "employed_years", "bureau_overdue_flag", "late_installment_rate"]
 
+#: Rows of the training window that attributions are measured against.
+BACKGROUND_ROWS = 32
+
 
 def split_features(spark: SparkSession, d: str) -> DataFrame:
     """Feature table with the ordered split, written once because fitting reads it many times."""
@@ -87,7 +90,7 @@ def fit_hazard(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fit_loan_classifier")
 def fit_loan_classifier(spark: SparkSession, d: str) -> DataFrame:
-    scored, _, _ = mod.fit_loan_classifier(split_features(spark, d), STATIC, "target", iterations=10)
+    scored, _, _ = mod.fit_loan_classifier(split_features(spark, d), STATIC, "target")
     return met.metric_table(scored.where(F.col("split") == "test"), "target", {"boosted_trees": "classifier_pd"})
 
 
@@ -95,14 +98,16 @@ def fit_loan_classifier(spark: SparkSession, d: str) -> DataFrame:
 def fit_segment_model(spark: SparkSession, d: str) -> DataFrame:
     thin = frames.feature_table(spark, d).where(F.col("data_richness") == K.THIN_FILE)
     data = cut_lineage(sp.oot_split(thin, "borrower_id"))
-    return mod.fit_segment_model(data, STATIC, "target", iterations=10)
+    return mod.fit_segment_model(data, STATIC, "target")
 
 
 @query("tree_attributions")
 def tree_attributions(spark: SparkSession, d: str) -> DataFrame:
     data = split_features(spark, d)
-    scored, model, means = mod.fit_loan_classifier(data, STATIC, "target", iterations=5)
-    background = [[means[f] for f in STATIC]] * 2
+    _, model, means = mod.fit_loan_classifier(data, STATIC, "target")
+    # A sample of bounded size stands for the book, as many rows as the reference takes.
+    sample = sp.deterministic_sample(data.where(F.col("split") == "train").select("borrower_id", *STATIC), "borrower_id", BACKGROUND_ROWS, 0)
+    background = [[r[f] for f in STATIC] for r in sample.orderBy("borrower_id").collect()]
     rows = mod.permutation_attributions(data.select("borrower_id", *STATIC), "borrower_id", STATIC, model, background, means)
     return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs("contribution")), 6).alias("mean_size"))
 

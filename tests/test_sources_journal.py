@@ -1,6 +1,9 @@
+import math
+import random
 import tempfile
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from emberline.operators import features
@@ -219,3 +222,26 @@ def test_every_sector_with_rows_is_known(spark):
 def test_more_than_a_thousand_levels(spark):
     rows = spark.range(1500).select(F.col("id").cast("string").alias("c"))
     assert len(features.category_levels(rows, ["c"])["c"]) == 1500
+
+
+def test_boosting_stops_on_the_calib_window(spark):
+    assert mod.best_round([3.0, 2.0, 1.0, 1.5, 1.2, 0.5], 2) == (3, True)
+    assert mod.best_round([3.0, 2.0, 2.5], 2) == (2, False)
+    g = random.Random(13)
+    rows = [(i, x := g.gauss(0, 1), int(g.random() < 1 / (1 + math.exp(-2 * x))), "calib" if i % 4 == 0 else "train") for i in range(800)]
+    vectors = mod.assemble(spark.createDataFrame(rows, "borrower_id long, x double, y int, split string"), ["x"], {"x": 0.0})
+    model = mod.fit_trees(vectors, "y", depth=2, patience=5)
+    losses = mod.fit_trees(vectors.where("split = 'train'"), "y", depth=2, iterations=40).evaluateEachIteration(vectors.where("split = 'calib'").selectExpr("double(y) y", "_x", "1.0D _w"))
+    # More rounds than the former default were allowed, fewer than all were kept, and the last ones are no worse.
+    assert 1 < model.getNumTrees < 1000 and losses[model.getNumTrees - 1] <= losses[0]
+    assert {"classifier_pd"} <= set(mod.score_trees(vectors, model, "classifier_pd").columns)
+    path = tempfile.mkdtemp() + "/model"
+    PipelineModel([model]).write().overwrite().save(path)
+    assert PipelineModel.load(path).stages[0].getNumTrees == model.getNumTrees
+
+
+def test_background_rows_may_miss_values(spark):
+    data = gate_data(spark).limit(50).persist()
+    model = mod.fit_trees(mod.assemble(gate_data(spark), ["x", "flag"], {"x": 0.5, "flag": 0.0}), "y", iterations=3, depth=2)
+    got = mod.permutation_attributions(data, "borrower_id", ["x", "flag"], model, [[None, 1.0], [0.2, 0.0]], {"x": 0.5, "flag": 0.0})
+    assert got.count() == 100
