@@ -1,8 +1,10 @@
 """Toxicity through a noisy channel: restore disguised words, then score the restored text.
 
-A chunk of text that looks disguised (digits or signs among letters, letters three times in a row, single letters
-apart) is a lattice: each character is itself, a letter it may stand for, or nothing. Viterbi finds the cheapest
-reading under a character trigram model whose counts come from all documents. Words are then scored by whole word and
+A chunk of text that looks disguised (digits or signs among letters, letters three times in a row, single characters
+apart) is a lattice: each character is itself, a letter it may stand for, or nothing; a mask is any letter, and a space
+in a run of single characters may end a word. Viterbi finds the cheapest reading under a character trigram model whose
+counts come from all documents. A word with doubled letters, or a mask at its end, is read as another where all
+documents hold that one far more often. Words are then scored by whole word and
 by beginnings of 4 to 6 letters: how much likelier toxic documents hold them, shrunk to the base rate. A logistic
 regression over a document's highest word scores and their share gives the score.
 
@@ -22,6 +24,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -49,14 +52,20 @@ REMEMBERED = 300_000
 # Letters that signs and digits stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
 }
 SEPARATORS = ".-_*~'` "
 # Costs in nats of reading a character otherwise than as itself.
-SWAP, SKIP, REPEAT = 1.0, 0.5, 0.2
+SWAP, SKIP, REPEAT, MASKED = 1.0, 0.5, 0.2, 0.5
+MASK = "*"
+#: What a mask may stand for, by script.
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
+#: A word is read as another one that is so many times as frequent; doubled letters looked at in a word.
+OFTENER, DOUBLES = 10, 6
 
 _disguised = regex.compile(r"\p{L}[0-9@$!|+(<€£*._~\-]+\p{L}|[0-9@$€£]\p{L}|\p{L}[0-9@$!|]\b|(\p{L})\1\1")
 _triple = re.compile(r"(.)\1\1")
+_double = re.compile(r"(.)\1")
 _ends = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$!]+$|([#*$%&|<>!?.])\1\1$")
 
 
@@ -66,17 +75,28 @@ def chunks_of(text: str) -> list[str]:
     return text.replace(", ", " ").replace(". ", " ").replace(".\n", "\n").split()
 
 
+def is_single(chunk: str) -> bool:
+    """Whether a chunk may be a letter of a spaced word: a letter, look-alike or mask, perhaps with a sign after it."""
+    bare = chunk if len(chunk) == 1 else chunk.rstrip(".,;:?")
+    return len(bare) == 1 and (bare.isalpha() or bare in LOOKALIKES or bare == MASK)
+
+
 def spaced_out(chunks: list[str], single: np.ndarray) -> list[str]:
-    """Runs of three or more single letters, each with spaces between."""
+    """Runs of three or more single characters, two letters at least among them, each with spaces between."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
-    return [" ".join(chunks[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3]
+    runs = (chunks[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3)
+    return [" ".join(run) for run in runs if sum(c[0].isalpha() for c in run) > 1]
+
+
+def word_bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
 
 
 class CharacterModel:
     """Trigram log probabilities of lower-case letters and word ends, backed off to bigrams."""
 
-    def __init__(self, counts: np.ndarray):
-        self.pairs, self.triples = counts[0].astype(float), counts[1].astype(float)
+    def __init__(self, counts: np.ndarray, words: np.ndarray):
+        self.pairs, self.triples, self.words = counts[0].astype(float), counts[1].astype(float), words
         self.known: dict[str, float] = {}
 
     def log(self, context: str, char: str) -> float:
@@ -88,10 +108,19 @@ class CharacterModel:
             self.known[gram] = float(np.log((triple + 0.01) / (pair + 1.0)))
         return self.known[gram]
 
+    def frequent(self, word: str) -> int:
+        """How often all documents hold a word, or more where words share a bucket."""
+        return int(self.words[word_bucket(word)])
+
 
 def readings(chunk: str, at: int) -> list[tuple[str, float]]:
     """What the character at a place may be, and the cost of it."""
     char = chunk[at]
+    if char == " ":
+        return [("", SKIP), (" ", SKIP)]
+    if char == MASK:
+        alphabet = next((a for a in ALPHABETS if any(c in a for c in chunk)), ALPHABETS[0])
+        return [("", SKIP), *((c, MASKED) for c in alphabet)]
     found = [(char, 0.0)] if char.isalpha() else [(c, SWAP) for c in LOOKALIKES.get(char, "")]
     if char in SEPARATORS or not found:
         found.append(("", SKIP))
@@ -105,10 +134,13 @@ def restore(chunk: str, model: CharacterModel) -> str:
     best = {"  ": (0.0, "")}
     for at in range(len(chunk)):
         step: dict[str, tuple[float, str]] = {}
+        may_be = readings(chunk, at)
         for context, (cost, read_so_far) in best.items():
-            for char, price in readings(chunk, at):
+            for char, price in may_be:
+                if char == " " and context == "  ":
+                    continue
                 total = cost + price - (model.log(context, char) if char else 0.0)
-                state = (context + char)[-2:]
+                state = "  " if char == " " else (context + char)[-2:]
                 if state not in step or total < step[state][0]:
                     step[state] = (total, read_so_far + char)
         best = step
@@ -116,12 +148,31 @@ def restore(chunk: str, model: CharacterModel) -> str:
     return min(ended)[1]
 
 
-def restored_word(chunk: str, model: CharacterModel) -> str:
-    """The letters of a chunk, read through the channel where it looks disguised."""
+def single_letters(word: str, model: CharacterModel) -> str:
+    """A word without those doubled letters without which it is a far more frequent one."""
+    at = [m.start() for m in _double.finditer(word)]
+    if not at:
+        return word
+    if len(at) > DOUBLES:
+        others = [restore(word, model)]
+    else:
+        others = ["".join(c for i, c in enumerate(word) if i not in gone) for n in range(1, len(at) + 1) for gone in combinations(at, n)]
+    best = max(others, key=model.frequent)
+    return best if model.frequent(best) > OFTENER * model.frequent(word) else word
+
+
+def restored_words(chunk: str, model: CharacterModel) -> list[str]:
+    """The words of a chunk, read through the channel where it looks disguised; only a spaced run may be several."""
     if chunk.isalpha() and not _triple.search(chunk):
-        return chunk
+        return [single_letters(chunk, model)]
+    if " " in chunk:
+        return [single_letters(w, model) for w in map(letters, restore(chunk, model).split(" ")) if w]
     core = _ends.sub("", chunk)
-    return letters(restore(core, model) if _disguised.search(core) or " " in core else core)
+    word = single_letters(letters(restore(core, model) if _disguised.search(core) else core), model)
+    if chunk.endswith(MASK) and not chunk.startswith(MASK) and core:
+        whole = letters(restore(chunk[chunk.index(core) :], model))
+        word = whole if model.frequent(whole) > OFTENER * model.frequent(word) else word
+    return [word]
 
 
 def beginnings(words: list[str]) -> np.ndarray:
@@ -143,44 +194,56 @@ class Reader:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.words: dict[str, int] = {"": 0}
+        self.runs: dict[str, list[int]] = {}
         self.single = np.zeros(0, dtype=np.int8)
         self.word_of = np.zeros(0, dtype=np.int64)
         self.features = np.zeros((1, 1 + len(BEGINNINGS)), dtype=np.int64)
 
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
-        if not new:
-            return
-        words = [restored_word(c, self.model) for c in new]
+    def add(self, words: Iterable[str]) -> None:
         fresh = [w for w in dict.fromkeys(words) if w not in self.words]
         self.words |= {w: len(self.words) + i for i, w in enumerate(fresh)}
         if fresh:
             self.features = np.vstack([self.features, beginnings(fresh)])
+
+    def learn(self, chunks: set[str]) -> None:
+        new = list(chunks - self.known.keys())
+        if not new:
+            return
+        words = [restored_words(c, self.model)[0] for c in new]
+        self.add(words)
         self.known |= {c: len(self.known) + i for i, c in enumerate(new)}
         self.word_of = np.concatenate([self.word_of, [self.words[w] for w in words]])
-        self.single = np.concatenate([self.single, [len(c) == 1 and c.isalpha() for c in new]])
+        self.single = np.concatenate([self.single, [is_single(c) for c in new]])
+
+    def learn_runs(self, runs: set[str]) -> None:
+        """Spaced runs, of several words perhaps."""
+        new = {run: restored_words(run, self.model) for run in runs - self.runs.keys()}
+        self.add(w for words in new.values() for w in words)
+        self.runs |= {run: [self.words[w] for w in words] for run, words in new.items()}
 
     def read(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the numbers of its distinct words, which are rows of `features`."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.runs) > REMEMBERED:
             self.forget()
         split = [chunks_of(t) if t else [] for t in texts]
         self.learn({c for chunks in split for c in chunks})
         places = [np.fromiter(map(self.known.__getitem__, c), dtype=np.int64, count=len(c)) for c in split]
         spaced = [spaced_out(c, self.single[at]) if self.single[at].sum() > 2 else [] for c, at in zip(split, places, strict=True)]
-        self.learn({c for chunks in spaced for c in chunks})
+        self.learn_runs({c for chunks in spaced for c in chunks})
         out = []
         for at, more in zip(places, spaced, strict=True):
-            words = np.unique(self.word_of[np.concatenate([at, [self.known[c] for c in more]]) if more else at])
+            words = np.unique(np.concatenate([self.word_of[at], *(self.runs[c] for c in more)]).astype(np.int64))
             out.append(words[words > 0])
         return out
 
 
-def character_counts(docs: DataFrame) -> np.ndarray:
-    """Pairs and triples of characters in the words of all documents."""
+def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and triples of characters in the words of all documents, and the words by bucket."""
+    split = 2 << GRAM_BITS
 
     def count(frames: Iterable[pd.DataFrame]) -> np.ndarray:
-        total = np.zeros((2, 1 << GRAM_BITS), dtype=np.int64)
+        whole = np.zeros(split + (1 << WORD_BITS), dtype=np.int64)
+        total, held = whole[:split].reshape(2, -1), whole[split:]
         for frame in frames:
             found: Counter[str] = Counter()
             for text in frame["text"].dropna():
@@ -188,6 +251,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
             pairs = [(w, n) for w, n in ((letters(c), n) for c, n in found.items()) if w]
             if not pairs:
                 continue
+            np.add.at(held, [word_bucket(w) for w, _ in pairs], [n for _, n in pairs])
             codes = np.frombuffer("".join(f"  {w} " for w, _ in pairs).encode("utf-32-le"), dtype=np.uint32)
             lengths = np.array([len(w) for w, _ in pairs]) + 3
             times = np.repeat([n for _, n in pairs], lengths)[2:]
@@ -199,9 +263,10 @@ def character_counts(docs: DataFrame) -> np.ndarray:
             grams, times = grams[inside], times[inside]
             total[0] += np.bincount(hashed(grams[:, :2], GRAM_BITS), times, 1 << GRAM_BITS).astype(np.int64)
             total[1] += np.bincount(hashed(grams, GRAM_BITS), times, 1 << GRAM_BITS).astype(np.int64)
-        return total
+        return whole
 
-    return summed_counts(docs.select("text"), count, (2, 1 << GRAM_BITS))
+    counts = summed_counts(docs.select("text"), count, (split + (1 << WORD_BITS),))
+    return counts[:split].reshape(2, -1), counts[split:]
 
 
 class ToxicModel:
@@ -266,7 +331,7 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicModel:
     """Learn from all `docs` (characters) and from those that `labels` (doc_id, toxic) name."""
     context = docs.sparkSession.sparkContext
-    characters = CharacterModel(character_counts(docs))
+    characters = CharacterModel(*character_counts(docs))
     shared = context.broadcast(characters)
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Labels grow with the table, so they are merged at any size and the plan stays one.

@@ -128,6 +128,24 @@ def test_toxicity_restores_and_holds_out(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_combined_disguises_are_read(spark):
+    """Spaced runs with digits and of several words, masks, doubled letters; single letters before a word stay words."""
+    g = random.Random(7)
+    plain = ("you", "are", "a", "river", "stone", "letter", "morning", "idiot", "moron", "stupid", "book", "i", "am")
+    docs = spark.createDataFrame([(i, " ".join(g.choice(plain) for _ in range(25))) for i in range(400)], "doc_id long, text string")
+    reader = toxicity.Reader(toxicity.CharacterModel(*toxicity.character_counts(docs)))
+    cases = {
+        "i d 1 o t": {"idiot"}, "m 0 r 0 n": {"moron"}, "you are a i d i o t": {"a", "idiot"}, "i d i o t m o r o n": {"idiot", "moron"},
+        "stuupid": {"stupid"}, "stuuppid": {"stupid"}, "mo*on": {"moron"}, "st*p*d": {"stupid"}, "stupi*": {"stupid"}, "s t * p i d": {"stupid"}, "m o r 0 n.": {"moron"},
+        "letter": {"letter"}, "book": {"book"}, "stone*": {"stone"}, "ri*ver": {"river"},
+    }
+    for text, want in cases.items():
+        got = {list(reader.words)[w] for w in reader.read([text])[0]}
+        assert want <= got, (text, got)
+        assert len(text.split()) > 1 or got == want, (text, got)
+    assert not toxicity.spaced_out(["1", "2", "3", "a"], np.array([1, 1, 1, 1]))
+
+
 PRIVATE = [
     (1, "Write to ann.lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, call +1 (275) 555-5927."),
     (2, "Also +1-275-555-5927; card 4041894974608795, 4041 8949 7460 8795 from 42.144.35.254."),
