@@ -36,21 +36,33 @@ TITLES = {
     "n": ("Dr", "Prof"),
 }
 _title = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")"
+# A printable ASCII character of a secret; of a query string only one value.
+_sign = r"(?:[!#-%(-+\--9=?-~]|&(?![A-Za-z0-9_]+=))"
+# Numbers with a country code; with an area code in brackets; of three, three and four digits; with a trunk zero, of
+# nine to twelve digits or of five pairs.
+_phones = (
+    r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}",
+    r"\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}",
+    r"\(0[0-9]{1,4}\) ?[0-9]{3,8}(?:[ \-][0-9]{2,5}){0,2}",
+    r"(?<![\p{L}\p{N}]|[0-9][.\-])(?:(?:1[ .\-])?[2-9][0-9]{2}[ .\-][0-9]{3}[ .\-][0-9]{4}"
+    r"|0[1-9](?:[ .\-][0-9]{2}){4}"
+    r"|(?=(?:[ ./\-]?[0-9]){9,12}(?![0-9]))0[1-9][0-9]{1,3}[ ./\-][0-9]{3,8}(?:[ .\-][0-9]{2,5}){0,2})(?![.\-][0-9])",
+)
 #: Kinds in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9/+_\-]{8,}[\"']?",
+    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s*[=:]\s*[\"']?(?=[^\s\"']*[A-Za-z0-9])" + _sign + r"{7,}[#-%*+/0-9=@-Z^_a-z~\-][\"']?",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?![0-9])",
+    "phone": rf"(?<![0-9])(?:{'|'.join(_phones)})(?![0-9])",
     "card": r"(?<![0-9.])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "ip": rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?![0-9]|\.[0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}]){_title}\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+){{0,2}}",
 }
 ANY = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: A text that matches none of the patterns for want of a digit, an at sign or a title is not searched further.
-HINT = rf"[0-9@]|[=:]\s*[\"']?[A-Za-z/+_\-]{{8}}|{_title}"
+HINT = rf"[0-9@]|[=:]\s*[\"']?{_sign}{{8}}|{_title}"
 SECRET_NAME = r"^[A-Za-z_\-]+\s*[=:]\s*[\"']?"
 
 FIRST = {
@@ -125,7 +137,7 @@ def syllable(values: tuple[str, ...], digest: Column, place: Column) -> Column:
 def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a canonical form for an attempt."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 512)
-    kept = F.coalesce(F.when(kind == "phone", F.when(value.rlike(r"^\+[17]"), 2).when(value.rlike(r"^\+"), 3)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4), F.lit(0))
+    kept = F.coalesce(F.when(kind == "phone", F.when(value.rlike(r"^\+[17]"), 2).when(value.rlike(r"^\+"), 3).otherwise(1)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4), F.lit(0))
     ending = F.when(kind == "email", F.length(F.regexp_extract(value, r"\.[^.]+$", 0))).otherwise(F.lit(0))
     # Only a value of hexadecimal digits alone stays one.
     narrow = (kind == "secret") & value.rlike("^[0-9a-fA-F]+$")

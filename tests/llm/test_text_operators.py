@@ -176,6 +176,22 @@ def test_surrogates_are_consistent_and_shaped(spark):
     assert other[1] != got[1] and surrogates.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_national_phones_and_secrets_with_signs(spark):
+    phones = ["212-555-0187", "212.555.0187", "212 555 0187", "1-800-555-0199", "0171 123456", "030/12345678", "020 7946 0958", "(0171) 123456", "(212) 555.0187", "06 12 34 56 78"]
+    words = ["P@ssw0rd!x9", "Pa$$word", "a.b!c#d%e&f", "abcdefgh!jk"]
+    plain = ["on 2024-01-15 and 01.02.2024", "version 4.10.123", "in 1999 2000 2001", "password: ********", "1,234,567.89", "pages 100-200"]
+    texts = [f"call {p} now." for p in phones] + [f"password: {w}." for w in words] + plain + ["x?token=abc123456&user=ann"]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    shape = lambda t: re.sub(r"[0-9]", "0", t)
+    for i, text in enumerate(texts[: len(phones)]):
+        assert got[i]["entities"] == 1 and got[i]["text"] != text and shape(got[i]["text"]) == shape(text), (text, got[i])
+    for i, word in enumerate(words, len(phones)):
+        assert got[i]["entities"] == 1 and word not in got[i]["text"] and re.fullmatch(r"password: \S+\.", got[i]["text"]) and len(got[i]["text"]) == len(texts[i]), got[i]
+    at = len(phones) + len(words)
+    assert [got[i]["text"] for i in range(at, at + len(plain))] == plain
+    assert re.fullmatch(r"x\?token=[a-z0-9]{9}&user=ann", got[at + len(plain)]["text"]) and "abc123456" not in got[at + len(plain)]["text"]
+
+
 def test_surrogates_never_collide(spark):
     """Addresses of one letter soon meet each other and real ones; all stay distinct."""
     values = [f"{a}@{b}.de" for a in "abcdefghijklm" for b in "nopqrstuvwxyz"]
