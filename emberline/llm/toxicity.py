@@ -1,7 +1,7 @@
 """Toxicity through a noisy channel: restore disguised words, then score the restored text.
 
 A chunk of text that looks disguised (digits or signs among letters, letters three times in a row, single characters
-apart) is a lattice: each character is itself, a letter it may stand for, or nothing; a mask is any letter, and a space
+apart) is a lattice: each character is itself, a letter it may stand for, or nothing; a mask is any letter (three in a row are none), and a space
 in a run of single characters may end a word. Viterbi finds the cheapest reading under a character trigram model whose
 counts come from all documents. A word with doubled letters, or a mask at its end, is read as another where all
 documents hold that one far more often. Words are then scored by whole word and
@@ -119,6 +119,8 @@ def readings(chunk: str, at: int) -> list[tuple[str, float]]:
     if char == " ":
         return [("", SKIP), (" ", SKIP)]
     if char == MASK:
+        if MASK * 3 in chunk[max(at - 2, 0) : at + 3]:
+            return [("", SKIP)]
         alphabet = next((a for a in ALPHABETS if any(c in a for c in chunk)), ALPHABETS[0])
         return [("", SKIP), *((c, MASKED) for c in alphabet)]
     found = [(char, 0.0)] if char.isalpha() else [(c, SWAP) for c in LOOKALIKES.get(char, "")]
