@@ -6,6 +6,7 @@ from emberline.llm.language import op10_script_viterbi
 from emberline.llm.lexical import OP12_SQL, op12_pair_bound_maxscore
 from emberline.llm.lines import OP2_SQL, op2_line_spread
 from emberline.llm.mixing import OP4_SQL, op4_weighted_mix
+from emberline.llm.pages import op13_block_tree
 from emberline.llm.quality import OP3_SQL, op3_line_rules
 from emberline.llm.search import OP9_SQL, op9_pivot_table
 from emberline.llm.shards import op1_vector_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_script_viterbi": op10_script_viterbi,
     "op11_weighted_whitening": op11_weighted_whitening,
     "op12_pair_bound_maxscore": op12_pair_bound_maxscore,
+    "op13_block_tree": op13_block_tree,
 }
 ORACLES = {
     "op2_line_spread": OP2_SQL,
