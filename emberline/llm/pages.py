@@ -80,8 +80,6 @@ LABELLED = (
     "1 h1 6; 1 p 40; 1 p 72; 1 p 16; 1 p 51",
     "1 p 25; 1 p 90/2",
     "1 p 70",
-    "1 p 45/2",
-    "1 div 150",
     "0 div.masthead>h1 2; 0 div.topbar 5; 1 div.story>h1 10; 1 div.story>p 1; 1 div.story>p 55; 1 div.story>p 2; 0 div.story>div.ad 12; 0 div.story>div.ad 45; 1 div.story>p 44; 0 div.story>div.comments>p 70; 0 div.legal>p 60",
     "0 nav>li 1/1 x6; 0 div.ad 12; 1 article>h1 15; 1 article>p 200/2; 1 article>p 150; 0 footer 12; 0 footer 5",
     "0 div 20; 0 div>a 2/2 x6; 0 section>h2 3; 0 section>p 30; 1 article>h1 9; 1 article>p 12; 1 article>p 30; 0 section>p 18; 0 div 40; 0 div 6",
