@@ -8,8 +8,9 @@ are still together after `DEPTH` splits, are one candidate group as they are. In
 on the sampled tokens. Runs repeat until a pair of least similarity is met with a chance of `RECALL`.
 
 Candidate groups are then compared exactly on whole sets, in blocks of bounded size, so a large group is spread over
-many tasks. Tasks return a count of links and a spanning label for each node, never the pairs. Classes are the
-connected components of the links.
+many tasks. Tasks return a count of links for each node, which are summed before they are written, and edges that span
+what is linked, never the pairs: inside a block at most one a node, between two blocks fewer than their components, so
+a tight group of n nodes in k blocks has about n + k * k / 2. Classes are the connected components of the edges.
 
 Words are runs of anything but ASCII space, as they stand. Defined results: a text of one to four words is a single
 shingle; a text without words, such as an empty one, is joined to equal texts only; a null text is joined to nothing
@@ -42,7 +43,7 @@ DEPTH = 5
 #: Standard errors below the least similarity at which a pair is still compared exactly.
 SLACK = 4.0
 #: Nodes and shingles of a block of a candidate group, and rows and shingles that one task takes of small ones.
-BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 PACK_ROWS, PACK_SHINGLES = 500, 200_000
 #: Columns of the token matrix that is held at once.
 COLUMNS = 8192
@@ -228,9 +229,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each node of a task's groups its links, and the least node it is tied to.
+    """Links of each node of a task's groups (b null), and edges a, b that tie the linked ones together (links 0).
 
-    Where a group comes as two blocks, `side` tells them apart, and only pairs across count.
+    Where a group comes as two blocks, `side` tells them apart, and only pairs across count. What is linked inside a
+    block is tied by the block's own task, so two blocks return edges between their components only, and fewer than
+    there are components.
     """
     out = []
     for _, group in frame.groupby("root", sort=False):
@@ -240,17 +243,28 @@ def verified(frame: pd.DataFrame) -> pd.DataFrame:
         sizes = np.array([len(s) for s in sets])
         both = shared_counts(sets)
         joined = both * LEAST[1] >= LEAST[0] * (sizes[:, None] + sizes[None, :] - both)
-        side = group["side"].to_numpy()
-        if side.any():
-            joined &= side[:, None] != side[None, :]
         np.fill_diagonal(joined, False)
-        nodes = group["node"].to_numpy()
-        out.append(pd.DataFrame({"a": nodes, "b": nodes[labels_of(joined)], "links": joined @ group["copies"].to_numpy()}))
-    return pd.concat(out, ignore_index=True)
+        nodes, side = group["node"].to_numpy(), group["side"].to_numpy()
+        if side.any():
+            across = side[:, None] != side[None, :]
+            heads, part = np.unique(labels_of(joined & ~across), return_inverse=True)
+            joined &= across
+            met = np.zeros((len(heads), len(heads)), dtype=bool)
+            one, other = joined.nonzero()
+            met[part[one], part[other]] = True
+        else:
+            heads, met = np.arange(len(nodes)), joined
+        labels = labels_of(met)
+        moved = np.flatnonzero(labels != np.arange(len(heads)))
+        links = joined @ group["copies"].to_numpy()
+        some = links > 0
+        out.append(pd.DataFrame({"a": nodes[some], "b": None, "links": links[some]}))
+        out.append(pd.DataFrame({"a": nodes[heads[moved]], "b": nodes[heads[labels[moved]]], "links": 0}))
+    return pd.concat(out, ignore_index=True).astype({"b": "Int64"})
 
 
 def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b, links: rows of `verified` over all candidate groups."""
+    """a, b, links: rows of `verified` over all candidate groups, links summed by node."""
     members = written(groups.join(nodes.drop("tokens"), "node"))
     weight = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("shingles") / BLOCK_SHINGLES))
     blocks = members.groupBy("root").agg(weight.cast("int").alias("blocks"))
@@ -275,7 +289,8 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFra
     task = F.when(F.col("blocks") == 1, packed).otherwise(F.xxhash64("root", low, high)).alias("task")
     side = (F.col("block") > F.col("other")).cast("int").alias("side")
     # A task of two blocks holds the lower as side 0 and the higher as side 1; one block alone is all side 0.
-    return spread.select(task, "root", side, "node", "copies", "shingle_set").groupBy("task").applyInPandas(verified, "a long, b long, links long")
+    found = spread.select(task, "root", side, "node", "copies", "shingle_set").groupBy("task").applyInPandas(verified, "a long, b long, links long")
+    return found.groupBy("a", "b").agg(F.sum("links").alias("links"))
 
 
 def joined_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,8 +298,8 @@ def joined_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(sketched(docs))
     nodes = written(text_nodes(rows))
     found = written(exact_links(docs, nodes, candidate_groups(nodes.where(F.col("tokens").isNotNull()))))
-    classes = components(found.select("a", "b"))
-    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    classes = components(found.where(F.col("b").isNotNull()).select("a", "b"))
+    links = found.where(F.col("b").isNull()).select(F.col("a").alias("node"), "links")
     joined = nodes.drop("tokens", "shingles").join(links, "node", "left").join(classes, "node", "left")
     others = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     return rows.drop("tokens", "shingles"), written(joined.select("node", "key_a", "key_b", "first_doc", "first_rows", F.coalesce("root", "node").alias("class_node"), others.alias("links")))

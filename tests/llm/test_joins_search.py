@@ -76,6 +76,60 @@ def test_join_equals_brute_force(spark, seed, tight):
     assert got == want
 
 
+def near_copies(seed, n, words=60):
+    """Texts of one base, each with one word of its own in place of another."""
+    g = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    return [" ".join([*base[: (k := g.randrange(words))], f"own{i}", *base[k + 1 :]]) for i in range(n)]
+
+
+def test_edges_grow_in_proportion_and_links_equal_brute_force(spark, monkeypatch):
+    """A group of near copies spread over many blocks: edges by nodes, not by pairs of them."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 64)
+    edges = {}
+    for n in (400, 800):
+        rows = [(i, t) for i, t in enumerate(near_copies(n, n))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        nodes = jaccard.written(jaccard.text_nodes(jaccard.written(jaccard.sketched(docs))))
+        found = jaccard.written(jaccard.exact_links(docs, nodes, jaccard.candidate_groups(nodes)))
+        edges[n] = found.where("b is not null").count()
+        assert found.where("b is null").count() <= n
+    assert edges[800] < 2.5 * edges[400] and edges[800] < 2 * 800
+    assert Counter(map(tuple, jaccard.similar_classes(docs).collect())) == brute(rows)
+
+
+def test_a_group_of_two_thousand(spark):
+    rows = [(i, t) for i, t in enumerate(near_copies(9, 2000, 70))]
+    got = jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sets = [shingles(t) for _, t in rows]
+    sizes = np.array([len(s) for s in sets])
+    token = {t: i for i, t in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(token)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [token[t] for t in s]] = 1
+    both = (held @ held.T).astype(int)
+    links = (5 * both >= 4 * (sizes[:, None] + sizes - both)).sum(axis=1) - 1
+    assert {r["class_id"] for r in got} == {0} and {r["doc_id"]: r["links"] for r in got} == dict(enumerate(links.tolist()))
+
+
+def test_recall_at_the_least_similarity(spark):
+    """Pairs whose similarity is 0.8 to 0.83: at least 0.9 must be found, and nearly all are."""
+    g, rows, pairs = random.Random(4), [], []
+    while len(pairs) < 400:
+        n = g.randint(60, 300)
+        base = [f"p{len(pairs)}w{i}" for i in range(n)]
+        other = list(base)
+        for k in g.sample(range(n), max(1, round(n / 47))):
+            other[k] = f"q{len(pairs)}x{k}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.83:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [" ".join(base), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in jaccard.similar_classes(df).collect()}
+    assert sum(found[b] == a for a, b in pairs) / len(pairs) >= 0.995
+
+
 def test_keep_one_of_each_class(spark):
     rows = make_rows(5, 25)
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("node"), F.lit("k").alias("key_a"), F.lit(2).alias("doc"))
