@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # Rows here are small and their expressions heavy, so small outputs stay spread over the cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
+    # Keyed state on disk; a batch uploads what it changed.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from emberline.functions.scorer import LinearHazard
 from emberline.sources.events import parse_events
@@ -22,101 +20,117 @@ OUTPUT = (
     "event_id string, ts timestamp, loan_id bigint, type string, before array<double>, after array<double>, "
     "named map<string,double>, problem string"
 )
-#: A loan's values, the hashes of the event ids that it has seen, and its features outside the dynamic ones.
-HELD = "x array<double>, seen array<bigint>, named map<string,double>"
-
-
-#: Rows of one loan that are sorted in memory; further ones wait in a temporary file. Rows of a fold.
-SORTED_ROWS, FOLD_ROWS = 100_000, 10_000
+#: Rows of a fold.
+FOLD_ROWS = 10_000
 ORDER = ["ts", "event_id"]
+HOUR = 3600
+#: Hours of event time before a loan's newest event in which its event ids are known.
+KNOWN_HOURS = 24 * 30
 
 
 def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One loan's rows in (ts, event_id) order, a slice at a time, however Arrow batches cut them.
+    """One loan's rows of a micro-batch in (ts, event_id) order, a slice at a time, however Arrow batches cut them.
 
-    A streaming plan cannot sort, so runs of SORTED_ROWS are sorted here and merged a slice of each at a time.
+    A streaming plan cannot sort, so they are sorted here. What a trigger admits bounds them.
     """
-    with tempfile.TemporaryFile() as file:
-        runs: list[list[int]] = []
-
-        def spill(rows: pd.DataFrame) -> None:
-            rows, places = rows.sort_values(ORDER), []
-            for at in range(0, len(rows), FOLD_ROWS):
-                places.append(file.seek(0, 2))
-                pickle.dump(rows.iloc[at : at + FOLD_ROWS], file, pickle.HIGHEST_PROTOCOL)
-            runs.append(places[::-1])
-
-        def load(places: list[int]) -> pd.DataFrame:
-            file.seek(places.pop())
-            return pickle.load(file)  # noqa: S301
-
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= SORTED_ROWS:
-                spill(pd.concat(held, ignore_index=True))
-                held = []
-        if not runs:
-            rows = pd.concat(held, ignore_index=True).sort_values(ORDER) if held else pd.DataFrame()
-            for at in range(0, len(rows), FOLD_ROWS):
-                yield rows.iloc[at : at + FOLD_ROWS]
-            return
-        if held:
-            spill(pd.concat(held, ignore_index=True))
-        heads = [load(places) for places in runs]
-        while heads:
-            # What comes up to the least end of the loaded slices is complete.
-            ts, event = min((h["ts"].iloc[-1], h["event_id"].iloc[-1]) for h in heads)
-            upto = [int(np.count_nonzero((h["ts"] < ts) | ((h["ts"] == ts) & (h["event_id"] <= event)))) for h in heads]
-            ready = pd.concat([h.iloc[:n] for h, n in zip(heads, upto, strict=True)], ignore_index=True).sort_values(ORDER)
-            heads = [h.iloc[n:] for h, n in zip(heads, upto, strict=True)]
-            heads = [load(places) if not len(h) and places else h for h, places in zip(heads, runs, strict=True)]
-            left = [(h, places) for h, places in zip(heads, runs, strict=True) if len(h)]
-            heads, runs = [h for h, _ in left], [places for _, places in left]
-            yield ready
-
-
-def update_loan(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one loan's new events, in (ts, event_id) order over the whole micro-batch, into its held values.
-
-    An event whose id the loan has seen is a repeat and is left out, however late; a late event is applied when it
-    comes. Events of a loan without offline features are given back with a problem.
+    held = list(batches)
+    rows = pd.concat(held, ignore_index=True).sort_values(ORDER) if held else pd.DataFrame()
+    for at in range(0, len(rows), FOLD_ROWS):
+        yield rows.iloc[at : at + FOLD_ROWS]
+
+
+class Rescorer(StatefulProcessor):
+    """Folds a loan's events, in (ts, event_id) order over a micro-batch, into its held values.
+
+    The offline features are the initial state, so no batch reads them again. Every event id is an entry of its own,
+    and a batch writes the entries that it adds. Once the loan's newest event is `known_hours` past an event, its
+    entry goes, by slices of an hour. An event with a known id is a repeat and is left out. An event older than the
+    known hours could be either, so it is given back as `too_late`; any other late event is applied when it comes.
+    Events of a loan without offline features are given back as `unknown_loan`.
+    """
+
+    def __init__(self, known_hours: int):
+        self.known_hours = known_hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getValueState("values", "x array<double>, newest bigint")
+        self.named = handle.getMapState("named", "name string", "value double")
+        self.seen = handle.getMapState("seen", "id bigint", "hour bigint")
+        self.slices = handle.getMapState("slices", "hour bigint, first bigint", "ids array<bigint>")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        self.values.update(([float(v) for v in initialState["base"].iloc[0]], None))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.values.get() if self.values.exists() else None
+        x, newest = (held[0], held[1]) if held else (None, None)
+        oldest = None if newest is None else newest - self.known_hours
+        named = {k[0]: v[0] for k, v in self.named.iterator()}
+        was, added, reached = dict(named), {}, newest
+        for batch in in_order(rows):
+            rows_of = batch.drop_duplicates("event_id")
+            known = [i in added or self.seen.containsKey((i,)) for i in rows_of["id_hash"].tolist()]
+            rows_of = rows_of[~np.array(known, dtype=bool)]
+            hours = (rows_of["ts"].astype("datetime64[s]").astype("int64") // HOUR).to_numpy()
+            late = np.zeros(len(rows_of), dtype=bool) if oldest is None else hours < oldest
+            refused = rows_of if held is None else rows_of[late]
+            if len(refused):
+                nothing = [None] * len(refused)
+                problem = "unknown_loan" if held is None else "too_late"
+                yield refused[["event_id", "ts", "loan_id", "type"]].assign(before=nothing, after=nothing, named=nothing, problem=problem)
+            if held is None or late.all():
+                continue
+            rows_of, hours = rows_of[~late], hours[~late]
+            added |= dict(zip(rows_of["id_hash"].tolist(), hours.tolist(), strict=True))
+            reached = int(hours.max()) if reached is None else max(reached, int(hours.max()))
+            _, before, after = next(state.walked(iter([rows_of.assign(start=[x] * len(rows_of))]), ["loan_id"], "start"))
+            shown = []
+            for updates in rows_of["feature_updates"]:
+                named = {**named, **{n: v for n, v in dict(updates or {}).items() if n not in state.FEATURES}}
+                shown.append(named)
+            x = after[-1].tolist()
+            yield rows_of[["event_id", "ts", "loan_id", "type"]].assign(before=before.tolist(), after=after.tolist(), named=shown, problem=None)
+        if added:
+            self.remember(added)
+            self.forget(reached - self.known_hours)
+            for name, value in named.items():
+                if name not in was or was[name] != value:
+                    self.named.updateValue((name,), (value,))
+            self.values.update((x, reached))
+
+    def remember(self, added: dict[int, int]) -> None:
+        by_hour: dict[int, list[int]] = {}
+        for event, hour in added.items():
+            self.seen.updateValue((event,), (hour,))
+            by_hour.setdefault(hour, []).append(event)
+        for hour, ids in by_hour.items():
+            self.slices.updateValue((hour, ids[0]), (ids,))
+
+    def forget(self, before: int) -> None:
+        """Drop the ids of all hours before the given one; reads the names of slices, not the ids of others."""
+        for hour, first in [k for k in self.slices.keys() if k[0] < before]:  # noqa: SIM118
+            for event in self.slices.getValue((hour, first))[0]:
+                self.seen.removeKey((int(event),))
+            self.slices.removeKey((hour, first))
+
+    def close(self) -> None:
+        pass
+
+
+def rescore_stream(
+    events: DataFrame, features: DataFrame, scorer: LinearHazard, key: str = "borrower_id", known_hours: int = KNOWN_HOURS
+) -> DataFrame:
+    """Stream of events with values and grades before and after.
+
+    `features` is the static offline table: it is read once, when the query first starts. Loans that join it later are
+    unknown to a running query. A new checkpoint starts from the table anew.
     """
-    x, seen, named = held.get if held.exists else (None, [], {})
-    seen, named = set(seen), dict(named or {})
-    for batch in in_order(batches):
-        rows = batch.drop_duplicates("event_id")
-        rows = rows[~rows["id_hash"].isin(seen)]
-        if not len(rows):
-            continue
-        seen.update(rows["id_hash"].tolist())
-        out = rows[["event_id", "ts", "loan_id", "type"]]
-        base = x if x is not None else rows["base"].iloc[0]
-        if base is None:
-            nothing = [None] * len(rows)
-            yield out.assign(before=nothing, after=nothing, named=nothing, problem="unknown_loan")
-            continue
-        start = rows.assign(start=[base] * len(rows))
-        _, before, after = next(state.walked(iter([start]), ["loan_id"], "start"))
-        shown = []
-        for updates in rows["feature_updates"]:
-            named = {**named, **{n: v for n, v in dict(updates or {}).items() if n not in state.FEATURES}}
-            shown.append(named)
-        x = after[-1].tolist()
-        yield out.assign(before=before.tolist(), after=after.tolist(), named=shown, problem=None)
-    if x is not None:
-        held.update((x, sorted(seen), named))
-
-
-def rescore_stream(events: DataFrame, features: DataFrame, scorer: LinearHazard, key: str = "borrower_id") -> DataFrame:
-    """Stream of events with values and grades before and after. `features` is the static offline table."""
     effect = state.event_effect(F.col("type"), F.col("feature_updates"))
-    rows = (
-        events.join(replay.base_values(features, key), "loan_id", "left")
-        .withColumn("e", effect)
-        .select("event_id", "ts", "loan_id", "type", "base", "feature_updates", F.xxhash64("event_id").alias("id_hash"), "e.scale", "e.shift", "e.cap")
+    rows = events.withColumn("e", effect).select(
+        "event_id", "ts", "loan_id", "type", "feature_updates", F.xxhash64("event_id").alias("id_hash"), "e.scale", "e.shift", "e.cap"
     )
-    states = rows.groupBy("loan_id").applyInPandasWithState(update_loan, OUTPUT, HELD, "append", GroupStateTimeout.NoTimeout)
+    base = replay.base_values(features, key).select(F.col("loan_id").cast("bigint").alias("loan_id"), "base").groupBy("loan_id")
+    states = rows.groupBy("loan_id").transformWithStateInPandas(Rescorer(known_hours), OUTPUT, "Append", "None", base)
     return replay.score_states(states, scorer, "after", "named", "problem")
 
 

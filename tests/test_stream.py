@@ -6,10 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberline.functions.scorer import DEMO_SCORER
-from emberline.llm import common
 from emberline.sources import events as ev
 from emberline.streaming import replay, rescore, state
 
@@ -142,19 +140,15 @@ def test_stream_order_does_not_follow_arrow_batches(spark):
     got = {r["event_id"]: (r["pd"], r["risk_grade"]) for r in spark.read.parquet(f"{folder}/timeline").collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == (pytest.approx(want[k][0], rel=1e-9), want[k][1]) for k in want)
-    docs = spark.createDataFrame([("a",)] * 3, "text string")
-    assert common.per_batch(docs, ["text"], [T.StructField("n", T.LongType())], lambda: lambda t: [[len(t)] * len(t)]).count() == 3
-    assert spark.conf.get(limit) == before
 
 
-@pytest.mark.parametrize(("most", "step", "cut"), [(100, 10, 7), (20, 6, 9), (5, 2, 5), (1, 1, 1), (1000, 1000, 50)])
-def test_rows_of_a_loan_are_merged_in_order(monkeypatch, most, step, cut):
-    monkeypatch.setattr(rescore, "SORTED_ROWS", most)
+@pytest.mark.parametrize(("step", "cut"), [(10, 7), (6, 9), (1, 1), (1000, 50)])
+def test_rows_of_a_loan_come_in_order(monkeypatch, step, cut):
     monkeypatch.setattr(rescore, "FOLD_ROWS", step)
-    g = random.Random(most)
+    g = random.Random(step)
     rows = pd.DataFrame([(pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=g.randint(0, 40)), f"e{g.randint(0, 99)}") for _ in range(211)], columns=rescore.ORDER)
     slices = list(rescore.in_order(rows.iloc[at : at + cut] for at in range(0, len(rows), cut)))
-    assert len(slices) > 1 or most == 1000
+    assert len(slices) > 1 or step == 1000
     assert [tuple(r) for s in slices for r in s.to_numpy()] == sorted(tuple(r) for r in rows.to_numpy())
     assert not list(rescore.in_order(iter([])))
 
@@ -238,3 +232,62 @@ def test_stream_keeps_late_unknown_and_foreign_features(spark):
     newest = spark.read.parquet(f"{target}/online").orderBy(F.desc("batch_id")).first()
     assert newest["loan_id"] == 1 and newest["features"]["margin"] == 0.25
     assert newest["features"]["prior_late_rate"] == pytest.approx(0.01 * 0.8)
+
+
+def state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def write_events(source, name, rows):
+    with open(f"{source}/{name}.txt", "w") as f:
+        f.writelines(json.dumps(e) + "\n" for e in rows)
+
+
+def hourly(hour, n, loan=1):
+    """n repayments of one loan inside an hour counted from the start of 2024."""
+    day = f"2024-01-{1 + hour // 24:02d}T{hour % 24:02d}"
+    return [{"event_id": f"h{hour}-{i}", "ts": f"{day}:{i % 60:02d}:00Z", "loan_id": loan, "type": "repayment", "feature_updates": None} for i in range(n)]
+
+
+def run_rescoring(spark, source, target, base_rows, **options):
+    raw = ev.event_source(spark, source, max_files_per_trigger=1)
+    good, _ = ev.parse_events(raw)
+    rescored = rescore.rescore_stream(good, base_rows, DEMO_SCORER, **options)
+    query = rescore.two_sink_fanout(rescored, f"{target}/timeline", f"{target}/alerts", f"{target}/check", True, f"{target}/online", f"{target}/refused")
+    assert query.awaitTermination(240)
+    assert query.exception() is None
+    return query
+
+
+def test_state_of_a_hot_loan_is_bounded_and_outlives_a_restart(spark):
+    """Ids of old hours go as time advances; repeats inside the known hours are caught after a restart too."""
+    base_rows = features(spark, [1]).persist()
+    source, target = tempfile.mkdtemp(prefix="emberline-in-"), tempfile.mkdtemp(prefix="emberline-out-")
+    for hour in range(8):
+        write_events(source, hour, hourly(hour, 300))
+    first = run_rescoring(spark, source, target, base_rows, known_hours=2)
+    kept = state_rows(first)
+    # The values, and at most the ids and slices of the known hours and the newest.
+    assert max(kept) <= 3 * 300 + 3 + 2 and len(kept) >= 8
+    write_events(source, "again", hourly(7, 300) + hourly(6, 300)[:5])
+    write_events(source, "late", hourly(1, 3, loan=1) + [{**hourly(6, 1)[0], "event_id": "new but late"}])
+    run_rescoring(spark, source, target, base_rows, known_hours=2)
+    timeline = [r["event_id"] for r in spark.read.parquet(f"{target}/timeline").collect()]
+    assert len(timeline) == len(set(timeline)) == 8 * 300 + 1 and "new but late" in timeline
+    refused = spark.read.parquet(f"{target}/refused").collect()
+    assert sorted(json.loads(r["value"])["event_id"] for r in refused) == ["h1-0", "h1-1", "h1-2"] and {r["problem"] for r in refused} == {"too_late"}
+    late = spark.read.parquet(f"{target}/timeline").where("event_id = 'new but late'").count()
+    assert late == 1
+
+
+def test_many_ids_of_one_loan(spark):
+    """A hundred thousand ids of one loan in a day: one row each while they are known, none after."""
+    base_rows = features(spark, [1, 2]).persist()
+    source, target = tempfile.mkdtemp(prefix="emberline-in-"), tempfile.mkdtemp(prefix="emberline-out-")
+    for part in range(5):
+        write_events(source, f"a{part}", [{**e, "event_id": f"{part}-{e['event_id']}"} for hour in range(5) for e in hourly(hour, 4000)])
+    write_events(source, "b", hourly(24 * 9, 10))
+    query = run_rescoring(spark, source, target, base_rows, known_hours=24)
+    sizes = state_rows(query)
+    assert max(sizes) >= 100_000 and sizes[-1] <= 10 + 1 + 2
+    assert spark.read.parquet(f"{target}/timeline").count() == 100_010
