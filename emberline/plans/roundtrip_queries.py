@@ -21,7 +21,7 @@ from emberline.session import ensure_checkpoint_dir
 from emberline.sources import events as ev
 from emberline.sources import tables as tb
 from emberline.sources import views
-from emberline.streaming import replay, rescore
+from emberline.streaming import dedupe, replay, rescore
 
 KNOWN = "type IN ('gst_filing', 'bank_transaction', 'repayment')"
 
@@ -45,6 +45,18 @@ def dedupe_events(spark: SparkSession, d: str) -> DataFrame:
     return replay.known_events(repeated(spark, d)).select("event_id", "loan_id", "type")
 
 
+@query("dedupe_stream", sql(f"SELECT CAST(event_id AS VARCHAR) AS event_id, loan_id, type FROM evts WHERE {KNOWN}", "evts"))
+def dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same events as a topic of many files, through the stream; what it emits, and the late ones beside it."""
+    source, target = folder(spark, "topic"), folder(spark, "deduped")
+    rows = repeated(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "loan_id", "type")
+    ev.event_sink(rows.repartitionByRange(8, "ts"), source)
+    for started in dedupe.start_dedupe(ev.event_source(spark, source, max_files_per_trigger=2), target, "2 hours"):
+        started.awaitTermination()
+    kept, landed = (spark.read.schema(ev.EVENT_SCHEMA).parquet(f"{target}/{name}") for name in ("kept", "landed"))
+    return kept.unionByName(dedupe.late_events(landed, kept)).select("event_id", "loan_id", "type")
+
+
 @query("replay_repeats", replay_sql("SELECT event_id, loan_id, round(post_pd, 6) AS post_pd, post_grade FROM rescored"))
 def replay_repeats(spark: SparkSession, d: str) -> DataFrame:
     states = replay.replay_events(repeated(spark, d), frames.feature_table(spark, d), DEMO_SCORER)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scorer import DEMO_SCORER
 from emberline.sources import events as ev
-from emberline.streaming import replay, rescore, state
+from emberline.streaming import dedupe, replay, rescore, state
 
 BASE = dict(credit_income_ratio=2.0, annuity_income_ratio=0.1, bureau_active_count=1.0, bureau_overdue_flag=0.0, ext_source_1=0.5,
             ext_source_2=0.3, ext_source_3=None, age_years=40.0, employed_years=5.0, prior_late_rate=0.0, prior_n_installments=20.0)
@@ -291,3 +291,26 @@ def test_many_ids_of_one_loan(spark):
     sizes = state_rows(query)
     assert max(sizes) >= 100_000 and sizes[-1] <= 10 + 1 + 2
     assert spark.read.parquet(f"{target}/timeline").count() == 100_010
+
+
+def test_ids_leave_the_deduplication_as_time_advances(spark):
+    """Repeats within the delay are dropped once, state follows the delay, and late events are beside, not lost."""
+    source, target = tempfile.mkdtemp(prefix="emberline-in-"), tempfile.mkdtemp(prefix="emberline-out-")
+    for hour in range(12):
+        write_events(source, f"{hour:02d}", hourly(hour, 200) + (hourly(hour - 1, 50) if hour else []))
+    queries = []
+    for step in range(2):
+        if step:
+            write_events(source, "late", hourly(0, 201)[-1:] * 2 + hourly(11, 200) + hourly(2, 3, loan=5))
+        queries = dedupe.start_dedupe(ev.event_source(spark, source, max_files_per_trigger=1), target, "2 hours")
+        for query in queries:
+            assert query.awaitTermination(240) and query.exception() is None
+        if not step:
+            held = state_rows(queries[-1])
+            assert len(held) >= 12 and 200 <= max(held) <= 5 * 200
+    kept, landed = spark.read.parquet(f"{target}/kept"), spark.read.schema(ev.EVENT_SCHEMA).parquet(f"{target}/landed")
+    ids = [(r["loan_id"], r["event_id"]) for r in kept.collect()]
+    late = [(r["loan_id"], r["event_id"]) for r in dedupe.late_events(landed, kept).collect()]
+    assert len(ids) == len(set(ids)) == 12 * 200
+    assert sorted(late) == [(1, "h0-200"), (5, "h2-0"), (5, "h2-1"), (5, "h2-2")]
+    assert landed.count() == 12 * 200 + 11 * 50 + 205
