@@ -248,6 +248,9 @@ def one_tree(rows: DataFrame, model: Boosted, done: int, depth: int, first: dict
                 tree.feature[node], tree.code[node], tree.level[node], tree.missing_left[node] = feature, code, is_level, missing_left
                 own = hist[sizes[:feature].sum() : sizes[: feature + 1].sum()]
                 left = own[code].copy() if is_level else own[1 : code + 1].sum(axis=0)
+                if not own[0, 2]:
+                    # Nothing was missing here: what comes later goes where most rows go.
+                    tree.missing_left[node] = missing_left = bool(2 * left[2] >= whole[2])
                 left = left + own[0] if missing_left else left
                 sides = [left, whole - left]
             if level == depth - 1:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.operators.ordered import running_totals
@@ -104,6 +105,44 @@ def ablation_delta(long_table: DataFrame, base: str, other: str) -> DataFrame:
     return picked.withColumn("delta", F.round(F.col("other_value") - F.col("base_value"), 4))
 
 
+#: Replicates of a paired interval, and score buckets of their AUC.
+REPLICATES, PAIR_BUCKETS = 100, 2048
+
+
+def paired_auc(df: DataFrame, key: str, label: str, base: str, other: str, replicates: int = REPLICATES) -> DataFrame:
+    """AUC of two scores of the same rows, their difference, and its 95 % interval by a paired bootstrap.
+
+    A row's weight in a replicate is a Poisson draw of mean 1 from a hash of its key, the same for both scores.
+    Weights are summed by (replicate, arm, score bucket) before any exchange, so a replicate costs as many rows as there
+    are buckets; scores of a bucket count as tied. Replicate 0 has weight 1 for every row.
+    """
+    number = F.explode(F.sequence(F.lit(0), F.lit(replicates)))
+    draw = (F.pmod(F.xxhash64(F.col(key), F.col("_r")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    # Inverse of the distribution of a Poisson variable of mean 1.
+    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+    weight = F.when(F.col("_r") == 0, F.lit(1)).otherwise(sum((draw > s).cast("int") for s in steps))
+    bucket = lambda c: F.least(F.floor(clip(F.col(c), 0.0, 1.0) * PAIR_BUCKETS), F.lit(PAIR_BUCKETS - 1)).alias("bucket")
+    arms = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), bucket(c)) for n, c in (("base", base), ("other", other))]))
+    rows = df.where(F.col(label).isNotNull() & F.col(base).isNotNull() & F.col(other).isNotNull())
+    # Rows that agree in label and both buckets differ by their draws only, so draws come before any grouping.
+    drawn = rows.select(key, F.col(label).cast("long").alias("y"), base, other, number.alias("_r")).withColumn("w", weight).where("w > 0")
+    sums = drawn.select("_r", "y", "w", arms.alias("a")).groupBy("_r", "a.arm", "a.bucket").agg(
+        F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg")
+    )
+    below = W.partitionBy("_r", "arm").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    won = sums.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    auc = F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc")
+    per = won.groupBy("_r", "arm").agg(auc).groupBy("_r").agg(
+        F.max(F.when(F.col("arm") == "base", F.col("auc"))).alias("base"), F.max(F.when(F.col("arm") == "other", F.col("auc"))).alias("other")
+    ).withColumn("delta", F.col("other") - F.col("base"))
+    whole = lambda c: F.max(F.when(F.col("_r") == 0, F.col(c)))
+    spread = F.percentile(F.when(F.col("_r") > 0, F.col("delta")), [0.025, 0.975])
+    return per.agg(
+        whole("base").alias("base_auc"), whole("other").alias("other_auc"), whole("delta").alias("delta"),
+        F.get(spread, F.lit(0)).alias("low"), F.get(spread, F.lit(1)).alias("high"),
+    )
+
+
 def separability(df: DataFrame, flag: str, score: str, min_auc: float = 0.80) -> DataFrame:
     """How well one feature alone separates two groups: AUC, means, Cohen's d, counts."""
     auc = metrics_row(df, flag, score).select("auc_roc").scalar()

@@ -1,27 +1,28 @@
-"""Distributed training with MLlib, and what turns a fitted model back into columns."""
+"""Distributed training, and what turns a fitted model back into columns."""
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
-from pyspark import SparkContext
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
 from emberline.functions.scorer import LinearHazard
+from emberline.operators import boosting as bo
 from emberline.operators import drift as dr
 from emberline.operators import journal as jr
 from emberline.operators.metrics import METRICS, long_scores, metrics_row
 from emberline.operators.woe import WoeTable, apply_woe, fit_woe
 
 FUSED = "fused"
-#: Most boosting rounds, those of a segment's small model, and rounds without a better calib loss after which they stop.
+#: Most boosting rounds, those of a segment's small model, and rounds without better calib figures after which they stop.
 ROUNDS, SEGMENT_ROUNDS, PATIENCE = 1000, 300, 50
 
 
@@ -100,130 +101,75 @@ def fit_hazard(
 
 
 def assemble(df: DataFrame, features: Sequence[str], means: dict[str, float], output: str = "_x") -> DataFrame:
-    """Feature vector with means for missing values and a flag for each feature that had any."""
+    """Feature vector of a linear model, with means for missing values and a flag for each feature that had any."""
     complete = filled(missing_flags(df, features), features, means)
     columns = [*features, *[f"{f}_missing" for f in features]]
     return VectorAssembler(inputCols=columns, outputCol=output).transform(complete)
 
 
-def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """Trees of the least loss before `patience` rounds without a lesser one, and whether these came to pass."""
-    best = 0
-    for at, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = at
-        elif at - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model after its first n rounds."""
-    java, context = model._java_obj, SparkContext._active_spark_context
-    kept = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = context._gateway.new_array(context._jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(java.trees()[:n], model.treeWeights[:n], strict=True)):
-        kept[i], weights[i] = tree, float(weight)
-    shorter = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, weights, java.numFeatures(), java.numClasses())
-    java.copyValues(shorter, context._jvm.org.apache.spark.ml.param.ParamMap())
-    return GBTClassificationModel(shorter)
-
-
-def fit_trees(
-    df: DataFrame, label: str, vector: str = "_x", iterations: int = ROUNDS, depth: int = 4, weighted: bool = True, patience: int = PATIENCE
-):
-    """Boosted trees on split = train, with the rounds that split = calib likes best.
-
-    Boosting ends after `patience` rounds without a lesser weighted log loss of calib. MLlib cannot go on from a fitted
-    model, so a fit that has not come to its end is fitted anew with four times the rounds, up to `iterations`.
-    Without calib rows all rounds are taken.
-    """
-    rows = df.where(F.col("split").isin("train", "calib")).withColumn("_validation", F.col("split") == "calib")
-    training = rows.where(~F.col("_validation"))
-    ratio = training.agg(
-        F.count_if(F.col(label) == 0) / F.greatest(F.count_if(F.col(label) == 1), F.lit(1))
-    ).first()[0]
-    weight = F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)) if weighted else F.lit(1.0)
-    has_validation = rows.where(F.col("_validation")).limit(1).count() > 0
-    held = rows.select(F.col(label).cast("double").alias(label), vector, weight.alias("_w"), "_validation").persist()
-    rounds = min(iterations, 2 * patience) if has_validation else iterations
-    try:
-        while True:
-            model = GBTClassifier(
-                featuresCol=vector, labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=0.1,
-                minInstancesPerNode=20, subsamplingRate=0.8, seed=42,
-            ).fit(held.where(~F.col("_validation")))
-            if not has_validation:
-                return model
-            best, ended = best_round(model.evaluateEachIteration(held.where("_validation")), patience)
-            if ended or rounds >= iterations:
-                return first_trees(model, best)
-            rounds = min(iterations, 4 * rounds)
-    finally:
-        held.unpersist()
+def fit_tree_hazard(
+    panel: DataFrame, features: Sequence[str], categories: Sequence[str] = K.SEGMENT_COLUMNS, event: str = "event",
+    month: str = "months_since_origination", iterations: int = ROUNDS, patience: int = PATIENCE, start: bo.Boosted | None = None,
+) -> bo.Boosted:
+    """Discrete-time hazard by boosted trees on person-periods: numeric features and the month as they are, missing
+    values unfilled, segments as levels. No class weights, so the chances are hazards; stops on split = calib."""
+    return bo.boost(panel, [*features, month], categories, event, iterations, patience=patience, weighted=False, start=start)
 
 
-def score_trees(df: DataFrame, model, name: str) -> DataFrame:
-    scored = model.transform(df).withColumn(name, probability())
-    return scored.drop("rawPrediction", "probability", "prediction")
+def tree_cumulative(df: DataFrame, model: bo.Boosted, name: str, month: str = "months_since_origination", horizon: int = K.HORIZON_MONTHS) -> DataFrame:
+    """`df` of loans with the chance of the event within the horizon, months filled in by code."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @F.pandas_udf("double")
+    def within(frame: pd.DataFrame) -> pd.Series:
+        model, at = shared.value, shared.value.numeric.index(month)
+        codes = model.codes(frame.assign(**{month: 1.0}))
+        survival = np.ones(len(frame))
+        for m in range(1, horizon + 1):
+            codes[:, at] = np.searchsorted(model.edges[month], float(m), side="left") + 1
+            survival *= 1 - bo.chance(model.margins(codes))
+        return pd.Series(1 - survival)
 
-def fit_loan_classifier(df: DataFrame, features: Sequence[str], label: str, iterations: int = ROUNDS):
-    """Loan-level boosted trees with a positive-class weight: (scored rows, model, means)."""
-    means = feature_means(df.where(F.col("split") == "train"), features)
-    vectors = assemble(df, features, means)
-    model = fit_trees(vectors, label, iterations=iterations)
-    return score_trees(vectors, model, "classifier_pd"), model, means
+    columns = [F.col(c).cast("double").alias(c) for c in model.numeric if c != month] + [F.col(c).cast("string").alias(c) for c in model.categories]
+    return df.withColumn(name, within(F.struct(*columns)))
 
 
-def fit_segment_model(df: DataFrame, features: Sequence[str], label: str, iterations: int = SEGMENT_ROUNDS) -> DataFrame:
+def fit_loan_classifier(
+    df: DataFrame, features: Sequence[str], label: str, iterations: int = ROUNDS, categories: Sequence[str] = K.SEGMENT_COLUMNS, patience: int = PATIENCE
+) -> tuple[DataFrame, bo.Boosted]:
+    """Loan-level boosted trees with a positive-class weight: (scored rows, model)."""
+    model = bo.boost(df, features, categories, label, iterations, patience=patience)
+    return bo.scored(df, model, "classifier_pd"), model
+
+
+def fit_segment_model(df: DataFrame, features: Sequence[str], label: str, iterations: int = SEGMENT_ROUNDS, patience: int = PATIENCE) -> DataFrame:
     """The segment's own low-capacity models, fitted on train and compared on the same ordered test rows."""
     train = df.where(F.col("split") == "train")
     means = feature_means(train, features)
     vectors = assemble(df, features, means)
-    fitting = vectors.where(F.col("split") == "train")
-    linear = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.05, maxIter=100).fit(fitting)
-    trees = fit_trees(vectors, label, iterations=iterations, depth=3, weighted=False)
-    test = score_trees(vectors.where(F.col("split") == "test"), linear, "linear_pd")
-    both = score_trees(test, trees, "trees_pd")
+    linear = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.05, maxIter=100).fit(vectors.where(F.col("split") == "train"))
+    trees = bo.boost(df, features, (), label, iterations, depth=3, patience=patience, weighted=False)
+    test = linear.transform(vectors.where(F.col("split") == "test")).withColumn("linear_pd", probability()).drop("rawPrediction", "probability", "prediction")
+    # The vectors' columns were filled for the linear arm; the trees read the table's own.
+    keys = test.select("borrower_id", "linear_pd")
+    both = bo.scored(df.where(F.col("split") == "test"), trees, "trees_pd").join(keys, "borrower_id")
     arms = long_scores(both, label, {"segment_linear": "linear_pd", "small_trees": "trees_pd"})
     return metrics_row(arms, "label", "score", ["model"])
 
 
-def permutation_attributions(
-    df: DataFrame, key: str, features: Sequence[str], model, background: Sequence[Sequence[float]], means: dict[str, float], seed: int = 42
-) -> DataFrame:
-    """Sampled Shapley values of any vector model: (key, feature, contribution).
+def fit_arms(
+    df: DataFrame, arms: dict[str, tuple[Sequence[str], Sequence[str]]], label: str, iterations: int = ROUNDS, patience: int = PATIENCE
+) -> tuple[DataFrame, dict[str, bo.Boosted]]:
+    """Boosted trees on the same rows and split for each arm (its numeric features and categories).
 
-    One permutation per background row, in which None is a missing value. A row meets the bounded table of
-    permutations × (features + 1) steps, and all vectors are scored by one pass of the model; contributions add up to
-    score − mean background score.
+    Returns the test rows with a score for each arm, and the models. A block of features that a row lacks is null in
+    all its columns; trees learn where missing values go, so no row is left out of an arm.
     """
-    rng = random.Random(seed)
-    size, rounds = len(features), len(background)
-    entries = []
-    for base in background:
-        filled_base = [float(means[f] if v is None else v) for f, v in zip(features, base, strict=True)]
-        flags = [float(v is None) for v in base]
-        order = rng.sample(range(size), size)
-        for k in range(size + 1):
-            mine = [i in order[:k] for i in range(size)]
-            entries.append(([*filled_base, *flags], mine * 2, features[order[k - 1]] if k else None, features[order[k]] if k < size else None))
-    table = df.sparkSession.createDataFrame(entries, "base array<double>, mine array<boolean>, gains string, loses string")
-    values = [F.coalesce(F.col(f).cast("double"), F.lit(means[f])) for f in features]
-    missing = [F.col(f).isNull().cast("double") for f in features]
-    pairs = F.zip_with("own", "base", lambda own, base: F.struct(own.alias("own"), base.alias("base")))
-    taken = F.zip_with(pairs, "mine", lambda pair, mine: F.when(mine, pair["own"]).otherwise(pair["base"]))
-    steps = df.select(key, F.array(*values, *missing).alias("own")).crossJoin(F.broadcast(table)).select(
-        key, array_to_vector(taken).alias("_x"), "gains", "loses"
-    )
-    scored = score_trees(steps, model, "score")
-    signed = F.array(
-        F.struct(F.col("gains").alias("feature"), F.col("score").alias("v")),
-        F.struct(F.col("loses").alias("feature"), (-F.col("score")).alias("v")),
-    )
-    pieces = scored.select(key, F.explode(signed).alias("p")).where(F.col("p.feature").isNotNull())
-    return pieces.groupBy(key, "p.feature").agg((F.sum("p.v") / rounds).alias("contribution"))
+    models = {name: bo.boost(df, numeric, categories, label, iterations, patience=patience) for name, (numeric, categories) in arms.items()}
+    scored = df.where(F.col("split") == "test")
+    for name, model in models.items():
+        scored = bo.scored(scored, model, name)
+    return scored, models
 
 
 def evaluate(df: DataFrame, label: str, models: dict[str, str]) -> dict[str, dict[str, float]]:
@@ -240,6 +186,8 @@ def retrain_and_gate(
     iterations: int = ROUNDS,
     depth: int = 4,
     sample_fraction: float | None = None,
+    categories: Sequence[str] = (),
+    patience: int = PATIENCE,
 ) -> dict:
     """Train a challenger, compare it with the production model on the same test rows, promote or hold.
 
@@ -250,14 +198,11 @@ def retrain_and_gate(
     if sample_fraction is not None and sample_fraction < 1.0:
         kept = F.pmod(F.xxhash64("borrower_id", F.lit(42)), F.lit(1_000_000)) < int(sample_fraction * 1_000_000)
         training = data.where((F.col("split") != "train") | kept)
-    # Missing values become 0 and a flag, so a stored model needs no statistics of its training data.
-    means = {f: 0.0 for f in features}
-    model = fit_trees(assemble(training, features, means), label, iterations=iterations, depth=depth)
-    test = assemble(data.where(F.col("split") == "test"), features, means)
-    scored, models = score_trees(test, model, "challenger_pd"), {"challenger": "challenger_pd"}
+    model = bo.boost(training, features, categories, label, iterations, depth=depth, patience=patience)
+    scored, models = bo.scored(data.where(F.col("split") == "test"), model, "challenger_pd"), {"challenger": "challenger_pd"}
     current = production_path(spark, folder, name)
     if current:
-        scored = score_trees(scored, PipelineModel.load(current), "production_pd")
+        scored = bo.scored(scored, bo.load(spark, current), "production_pd")
         models["production"] = "production_pd"
     table = evaluate(scored, label, models)
     challenger, production = table["challenger"], table.get("production")
@@ -278,7 +223,7 @@ def retrain_and_gate(
         "challenger_metrics": challenger, "production_metrics": production,
     }
     if promoted:
-        PipelineModel([model]).write().overwrite().save(f"{folder}/models/{run_id}")
+        bo.save(spark, model, f"{folder}/models/{run_id}")
         result["registered_version"] = jr.move_alias(spark, f"{folder}/aliases", name, "production", run_id)
     return result
 
@@ -290,8 +235,8 @@ def production_path(spark: SparkSession, folder: str, name: str) -> str | None:
         row = aliases.where((F.col("model") == name) & (F.col("alias") == "production")).agg(
             F.max_by("run_id", "version").alias("r")
         ).first()
-    except Exception as error:  # only a table that does not exist yet is expected here
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # only a table that does not exist yet is expected here
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     return f"{folder}/models/{row['r']}" if row and row["r"] else None

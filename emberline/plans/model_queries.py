@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
 from emberline.functions import scalar as S
+from emberline.operators import boosting as bo
 from emberline.operators import features as feat
+from emberline.operators import graph as gr
 from emberline.operators import metrics as met
 from emberline.operators import models as mod
 from emberline.operators import panel as pan
@@ -15,6 +17,7 @@ from emberline.operators import split as sp
 from emberline.operators import woe
 from emberline.plans import frames
 from emberline.plans.book_queries import rounded
+from emberline.plans.insight_queries import described
 from emberline.plans.registry import query
 from emberline.plans.sqlviews import sql
 from emberline.session import cut_lineage
@@ -80,17 +83,19 @@ def fit_scorecard(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fit_hazard")
 def fit_hazard(spark: SparkSession, d: str) -> DataFrame:
+    """The linear hazard, whose scoring is a projection, and boosted trees on the panel with segments."""
     data = split_features(spark, d).where(F.col("duration").isNotNull())
-    panel = pan.expand_person_period(data.select("borrower_id", "split", "duration", "event", *STATIC))
+    panel = cut_lineage(pan.expand_person_period(data.select("borrower_id", "split", "duration", "event", *STATIC, *K.SEGMENT_COLUMNS)))
     scorer = mod.fit_hazard(panel, STATIC)
-    scored = frames.score(data.where(F.col("split") == "test"), scorer)
+    trees = mod.fit_tree_hazard(panel, STATIC)
+    scored = mod.tree_cumulative(frames.score(data.where(F.col("split") == "test"), scorer), trees, "trees_pd")
     known = scored.where(S.evaluable(F.col("event"), F.col("duration")))
-    return met.metric_table(known, "event", {"hazard_12m": "pd"})
+    return met.metric_table(known, "event", {"hazard_12m": "pd", "hazard_trees_12m": "trees_pd"})
 
 
 @query("fit_loan_classifier")
 def fit_loan_classifier(spark: SparkSession, d: str) -> DataFrame:
-    scored, _, _ = mod.fit_loan_classifier(split_features(spark, d), STATIC, "target")
+    scored, _ = mod.fit_loan_classifier(split_features(spark, d), STATIC, "target")
     return met.metric_table(scored.where(F.col("split") == "test"), "target", {"boosted_trees": "classifier_pd"})
 
 
@@ -104,14 +109,40 @@ def fit_segment_model(spark: SparkSession, d: str) -> DataFrame:
 @query("tree_attributions")
 def tree_attributions(spark: SparkSession, d: str) -> DataFrame:
     data = split_features(spark, d)
-    _, model, means = mod.fit_loan_classifier(data, STATIC, "target")
+    _, model = mod.fit_loan_classifier(data, STATIC, "target")
     # A sample of bounded size stands for the book, as many rows as the reference takes.
-    sample = sp.deterministic_sample(data.where(F.col("split") == "train").select("borrower_id", *STATIC), "borrower_id", BACKGROUND_ROWS, 0)
-    background = [[r[f] for f in STATIC] for r in sample.orderBy("borrower_id").collect()]
-    rows = mod.permutation_attributions(data.select("borrower_id", *STATIC), "borrower_id", STATIC, model, background, means)
+    names = [*STATIC, *K.SEGMENT_COLUMNS]
+    sample = sp.deterministic_sample(data.where(F.col("split") == "train").select("borrower_id", *names), "borrower_id", BACKGROUND_ROWS, 0)
+    rows = bo.attributions(data, "borrower_id", model, sample.orderBy("borrower_id").toPandas())
     return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs("contribution")), 6).alias("mean_size"))
 
 
+GRAPH = ["counterparty_concentration", "degree_centrality", "anchor_linkage_flag"]
+
+
+def fused_features(spark: SparkSession, d: str) -> DataFrame:
+    """Structured features with the graph and text columns of the borrowers that have any, others null; with the split."""
+    graph = gr.graph_features(cut_lineage(gr.edge_build(views.edge_rows(spark, d), places=4)))
+    text = described(spark, d)
+    whole = feat.enrich_join(frames.feature_table(spark, d), S.tag_provenance(graph, "transaction_graph"), S.tag_provenance(text, "documents"))
+    return cut_lineage(sp.oot_split(whole, "borrower_id"))
+
+
+@query("fused_ablation")
+def fused_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Structured trees against structured, graph and text trees, fitted on the same split, on the same test rows."""
+    data = fused_features(spark, d)
+    text = [c for c in data.columns if c.startswith("text_pc_")] + ["sentiment_signed", "distress_keyword_flag"]
+    arms = {"structured": (STATIC, K.SEGMENT_COLUMNS), "fused": ([*STATIC, *GRAPH, *text], K.SEGMENT_COLUMNS)}
+    scored, _ = mod.fit_arms(data, arms, "target")
+    scored = cut_lineage(scored.select("borrower_id", "target", *arms))
+    compared = met.paired_auc(scored, "borrower_id", "target", "structured", "fused")
+    rows = met.metrics_row(met.long_scores(scored, "target", {n: n for n in arms}), "label", "score", ["model"])
+    return met.ablation_delta(met.to_long(rows), "structured", "fused").join(
+        compared.select(F.lit("auc_roc").alias("metric"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high")), "metric", "left"
+    )
+
+
 SEGMENT_LEVELS = {
     "loan_type_segment": ("other_proxy", "term_loan_proxy", "working_capital_proxy"),
     "sector_segment": ("Agriculture_Allied", "Manufacturing", "Other_Public", "Retail_Trade", "Services_IT"),

@@ -3,9 +3,9 @@ import random
 import tempfile
 
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from emberline.operators import boosting as bo
 from emberline.operators import features
 from emberline.operators import journal as jr
 from emberline.operators import metrics as met
@@ -196,21 +196,6 @@ def test_hazard_recovers_a_known_model(spark):
     assert scored.agg(F.avg("pd")).first()[0] == pytest.approx(sum(r[3] for r in rows) / len(rows), abs=0.02)
 
 
-def test_tree_attributions_add_up(spark):
-    data = gate_data(spark).limit(400).persist()
-    features, means = ["x", "flag"], {"x": 0.5, "flag": 0.0}
-    vectors = mod.assemble(data, features, means)
-    model = mod.fit_trees(vectors, "y", iterations=3, depth=2)
-    background = [[0.1, 0.0], [0.9, 1.0], [0.5, 0.0]]
-    got = mod.permutation_attributions(data, "borrower_id", features, model, background, means)
-    base = spark.createDataFrame([(float(a), float(b)) for a, b in background], "x double, flag double")
-    base_mean = mod.score_trees(mod.assemble(base, features, means), model, "s").agg(F.avg("s")).first()[0]
-    total = got.groupBy("borrower_id").agg(F.sum("contribution").alias("c"))
-    scored = mod.score_trees(vectors, model, "s").join(total, "borrower_id")
-    worst = scored.agg(F.max(F.abs(F.col("s") - F.lit(base_mean) - F.col("c")))).first()[0]
-    assert scored.count() == 400 and worst < 1e-9
-
-
 def test_every_sector_with_rows_is_known(spark):
     rows = spark.range(3000).select(F.format_string("sector%04d", F.col("id")).alias("sector_segment"))
     for name in ("sector0000", "sector1500", "sector2999"):
@@ -224,24 +209,51 @@ def test_more_than_a_thousand_levels(spark):
     assert len(features.category_levels(rows, ["c"])["c"]) == 1500
 
 
-def test_boosting_stops_on_the_calib_window(spark):
-    assert mod.best_round([3.0, 2.0, 1.0, 1.5, 1.2, 0.5], 2) == (3, True)
-    assert mod.best_round([3.0, 2.0, 2.5], 2) == (2, False)
+def test_classifier_stops_on_the_calib_window_and_takes_nulls(spark):
     g = random.Random(13)
-    rows = [(i, x := g.gauss(0, 1), int(g.random() < 1 / (1 + math.exp(-2 * x))), "calib" if i % 4 == 0 else "train") for i in range(800)]
-    vectors = mod.assemble(spark.createDataFrame(rows, "borrower_id long, x double, y int, split string"), ["x"], {"x": 0.0})
-    model = mod.fit_trees(vectors, "y", depth=2, patience=5)
-    losses = mod.fit_trees(vectors.where("split = 'train'"), "y", depth=2, iterations=40).evaluateEachIteration(vectors.where("split = 'calib'").selectExpr("double(y) y", "_x", "1.0D _w"))
-    # More rounds than the former default were allowed, fewer than all were kept, and the last ones are no worse.
-    assert 1 < model.getNumTrees < 1000 and losses[model.getNumTrees - 1] <= losses[0]
-    assert {"classifier_pd"} <= set(mod.score_trees(vectors, model, "classifier_pd").columns)
-    path = tempfile.mkdtemp() + "/model"
-    PipelineModel([model]).write().overwrite().save(path)
-    assert PipelineModel.load(path).stages[0].getNumTrees == model.getNumTrees
-
-
-def test_background_rows_may_miss_values(spark):
-    data = gate_data(spark).limit(50).persist()
-    model = mod.fit_trees(mod.assemble(gate_data(spark), ["x", "flag"], {"x": 0.5, "flag": 0.0}), "y", iterations=3, depth=2)
-    got = mod.permutation_attributions(data, "borrower_id", ["x", "flag"], model, [[None, 1.0], [0.2, 0.0]], {"x": 0.5, "flag": 0.0})
-    assert got.count() == 100
+    rows = [(i, x := g.gauss(0, 1), g.choice(["a", "b"]), int(g.random() < 1 / (1 + math.exp(-2 * x))), "calib" if i % 4 == 0 else "train") for i in range(800)]
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else x, s, y, p) for i, x, s, y, p in rows], "borrower_id long, x double, s string, y int, split string")
+    scored, model = mod.fit_loan_classifier(df, ["x"], "y", categories=["s"], patience=5)
+    losses = [h[0] for h in model.history]
+    assert 1 < len(model.trees) < 1000 and losses[-1] == min(losses)
+    assert scored.where("classifier_pd is null").count() == 0
+
+
+def test_tree_hazard_recovers_a_known_model(spark):
+    from emberline.operators import panel as pan
+
+    g = random.Random(12)
+    rows = []
+    for i in range(4000):
+        x, s = g.gauss(0, 1), g.choice(["low", "high"])
+        died = next((m for m in range(1, 13) if g.random() < 1 / (1 + math.exp(-(-4 + 0.8 * x + (1.2 if s == "high" else 0))))), None)
+        rows.append((i, x if i % 7 else None, s, died or 12, int(died is not None), "calib" if i % 5 == 0 else "train"))
+    df = spark.createDataFrame(rows, "borrower_id long, x double, s string, duration int, event int, split string")
+    panel = pan.expand_person_period(df).persist()
+    model = mod.fit_tree_hazard(panel, ["x"], ["s"], patience=6, iterations=25)
+    scored = mod.tree_cumulative(df, model, "pd").persist()
+    assert scored.agg(F.avg("pd")).first()[0] == pytest.approx(sum(r[4] for r in rows) / len(rows), abs=0.03)
+    by = {r["s"]: r["m"] for r in scored.groupBy("s").agg(F.avg("pd").alias("m")).collect()}
+    assert by["high"] > by["low"] + 0.1
+    # The months filled in by code equal the panel's own rows.
+    hazards = bo.scored(pan.expand_person_period(df.withColumn("duration", F.lit(12)).withColumn("event", F.lit(0))), model, "h")
+    folded = hazards.groupBy("borrower_id").agg(F.product(1 - F.col("h")).alias("alive")).join(scored, "borrower_id")
+    assert folded.agg(F.max(F.abs(1 - F.col("alive") - F.col("pd")))).first()[0] < 1e-9
+
+
+def test_arms_and_their_paired_interval(spark):
+    g = random.Random(5)
+    rows = []
+    for i in range(3000):
+        a, b = g.gauss(0, 1), g.gauss(0, 1)
+        y = int(g.random() < 1 / (1 + math.exp(-(0.5 * a + 1.5 * b))))
+        rows.append((i, a, b if i % 3 else None, y, "train" if i % 10 < 6 else "calib" if i % 10 < 8 else "test"))
+    df = spark.createDataFrame(rows, "borrower_id long, a double, b double, y int, split string").persist()
+    scored, models = mod.fit_arms(df, {"few": (["a"], []), "all": (["a", "b"], [])}, "y", iterations=12, patience=5)
+    assert set(models) == {"few", "all"} and scored.count() == 600
+    got = met.paired_auc(scored, "borrower_id", "y", "few", "all", replicates=60).first()
+    exact = {r["model"]: r["auc_roc"] for r in met.metrics_row(met.long_scores(scored, "y", {"few": "few", "all": "all"}), "label", "score", ["model"]).collect()}
+    assert got["base_auc"] == pytest.approx(exact["few"], abs=2e-3) and got["other_auc"] == pytest.approx(exact["all"], abs=2e-3)
+    assert 0 < got["low"] < got["delta"] < got["high"]
+    same = met.paired_auc(scored, "borrower_id", "y", "few", "few", replicates=20).first()
+    assert same["low"] == same["delta"] == same["high"] == 0
