@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,47 +20,65 @@ def with_global(counts: DataFrame, segment: str) -> DataFrame:
     return counts.withColumn("_key", keys).drop(segment).withColumnRenamed("_key", segment)
 
 
-Block = list[float]  # x_lo, x_hi, weight, label sum
+BLOCKS = "segment string, part int, x_lo double, x_hi double, w double, y double"
+#: Blocks on either side of an edge between two score ranges that one task pools.
+EDGE_BLOCKS = 256
 
 
-def push_block(stack: list[Block], block: Block) -> None:
-    """Append a block and merge backwards while the mean does not rise."""
-    while stack and stack[-1][3] * block[2] >= block[3] * stack[-1][2]:
-        previous = stack.pop()
-        block = [previous[0], block[1], previous[2] + block[2], previous[3] + block[3]]
-    stack.append(block)
+def pooled(x_lo: np.ndarray, x_hi: np.ndarray, w: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring blocks pooled until their means rise: every falling or level run at once, again while there is one.
 
+    Pooling is associative, so blocks may be pooled in parts first, in any order.
+    """
+    while len(w) > 1:
+        starts = np.flatnonzero(np.append(True, y[:-1] * w[1:] < y[1:] * w[:-1]))
+        if len(starts) == len(w):
+            break
+        ends = np.append(starts[1:], len(w)) - 1
+        x_lo, x_hi, w, y = x_lo[starts], x_hi[ends], np.add.reduceat(w, starts), np.add.reduceat(y, starts)
+    return x_lo, x_hi, w, y
 
-def pool_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pool neighbouring blocks of rows sorted by (segment, x_lo); holds one segment's blocks."""
 
-    def flushed(segment: str, stack: list[Block]) -> pd.DataFrame:
-        frame = pd.DataFrame(stack, columns=["x_lo", "x_hi", "w", "y"])
-        frame.insert(0, "segment", segment)
-        return frame
+def pool_group(frame: pd.DataFrame) -> pd.DataFrame:
+    """The pooled blocks of some neighbours; a block stays in the range in which it starts."""
+    frame = frame.sort_values("x_lo", kind="stable")
+    x_lo, x_hi, w, y = pooled(*(frame[c].to_numpy(dtype=float) for c in ("x_lo", "x_hi", "w", "y")))
+    part = frame["part"].to_numpy()[np.searchsorted(frame["x_lo"].to_numpy(), x_lo)]
+    return pd.DataFrame({"segment": frame["segment"].iloc[0], "part": part, "x_lo": x_lo, "x_hi": x_hi, "w": w, "y": y})
 
-    segment, stack = None, []
-    for batch in batches:
-        for name, x_lo, x_hi, w, y in batch[["segment", "x_lo", "x_hi", "w", "y"]].itertuples(index=False):
-            if name != segment:
-                if stack:
-                    yield flushed(segment, stack)
-                segment, stack = name, []
-            push_block(stack, [x_lo, x_hi, w, y])
-    if stack:
-        yield flushed(segment, stack)
 
+def falling_edges(blocks: DataFrame) -> DataFrame:
+    """(segment, part, other) of neighbouring ranges whose last and first block do not rise; a row for each range at most."""
+    block = F.struct("w", "y")
+    ends = blocks.groupBy("segment", "part").agg(F.min_by(block, "x_lo").alias("first"), F.max_by(block, "x_lo").alias("last"))
+    following = W.partitionBy("segment").orderBy("part")
+    paired = ends.select("segment", "part", "last", F.lead("part").over(following).alias("other"), F.lead("first").over(following).alias("next"))
+    return paired.where(F.col("last.y") * F.col("next.w") >= F.col("next.y") * F.col("last.w")).select("segment", "part", "other")
 
-BLOCKS = "segment string, x_lo double, x_hi double, w double, y double"
+
+def merged_edges(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """The blocks with those next to the given edges pooled over them, at most `EDGE_BLOCKS` from either side; written.
+
+    No range may stand in two edges. Blocks further from an edge are not touched.
+    """
+    sides = edges.select("segment", "part", F.col("part").alias("edge"), F.lit(-1).alias("side")).union(
+        edges.select("segment", F.col("other").alias("part"), F.col("part").alias("edge"), F.lit(1).alias("side"))
+    )
+    marked = blocks.join(sides, ["segment", "part"], "left")
+    # A range holds the blocks that one task has pooled.
+    place = F.row_number().over(W.partitionBy("segment", "part").orderBy(F.col("x_lo") * F.coalesce("side", F.lit(1))))
+    marked = settle(marked.withColumn("near", F.col("side").isNotNull() & (place <= EDGE_BLOCKS)))
+    names = ["segment", "part", "x_lo", "x_hi", "w", "y"]
+    pooled_blocks = marked.where("near").select(*names, "edge").groupBy("segment", "edge").applyInPandas(lambda f: pool_group(f), BLOCKS)
+    return settle(marked.where("not near").select(*names).union(pooled_blocks))
 
 
 def fit_calibrators(df: DataFrame, segment: str, score: str, label: str) -> DataFrame:
     """Isotonic step function per segment and for the whole: (segment, x_lo, x_hi, value, weight).
 
-    Scores are grouped first. Then neighbouring blocks are pooled inside score ranges, in parallel,
-    and the pooled blocks of a segment are pooled once more: wherever the ranges are cut, the fit is
-    the same. Of a 0/1 label over n rows at most O(n^(2/3)) blocks can rise strictly, which bounds
-    what the second step sees.
+    Scores are grouped, cut into ranges and pooled inside each. Then the edges between neighbouring ranges are pooled,
+    every other edge in a round, until all edges rise: pooling changes nothing further away, so no task sees a whole
+    segment, whatever its size. Wherever the ranges are cut, the fit is the same.
     """
     counts = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -69,13 +86,21 @@ def fit_calibrators(df: DataFrame, segment: str, score: str, label: str) -> Data
         .agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(label).cast("double")).alias("y"))
     )
     both = with_global(counts, "segment").groupBy("segment", "x_lo").agg(F.sum("w").alias("w"), F.sum("y").alias("y"))
-    points = both.select("segment", "x_lo", F.col("x_lo").alias("x_hi"), "w", "y")
-    pooled = (
-        points.repartitionByRange("segment", "x_lo").sortWithinPartitions("segment", "x_lo").mapInPandas(pool_sorted, BLOCKS)
-    )
-    final = pooled.repartition("segment").sortWithinPartitions("segment", "x_lo").mapInPandas(pool_sorted, BLOCKS)
+    ranged = settle(both.repartitionByRange("segment", "x_lo").withColumn("part", F.spark_partition_id()))
+    points = ranged.select("segment", "part", "x_lo", F.col("x_lo").alias("x_hi"), "w", "y")
+    blocks = settle(points.groupBy("segment", "part").applyInPandas(lambda f: pool_group(f), BLOCKS))
+    turn = 0
+    while True:
+        edges = settle(falling_edges(blocks))
+        if edges.isEmpty():
+            break
+        # Edges of even and of odd ranges in turn, by their place in the segment.
+        numbered = blocks.select("segment", "part").distinct().withColumn("n", F.row_number().over(W.partitionBy("segment").orderBy("part")))
+        chosen = edges.join(numbered.where(F.col("n") % 2 == turn % 2).drop("n"), ["segment", "part"])
+        blocks = merged_edges(blocks, chosen)
+        turn += 1
     value = F.least(F.greatest(F.col("y") / F.col("w"), F.lit(0.0)), F.lit(1.0))
-    return final.select("segment", "x_lo", "x_hi", value.alias("value"), F.col("w").cast("long").alias("weight"))
+    return blocks.select("segment", "x_lo", "x_hi", value.alias("value"), F.col("w").cast("long").alias("weight"))
 
 
 def calibrator_arrays(calibrators: DataFrame) -> DataFrame:
@@ -120,12 +145,51 @@ def with_segment_rows(df: DataFrame, segment: str, per_segment: DataFrame, paylo
     return joined.withColumn(payload, F.coalesce("_own", fallback)).drop("_seg", "_own")
 
 
+def knots_of(calibrators: DataFrame) -> DataFrame:
+    """(segment, x, value) at both ends of every block."""
+    ends = F.array_distinct(F.array("x_lo", "x_hi"))
+    return calibrators.select("segment", F.explode(ends).alias("x"), "value")
+
+
 def apply_calibration(
     df: DataFrame, calibrators: DataFrame, segment: str, score: str, name: str = "calibrated_pd"
 ) -> DataFrame:
-    """Step function of the row's segment, the global one where the segment has none."""
-    attached = with_segment_rows(df, segment, calibrator_arrays(settle(calibrators)), "knots")
-    return attached.withColumn(name, interpolate(F.col("knots"), F.col(score).cast("double"))).drop("knots")
+    """Step function of the row's segment, the global one where the segment has none.
+
+    Knots and scores are dealt together by (segment, score range). Inside a range a score takes its value from the
+    nearest knots on either side; ranges without a knot on one side get that of the nearest range that has one, from a
+    table with a row for each range.
+    """
+    knots = settle(knots_of(calibrators))
+    # One row for each segment of the model; a table of segments has no bound, so the join is Spark's choice.
+    known = knots.select(F.col("segment").alias("_known")).distinct()
+    keyed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(segment).cast("string").alias("_own"), F.col(score).cast("double").alias("x"))
+    keyed = keyed.join(known, F.col("_own") == F.col("_known"), "left").withColumn("segment", F.coalesce("_known", F.lit(K.GLOBAL_SEGMENT)))
+    kind = keyed.schema["_row"].dataType
+    rows = keyed.where(F.col("x").isNotNull() & ~F.isnan("x")).select("segment", "x", "_row", F.lit(None).cast("struct<x:double,value:double>").alias("k"))
+    points = knots.select("segment", "x", F.lit(None).cast(kind).alias("_row"), F.struct("x", "value").alias("k"))
+    # Scores of one value may be many: a hash of the row deals them over further ranges.
+    ranged = settle(rows.withColumn("_deal", F.rand(7)).union(points.withColumn("_deal", F.lit(-1.0))).repartitionByRange("segment", "x", "_deal").withColumn("_part", F.spark_partition_id()))
+    has = F.when(F.col("k").isNotNull(), F.col("k"))
+    ends = ranged.groupBy("segment", "_part").agg(F.min_by(has, F.when(has.isNotNull(), F.col("x"))).alias("first"), F.max_by(has, F.when(has.isNotNull(), F.col("x"))).alias("last"))
+    ordered = W.partitionBy("segment").orderBy("_part")
+    around = ends.select(
+        "segment", "_part",
+        F.last("last", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        F.first("first", ignorenulls=True).over(ordered.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
+    )
+    inside = W.partitionBy("segment", "_part").orderBy("x", "_deal")
+    left = F.last("k", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    right = F.first("k", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing))
+    near = ranged.withColumns({"_l": left, "_r": right}).where(F.col("_row").isNotNull()).join(around, ["segment", "_part"])
+    near = near.select("_row", "x", F.coalesce("_l", "_before").alias("l"), F.coalesce("_r", "_after").alias("r"))
+    share = F.try_divide(F.col("x") - F.col("l.x"), F.col("r.x") - F.col("l.x"))
+    value = F.when(F.col("l").isNull(), F.col("r.value")).when(F.col("r").isNull() | share.isNull(), F.col("l.value")).otherwise(
+        F.col("l.value") + (F.col("r.value") - F.col("l.value")) * share
+    )
+    without = keyed.where(F.col("x").isNull() | F.isnan("x")).select("_row", F.lit(None).cast("double").alias(name))
+    kept = [c for c in df.columns if c != name]
+    return near.select("_row", value.alias(name)).union(without).select(*[F.col("_row").getField(c).alias(c) for c in kept], name)
 
 
 def reliability_table(df: DataFrame, label: str, score: str, n_bins: int = 10) -> DataFrame:

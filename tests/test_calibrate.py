@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,38 @@ def test_isotonic_equals_min_max_form(spark, scored):
         assert [got[x] for x in xs] == sorted(got[x] for x in xs)
 
 
+def test_pooling_over_edges_equals_pooling_at_once(spark, monkeypatch):
+    """Ranges cut anywhere, and few blocks of each side in a task: the same blocks."""
+    monkeypatch.setattr(cal, "EDGE_BLOCKS", 3)
+    rng = random.Random(4)
+    # A falling stretch in the middle makes one block over many ranges.
+    rows = [("s", i / 400, int(rng.random() < (i / 400 if not 100 < i < 300 else 0.6 - i / 1000))) for i in range(400)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        fitted = cal.fit_calibrators(spark.createDataFrame(rows, "segment string, x double, y int"), "segment", "x", "y")
+        got = sorted((r["x_lo"], r["x_hi"], r["weight"], r["value"]) for r in fitted.where("segment = 's'").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    x = np.array([r[1] for r in rows])
+    want = zip(*cal.pooled(x, x, np.ones(400), np.array([float(r[2]) for r in rows])), strict=True)
+    assert got == [(lo, hi, int(w), pytest.approx(y / w)) for lo, hi, w, y in want]
+    values = isotonic([(v, 1.0, float(y)) for (_, v, y) in rows[:120]])
+    part = cal.pooled(x[:120], x[:120], np.ones(120), np.array([float(r[2]) for r in rows[:120]]))
+    assert np.repeat(part[3] / part[2], part[2].astype(int)) == pytest.approx(values)
+
+
+def test_many_equal_scores_and_plan_without_arrays(spark):
+    rows = [("a", 0.5, i % 2) for i in range(300)] + [("a", 0.1, 0), ("a", 0.9, 1)]
+    fitted = cal.fit_calibrators(spark.createDataFrame(rows, "segment string, x double, y int"), "segment", "x", "y")
+    asked = spark.createDataFrame([("a", 0.5, i) for i in range(2000)] + [("a", 0.7, -1)], "segment string, x double, segment_no int")
+    out = cal.apply_calibration(asked, fitted, "segment", "x")
+    got = {r["segment_no"]: r["calibrated_pd"] for r in out.collect()}
+    assert len(got) == 2001 and {v for k, v in got.items() if k >= 0} == {0.5} and got[-1] == pytest.approx(0.75)
+    plan = out._jdf.queryExecution().toString()
+    assert "scalar-subquery" not in plan and "collect_list" not in plan
+
+
 def test_interpolates_clips_and_falls_back(spark):
     rows = [("a", 0.2, 0), ("a", 0.4, 1), ("a", 0.4, 0)]
     fitted = cal.fit_calibrators(spark.createDataFrame(rows, "segment string, x double, y int"), "segment", "x", "y")
