@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,15 +80,48 @@ def log_run(
     return run_id
 
 
-def move_alias(spark: SparkSession, path: str, model: str, alias: str, run_id: str) -> int:
-    """Register the run as the model's next version and point the alias at it."""
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that must not exist yet; False if someone else has.
+
+    As exclusive as the store's own creation without overwriting; on a local disk the system's exclusive open.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() == "file":
+        local = store.makeQualified(target).toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
     try:
-        last = spark.read.schema(ALIAS_SCHEMA).parquet(path).where(F.col("model") == model).agg(F.max("version")).first()[0]
-    except AnalysisException as error:  # only a table that does not exist yet is expected here
-        if error.getCondition() != "PATH_NOT_FOUND":
+        store.create(target, False).close()
+    except Py4JJavaError as error:
+        if not error.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
             raise
-        last = None
-    version = (last or 0) + 1
+        return False
+    return True
+
+
+def next_version(spark: SparkSession, folder: str) -> int:
+    """A number that no other caller gets for the folder: one file for each, created exclusively, tried upwards."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    taken = [int(f.getPath().getName()) for f in store.listStatus(where)] if store.exists(where) else []
+    version = max(taken, default=0) + 1
+    while not claimed(spark, f"{folder}/{version:09d}"):
+        version += 1
+    return version
+
+
+def move_alias(spark: SparkSession, path: str, model: str, alias: str, run_id: str) -> int:
+    """Register the run as the model's next version and point the alias at it.
+
+    The version is claimed first, so two moves at once get two; a claim whose move fails leaves a gap.
+    """
+    name = hashlib.sha256(model.encode()).hexdigest()[:16]
+    version = next_version(spark, f"{path}/_versions/{name}")
     frame = spark.createDataFrame([(model, alias.lower(), version, run_id, None)], ALIAS_SCHEMA)
     append_log(frame.withColumn("moved_at", F.current_timestamp()), path)
     return version

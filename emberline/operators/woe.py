@@ -1,4 +1,4 @@
-"""Weight-of-evidence bins: counted on Spark, merged where there are only a few rows left."""
+"""Weight-of-evidence bins: pre-bins counted on Spark, and the best way to join the few there are."""
 
 from __future__ import annotations
 
@@ -82,29 +82,57 @@ def prebin_counts(df: DataFrame, features: Sequence[str], target: str, prebins:
     )
 
 
-def merge_bins(bins: Sequence[Bin], trend: str, min_rows: float) -> list[Bin]:
-    """Join neighbours until the event rate moves one way only and every bin is large enough."""
-    rising = trend == "ascending"
-
-    def join(a: Bin, b: Bin) -> Bin:
-        return Bin(a.lo, b.hi, a.n + b.n, a.events + b.events)
-
-    def ordered(rows: Sequence[Bin]) -> list[Bin]:
-        out: list[Bin] = []
-        for b in rows:
-            while out and (out[-1].rate >= b.rate if rising else out[-1].rate <= b.rate):
-                b = join(out.pop(), b)
-            out.append(b)
-        return out
-
-    rows = ordered(bins)
-    while len(rows) > 1 and min(r.n for r in rows) < min_rows:
-        i = min(range(len(rows)), key=lambda j: rows[j].n)
-        left = abs(rows[i].rate - rows[i - 1].rate) if i > 0 else math.inf
-        right = abs(rows[i].rate - rows[i + 1].rate) if i + 1 < len(rows) else math.inf
-        i = i - 1 if left <= right else i
-        rows = ordered([*rows[:i], join(rows[i], rows[i + 1]), *rows[i + 2 :]])
-    return rows
+def information(total: float, total_events: float, n: float, events: float) -> float:
+    """What a bin adds to the information value of its feature."""
+    non_events = max(n - events, 0.5) / max(total - total_events, 0.5)
+    share = max(events, 0.5) / max(total_events, 0.5)
+    return (non_events - share) * math.log(non_events / share)
+
+
+def optimal_bins(bins: Sequence[Bin], trend: str, min_rows: float, total: float | None = None, total_events: float | None = None) -> list[Bin]:
+    """The neighbours to join for the highest information value, with event rates strictly along the trend and bins of
+    `min_rows` at least; all in one bin where that leaves no other way.
+
+    A dynamic programme over the last bin: its best way to be reached from any earlier bin with a rate before its own.
+    It takes cubic time in the number of pre-bins, some twenty.
+    """
+    if not bins:
+        return []
+    total = sum(b.n for b in bins) if total is None else total
+    total_events = sum(b.events for b in bins) if total_events is None else total_events
+    sign = 1 if trend == "ascending" else -1
+    n, events = [0.0], [0.0]
+    for b in bins:
+        n.append(n[-1] + b.n)
+        events.append(events[-1] + b.events)
+    best: dict[tuple[int, int], tuple[float, tuple[int, int] | None]] = {}
+    for end in range(1, len(bins) + 1):
+        for start in range(end):
+            rows, hits = n[end] - n[start], events[end] - events[start]
+            if rows < min_rows or not rows:
+                continue
+            own = information(total, total_events, rows, hits)
+            if start == 0:
+                best[0, end] = (own, None)
+                continue
+            # Rates are compared as products of counts, so equal ones never pass for rising.
+            ways = [
+                (value, (before, start))
+                for before in range(start)
+                if (value := best.get((before, start), (None,))[0]) is not None
+                and sign * (hits * (n[start] - n[before]) - (events[start] - events[before]) * rows) > 0
+            ]
+            if ways:
+                value, came = max(ways, key=lambda way: (way[0], -way[1][0]))
+                best[start, end] = (value + own, came)
+    last = [(value, key) for key, (value, _) in best.items() if key[1] == len(bins)]
+    at: tuple[int, int] | None = max(last, key=lambda way: (way[0], -way[1][0]))[1] if last else (0, len(bins))
+    out = []
+    while at:
+        start, end = at
+        out.append(Bin(bins[start].lo, bins[end - 1].hi, n[end] - n[start], events[end] - events[start]))
+        at = best.get(at, (0.0, None))[1]
+    return out[::-1]
 
 
 def fit_woe(
@@ -115,7 +143,7 @@ def fit_woe(
     min_share: Mapping[str, float] = K.WOE_MIN_BIN,
     prebins: int = PREBINS,
 ) -> dict[str, WoeTable]:
-    """Monotone bins per feature. Only the pre-bin counts, some twenty rows per feature, are fetched."""
+    """Monotone bins of the highest information value per feature. Only the pre-bin counts, some twenty rows per feature, are fetched."""
     rows = prebin_counts(train, features, target, prebins).collect()
     tables = {}
     for feature in features:
@@ -127,7 +155,7 @@ def fit_woe(
         bins = [
             Bin(lo, hi, r["n"], r["events"]) for r, lo, hi in zip(present, lows, [*lows[1:], math.inf], strict=True)
         ]
-        merged = merge_bins(bins, trends.get(feature, "ascending"), min_share.get(feature, MIN_SHARE) * total)
+        merged = optimal_bins(bins, trends.get(feature, "ascending"), min_share.get(feature, MIN_SHARE) * total, total, events)
         missing = Bin(math.nan, math.nan, gone[0]["n"], gone[0]["events"]) if gone else None
         tables[feature] = WoeTable(feature, tuple(merged), missing, total, events)
     return tables

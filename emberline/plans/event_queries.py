@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as K
 from emberline.functions import grades as G
+from emberline.functions.scalar import evaluable
 from emberline.functions.scalar import feature_payload as payload_of
 from emberline.functions.scorer import DEMO_SCORER
 from emberline.operators import features as feat
 from emberline.operators import journal as jr
+from emberline.operators import metrics as met
 from emberline.operators import online as on
 from emberline.operators import portfolio as port
 from emberline.plans import frames
@@ -18,6 +22,7 @@ from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
 from emberline.plans.sqlscore import grade_sql, logit_sql, pd_sql
 from emberline.plans.sqlviews import sql, view
+from emberline.session import ensure_checkpoint_dir
 from emberline.sources import views
 from emberline.sources.events import event_records, parse_events
 from emberline.streaming import replay
@@ -162,13 +167,27 @@ def merge_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("feature_at", sql(
-    """SELECT e.event_id, p.asof_value FROM (SELECT * FROM evts WHERE type = 'gst_filing') e
-    ASOF LEFT JOIN (SELECT loan_id, ts, value AS asof_value FROM evts WHERE type = 'repayment') p ON p.loan_id = e.loan_id AND e.ts >= p.ts""", "evts"))
+    """SELECT e.event_id, p.asof_value, p.asof_at FROM evts e
+    ASOF LEFT JOIN (SELECT loan_id, ts, max(value) AS asof_value, ts AS asof_at FROM evts GROUP BY 1, 2) p ON p.loan_id = e.loan_id AND e.ts >= p.ts""", "evts"))
 def feature_at(spark: SparkSession, d: str) -> DataFrame:
+    """Every event probes, and every event is a fact, its own among them."""
     events = views.loan_events(spark, d)
-    probes = events.where(F.col("type") == "gst_filing").select("event_id", "loan_id", "ts")
-    facts = events.where(F.col("type") == "repayment").select("loan_id", "ts", "value")
-    return on.feature_at(probes, facts, "loan_id", "ts", ["value"]).select("event_id", "asof_value")
+    probes = events.select("event_id", "loan_id", "ts")
+    facts = events.select("loan_id", "ts", "value", F.col("ts").alias("at"))
+    return on.feature_at(probes, facts, "loan_id", "ts", ["value", "at"]).select("event_id", "asof_value", "asof_at")
+
+
+@query("write_through", SOURCES.replace("CASE WHEN l_partkey IN (SELECT user_id FROM events) THEN 'online'", "CASE WHEN l_partkey IN (SELECT user_id FROM events) THEN 'online' WHEN l_partkey IN (SELECT c_custkey FROM customer) THEN 'online'"))
+def write_through(spark: SparkSession, d: str) -> DataFrame:
+    """The same lookup again after the first has written its offline hits through."""
+    path = f"{ensure_checkpoint_dir(spark)}/online-{uuid.uuid4().hex}"
+    customers = views.table(spark, d, "customer").select(F.col("c_custkey").alias("borrower_id"), "c_mktsegment")
+    on.materialize(customers, "borrower_id", views.loan_events(spark, d).select(F.col("loan_id").alias("borrower_id"))).write.parquet(path)
+    requests = views.table(spark, d, "lineitem").select(F.col("l_partkey").alias("borrower_id"))
+    offline = on.materialize(customers, "borrower_id")
+    on.write_through(on.online_or_offline(requests, on.online_table(spark, path, "borrower_id"), offline, "borrower_id"), "borrower_id", path)
+    again = on.online_or_offline(requests, on.online_table(spark, path, "borrower_id"), offline, "borrower_id")
+    return again.select("borrower_id", "source")
 
 
 @query("slice_by_ids", sql("SELECT borrower_id, data_richness FROM segd WHERE borrower_id IN (SELECT loan_id FROM evts)", "segd", "evts"))
@@ -255,15 +274,23 @@ def newest_decision(spark: SparkSession, d: str) -> DataFrame:
     return on.latest_per_key(decisions(spark, d).select("loan_id", "record_id", "decision"), "loan_id", ["record_id"])
 
 
+AUC_SQL = "round((sum({r}) FILTER (WHERE event = 1) - count(*) FILTER (WHERE event = 1) * (count(*) FILTER (WHERE event = 1) + 1) / 2) / (count(*) FILTER (WHERE event = 1) * count(*) FILTER (WHERE event = 0)), 4)"
+RANK_SQL = "rank() OVER (PARTITION BY loan_type_segment ORDER BY {c}) + (count(*) OVER (PARTITION BY loan_type_segment, {c}) - 1) / 2"
+
+
 @query("gate_reason", sql(
-    """SELECT loan_type_segment, c >= p AS promoted, CASE WHEN c >= p THEN printf('PROMOTED: AUC %.4f against %.4f in production, same test window.', c, p)
+    f"""SELECT loan_type_segment, c >= p AS promoted, CASE WHEN c >= p THEN printf('PROMOTED: AUC %.4f against %.4f in production, same test window.', c, p)
       ELSE printf('HELD: AUC %.4f against %.4f in production, same test window; a person decides.', c, p) END AS reason FROM (
-      SELECT loan_type_segment, round(avg(pd), 4) AS c, round(avg(late_installment_rate), 4) AS p FROM book GROUP BY 1) g""", "book"))
+      SELECT loan_type_segment, {AUC_SQL.format(r="r1")} AS c, {AUC_SQL.format(r="r2")} AS p FROM (
+        SELECT loan_type_segment, event, {RANK_SQL.format(c="pd")} AS r1, {RANK_SQL.format(c="late_installment_rate")} AS r2 FROM book WHERE event = 1 OR duration >= 12) k GROUP BY 1) g""", "book"))
 def gate_reason(spark: SparkSession, d: str) -> DataFrame:
-    arms = frames.scored_book(spark, d).groupBy("loan_type_segment").agg(
-        F.round(F.avg("pd"), 4).alias("challenger"), F.round(F.avg("late_installment_rate"), 4).alias("production")
-    )
-    decided = arms.withColumn("g", jr.gate_decision(F.col("challenger"), F.col("production")))
+    """The gate for each segment: AUC of the scored PD against that of the late rate alone, on the same loans."""
+    known = frames.scored_book(spark, d).where(evaluable(F.col("event"), F.col("duration")))
+    arms = met.long_scores(known, "event", {"challenger": "pd", "production": "late_installment_rate"}, ["loan_type_segment"])
+    rows = met.metrics_row(arms, "label", "score", ["loan_type_segment", "model"])
+    of = lambda name: F.max(F.when(F.col("model") == name, F.col("auc_roc")))
+    both = rows.groupBy("loan_type_segment").agg(of("challenger").alias("challenger"), of("production").alias("production"))
+    decided = both.withColumn("g", jr.gate_decision(F.col("challenger"), F.col("production")))
     return decided.select("loan_type_segment", "g.promoted", "g.reason")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from emberline.plans.book_queries import rounded
 from emberline.plans.insight_queries import described
 from emberline.plans.registry import query
 from emberline.plans.sqlviews import sql
-from emberline.session import cut_lineage
+from emberline.session import cut_lineage, ensure_checkpoint_dir
 from emberline.sources import views
 
 STATIC = list(K.CORE_FEATURES)
@@ -143,6 +145,29 @@ def fused_ablation(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def outcome(spark: SparkSession, result: dict | None, status: int | None = None) -> DataFrame:
+    gate = result or {}
+    auc = (gate.get("challenger_metrics") or {}).get("auc_roc")
+    row = (status, gate.get("promoted"), gate.get("reason"), gate.get("registered_version"), auc)
+    return spark.createDataFrame([row], "status int, promoted boolean, reason string, version int, challenger_auc double")
+
+
+@query("retrain_and_gate")
+def retrain_and_gate(spark: SparkSession, d: str) -> DataFrame:
+    """A challenger for an empty registry, with segments; it is registered as the first version."""
+    where = f"{ensure_checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    return outcome(spark, mod.retrain_and_gate(split_features(spark, d), STATIC, "target", where, categories=K.SEGMENT_COLUMNS))
+
+
+@query("drift_triggered_retrain")
+def drift_triggered_retrain(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of the test window against the others, and the gated retrain if it triggers."""
+    where = f"{ensure_checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    data = split_features(spark, d)
+    found = mod.drift_triggered_retrain(data, F.col("split") == "test", data, STATIC, "target", where, categories=K.SEGMENT_COLUMNS)
+    return outcome(spark, found["gate"], found["status"])
+
+
 SEGMENT_LEVELS = {
     "loan_type_segment": ("other_proxy", "term_loan_proxy", "working_capital_proxy"),
     "sector_segment": ("Agriculture_Allied", "Manufacturing", "Other_Public", "Retail_Trade", "Services_IT"),

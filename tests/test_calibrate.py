@@ -119,10 +119,12 @@ def test_equal_scores_make_one_band(spark):
     assert {(r["lo"], r["hi"], r["n"]) for r in bands.collect()} == {(0.0, 1.0, 300)}
 
 
-def test_disagreement_margin(spark):
-    rows = [(0.30, 0.50), (0.30, 0.44), (0.30, 0.45), (0.30, 0.4501)]
-    got = spark.createDataFrame(rows, "a double, b double").select(models_disagree(F.col("a"), F.col("b"))).collect()
-    assert [r[0] for r in got] == [True, False, False, True]
+def test_models_disagree_beyond_the_margin_in_either_direction(spark):
+    margin, base = 0.15, 0.4
+    gaps = [round(k * 0.01, 2) for k in range(-30, 31)]
+    rows = spark.createDataFrame([(base, base + g, g) for g in gaps], "one double, other double, gap double")
+    got = {r["gap"]: r["d"] for r in rows.select("gap", models_disagree(F.col("one"), F.col("other")).alias("d")).collect()}
+    assert got == {g: abs(g) > margin for g in gaps}
 
 
 def test_reliability_counts_add_up(spark):

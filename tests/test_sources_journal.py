@@ -257,3 +257,66 @@ def test_arms_and_their_paired_interval(spark):
     assert 0 < got["low"] < got["delta"] < got["high"]
     same = met.paired_auc(scored, "borrower_id", "y", "few", "few", replicates=20).first()
     assert same["low"] == same["delta"] == same["high"] == 0
+
+
+def every_partition(n):
+    """All ways to cut n neighbours, as lists of (start, end)."""
+    for mask in range(1 << (n - 1)):
+        cuts = [0, *[i + 1 for i in range(n - 1) if mask >> i & 1], n]
+        yield list(zip(cuts, cuts[1:]))
+
+
+@pytest.mark.parametrize("trend", ["ascending", "descending"])
+def test_bins_are_the_best_of_all(trend):
+    g = random.Random(trend)
+    for _ in range(25):
+        size = g.randint(1, 12)
+        bins = [woe.Bin(float(i), float(i + 1), n := g.randint(1, 60), g.randint(0, n)) for i in range(size)]
+        total, hits, least = sum(b.n for b in bins), sum(b.events for b in bins), g.choice([0, 20, 60])
+        best = None
+        for cut in every_partition(size):
+            parts = [(sum(b.n for b in bins[a:e]), sum(b.events for b in bins[a:e])) for a, e in cut]
+            rates = [e / n for n, e in parts]
+            steps = [b - a if trend == "ascending" else a - b for a, b in zip(rates, rates[1:])]
+            if min(n for n, _ in parts) >= least and all(x > 1e-12 for x in steps):
+                value = sum(woe.information(total, hits, n, e) for n, e in parts)
+                best = value if best is None else max(best, value)
+        got = woe.optimal_bins(bins, trend, least)
+        value = sum(woe.information(total, hits, b.n, b.events) for b in got)
+        assert (got[0].lo, got[-1].hi) == (0.0, float(size)) and sum(b.n for b in got) == total
+        assert len(got) == 1 if best is None else value == pytest.approx(best)
+
+
+def test_versions_are_given_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    where = folder("aliases") + "/aliases"
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(lambda i: jr.move_alias(spark, where, "m", "production", f"run{i}"), range(12)))
+    assert sorted(versions) == list(range(1, 13))
+    rows = spark.read.schema(jr.ALIAS_SCHEMA).parquet(where).where("model = 'm'")
+    assert rows.count() == 12 and rows.select("version").distinct().count() == 12
+    assert jr.move_alias(spark, where, "other", "production", "r") == 1
+
+
+def test_newest_versions_write_through_and_reset(spark):
+    offline = spark.createDataFrame([(k, v, 10.0 * k + v) for k in range(1, 5) for v in range(3)], "id long, version int, x double")
+    rows = on.materialize(offline, "id", order=["version"]).select("id", F.get_json_object("features", "$.x").cast("double").alias("x"))
+    assert {r["id"]: r["x"] for r in rows.collect()} == {k: 10.0 * k + 2 for k in range(1, 5)}
+    path, whole = folder("online") + "/rows", on.materialize(offline, "id", order=["version"])
+    on.materialize(offline.withColumn("x", F.lit(-1.0)), "id", spark.createDataFrame([(1,)], "id long"), order=["version"]).write.parquet(path)
+    asked = spark.createDataFrame([(1,), (2,), (2,), (9,)], "id long")
+    sources = lambda: {r["id"]: r["source"] for r in on.online_or_offline(asked, on.online_table(spark, path, "id"), whole, "id").collect()}
+    assert sources() == {1: "online", 2: "offline_fallback", 9: "unknown"}
+    assert on.write_through(on.online_or_offline(asked, on.online_table(spark, path, "id"), whole, "id"), "id", path).count() == 1
+    assert sources() == {1: "online", 2: "online", 9: "unknown"}
+    on.reset_rows(offline, "id", spark.createDataFrame([(1,)], "id long"), path, order=["version"])
+    newest = on.online_table(spark, path, "id").where("id = 1").select(F.get_json_object("features", "$.x").cast("double")).first()[0]
+    assert newest == 12.0
+
+
+def test_facts_of_one_time_take_the_greatest(spark):
+    facts = spark.createDataFrame([(1, 5, 3.0), (1, 5, 9.0), (1, 5, 4.0), (1, 7, 1.0)], "k long, ts int, v double").repartition(4)
+    probes = spark.createDataFrame([(1, 4), (1, 5), (1, 6), (1, 8)], "k long, ts int")
+    got = on.feature_at(probes, facts, "k", "ts", ["v"], coarse=F.col("ts") / 2)
+    assert sorted((r["ts"], r["asof_v"]) for r in got.collect()) == [(4, None), (5, 9.0), (6, 9.0), (8, 1.0)]
