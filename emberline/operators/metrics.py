@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.operators.ordered import running_totals
 from emberline.functions.scalar import clip
+from emberline.session import settle
 
 METRICS = ("auc_roc", "ks", "pr_auc", "recall_at_fpr10", "brier")
 
@@ -54,6 +58,60 @@ def curve_metrics(curve: DataFrame, groups: Sequence[str] = (), max_fpr: float =
     )
 
 
+def score_buckets(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), buckets: int = 1000) -> DataFrame:
+    """(group, bucket, score, pos, neg): rows by score ranges of about equal share, `score` the highest of the range.
+
+    The ends come from mergeable quantile sketches, one for each group, so no score is sorted; rows of one score fall
+    into one bucket. A group is a row of the table of ends, which holds `buckets` numbers for it.
+    """
+    kept = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    keys = [F.col(g).cast("string") for g in groups] or [F.lit("")]
+    keyed = kept.select(*groups, F.to_json(F.array(*keys)).alias("_g"), F.col(score).cast("double").alias("_s"), F.col(label).cast("long").alias("_y"))
+    shares = [i / buckets for i in range(1, buckets)]
+    ends = settle(keyed.groupBy("_g").agg(F.array_distinct(F.percentile_approx("_s", shares, 10 * buckets)).alias("_e")))
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at = np.zeros(len(frame), dtype=np.int64)
+            for _, rows in frame.groupby("_g", sort=False):
+                held = frame.index.get_indexer(rows.index)
+                at[held] = np.searchsorted(rows["_e"].iloc[0], rows["_s"].to_numpy(), side="left")
+            yield frame.drop(columns="_e").assign(bucket=at)
+
+    joined = keyed.join(ends, "_g").select(*groups, "_g", "_s", "_y", "_e")
+    schema = T.StructType([*[f for f in joined.schema.fields if f.name != "_e"], T.StructField("bucket", T.LongType())])
+    return joined.mapInPandas(placed, schema).groupBy(*groups, "bucket").agg(
+        F.max("_s").alias("score"), F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")
+    )
+
+
+def bucketed_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), buckets: int = 1000) -> DataFrame:
+    """Bounds of AUC and KS from bucketed scores: the true values lie between `_low` and `_high`.
+
+    In a bucket the positives may rank above all its negatives or below. KS is known at the ends of buckets, and inside
+    one it cannot pass what remains if one class came first.
+    """
+    counts = score_buckets(df, label, score, groups, buckets)
+    # At most `buckets` rows a group.
+    inside = W.partitionBy(*(groups or [F.lit(0)]))
+    upto = inside.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, 0)
+    lower = inside.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    rows = counts.select(
+        *groups, "pos", "neg", F.coalesce(F.sum("neg").over(lower), F.lit(0)).alias("under"),
+        F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn"), F.sum("pos").over(inside).alias("p"), F.sum("neg").over(inside).alias("n"),
+    )
+    share = lambda c, whole: F.try_divide(F.col(c), F.col(whole))
+    tpr, fpr = share("cp", "p"), share("cn", "n")
+    before_t, before_f = F.try_divide(F.col("cp") - F.col("pos"), F.col("p")), F.try_divide(F.col("cn") - F.col("neg"), F.col("n"))
+    pairs = F.max(F.col("p") * F.col("n"))
+    return rows.groupBy(*groups).agg(
+        F.try_divide(F.sum(F.col("pos") * F.col("under")), pairs).alias("auc_low"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg"))), pairs).alias("auc_high"),
+        F.max(F.abs(tpr - fpr)).alias("ks_low"),
+        F.max(F.greatest(tpr - before_f, fpr - before_t)).alias("ks_high"),
+    )
+
+
 def metrics_row(
     df: DataFrame, label: str, score: str, groups: Sequence[str] = (), places: int = 4
 ) -> DataFrame:

@@ -11,13 +11,14 @@ from emberline.operators.ordered import running_totals
 
 
 def split_thresholds(
-    df: DataFrame, id_column: str, train: float = K.TRAIN_FRACTION, calib: float = K.CALIB_FRACTION
+    df: DataFrame, id_column: str, train: float = K.TRAIN_FRACTION, calib: float = K.CALIB_FRACTION, weight: str | None = None
 ) -> DataFrame:
     """One row: the last id of the train and of the calib window, by row position.
 
-    The position is floor(n · fraction) − 1 in double arithmetic, fractions added first.
+    The position is floor(n · fraction) − 1 in double arithmetic, fractions added first. `weight` names how many rows
+    a row stands for, so a table can be split before it is expanded.
     """
-    counts = df.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(id_column).agg((F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast("long"))).alias("n"))
     ranked = running_totals(counts, id_column, ["n"])
     total = F.col("total_n")
 
@@ -35,10 +36,10 @@ def window_of(id_column: Column, train_end: Column, calib_end: Column) -> Column
 
 
 def oot_split(
-    df: DataFrame, id_column: str, train: float = K.TRAIN_FRACTION, calib: float = K.CALIB_FRACTION
+    df: DataFrame, id_column: str, train: float = K.TRAIN_FRACTION, calib: float = K.CALIB_FRACTION, weight: str | None = None
 ) -> DataFrame:
     """Add `split`; all rows of one id fall in the same window."""
-    ends = split_thresholds(df, id_column, train, calib).select(F.struct("train_end", "calib_end").alias("e")).scalar()
+    ends = split_thresholds(df, id_column, train, calib, weight).select(F.struct("train_end", "calib_end").alias("e")).scalar()
     split = window_of(F.col(id_column), F.col("_ends.train_end"), F.col("_ends.calib_end"))
     return df.withColumn("_ends", ends).withColumn("split", split).drop("_ends")
 

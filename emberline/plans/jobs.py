@@ -40,9 +40,9 @@ def build_features(tables: Mapping[str, DataFrame], folder: str, gate: bool = Tr
 def split_panel(features: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Person-period rows and loans, both with the window of the row-weighted ordered split."""
     loans = features.where(F.col("duration").isNotNull())
-    panel = pan.expand_person_period(loans.select("borrower_id", "duration", "event", *names))
-    ends = sp.split_thresholds(panel, "borrower_id").first()
+    ends = sp.split_thresholds(loans.select("borrower_id", "duration"), "borrower_id", weight="duration").first()
     split = sp.window_of(F.col("borrower_id"), F.lit(ends["train_end"]), F.lit(ends["calib_end"]))
+    panel = pan.expand_person_period(loans.select("borrower_id", "duration", "event", *names))
     return panel.withColumn("split", split), loans.withColumn("split", split)
 
 

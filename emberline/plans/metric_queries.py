@@ -18,6 +18,7 @@ from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
 from emberline.plans.sqlviews import sql, view
 from emberline.session import cut_lineage
+from emberline.session import settle
 from emberline.sources import views
 
 # ---- split
@@ -34,15 +35,21 @@ view(
 SPLIT = "CASE WHEN borrower_id <= train_end THEN 'train' WHEN borrower_id <= calib_end THEN 'calib' ELSE 'test' END"
 
 
+def split_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Person-periods with their window, which is found from the loans' durations before they are expanded."""
+    loans = settle(pan.recent_loan_durations(views.installments(spark, d)))
+    return pan.expand_person_period(sp.oot_split(loans, "borrower_id", weight="duration"))
+
+
 @query("oot_split", sql(f"SELECT borrower_id, months_since_origination, event, {SPLIT} AS split FROM panel, ends", "ends"))
 def oot_split(spark: SparkSession, d: str) -> DataFrame:
-    return sp.oot_split(pan.build_person_period_panel(views.installments(spark, d)), "borrower_id")
+    return split_panel(spark, d).select("borrower_id", "months_since_origination", "event", "split")
 
 
 @query("window_filter", sql(
     f"SELECT split, count(*) AS n, sum(event) AS events FROM (SELECT event, {SPLIT} AS split FROM panel, ends) s WHERE split <> 'train' GROUP BY 1", "ends"))
 def window_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = sp.oot_split(pan.build_person_period_panel(views.installments(spark, d)), "borrower_id")
+    rows = split_panel(spark, d)
     return rows.where(F.col("split") != "train").groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event").alias("events")
     )
@@ -157,6 +164,21 @@ NAIVE_SQL = (
 )
 
 
+@query("auc_bounds", sql(
+    f"SELECT model, round(auc_roc, 4) AS auc_roc, round(ks, 4) AS ks, true AS auc_inside, true AS ks_inside FROM (SELECT model, {metric_sql(4)} FROM model_curve GROUP BY 1) m", "model_curve"))
+def auc_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of the whole curve, and whether the bounds from bucketed scores hold them."""
+    arms = settle(met.long_scores(evaluable_models(spark, d), "event", MODELS))
+    exact = met.metrics_row(arms, "label", "score", ["model"]).select("model", "auc_roc", "ks")
+    bounds = met.bucketed_metrics(arms, "label", "score", ["model"], buckets=64)
+    slack = 5e-5
+    return exact.join(bounds, "model").select(
+        "model", "auc_roc", "ks",
+        F.col("auc_roc").between(F.col("auc_low") - slack, F.col("auc_high") + slack).alias("auc_inside"),
+        F.col("ks").between(F.col("ks_low") - slack, F.col("ks_high") + slack).alias("ks_inside"),
+    )
+
+
 @query("metric_table", sql(
     f"SELECT model, {metric_sql(4)}, NULL AS accuracy_for_contrast_only FROM model_curve GROUP BY 1 UNION ALL {NAIVE_SQL}", "model_curve"))
 def metric_table(spark: SparkSession, d: str) -> DataFrame:

@@ -53,3 +53,29 @@ def test_separability(spark):
     single = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, f int")
     with pytest.raises(met.SeparabilityError):
         met.assert_separable(met.separability(single, "f", "x"))
+
+
+@pytest.mark.parametrize("shape", ["skewed", "tied", "one"])
+def test_bounds_hold_the_true_values(spark, shape):
+    rng = random.Random(shape)
+    draw = {"skewed": lambda: rng.random() ** 12, "tied": lambda: rng.choice([0.1, 0.2, 0.7]), "one": lambda: 0.5}[shape]
+    rows = [("g", s := draw(), int(rng.random() < 0.1 + 0.5 * s)) for _ in range(900)] + [("h", rng.random(), int(rng.random() < 0.4)) for _ in range(200)]
+    df = spark.createDataFrame([*rows, ("g", None, 1), ("g", 0.3, None)], "k string, s double, y int").repartition(3)
+    bounds = {r["k"]: r for r in met.bucketed_metrics(df, "y", "s", ["k"], buckets=20).collect()}
+    for name in ("g", "h"):
+        auc, ks, *_ = brute([(s, y) for k, s, y in rows if k == name])
+        b = bounds[name]
+        assert b["auc_low"] - 1e-9 <= auc <= b["auc_high"] + 1e-9 and b["auc_high"] - b["auc_low"] < (1.01 if shape != "skewed" or name == "h" else 0.2)
+        assert b["ks_low"] - 1e-9 <= ks <= b["ks_high"] + 1e-9
+    counts = met.score_buckets(df, "y", "s", ["k"], 20).where("k = 'g'").selectExpr("sum(pos + neg)", "count(*)").first()
+    assert counts[0] == 900 and counts[1] <= 20
+
+
+def test_windows_by_weight_equal_windows_of_rows(spark):
+    from emberline.operators import panel, split
+
+    rng = random.Random(6)
+    loans = spark.createDataFrame([(i, rng.randint(1, 9), 0) for i in range(150)], "borrower_id long, duration int, event int")
+    late = split.oot_split(panel.expand_person_period(loans), "borrower_id").select("borrower_id", "split").distinct()
+    early = split.oot_split(loans, "borrower_id", weight="duration").select("borrower_id", "split")
+    assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect()))
