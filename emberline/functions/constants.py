@@ -134,6 +134,8 @@ FEATURE_LABELS = {
     "prior_late_rate": "Late-payment rate on earlier loans",
     "prior_n_installments": "Installments observed on earlier loans",
 }
+
+# Features of the hazard model, of its structure, and its segments.
 CORE_FEATURES = (
     "credit_income_ratio",
     "annuity_income_ratio",
@@ -192,6 +194,11 @@ RATIO_INFLATION = 1.4
 LATE_STEP = 0.2
 LATE_RELIEF = 0.8
 
+# What the gate before serving asks of the feature table.
+GATE_COLUMNS = ("loan_type_segment", "data_richness")
+GATE_NULL_RATES = {"credit_income_ratio": 0.05}
+GATE_RANGES = {"late_installment_rate": (0.0, 1.0), "age_years": (18.0, 100.0)}
+
 # Officer decisions.
 DECISIONS = ("accept", "modify", "override")
 REASON_REQUIRED = ("modify", "override")

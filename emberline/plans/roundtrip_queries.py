@@ -257,7 +257,7 @@ def grade_shares(spark: SparkSession, d: str) -> DataFrame:
     return grade_distribution(frames.scored_book(spark, d)).where("n > 0").select("risk_grade", "share")
 
 
-@query("quality_column_present", """SELECT 'column present: ' || name AS "check", CAST(found AS DOUBLE) AS observed, found = 1 AS passed FROM (
+@query("quality_column_present", """SELECT name || ': exists' AS "check", CAST(found AS DOUBLE) AS observed, found = 1 AS passed FROM (
   SELECT name, (SELECT count(*) FROM (DESCRIBE orders) c WHERE c.column_name = name) AS found FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_nothing']) AS name) n) t""")
 def quality_column_present(spark: SparkSession, d: str) -> DataFrame:
     orders = views.table(spark, d, "orders")
