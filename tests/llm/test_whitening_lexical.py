@@ -137,3 +137,14 @@ def test_ranking_of_nothing(spark):
     assert lexical.ranked(left.limit(0), right).collect() == []
     assert lexical.ranked(left, right.limit(0)).collect() == []
     assert lexical.ranked(left.where("text is null"), right).collect() == []
+
+
+def test_small_batches_leave_the_session_as_it_was(spark):
+    from pyspark.sql import types as T
+
+    from emberline.llm import common
+
+    before = spark.conf.get(common.BATCH_LIMIT)
+    docs = spark.createDataFrame([("a",)] * 3, "text string")
+    assert common.per_batch(docs, ["text"], [T.StructField("n", T.LongType())], lambda: lambda t: [[len(t)] * len(t)]).count() == 3
+    assert spark.conf.get(common.BATCH_LIMIT) == before
