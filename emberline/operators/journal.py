@@ -22,6 +22,7 @@ ALIAS_SCHEMA = "model string, alias string, version int, run_id string, moved_at
 
 
 def append_log(rows: DataFrame, path: str) -> None:
+    """Append to a folder, one writer at a time: writers of one folder share its committer's temporary files."""
     rows.write.mode("append").parquet(path)
 
 
@@ -118,12 +119,13 @@ def next_version(spark: SparkSession, folder: str) -> int:
 def move_alias(spark: SparkSession, path: str, model: str, alias: str, run_id: str) -> int:
     """Register the run as the model's next version and point the alias at it.
 
-    The version is claimed first, so two moves at once get two; a claim whose move fails leaves a gap.
+    The version is claimed first, so two moves at once get two; a claim whose move fails leaves a gap. Each move has a
+    folder of its own, `move=…`, so that moves at once do not share a writer's temporary files.
     """
     name = hashlib.sha256(model.encode()).hexdigest()[:16]
     version = next_version(spark, f"{path}/_versions/{name}")
     frame = spark.createDataFrame([(model, alias.lower(), version, run_id, None)], ALIAS_SCHEMA)
-    append_log(frame.withColumn("moved_at", F.current_timestamp()), path)
+    frame.withColumn("moved_at", F.current_timestamp()).write.parquet(f"{path}/move={version:09d}-{name}")
     return version
 
 
