@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents, whatever they are. An empty table passes through all
-stages; null texts are rejected by the first.
+stages; null texts are rejected by the first. Line dedup leaves later copies of a text empty, and the n-gram join takes
+empty texts as copies of each other, so one of all emptied documents stays.
 """
 
 from __future__ import annotations
