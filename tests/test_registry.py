@@ -26,6 +26,6 @@ def test_query_agrees_with_sql(spark, connection, testdata, name):
     assert status == "ok"
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - {"fit_loan_classifier", "fit_segment_model", "fit_hazard", "tree_attributions", "fused_ablation", "retrain_and_gate"}))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - {"fit_loan_classifier", "fit_segment_model", "fit_hazard", "tree_attributions", "fused_ablation", "retrain_and_gate", "drift_triggered_retrain"}))
 def test_query_without_sql_returns_rows(spark, testdata, name):
     assert entry.queries()[name](spark, testdata).limit(1).count() == 1
