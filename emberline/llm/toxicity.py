@@ -1,15 +1,16 @@
 """Toxicity through a noisy channel: restore disguised words, then score the restored text.
 
 A chunk of text that looks disguised (digits or signs among letters, letters three times in a row, single characters
-apart) is a lattice: each character is itself, a letter it may stand for, or nothing; a mask is any letter (three in a row are none), and a space
-in a run of single characters may end a word. Viterbi finds the cheapest reading under a character trigram model whose
-counts come from all documents. A word with doubled letters, or a mask at its end, is read as another where all
-documents hold that one far more often. Words are then scored by whole word and
-by beginnings of 4 to 6 letters: how much likelier toxic documents hold them, shrunk to the base rate. A logistic
-regression over a document's highest word scores and their share gives the score.
+apart, letters of two scripts) is a lattice: each character is itself, a letter it may stand for, or nothing; a mask is
+any letter or nothing, and a space in a run of single characters may end a word. Viterbi finds the cheapest reading
+under a character trigram model whose counts come from all documents. A word with doubled letters, or with look-alikes
+or masks at an end, is read as another where all documents hold that one far more often; of a word's readings without
+doubled letters the `READINGS` cheapest are looked at, which are all up to six doubled letters. Words are then scored by
+whole word and by beginnings of 4 to 6 letters: how much likelier toxic documents hold them, shrunk to the base rate. A
+logistic regression over a document's highest word scores and their share gives the score.
 
 Word statistics come from all labelled documents given; only the regression is fitted on a bounded sample of
-`FIT_ROWS` labelled documents. All tables of counts have a fixed number of buckets.
+`FIT_ROWS` labels, picked by a hash of doc_id. All tables of counts have a fixed number of buckets.
 
 Defined results: a null text counts as empty; a text without letters gets the regression's score of no evidence.
 Without labels of both kinds the score is the base rate of label 1, or 0. Equal rows get equal results. A document
@@ -19,12 +20,12 @@ text and, of the labels, doc_id and toxic are read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ BEGINNINGS = (4, 5, 6)
 SHRINK = 20.0
 #: The highest word scores of a document that the regression sees.
 TOP = 5
-#: Labelled documents that the regression is fitted on, about.
+#: Labels whose documents the regression is fitted on, about.
 FIT_ROWS = 20_000
 #: Distinct chunks that a task remembers; beyond it starts anew.
 REMEMBERED = 300_000
@@ -54,19 +55,28 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
 }
+# Latin letters that Cyrillic and Greek ones look like.
+TWINS = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+}
 SEPARATORS = ".-_*~'` "
 # Costs in nats of reading a character otherwise than as itself.
-SWAP, SKIP, REPEAT, MASKED = 1.0, 0.5, 0.2, 0.5
+SWAP, SKIP, REPEAT, MASKED, TWIN = 1.0, 0.5, 0.2, 0.5, 0.2
 MASK = "*"
 #: What a mask may stand for, by script.
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
-#: A word is read as another one that is so many times as frequent; doubled letters looked at in a word.
-OFTENER, DOUBLES = 10, 6
+#: A word is read as another one that is so many times as frequent; readings of doubled letters looked at.
+OFTENER, READINGS = 10, 64
+#: Tables of trigrams kept for sets of symbols.
+TABLES = 64
 
-_disguised = regex.compile(r"\p{L}[0-9@$!|+(<€£*._~\-]+\p{L}|[0-9@$€£]\p{L}|\p{L}[0-9@$!|]\b|(\p{L})\1\1")
+_disguised = regex.compile(r"\p{L}[0-9@$!|+(<€£*._~\-]+\p{L}|[0-9@$€£]\p{L}|(\p{L})\1\1")
 _triple = re.compile(r"(.)\1\1")
 _double = re.compile(r"(.)\1")
-_ends = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$!]+$|([#*$%&|<>!?.])\1\1$")
+_ends = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$|([#*$%&|<>!?.])\1\1$")
+_mixed = regex.compile(r"\p{Latin}.*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}].*\p{Latin}")
+_signs = "".join(LOOKALIKES)
 
 
 def chunks_of(text: str) -> list[str]:
@@ -92,57 +102,74 @@ def word_bucket(word: str) -> int:
     return zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
 
 
+def is_mixed(chunk: str) -> bool:
+    """Whether letters of a chunk come from Latin and from Greek or Cyrillic script."""
+    return chunk > "" and max(chunk) >= "\u0370" and bool(_mixed.search(chunk))
+
+
 class CharacterModel:
     """Trigram log probabilities of lower-case letters and word ends, backed off to bigrams."""
 
     def __init__(self, counts: np.ndarray, words: np.ndarray):
         self.pairs, self.triples, self.words = counts[0].astype(float), counts[1].astype(float), words
+        #: How often words of an average bucket stand in all documents.
+        self.usual = float(words.mean())
         self.known: dict[str, float] = {}
+        self.tables: dict[str, np.ndarray] = {}
+        self.ends: dict[tuple[str, str, str, bool], str] = {}
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        pairs, triples = hashed(codes[:, :2], GRAM_BITS), hashed(codes, GRAM_BITS)
+        return np.log((self.triples[triples] + 0.01) / (self.pairs[pairs] + 1.0))
 
     def log(self, context: str, char: str) -> float:
         gram = context + char
         if gram not in self.known:
-            codes = np.array([[ord(c) for c in gram]])
-            triple = self.triples[hashed(codes, GRAM_BITS)[0]]
-            pair = self.pairs[hashed(codes[:, :2], GRAM_BITS)[0]]
-            self.known[gram] = float(np.log((triple + 0.01) / (pair + 1.0)))
+            self.known[gram] = float(self.logs(np.array([[ord(c) for c in gram]]))[0])
         return self.known[gram]
 
+    def table(self, symbols: str) -> np.ndarray:
+        """The log probability of each symbol after each two of them."""
+        if symbols not in self.tables:
+            if len(self.tables) >= TABLES:
+                self.tables.clear()
+            codes = np.array([ord(c) for c in symbols])
+            grams = np.stack(np.meshgrid(codes, codes, codes, indexing="ij"), axis=-1).reshape(-1, 3)
+            self.tables[symbols] = self.logs(grams).reshape((len(symbols),) * 3)
+        return self.tables[symbols]
+
     def frequent(self, word: str) -> int:
         """How often all documents hold a word, or more where words share a bucket."""
         return int(self.words[word_bucket(word)])
 
 
-def readings(chunk: str, at: int) -> list[tuple[str, float]]:
-    """What the character at a place may be, and the cost of it."""
-    char = chunk[at]
+def readings(before: str, char: str, alphabet: str, mixed: bool) -> list[tuple[str, float]]:
+    """What a character after another may be, and the cost of it."""
     if char == " ":
         return [("", SKIP), (" ", SKIP)]
     if char == MASK:
-        if MASK * 3 in chunk[max(at - 2, 0) : at + 3]:
-            return [("", SKIP)]
-        alphabet = next((a for a in ALPHABETS if any(c in a for c in chunk)), ALPHABETS[0])
         return [("", SKIP), *((c, MASKED) for c in alphabet)]
     found = [(char, 0.0)] if char.isalpha() else [(c, SWAP) for c in LOOKALIKES.get(char, "")]
+    if mixed and char in TWINS:
+        found.append((TWINS[char], TWIN))
     if char in SEPARATORS or not found:
         found.append(("", SKIP))
-    if at and char == chunk[at - 1]:
+    if char == before:
         found.append(("", REPEAT))
     return found
 
 
-def restore(chunk: str, model: CharacterModel) -> str:
-    """The cheapest reading of a disguised chunk: Viterbi, a state for each last two characters."""
-    best = {"  ": (0.0, "")}
-    for at in range(len(chunk)):
+def cheapest(context: str, may_be: list[list[tuple[str, float]]], model: CharacterModel) -> str:
+    """The cheapest choice of readings after a context: Viterbi, a state for each last two characters."""
+    best = {context: (0.0, "")}
+    for choices in may_be:
         step: dict[str, tuple[float, str]] = {}
-        may_be = readings(chunk, at)
         for context, (cost, read_so_far) in best.items():
-            for char, price in may_be:
+            for char, price in choices:
                 if char == " " and context == "  ":
                     continue
                 total = cost + price - (model.log(context, char) if char else 0.0)
-                state = "  " if char == " " else (context + char)[-2:]
+                state = context if not char else "  " if char == " " else context[1] + char
                 if state not in step or total < step[state][0]:
                     step[state] = (total, read_so_far + char)
         best = step
@@ -150,30 +177,136 @@ def restore(chunk: str, model: CharacterModel) -> str:
     return min(ended)[1]
 
 
+def cheapest_masked(context: str, may_be: list[list[tuple[str, float]]], model: CharacterModel) -> str:
+    """As `cheapest`, over arrays of all states at once: masks make states of every two letters."""
+    symbols = " " + "".join(sorted({c for choices in may_be for c, _ in choices}.union(context) - {" "}))
+    at, costs = {c: i for i, c in enumerate(symbols)}, -model.table(symbols)
+    size = len(symbols)
+    best = np.full((size, size), np.inf)
+    best[at[context[0]], at[context[1]]] = 0.0
+    # For each step and state the symbol before its two, or SAME; for the state of a word's end the state before.
+    steps, same = [], -1
+    for choices in may_be:
+        skip = min((price for char, price in choices if not char), default=np.inf)
+        now, came = best + skip, np.full((size, size), same)
+        some = [(at[char], price) for char, price in choices if char not in ("", " ")]
+        if some:
+            prices = np.full(size, np.inf)
+            for column, price in some:
+                prices[column] = min(price, prices[column])
+            # Only states that can be; one symbol before them at a time keeps arrays small.
+            for symbol in np.flatnonzero(np.isfinite(best).any(axis=1)):
+                cost = best[symbol][:, None] + costs[symbol] + prices
+                better = cost < now
+                np.copyto(now, cost, where=better)
+                came[better] = symbol
+        if any(char == " " for char, _ in choices):
+            price = min(price for char, price in choices if char == " ")
+            total = best + costs[:, :, 0] + price
+            total[0, 0] = np.inf
+            if total.min() < now[0, 0]:
+                now[0, 0], came[0, 0] = total.min(), total.argmin()
+        best = now
+        steps.append(came)
+    state = divmod(int((best + costs[:, :, 0]).argmin()), size)
+    out = []
+    for came in reversed(steps):
+        before = int(came[state])
+        if before == same:
+            continue
+        if state == (0, 0):
+            out.append(" ")
+            state = divmod(before, size)
+        else:
+            out.append(symbols[state[1]])
+            state = (before, state[0])
+    return "".join(reversed(out))
+
+
+def restore(chunk: str, model: CharacterModel) -> str:
+    """The cheapest reading of a disguised chunk.
+
+    Letters ahead of the first choice matter by their last two only, so the rest is remembered by these.
+    """
+    mixed = is_mixed(chunk)
+    alphabet = next((a for a in ALPHABETS if any(c in a for c in chunk)), ALPHABETS[0]) if MASK in chunk else ""
+    plain = 0
+    while plain < len(chunk) and chunk[plain].isalpha() and not (mixed and chunk[plain] in TWINS) and (not plain or chunk[plain] != chunk[plain - 1]):
+        plain += 1
+    context, rest = ("  " + chunk[:plain])[-2:], chunk[plain:]
+    key = (context, rest, alphabet, mixed)
+    if key not in model.ends:
+        if len(model.ends) > REMEMBERED:
+            model.ends.clear()
+        may_be = [readings(before, char, alphabet, mixed) for before, char in zip(context[1] + rest, rest, strict=False)]
+        model.ends[key] = (cheapest_masked if rest.count(MASK) > 1 else cheapest)(context, may_be, model)
+    return chunk[:plain] + model.ends[key]
+
+
+def without_doubles(word: str, model: CharacterModel) -> list[str]:
+    """The `READINGS` cheapest readings of a word that leave out one or more letters equal to the one before."""
+    doubles = len(_double.findall(word))
+    if 1 << doubles <= READINGS:
+        found = [""]
+        for i, char in enumerate(word):
+            found = [w + char for w in found] + (found if i and char == word[i - 1] else [])
+        return [w for w in found if w != word]
+    # So many for each last two characters are enough to hold the cheapest of all.
+    best = {"  ": {"": 0.0}}
+    for i, char in enumerate(word):
+        step: dict[str, dict[str, float]] = {}
+        for context, held in best.items():
+            price = model.log(context, char)
+            step.setdefault(context[1] + char, {}).update({text + char: cost - price for text, cost in held.items()})
+        if i and char == word[i - 1]:
+            for context, held in best.items():
+                now = step.setdefault(context, {})
+                now |= {text: min(cost + REPEAT, now.get(text, np.inf)) for text, cost in held.items()}
+        best = {context: {t: held[t] for t in heapq.nsmallest(READINGS + 1, held, key=held.get)} for context, held in step.items()}
+    ended = {text: cost - model.log(context, " ") for context, held in best.items() for text, cost in held.items() if text != word}
+    return heapq.nsmallest(READINGS, ended, key=ended.get)
+
+
 def single_letters(word: str, model: CharacterModel) -> str:
     """A word without those doubled letters without which it is a far more frequent one."""
-    at = [m.start() for m in _double.finditer(word)]
-    if not at:
+    if not _double.search(word):
         return word
-    if len(at) > DOUBLES:
-        others = [restore(word, model)]
-    else:
-        others = ["".join(c for i, c in enumerate(word) if i not in gone) for n in range(1, len(at) + 1) for gone in combinations(at, n)]
-    best = max(others, key=model.frequent)
+    best = max(without_doubles(word, model), key=model.frequent)
     return best if model.frequent(best) > OFTENER * model.frequent(word) else word
 
 
+def with_ends(chunk: str, core: str) -> list[str]:
+    """A chunk's core with the look-alikes and masks at its beginning, its end and both."""
+    at = chunk.index(core)
+    ahead, after = chunk[:at], chunk[at + len(core) :]
+    if not (ahead[-1:] in LOOKALIKES or after[:1] in LOOKALIKES or after[:1] == MASK or core[-1] in LOOKALIKES):
+        return []
+    first = ahead[len(ahead.rstrip(_signs)) :]
+    last = after[: len(after) - len(after.lstrip(_signs + MASK))]
+    found = [first + core + last, first + core, core + last]
+    if core[-1] in LOOKALIKES:
+        found.append(core)
+    return [w for w in dict.fromkeys(found) if w != core or core[-1] in LOOKALIKES]
+
+
 def restored_words(chunk: str, model: CharacterModel) -> list[str]:
     """The words of a chunk, read through the channel where it looks disguised; only a spaced run may be several."""
-    if chunk.isalpha() and not _triple.search(chunk):
+    if chunk.isalpha() and not _triple.search(chunk) and not is_mixed(chunk):
         return [single_letters(chunk, model)]
     if " " in chunk:
         return [single_letters(w, model) for w in map(letters, restore(chunk, model).split(" ")) if w]
     core = _ends.sub("", chunk)
-    word = single_letters(letters(restore(core, model) if _disguised.search(core) else core), model)
-    if chunk.endswith(MASK) and not chunk.startswith(MASK) and core:
-        whole = letters(restore(chunk[chunk.index(core) :], model))
-        word = whole if model.frequent(whole) > OFTENER * model.frequent(word) else word
+    if not core:
+        return [""]
+    word = single_letters(letters(restore(core, model) if _disguised.search(core) or is_mixed(core) else core), model)
+    if not word:
+        return [word]
+    for other in with_ends(chunk, core):
+        whole = single_letters(letters(restore(other, model)), model)
+        # Digits that end a word are letters where that gives a known word, however frequent the word without them.
+        known = model.frequent(whole) > OFTENER * model.usual
+        if known and (other == core or model.frequent(whole) > OFTENER * model.frequent(word)):
+            word = whole
     return [word]
 
 
@@ -211,7 +344,7 @@ class Reader:
         new = list(chunks - self.known.keys())
         if not new:
             return
-        words = [restored_words(c, self.model)[0] for c in new]
+        words = [c if c.isascii() and c.isalpha() and not _double.search(c) else restored_words(c, self.model)[0] for c in new]
         self.add(words)
         self.known |= {c: len(self.known) + i for i, c in enumerate(new)}
         self.word_of = np.concatenate([self.word_of, [self.words[w] for w in words]])
@@ -246,13 +379,13 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(frames: Iterable[pd.DataFrame]) -> np.ndarray:
         whole = np.zeros(split + (1 << WORD_BITS), dtype=np.int64)
         total, held = whole[:split].reshape(2, -1), whole[split:]
-        for frame in frames:
-            found: Counter[str] = Counter()
-            for text in frame["text"].dropna():
-                found.update(text.lower().split())
+        found: Counter[str] = Counter()
+
+        def add() -> None:
             pairs = [(w, n) for w, n in ((letters(c), n) for c, n in found.items()) if w]
+            found.clear()
             if not pairs:
-                continue
+                return
             np.add.at(held, [word_bucket(w) for w, _ in pairs], [n for _, n in pairs])
             codes = np.frombuffer("".join(f"  {w} " for w, _ in pairs).encode("utf-32-le"), dtype=np.uint32)
             lengths = np.array([len(w) for w, _ in pairs]) + 3
@@ -265,6 +398,13 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             grams, times = grams[inside], times[inside]
             total[0] += np.bincount(hashed(grams[:, :2], GRAM_BITS), times, 1 << GRAM_BITS).astype(np.int64)
             total[1] += np.bincount(hashed(grams, GRAM_BITS), times, 1 << GRAM_BITS).astype(np.int64)
+
+        for frame in frames:
+            for text in frame["text"].dropna():
+                found.update(text.lower().split())
+            if len(found) > REMEMBERED:
+                add()
+        add()
         return whole
 
     counts = summed_counts(docs.select("text"), count, (split + (1 << WORD_BITS),))
@@ -353,8 +493,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     model = ToxicModel(characters, counts[:, :width], counts[:, width])
     if counts[:, width].min() > 0:
         shared_model = context.broadcast(model)
-        # A hash picks about fit_rows labelled documents, so the table that is joined and the rows fitted are bounded.
-        every = max(1, int(counts[:, width].sum() // fit_rows))
+        # A hash picks about fit_rows labels, so the table that is broadcast and the rows fitted are bounded.
+        every = max(1, known.count() // fit_rows)
         sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
         sampled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 

@@ -131,13 +131,15 @@ def test_toxicity_restores_and_holds_out(spark):
 def test_combined_disguises_are_read(spark):
     """Spaced runs with digits and of several words, masks, doubled letters; single letters before a word stay words."""
     g = random.Random(7)
-    plain = ("you", "are", "a", "river", "stone", "letter", "morning", "idiot", "moron", "stupid", "book", "i", "am")
+    plain = ("you", "are", "a", "river", "stone", "letter", "morning", "idiot", "moron", "stupid", "book", "i", "am", "ass")
     docs = spark.createDataFrame([(i, " ".join(g.choice(plain) for _ in range(25))) for i in range(400)], "doc_id long, text string")
     reader = toxicity.Reader(toxicity.CharacterModel(*toxicity.character_counts(docs)))
     cases = {
         "i d 1 o t": {"idiot"}, "m 0 r 0 n": {"moron"}, "you are a i d i o t": {"a", "idiot"}, "i d i o t m o r o n": {"idiot", "moron"},
         "stuupid": {"stupid"}, "stuuppid": {"stupid"}, "mo*on": {"moron"}, "st*p*d": {"stupid"}, "stupi*": {"stupid"}, "s t * p i d": {"stupid"}, "m o r 0 n.": {"moron"},
         "letter": {"letter"}, "book": {"book"}, "stone*": {"stone"}, "ri*ver": {"river"},
+        "!diot": {"idiot"}, "|diot": {"idiot"}, "idi0t!": {"idiot"}, "stup***": {"stupid"}, "m***n": {"moron"}, "\u0456diot": {"idiot"}, "m\u043er\u03bfn": {"moron"},
+        "ssttuuppiidd": {"stupid"}, "mmoorroonniiddeellaa": {"mmoorroonniiddeellaa"}, "book!!": {"book"}, "river2": {"river"}, "stone***": {"stone"}, "a55": {"ass"}, "a$$": {"ass"},
     }
     for text, want in cases.items():
         got = {list(reader.words)[w] for w in reader.read([text])[0]}
@@ -146,6 +148,53 @@ def test_combined_disguises_are_read(spark):
     assert not toxicity.spaced_out(["1", "2", "3", "a"], np.array([1, 1, 1, 1]))
 
 
+def test_lattice_equals_exhaustive_search(spark):
+    """The cheapest of all readings, for look-alikes, masks, repeats, letters of two scripts and spaced runs."""
+    g = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join("".join(g.choice("abiost") for _ in range(g.randint(1, 6))) for _ in range(20))) for i in range(100)], "doc_id long, text string")
+    model = toxicity.CharacterModel(*toxicity.character_counts(docs))
+
+    def cost(chunk, chosen):
+        context, total = "  ", 0.0
+        for char, price in chosen:
+            if char == " " and context == "  ":
+                return np.inf
+            total += price - (model.log(context, char) if char else 0.0)
+            context = context if not char else "  " if char == " " else context[1] + char
+        return total - model.log(context, " ")
+
+    def exhaustive(chunk):
+        mixed = toxicity.is_mixed(chunk)
+        alphabet = next((a for a in toxicity.ALPHABETS if any(c in a for c in chunk)), toxicity.ALPHABETS[0])
+        each = [toxicity.readings(before, char, alphabet, mixed) for before, char in zip(" " + chunk, chunk)]
+        return min((round(cost(chunk, chosen), 9), "".join(c for c, _ in chosen)) for chosen in itertools.product(*each))[1]
+
+    chunks = ["".join(g.choice("abiost01$!.") for _ in range(g.randint(1, 7))) for _ in range(60)]
+    chunks += ["s**t", "***", "b*a*", "ab**", "s t * o * a", "\u0456\u043ebi\u0430", "aabb", "t 0 0 5 b", "\u0441*\u0430s*"]
+    for chunk in chunks:
+        assert toxicity.restore(chunk, model) == exhaustive(chunk), chunk
+        may_be = [toxicity.readings(b, c, "abc", False) for b, c in zip(" " + chunk, chunk)]
+        assert toxicity.cheapest_masked("  ", may_be, model) == toxicity.cheapest("  ", may_be, model), chunk
+    words = ["".join(g.choice("ab") for _ in range(16)) for _ in range(20)]
+    for word in words:
+        every = {""}
+        for i, char in enumerate(word):
+            every = {w + char for w in every} | (every if i and char == word[i - 1] else set())
+        got = toxicity.without_doubles(word, model)
+        assert set(got) <= every - {word} and len(set(got)) >= min(len(every) - 1, toxicity.READINGS)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Very long texts, repeated rows and other columns; equal rows get equal scores."""
+    long = "river sto1ne ga$den m***n " * 60_000
+    rows = [(1, long, 0.1, "x"), (2, "river", 0.2, None), (2, "river", 0.2, None), (3, "!diot", None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic string")
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    scored = [tuple(r) for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()]
+    assert sorted(i for i, _ in scored) == [1, 2, 2, 3] and len({s for i, s in scored if i == 2}) == 1
+    assert all(0 <= s <= 1 for _, s in scored)
+
+
 PRIVATE = [
     (1, "Write to ann.lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, call +1 (275) 555-5927."),
     (2, "Also +1-275-555-5927; card 4041894974608795, 4041 8949 7460 8795 from 42.144.35.254."),
