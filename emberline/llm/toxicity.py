@@ -91,8 +91,15 @@ def is_single(chunk: str) -> bool:
     return len(bare) == 1 and (bare.isalpha() or bare in LOOKALIKES or bare == MASK)
 
 
-def spaced_out(chunks: list[str], single: np.ndarray) -> list[str]:
-    """Runs of three or more single characters, two letters at least among them, each with spaces between."""
+def spaced_out(chunks: list[str]) -> list[str]:
+    """Runs of single characters, two letters at least among them, each with spaces between.
+
+    A run has three or more, of which two neighbours have no sign after them.
+    """
+    bare = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) == 1
+    if not (bare[:-1] & bare[1:]).any():
+        return []
+    single = np.fromiter(map(is_single, chunks), dtype=np.int8, count=len(chunks))
     edges = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
     runs = (chunks[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3)
     return [" ".join(run) for run in runs if sum(c[0].isalpha() for c in run) > 1]
@@ -104,7 +111,7 @@ def word_bucket(word: str) -> int:
 
 def is_mixed(chunk: str) -> bool:
     """Whether letters of a chunk come from Latin and from Greek or Cyrillic script."""
-    return chunk > "" and max(chunk) >= "\u0370" and bool(_mixed.search(chunk))
+    return not chunk.isascii() and max(chunk) >= "\u0370" and bool(_mixed.search(chunk))
 
 
 class CharacterModel:
@@ -129,18 +136,18 @@ class CharacterModel:
         return self.known[gram]
 
     def table(self, symbols: str) -> np.ndarray:
-        """The log probability of each symbol after each two of them."""
+        """The cost in nats of each symbol after each two of them."""
         if symbols not in self.tables:
             if len(self.tables) >= TABLES:
                 self.tables.clear()
             codes = np.array([ord(c) for c in symbols])
             grams = np.stack(np.meshgrid(codes, codes, codes, indexing="ij"), axis=-1).reshape(-1, 3)
-            self.tables[symbols] = self.logs(grams).reshape((len(symbols),) * 3)
+            self.tables[symbols] = -self.logs(grams).reshape((len(symbols),) * 3)
         return self.tables[symbols]
 
     def frequent(self, word: str) -> int:
         """How often all documents hold a word, or more where words share a bucket."""
-        return int(self.words[word_bucket(word)])
+        return self.words.item(zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1))
 
 
 def readings(before: str, char: str, alphabet: str, mixed: bool) -> list[tuple[str, float]]:
@@ -180,7 +187,7 @@ def cheapest(context: str, may_be: list[list[tuple[str, float]]], model: Charact
 def cheapest_masked(context: str, may_be: list[list[tuple[str, float]]], model: CharacterModel) -> str:
     """As `cheapest`, over arrays of all states at once: masks make states of every two letters."""
     symbols = " " + "".join(sorted({c for choices in may_be for c, _ in choices}.union(context) - {" "}))
-    at, costs = {c: i for i, c in enumerate(symbols)}, -model.table(symbols)
+    at, costs = {c: i for i, c in enumerate(symbols)}, model.table(symbols)
     size = len(symbols)
     best = np.full((size, size), np.inf)
     best[at[context[0]], at[context[1]]] = 0.0
@@ -194,12 +201,12 @@ def cheapest_masked(context: str, may_be: list[list[tuple[str, float]]], model:
             prices = np.full(size, np.inf)
             for column, price in some:
                 prices[column] = min(price, prices[column])
-            # Only states that can be; one symbol before them at a time keeps arrays small.
-            for symbol in np.flatnonzero(np.isfinite(best).any(axis=1)):
-                cost = best[symbol][:, None] + costs[symbol] + prices
-                better = cost < now
-                np.copyto(now, cost, where=better)
-                came[better] = symbol
+            live = np.flatnonzero(np.isfinite(best).any(axis=1))
+            total = best[live][:, :, None] + costs[live]
+            first = total.argmin(axis=0)
+            cost = np.take_along_axis(total, first[None], axis=0)[0] + prices
+            better = cost < now
+            now[better], came[better] = cost[better], live[first[better]]
         if any(char == " " for char, _ in choices):
             price = min(price for char, price in choices if char == " ")
             total = best + costs[:, :, 0] + price
@@ -269,9 +276,12 @@ def without_doubles(word: str, model: CharacterModel) -> list[str]:
 
 def single_letters(word: str, model: CharacterModel) -> str:
     """A word without those doubled letters without which it is a far more frequent one."""
-    if not _double.search(word):
+    double = _double.search(word)
+    if not double:
         return word
-    best = max(without_doubles(word, model), key=model.frequent)
+    at = double.start()
+    only = not _double.search(word, at + 1)
+    best = word[:at] + word[at + 1 :] if only else max(without_doubles(word, model), key=model.frequent)
     return best if model.frequent(best) > OFTENER * model.frequent(word) else word
 
 
@@ -327,28 +337,23 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
+        #: The number of each chunk's word, and of the words of spaced runs.
         self.known: dict[str, int] = {}
         self.words: dict[str, int] = {"": 0}
         self.runs: dict[str, list[int]] = {}
-        self.single = np.zeros(0, dtype=np.int8)
-        self.word_of = np.zeros(0, dtype=np.int64)
         self.features = np.zeros((1, 1 + len(BEGINNINGS)), dtype=np.int64)
 
     def add(self, words: Iterable[str]) -> None:
         fresh = [w for w in dict.fromkeys(words) if w not in self.words]
-        self.words |= {w: len(self.words) + i for i, w in enumerate(fresh)}
+        self.words |= zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True)
         if fresh:
             self.features = np.vstack([self.features, beginnings(fresh)])
 
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks - self.known.keys())
-        if not new:
-            return
         words = [c if c.isascii() and c.isalpha() and not _double.search(c) else restored_words(c, self.model)[0] for c in new]
         self.add(words)
-        self.known |= {c: len(self.known) + i for i, c in enumerate(new)}
-        self.word_of = np.concatenate([self.word_of, [self.words[w] for w in words]])
-        self.single = np.concatenate([self.single, [is_single(c) for c in new]])
+        self.known |= zip(new, map(self.words.__getitem__, words), strict=True)
 
     def learn_runs(self, runs: set[str]) -> None:
         """Spaced runs, of several words perhaps."""
@@ -361,13 +366,13 @@ class Reader:
         if len(self.known) + len(self.runs) > REMEMBERED:
             self.forget()
         split = [chunks_of(t) if t else [] for t in texts]
-        self.learn({c for chunks in split for c in chunks})
-        places = [np.fromiter(map(self.known.__getitem__, c), dtype=np.int64, count=len(c)) for c in split]
-        spaced = [spaced_out(c, self.single[at]) if self.single[at].sum() > 2 else [] for c, at in zip(split, places, strict=True)]
+        self.learn(set().union(*split))
+        spaced = [spaced_out(c) for c in split]
         self.learn_runs({c for chunks in spaced for c in chunks})
         out = []
-        for at, more in zip(places, spaced, strict=True):
-            words = np.unique(np.concatenate([self.word_of[at], *(self.runs[c] for c in more)]).astype(np.int64))
+        for chunks, runs in zip(split, spaced, strict=True):
+            more = [w for run in runs for w in self.runs[run]]
+            words = np.unique(np.fromiter([*map(self.known.__getitem__, chunks), *more], dtype=np.int64))
             out.append(words[words > 0])
         return out
 

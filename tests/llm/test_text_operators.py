@@ -145,7 +145,8 @@ def test_combined_disguises_are_read(spark):
         got = {list(reader.words)[w] for w in reader.read([text])[0]}
         assert want <= got, (text, got)
         assert len(text.split()) > 1 or got == want, (text, got)
-    assert not toxicity.spaced_out(["1", "2", "3", "a"], np.array([1, 1, 1, 1]))
+    assert not toxicity.spaced_out(["1", "2", "3", "a"])
+    assert toxicity.spaced_out(["so", "i", "d", "i", "o", "t...", "it", "is"]) == ["i d i o t..."]
 
 
 def test_lattice_equals_exhaustive_search(spark):
