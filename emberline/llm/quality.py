@@ -2,9 +2,9 @@
 
 A line (between line feeds) fails by
   navigation   two separators or more, and one for every `SEPARATED` words;
-  punctuation  no sentence end in it, or runs of symbols on one in `SYMBOLS` words, or repeated exclamation marks on
+  punctuation  no sentence end of its script in it (scripts without such marks pass), or runs of symbols on one in `SYMBOLS` words, or repeated exclamation marks on
                one in `SHOUTS` words;
-  boilerplate  a phrase of `BOILERPLATE`.
+  boilerplate  a phrase of `BOILERPLATE`, a short list for nine languages.
 Lines without a word are neither judged nor removed. A document is rejected if its failing lines hold more than
 `MOST_LOST` of its words, or by the base rules: fewer than `LEAST_WORDS` words, or more than `MOST_REPEATED` percent
 of its words in five-word windows that the text holds twice.
@@ -35,11 +35,30 @@ SYMBOL = r"[#*$%&|<>]"
 SEPARATOR = r"[|>»•·]"
 SYMBOL_RUN = r"[#*$%&|<>]{2,}"
 SHOUT = r"!!"
-SENTENCE_END = r"[.!?…][\"'”’»)\]]*([ \t\x0b\x0c\r]|$)"
-BOILERPLATE = (
-    r"(?i)all rights reserved|licen[sc]ed under|terms of (use|service)|privacy policy|cookie|javascript"
-    r"|lorem ipsum|subscribe|sign up|log in|copyright|©"
+# Marks that end a sentence before white space, by script; those that need no space after them; and
+# letters of scripts that end sentences by a space alone.
+_ENDS = (
+    ".!?…‼⁇⁈⁉"  # Latin, Greek, Cyrillic, Hebrew, Georgian, Hangul
+    "\u037e"  # the Greek question mark
+    "։՜՞"  # Armenian
+    "؟۔؞܀܁܂߹"  # Arabic, Syriac, N'Ko
+    "।॥෴᱾᱿"  # Devanagari and its neighbours, Sinhala, Ol Chiki
+    "།༎။។៕᭞᭟"  # Tibetan, Myanmar, Khmer, Balinese
+    "።፧፨᠃᠉᙮꓿꘎꘏"  # Ethiopic, Mongolian, Canadian syllabics, Lisu, Vai
 )
+_WIDE_ENDS = "。！？｡．︒﹒﹖﹗"
+_CLOSERS = "\"'”’»›)」』】）〉》"
+SENTENCE_END = rf"[{_ENDS}][{_CLOSERS}\]]*([ \t\x0b\x0c\r]|$)|[{_WIDE_ENDS}]|[ก-ฮກ-ຮ]"
+# Phrases of notices and page furniture, by language.
+BOILERPLATE = "(?i)" + "|".join((
+    r"all rights reserved|licen[sc]ed under|terms of (use|service)|privacy policy|cookie|javascript",
+    r"lorem ipsum|subscribe|sign up|log in|copyright|©",
+    r"alle rechte vorbehalten|datenschutzerkl|nutzungsbedingungen|newsletter abonnieren",
+    r"tous droits réservés|politique de confidentialité|conditions (générales )?d['’]utilisation|mentions légales",
+    r"todos los derechos reservados|política de privacidad|términos (y condiciones|de uso)|aviso legal",
+    r"todos os direitos reservados|política de cookies|termos de uso|tutti i diritti riservati|informativa sulla privacy",
+    r"все права защищены|политика конфиденциальности|版权所有|隐私政策|無断転載|利用規約",
+))
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_lost")
 _symbol, _separator, _run, _shout, _end, _boilerplate = map(re.compile, (SYMBOL, SEPARATOR, SYMBOL_RUN, SHOUT, SENTENCE_END, BOILERPLATE))

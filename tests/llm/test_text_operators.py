@@ -60,6 +60,29 @@ def test_quality_counts_and_verdicts(spark):
     assert got[7]["cleaned"] == good and got[1]["cleaned"] is None
 
 
+def test_quality_reads_sentence_ends_of_all_scripts(spark):
+    """Texts of other scripts are kept as English ones are; notices in other languages are removed."""
+    kept = (
+        "यह पहला वाक्य है। यह दूसरा वाक्य है जो थोड़ा लंबा है। और यह अंतिम है।", "هل هذا هو السؤال الأول؟ نعم هذا هو السؤال الثاني الذي يليه مباشرة۔",
+        "这 是 第一 个 句子。 这 是 第二 个 句子， 它 比较 长。", "นี่ คือ ประโยค แรก ของ เรา และ นี่ คือ ประโยค ที่ สอง",
+        "Ποιος είναι εδώ\u037e Αυτή είναι η δεύτερη πρόταση του κειμένου μας εδώ.", "Սա առաջին նախադասությունն է։ Սա երկրորդն է և մի փոքր ավելի երկար է։",
+    )
+    lost = ("Tous droits réservés, ceci est la page de notre société et rien de plus.", "Alle Rechte vorbehalten, dies ist die Seite unserer Firma und sonst gar nichts.")
+    rows = [(i, t) for i, t in enumerate(kept + lost)]
+    got = {r["doc_id"]: r["kept"] for r in quality.screen(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [True] * len(kept) + [False] * len(lost)
+
+
+def test_quality_of_odd_rows(spark):
+    """Very long texts, repeated rows, other columns of the result's names, and an empty table."""
+    long = "".join(f"Word{i} then{i} that{i} last{i}. " for i in range(250_000))
+    rows = [(1, long, "x", 5), (2, "too short.", None, None), (2, "too short.", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int")
+    got = sorted((r["doc_id"], r["n_words"], r["kept"]) for r in quality.screen(docs).collect())
+    assert got == [(1, 1_000_000, True), (2, 2, False), (2, 2, False)]
+    assert quality.screen(docs.limit(0)).count() == 0
+
+
 def test_repeated_words_equal_plain_search():
     g = random.Random(2)
     for _ in range(200):
