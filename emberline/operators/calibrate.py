@@ -172,15 +172,16 @@ def apply_calibration(
     ranged = settle(rows.withColumn("_deal", F.rand(7)).union(points.withColumn("_deal", F.lit(-1.0))).repartitionByRange("segment", "x", "_deal").withColumn("_part", F.spark_partition_id()))
     has = F.when(F.col("k").isNotNull(), F.col("k"))
     ends = ranged.groupBy("segment", "_part").agg(F.min_by(has, F.when(has.isNotNull(), F.col("x"))).alias("first"), F.max_by(has, F.when(has.isNotNull(), F.col("x"))).alias("last"))
-    ordered = W.partitionBy("segment").orderBy("_part")
+    ordered, backwards = W.partitionBy("segment").orderBy("_part"), W.partitionBy("segment").orderBy(F.desc("_part"))
     around = ends.select(
         "segment", "_part",
         F.last("last", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.first("first", ignorenulls=True).over(ordered.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
+        F.last("first", ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, -1)).alias("_after"),
     )
-    inside = W.partitionBy("segment", "_part").orderBy("x", "_deal")
-    left = F.last("k", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    right = F.first("k", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing))
+    inside = W.partitionBy("segment", "_part")
+    left = F.last("k", ignorenulls=True).over(inside.orderBy("x", "_deal").rowsBetween(W.unboundedPreceding, 0))
+    # Read backwards, as Spark computes a frame that ends with the partition anew for each row.
+    right = F.last("k", ignorenulls=True).over(inside.orderBy(F.desc("x"), F.desc("_deal")).rowsBetween(W.unboundedPreceding, -1))
     near = ranged.withColumns({"_l": left, "_r": right}).where(F.col("_row").isNotNull()).join(around, ["segment", "_part"])
     near = near.select("_row", "x", F.coalesce("_l", "_before").alias("l"), F.coalesce("_r", "_after").alias("r"))
     share = F.try_divide(F.col("x") - F.col("l.x"), F.col("r.x") - F.col("l.x"))

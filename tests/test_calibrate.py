@@ -81,6 +81,19 @@ def test_many_equal_scores_and_plan_without_arrays(spark):
     assert "scalar-subquery" not in plan and "collect_list" not in plan
 
 
+def test_nearest_knots_are_found_in_one_pass(spark):
+    """Against numpy; no frame ends with the partition, as Spark computes such a frame anew for each row."""
+    rng = random.Random(12)
+    rows = [("a", round(x, 2), int(rng.random() < x)) for x in (rng.random() for _ in range(400))]
+    fitted = cal.fit_calibrators(spark.createDataFrame(rows, "segment string, x double, y int"), "segment", "x", "y")
+    knots = sorted((r["x"], r["value"]) for r in cal.knots_of(fitted).where("segment = 'a'").collect())
+    asked = spark.createDataFrame([("a", rng.random()) for _ in range(3000)], "segment string, x double")
+    out = cal.apply_calibration(asked, fitted, "segment", "x")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = out.select("x", "calibrated_pd").toPandas()
+    assert got["calibrated_pd"].to_numpy() == pytest.approx(np.interp(got["x"], *zip(*knots, strict=True)), abs=1e-12)
+
+
 def test_interpolates_clips_and_falls_back(spark):
     rows = [("a", 0.2, 0), ("a", 0.4, 1), ("a", 0.4, 0)]
     fitted = cal.fit_calibrators(spark.createDataFrame(rows, "segment string, x double, y int"), "segment", "x", "y")
