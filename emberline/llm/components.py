@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels and shortcuts over joins."""
+"""Connected components of an edge table, by contraction over joins."""
 
 from __future__ import annotations
 
@@ -8,20 +8,38 @@ from pyspark.sql import functions as F
 from emberline.llm.common import written
 
 
+def flattened(parents: DataFrame) -> DataFrame:
+    """node, root with roots followed to their ends; every root is a node, those at an end are their own."""
+    while True:
+        onward = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = written(parents.join(onward, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        parents = jumped.select("node", "root")
+        if jumped.where("moved").isEmpty():
+            return parents
+
+
+def between(edges: DataFrame) -> DataFrame:
+    """Each edge once, its lower end as a, without loops; written."""
+    return written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each node's component. `edges` has longs a and b; loops and repeats may occur.
 
-    Each round gives a node the least label among its neighbours' and its own, then that label's own label. Tables
-    are written between rounds; the driver sees one count of changes for each.
+    Each round joins every node to its least neighbour, if that is lower, and puts what is joined in one node's place:
+    only edges between different ones go on, so a tight group is gone after a round or two. Tables are written between
+    rounds; the driver sees whether any are left.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = written(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
-        onward = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = written(lower.join(onward, "root").select("node", "old", F.col("next").alias("root")))
-        changed = labels.where(F.col("old") != F.col("root")).limit(1).count()
-        labels = labels.select("node", "root")
-        if not changed:
-            return labels
+    edges = between(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    labels = None
+    while labels is None or not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        roots = flattened(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("root")))
+        if labels is None:
+            labels = roots
+        else:
+            onward = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = written(labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        edges = between(edges.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    return labels

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.llm import components as parts
 from emberline.llm import jaccard, search
+from emberline.llm.common import written
 from emberline.llm.components import components
 
 
@@ -159,6 +161,38 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {300: 300, 301: 300}
 
 
+def test_components_join_each_edge_once(spark, monkeypatch):
+    """Spanning edges of one tight group met in many buckets: joined in the first round, none of them in a later one."""
+    g = np.random.default_rng(4)
+    rows = [(int(a), int(bucket.min())) for _ in range(30) for bucket in np.array_split(g.permutation(600), 3) for a in bucket]
+    sizes = []
+
+    def counted(df):
+        out = written(df)
+        if set(out.columns) == {"a", "b"}:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(parts, "written", counted)
+    got = {r["node"]: r["root"] for r in parts.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(600), 0)
+    assert sum(sizes) <= len({(a, b) for a, b in rows if a != b})
+
+
+def test_components_equal_search_in_random_graphs(spark):
+    g = np.random.default_rng(6)
+    for n, m in ((60, 40), (60, 90), (40, 20)):
+        edges = [(int(a), int(b)) for a, b in g.integers(0, n, (m, 2))] + [(1000 - i, 1000 + i) for i in range(9)] + [(1000 - i, 1001 + i) for i in range(9)]
+        root = {x: x for e in edges for x in e if e[0] != e[1] or any(x in f for f in edges if f[0] != f[1])}
+        for _ in root:
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = components(spark.createDataFrame([*edges, (None, 3), (3, None)], "a long, b long"))
+        assert {r["node"]: r["root"] for r in got.collect()} == root
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def brute_search(rows, every, top):
     whole = [(i, [int(np.floor(1024.0 * float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = Counter()
