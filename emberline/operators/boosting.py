@@ -1,26 +1,30 @@
 """Boosted trees on histograms that Spark sums: missing values and categories as they are, rounds that can go on.
 
 Features become small codes once: numeric ones the number of the quantile range they fall into, categories the rank of
-their level by frequency, and 0 stands for a missing value. The coded rows are written. One pass over them for each
-level of a tree sums gradients, curvatures and rows by (node, feature, code) inside tasks and then over tasks, so the
-driver sees sums whose number does not depend on the rows. It picks the splits: a code range, or one level against the
-rest, and the side for missing values that gains more. Every `REFRESH` rounds the rows are written with their margins,
-so that a pass evaluates few trees and a lost task repeats little. A model goes on from its last tree.
-
-After each round log loss and AUC of the calib rows are taken in the next pass. Boosting ends when neither has been
-better for `patience` rounds; the rounds up to the best log loss are kept.
+their level by frequency, and 0 stands for a missing value. The coded rows are written. A job of `REFRESH` rounds is a
+barrier stage: its tasks run together, each reads its share of the rows once, and for each level of a tree they exchange
+sums of gradients, curvatures and rows by (node, feature, code), whose number does not depend on the rows. From the same
+sums every task picks the same splits: a code range, or one level against the rest, and the side for missing values that
+gains more. A job gives its trees to the driver, and the rows are written with their margins, so a lost task repeats one
+job at most. A model goes on from its last tree.
+
+At the start of each round log loss and AUC of the calib rows are taken. Boosting ends when neither has been better for
+`patience` rounds; the rounds up to the best log loss are kept.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +33,11 @@ from emberline.session import settle
 #: Most ranges of a numeric feature; most levels of a category that count by themselves, others share a code.
 RANGES, LEVELS = 63, 254
 RATE, RIDGE, LEAST_ROWS, SAMPLED = 0.1, 1.0, 20, 0.8
-REFRESH = 20
-#: Rows of a partition of the coded table, and score buckets of the calib AUC.
-PART_ROWS, AUC_BUCKETS = 250_000, 1024
+#: Rounds of a job.
+REFRESH = 100
+#: Rows for which a job takes one more task while there are cores: an exchange takes a second, as long as the sums of
+#: some 4,000,000 rows. And score buckets of the calib AUC.
+TASK_ROWS, AUC_BUCKETS = 2_000_000, 1024
 
 
 @dataclass(frozen=True)
@@ -98,19 +104,27 @@ def depth_of(tree: Tree) -> int:
     return int(math.log2(len(tree.feature) + 1))
 
 
+def left_codes(tree: Tree, nodes: Sequence[int]) -> np.ndarray:
+    """nodes × 256: whether a code goes left at a node."""
+    code, every = np.array(tree.code)[nodes][:, None], np.arange(256)
+    left = np.where(np.array(tree.level)[nodes][:, None], every == code, every <= code)
+    left[:, 0] = np.array(tree.missing_left)[nodes]
+    return left | (np.array(tree.feature)[nodes] < 0)[:, None]
+
+
 def goes_left(tree: Tree, node: np.ndarray | int, codes: np.ndarray) -> np.ndarray:
     """Whether each row goes left at its node."""
-    feature, code = np.array(tree.feature)[node], np.array(tree.code)[node]
-    own = codes[np.arange(len(codes)), np.maximum(feature, 0)]
-    left = np.where(np.array(tree.level)[node], own == code, own <= code)
-    return np.where(feature < 0, True, np.where(own == 0, np.array(tree.missing_left)[node], left))
+    own = codes[np.arange(len(codes)), np.maximum(np.array(tree.feature)[node], 0)]
+    return left_codes(tree, range(len(tree.feature)))[node, own]
 
 
 def descend(tree: Tree, codes: np.ndarray, levels: int) -> np.ndarray:
     """The node of each row after some levels."""
-    node = np.zeros(len(codes), dtype=np.int64)
+    node, flat, starts = np.zeros(len(codes), dtype=np.int64), codes.ravel(), np.arange(len(codes)) * codes.shape[1]
+    feature, left = np.maximum(tree.feature, 0), left_codes(tree, range(len(tree.feature))).ravel()
     for _ in range(levels):
-        node = 2 * node + np.where(goes_left(tree, node, codes), 1, 2)
+        own = flat.take(starts + feature.take(node))
+        node = 2 * node + 2 - left.take(node * 256 + own)
     return node
 
 
@@ -127,8 +141,9 @@ def coding(df: DataFrame, numeric: Sequence[str], categories: Sequence[str]) ->
     return Boosted(tuple(numeric), tuple(categories), edges, levels)
 
 
-def coded_rows(df: DataFrame, model: Boosted, label: str, weight: float) -> DataFrame:
-    """label, weight, calib, draw (a hash that draws rows), codes and margin of the train and calib rows, written."""
+def coded_rows(df: DataFrame, model: Boosted, label: str, weight: float) -> tuple[DataFrame, int]:
+    """label, weight, calib, draw (a hash that draws rows), codes and margin of the train and calib rows, written; and
+    the tasks of a job on them."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     fitting = df.where(F.col("split").isin("train", "calib") & F.col(label).isNotNull())
     chosen = fitting.select(
@@ -143,67 +158,91 @@ def coded_rows(df: DataFrame, model: Boosted, label: str, weight: float) -> Data
             yield out.assign(codes=[row.tobytes() for row in codes], margin=shared.value.margins(codes))
 
     schema = "label double, weight double, calib boolean, draw long, codes binary, margin double"
-    parts = max(1, -(-fitting.count() // PART_ROWS))
-    return settle(chosen.mapInPandas(batches, schema).repartition(parts))
+    tasks = tasks_for(fitting)
+    return settle(chosen.mapInPandas(batches, schema).repartition(tasks)), tasks
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks of a job: one for each `TASK_ROWS` rows, at most as many as can run at the same time."""
+    context = rows.sparkSession.sparkContext._jsc.sc()
+    together = context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+    return max(1, min(-(-rows.count() // TASK_ROWS), together))
 
 
 def chance(margins: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-margins))
 
 
-def level_sums(rows: DataFrame, model: Boosted, done: int, growing: Tree | None, level: int, turn: int) -> dict[int, tuple]:
-    """By slot: sums of gradient, curvature and rows of a level; at its first level also the calib sums of all trees so far.
-
-    `rows` holds margins of the first `done` trees.
-    """
-    sizes, width = model.sizes(), len(model.features)
-    offsets, total = np.concatenate([[0], np.cumsum(sizes)[:-1]]), int(sizes.sum())
-    shared = rows.sparkSession.sparkContext.broadcast((model, growing))
-
-    def batches(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, growing = shared.value
-        hist, watched = np.zeros((3, (1 << level) * total)), np.zeros((3, AUC_BUCKETS))
-        for batch in arrived:
-            codes = matrix(batch.column("codes"), width)
-            y, w, calib, draw, margin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight", "calib", "draw", "margin"))
-            p = chance(margin + model.margins(codes, model.trees[done:]))
-            if level == 0 and calib.any():
-                q, cy, cw = np.clip(p[calib], 1e-15, 1 - 1e-15), y[calib], w[calib]
-                bucket = np.minimum((q * AUC_BUCKETS).astype(np.int64), AUC_BUCKETS - 1)
-                losses = -cw * (cy * np.log(q) + (1 - cy) * np.log(1 - q))
-                for into, what in zip(watched, (cw * cy, cw * (1 - cy), losses), strict=True):
-                    into += np.bincount(bucket, what, AUC_BUCKETS)
-            drawn = ((draw.astype(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.float64) / 2**32
-            some = np.flatnonzero(~calib & (drawn < SAMPLED))
-            if not len(some):
-                continue
-            codes, y, w, p = codes[some], y[some], w[some], p[some]
-            node = descend(growing, codes, level) - ((1 << level) - 1) if growing else np.zeros(len(some), dtype=np.int64)
-            slot = (node[:, None] * total + offsets + codes).ravel()
-            for into, what in zip(hist, (w * (p - y), w * p * (1 - p), np.ones(len(some))), strict=True):
-                into += np.bincount(slot, np.repeat(what, width), hist.shape[1])
-        slots = np.concatenate([np.flatnonzero(hist[2]), -1 - np.flatnonzero(watched[:2].sum(axis=0))])
-        values = [np.concatenate([h[hist[2] > 0], v[watched[:2].sum(axis=0) > 0]]) for h, v in zip(hist, watched, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(slots, type=pa.int64()), *map(pa.array, values)], names=["slot", "a", "b", "c"])
-
-    sums = rows.mapInArrow(batches, "slot long, a double, b double, c double").groupBy("slot").agg(F.sum("a"), F.sum("b"), F.sum("c"))
-    return {r[0]: (r[1], r[2], r[3]) for r in sums.collect()}
-
-
-def watched_metrics(sums: dict[int, tuple]) -> tuple[float, float] | None:
+class TaskRows:
+    """A task's share of the coded rows, a line for each feature, and where each row stands in the growing tree."""
+
+    def __init__(self, arrived: Iterator[pa.RecordBatch], sizes: np.ndarray):
+        kept = [[np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, len(sizes)).T,
+                 *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight", "calib", "draw", "margin"))] for batch in arrived]
+        none = [np.zeros((len(sizes), 0), dtype=np.uint8), *(np.zeros(0, dtype=t) for t in (float, float, bool, np.int64, float))]
+        self.codes, self.y, self.w, self.calib, self.draw, self.margin = (np.concatenate(c, axis=-1) for c in zip(none, *kept, strict=True))
+        self.draw, self.sizes = self.draw.astype(np.uint64), sizes
+        self.codes = np.ascontiguousarray(self.codes)
+        self.row_numbers = np.arange(len(self.y))
+
+    def begin(self, turn: int) -> np.ndarray:
+        """Draw the rows of a round; the calib sums of all trees so far, a column for each score bucket."""
+        p = chance(self.margin)
+        watched = np.zeros((3, AUC_BUCKETS))
+        if self.calib.any():
+            q, cy, cw = np.clip(p[self.calib], 1e-15, 1 - 1e-15), self.y[self.calib], self.w[self.calib]
+            bucket = np.minimum((q * AUC_BUCKETS).astype(np.int64), AUC_BUCKETS - 1)
+            losses = -cw * (cy * np.log(q) + (1 - cy) * np.log(1 - q))
+            watched = np.stack([np.bincount(bucket, what, AUC_BUCKETS) for what in (cw * cy, cw * (1 - cy), losses)])
+        drawn = ((self.draw ^ np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.float64) / 2**32
+        self.some = np.flatnonzero(~self.calib & (drawn < SAMPLED))
+        y, w, p = self.y[self.some], self.w[self.some], p[self.some]
+        self.gradient, self.curvature, self.drawn = w * (p - y), w * p * (1 - p), self.codes[:, self.some]
+        self.place = np.zeros(len(self.y), dtype=np.int64)
+        return watched
+
+    def sums(self, level: int) -> np.ndarray:
+        """Gradient, curvature and rows by (node, feature, code) of the drawn rows."""
+        place, nodes = self.place[self.some], 1 << level
+        made = []
+        for own, size in zip(self.drawn, self.sizes.tolist(), strict=True):
+            slot = place * size + own
+            made.append(np.stack([np.bincount(slot, what, nodes * size).reshape(nodes, size) for what in (self.gradient, self.curvature, None)]))
+        return np.concatenate(made, axis=2).reshape(3, -1)
+
+    def descend(self, tree: Tree, level: int) -> None:
+        nodes = range((1 << level) - 1, (2 << level) - 1)
+        feature, left = np.maximum(np.array(tree.feature)[nodes], 0), left_codes(tree, nodes).ravel()
+        own = self.codes.ravel().take(feature.take(self.place) * len(self.y) + self.row_numbers)
+        self.place = 2 * self.place + 1 - left.take(self.place * 256 + own)
+
+    def finish(self, tree: Tree) -> None:
+        self.margin = self.margin + np.array(tree.value).take(self.place)
+
+
+def added_up(together: BarrierTaskContext | None, sums: np.ndarray) -> np.ndarray:
+    """The sums of all tasks, in their order; what has no rows is not sent."""
+    if together is None:
+        return sums
+    full = sums[:2].any(axis=0) | (sums[2] != 0)
+    sent = np.packbits(full).tobytes() + sums[:, full].astype("<f8").tobytes()
+    total, ends = np.zeros_like(sums), -(-len(full) // 8)
+    for message in together.allGather(base64.b64encode(sent).decode()):
+        got = base64.b64decode(message)
+        held = np.unpackbits(np.frombuffer(got, dtype=np.uint8, count=ends), count=len(full)).astype(bool)
+        total[:, held] += np.frombuffer(got, dtype="<f8", offset=ends).reshape(3, -1)
+    return total
+
+
+def watched_metrics(sums: np.ndarray) -> tuple[float, float] | None:
     """Log loss and AUC of the calib rows, ties within a bucket as a half; None without such rows."""
-    buckets = sorted((-1 - slot, v) for slot, v in sums.items() if slot < 0)
-    if not buckets:
+    positive, negative, losses = sums[:, sums[:2].sum(axis=0) > 0]
+    if not len(positive):
         return None
-    positive, negative = (np.array([v[i] for _, v in buckets]) for i in (0, 1))
     below = np.cumsum(negative) - negative
     pairs = positive.sum() * negative.sum()
     auc = float((positive * (below + negative / 2)).sum() / pairs) if pairs else 0.5
-    return sum(v[2] for _, v in buckets) / (positive.sum() + negative.sum()), auc
+    return float(sum(losses.tolist()) / (positive.sum() + negative.sum())), auc
 
 
 def best_split(hist: np.ndarray, sizes: np.ndarray, n_numeric: int) -> tuple[float, int, int, bool, bool] | None:
@@ -228,18 +267,16 @@ def best_split(hist: np.ndarray, sizes: np.ndarray, n_numeric: int) -> tuple[flo
     return best
 
 
-def one_tree(rows: DataFrame, model: Boosted, done: int, depth: int, first: dict[int, tuple], turn: int) -> Tree | None:
-    """The next tree, one pass for each level after the first; None where no split gains."""
+def one_tree(rows: TaskRows, together: BarrierTaskContext | None, model: Boosted, depth: int, first: np.ndarray) -> Tree | None:
+    """The next tree, an exchange for each level after the first; None where no split gains."""
     sizes = model.sizes()
     total, inner = int(sizes.sum()), (1 << depth) - 1
     tree = Tree([-1] * inner, [0] * inner, [False] * inner, [False] * inner, [0.0] * (1 << depth))
-    sums = first
     for level in range(depth):
-        if level:
-            sums = level_sums(rows, model, done, tree, level, turn)
+        sums = added_up(together, rows.sums(level)) if level else first
         for place in range(1 << level):
             node = (1 << level) - 1 + place
-            hist = np.array([sums.get(place * total + s, (0.0, 0.0, 0.0)) for s in range(total)])
+            hist = sums[:, place * total : (place + 1) * total].T
             whole = hist[: sizes[0]].sum(axis=0)
             found = best_split(hist, sizes, len(model.numeric))
             sides = [whole, np.zeros(3)]
@@ -256,16 +293,53 @@ def one_tree(rows: DataFrame, model: Boosted, done: int, depth: int, first: dict
             if level == depth - 1:
                 for side, s in enumerate(sides):
                     tree.value[2 * place + side] = float(-RATE * s[0] / (s[1] + RIDGE))
+        rows.descend(tree, level)
     return tree if tree.feature[0] >= 0 else None
 
 
+def more_rounds(rows: DataFrame, model: Boosted, history: list[tuple[float, float]], left: int, depth: int, patience: int) -> tuple[Boosted, list, bool]:
+    """The model and the history after `REFRESH` rounds at most, in one job, and whether boosting has ended.
+
+    `rows` holds margins of all trees of the model; `left` are the rounds still allowed.
+    """
+    sizes = model.sizes()
+    shared = rows.sparkSession.sparkContext.broadcast((model, history))
+
+    def batches(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        together = context if len(context.getTaskInfos()) > 1 else None
+        (model, history), held = shared.value, TaskRows(arrived, sizes)
+        trees, history, ended = list(model.trees), list(history), False
+        begun = len(trees)
+        while not ended and len(trees) - begun < REFRESH:
+            watched = held.begin(len(trees))
+            both = added_up(together, np.concatenate([watched, held.sums(0)], axis=1))
+            watched, first = both[:, :AUC_BUCKETS], both[:, AUC_BUCKETS:]
+            if metrics := watched_metrics(watched):
+                history.append(metrics)
+            ended = bool(metrics and best_rounds(history, patience)[1]) or len(trees) - begun == left
+            tree = None if ended else one_tree(held, together, model, depth, first)
+            ended = tree is None
+            if tree:
+                held.finish(tree)
+                trees.append(tree)
+        if context.partitionId() == 0:
+            found = json.dumps({"trees": [t.__dict__ for t in trees[begun:]], "history": history, "ended": ended})
+            yield pa.RecordBatch.from_arrays([pa.array([found])], names=["found"])
+
+    found = json.loads(rows.mapInArrow(batches, "found string", barrier=True).collect()[0][0])
+    model = replace(model, trees=(*model.trees, *(Tree(**t) for t in found["trees"])))
+    return model, [tuple(h) for h in found["history"]], found["ended"]
+
+
 def refreshed(rows: DataFrame, model: Boosted, done: int) -> DataFrame:
-    """The coded rows with the margins of all trees, written."""
+    """The coded rows with the margins of all trees, written; theirs are of the first `done`."""
     shared, width = rows.sparkSession.sparkContext.broadcast(model), len(model.features)
 
     def batches(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrived:
-            new = batch.column("margin").to_numpy() + shared.value.margins(matrix(batch.column("codes"), width), shared.value.trees[done:])
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, width)
+            new = batch.column("margin").to_numpy() + shared.value.margins(codes, shared.value.trees[done:])
             yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(new))
 
     return settle(rows.mapInArrow(batches, rows.schema))
@@ -295,23 +369,13 @@ def boost(
         odds = (max(ones, 0.5) * weight) / max(zeros, 0.5) if ones + zeros else 1.0
         start = replace(coding(train, numeric, categories), start=math.log(odds))
     model = replace(start, history=())
-    rows = coded_rows(df, model, label, weight)
-    done, history, begun = len(model.trees), [], len(model.trees)
-    for _ in range(rounds + 1):
-        turn = len(model.trees)
-        if turn - done >= REFRESH:
-            rows, done = refreshed(rows, model, done), turn
-        first = level_sums(rows, model, done, None, 0, turn)
-        if metrics := watched_metrics(first):
-            history.append(metrics)
-            if best_rounds(history, patience)[1]:
-                break
-        if turn - begun == rounds:
-            break
-        tree = one_tree(rows, model, done, depth, first, turn)
-        if tree is None:
-            break
-        model = replace(model, trees=(*model.trees, tree))
+    rows, tasks = coded_rows(df, model, label, weight)
+    begun, history, ended = len(model.trees), [], False
+    while not ended:
+        done = len(model.trees)
+        model, history, ended = more_rounds(rows.repartition(tasks), model, history, rounds - (done - begun), depth, patience)
+        if not ended:
+            rows = refreshed(rows, model, done)
     kept = best_rounds(history, patience)[0] if history else len(model.trees) - begun
     return replace(model, trees=model.trees[: begun + kept], history=tuple(history[: kept + 1]))
 
@@ -335,11 +399,10 @@ def shapley(model: Boosted, codes: np.ndarray, background: np.ndarray) -> np.nda
     that only the row passes and b that only the background row passes, each of the former gets the leaf's value times
     (a - 1)! b! / (a + b)!, each of the latter loses it times a! (b - 1)! / (a + b)!.
     """
-    f = math.factorial
-    out = np.zeros((len(codes), len(model.features)))
+    out, codes, background = np.zeros((len(model.features), len(codes))), np.ascontiguousarray(codes.T), np.ascontiguousarray(background.T)
     for tree in model.trees:
-        inner, depth = len(tree.feature), depth_of(tree)
-        passes = [(goes_left(tree, np.full(len(codes), n), codes), goes_left(tree, np.full(len(background), n), background)) for n in range(inner)]
+        inner, left = len(tree.feature), left_codes(tree, range(len(tree.feature)))
+        passes = [tuple(left[n].take(c[max(tree.feature[n], 0)]) for c in (codes, background)) for n in range(inner)]
         for leaf, value in enumerate(tree.value):
             node, path = leaf + inner, {}
             while node:
@@ -354,16 +417,27 @@ def shapley(model: Boosted, codes: np.ndarray, background: np.ndarray) -> np.nda
                 node = parent
             if not path:
                 continue
-            a = np.zeros((len(codes), len(background)), dtype=np.int64)
-            b, alive = np.zeros_like(a), np.ones(a.shape, dtype=bool)
-            for own, other in path.values():
-                a += own[:, None] & ~other
-                b += ~own[:, None] & other
-                alive &= own[:, None] | other
-            gains = np.array([[f(i - 1) * f(j) / f(i + j) if i else 0.0 for j in range(depth + 1)] for i in range(depth + 1)])
-            gain, loss = np.where(alive, gains[a, b], 0.0), np.where(alive, gains[b, a], 0.0)
-            for feature, (own, other) in path.items():
-                out[:, feature] += value * ((gain * (own[:, None] & ~other)) - (loss * (~own[:, None] & other))).mean(axis=1)
+            own, other = (sum(p[side].astype(np.int64) << i for i, p in enumerate(path.values())) for side in (0, 1))
+            # What a row gets depends on which features of the path let it pass, so on a few cases.
+            table = value * (shares(len(path)) @ (np.bincount(other, minlength=1 << len(path)) / len(other)))
+            for i, feature in enumerate(path):
+                out[feature] += table[i].take(own)
+    return out.T
+
+
+@cache
+def shares(size: int) -> np.ndarray:
+    """feature × features that let the row pass × those that let the background row pass (as bits): the feature's share of a leaf."""
+    f, full = math.factorial, (1 << size) - 1
+    out = np.zeros((size, 1 << size, 1 << size))
+    for own in range(1 << size):
+        for other in range(1 << size):
+            a, b = (own & ~other).bit_count(), (other & ~own).bit_count()
+            for i in range(size) if own | other == full else ():
+                if own & ~other & 1 << i:
+                    out[i, own, other] = f(a - 1) * f(b) / f(a + b)
+                elif other & ~own & 1 << i:
+                    out[i, own, other] = -f(a) * f(b - 1) / f(a + b)
     return out
 
 
@@ -375,8 +449,8 @@ def attributions(df: DataFrame, key: str, model: Boosted, background: pd.DataFra
     def batches(arrived: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, against = shared.value
         for frame in arrived:
-            for at in range(0, len(frame), 1000):
-                some = frame.iloc[at : at + 1000]
+            for at in range(0, len(frame), 5000):
+                some = frame.iloc[at : at + 5000]
                 values = shapley(model, model.codes(some), against)
                 yield pd.DataFrame({key: np.repeat(some[key].to_numpy(), values.shape[1]), "feature": list(model.features) * len(some), "contribution": values.ravel()})
 

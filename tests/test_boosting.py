@@ -123,6 +123,20 @@ def test_refreshed_margins_change_nothing(data, monkeypatch):
     assert np.concatenate([t.value for t in one.trees]) == pytest.approx(np.concatenate([t.value for t in two.trees]))
 
 
+def test_tasks_that_run_together_grow_the_trees_of_one(data, model, monkeypatch):
+    """Few rows a task, few rounds a job: the same trees, in a job for each `REFRESH` rounds."""
+    jobs = []
+    more = bo.more_rounds
+    monkeypatch.setattr(bo, "more_rounds", lambda *a: jobs.append(a[0].rdd.getNumPartitions()) or more(*a))
+    monkeypatch.setattr(bo, "TASK_ROWS", 2000)
+    monkeypatch.setattr(bo, "REFRESH", 2)
+    got = bo.boost(data, ["a", "b"], ["kind"], "y", rounds=3, depth=3, patience=8)
+    assert jobs == [3, 3] and len(got.trees) == 3
+    for one, two in zip(model.trees, got.trees, strict=False):
+        assert (one.feature, one.code) == (two.feature, two.code) and one.value == pytest.approx(two.value)
+    assert np.array(model.history[:4]) == pytest.approx(np.array(got.history))
+
+
 def test_shapley_values_equal_full_enumeration(spark, data, model):
     frame = pd.DataFrame(make_rows(60, 9), columns=["id", "a", "b", "kind", "split", "y"])
     codes, against = model.codes(frame.iloc[:12]), model.codes(frame.iloc[12:44])
