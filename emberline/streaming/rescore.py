@@ -26,6 +26,8 @@ ORDER = ["ts", "event_id"]
 HOUR = 3600
 #: Hours of event time before a loan's newest event in which its event ids are known.
 KNOWN_HOURS = 24 * 30
+#: Event ids of a loan that are read and written with its values.
+FEW_IDS = 1000
 
 
 def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,9 +44,10 @@ def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Rescorer(StatefulProcessor):
     """Folds a loan's events, in (ts, event_id) order over a micro-batch, into its held values.
 
-    The offline features are the initial state, so no batch reads them again. Every event id is an entry of its own,
-    and a batch writes the entries that it adds. Once the loan's newest event is `known_hours` past an event, its
-    entry goes, by slices of an hour. An event with a known id is a repeat and is left out. An event older than the
+    The offline features are the initial state, so no batch reads them again. Up to `FEW_IDS` event ids stand beside the
+    values, as each call to the store has its price. With more, every id is an entry of its own, and a batch writes the
+    entries that it adds. Once the loan's newest event is `known_hours` past an event, its id goes, of entries by slices
+    of an hour. An event with a known id is a repeat and is left out. An event older than the
     known hours could be either, so it is given back as `too_late`; any other late event is applied when it comes.
     Events of a loan without offline features are given back as `unknown_loan`.
     """
@@ -53,23 +56,24 @@ class Rescorer(StatefulProcessor):
         self.known_hours = known_hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getValueState("values", "x array<double>, newest bigint")
+        self.values = handle.getValueState("values", "x array<double>, newest bigint, ids binary, hours binary, many boolean")
         self.named = handle.getMapState("named", "name string", "value double")
         self.seen = handle.getMapState("seen", "id bigint", "hour bigint")
         self.slices = handle.getMapState("slices", "hour bigint, first bigint", "ids array<bigint>")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        self.values.update(([float(v) for v in initialState["base"].iloc[0]], None))
+        self.values.update(([float(v) for v in initialState["base"].iloc[0]], None, b"", b"", False))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.values.get() if self.values.exists() else None
-        x, newest = (held[0], held[1]) if held else (None, None)
+        x, newest, ids, hours_of, many = held or (None, None, b"", b"", False)
         oldest = None if newest is None else newest - self.known_hours
+        few = dict(zip(*(np.frombuffer(v, dtype="<i8").tolist() for v in (ids, hours_of)), strict=True))
         named = {k[0]: v[0] for k, v in self.named.iterator()}
         was, added, reached = dict(named), {}, newest
         for batch in in_order(rows):
             rows_of = batch.drop_duplicates("event_id")
-            known = [i in added or self.seen.containsKey((i,)) for i in rows_of["id_hash"].tolist()]
+            known = [i in added or i in few or (many and self.seen.containsKey((i,))) for i in rows_of["id_hash"].tolist()]
             rows_of = rows_of[~np.array(known, dtype=bool)]
             hours = (rows_of["ts"].astype("datetime64[s]").astype("int64") // HOUR).to_numpy()
             late = np.zeros(len(rows_of), dtype=bool) if oldest is None else hours < oldest
@@ -91,12 +95,17 @@ class Rescorer(StatefulProcessor):
             x = after[-1].tolist()
             yield rows_of[["event_id", "ts", "loan_id", "type"]].assign(before=before.tolist(), after=after.tolist(), named=shown, problem=None)
         if added:
-            self.remember(added)
-            self.forget(reached - self.known_hours)
+            before = reached - self.known_hours
+            few = {i: hour for i, hour in (few | added).items() if hour >= before}
+            if many or len(few) > FEW_IDS:
+                self.remember(few)
+                self.forget(before)
+                few, many = {}, self.slices.exists()
             for name, value in named.items():
                 if name not in was or was[name] != value:
                     self.named.updateValue((name,), (value,))
-            self.values.update((x, reached))
+            ids, hours_of = (np.array(list(v), dtype="<i8").tobytes() for v in (few.keys(), few.values()))
+            self.values.update((x, reached, ids, hours_of, many))
 
     def remember(self, added: dict[int, int]) -> None:
         by_hour: dict[int, list[int]] = {}

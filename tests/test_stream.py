@@ -314,3 +314,52 @@ def test_ids_leave_the_deduplication_as_time_advances(spark):
     assert len(ids) == len(set(ids)) == 12 * 200
     assert sorted(late) == [(1, "h0-200"), (5, "h2-0"), (5, "h2-1"), (5, "h2-2")]
     assert landed.count() == 12 * 200 + 11 * 50 + 205
+
+
+class Store:
+    """States in memory that count calls."""
+
+    def __init__(self):
+        self.calls, self.states = 0, {}
+
+    def getValueState(self, name, _):  # noqa: N802
+        return Held(self, self.states.setdefault(name, {}))
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return Held(self, self.states.setdefault(name, {}))
+
+
+class Held:
+    def __init__(self, store, held):
+        def counted(f):
+            def call(*args):
+                store.calls += 1
+                return f(*args)
+
+            return call
+
+        self.exists = counted(lambda: bool(held))
+        self.get, self.update = counted(lambda: held[()]), counted(lambda v: held.update({(): v}))
+        self.containsKey, self.getValue = counted(lambda k: k in held), counted(lambda k: held[k])
+        self.updateValue, self.removeKey = counted(lambda k, v: held.update({k: v})), counted(held.pop)
+        self.iterator, self.keys = counted(lambda: list(held.items())), counted(lambda: list(held))
+
+
+def test_few_ids_cost_no_call_each_and_many_are_still_known():
+    store = Store()
+    loan = rescore.Rescorer(known_hours=1000)
+    loan.init(store)
+    width = len(rescore.state.FEATURES)
+    loan.handleInitialState((1,), pd.DataFrame({"base": [[0.0] * width]}), None)
+
+    def send(*numbers):
+        n = len(numbers)
+        rows = pd.DataFrame({"event_id": [str(i) for i in numbers], "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(numbers, unit="min"), "loan_id": 1, "type": "x",
+                             "feature_updates": [None] * n, "id_hash": numbers, "scale": [[1.0] * width] * n, "shift": [[0.0] * width] * n, "cap": [[np.inf] * width] * n})
+        return [int(i) for out in loan.handleInputRows((1,), iter([rows]), None) for i in out["event_id"]]
+
+    assert send(*range(500)) == list(range(500)) and send(*range(490, 510)) == list(range(500, 510))
+    assert store.calls < 20 and not store.states["seen"]
+    assert send(*range(505, 1700)) == list(range(510, 1700))
+    assert len(store.states["seen"]) == 1700 and send(3, 600, 1699, 1700) == [1700]
+    assert send(200_000) == [200_000] and len(store.states["seen"]) == 1 and send(200_000, 200_001) == [200_001]
