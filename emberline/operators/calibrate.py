@@ -123,8 +123,9 @@ def interpolate(knots: Column, x: Column) -> Column:
         )
 
     def neighbours(v: Column) -> Column:
-        # The knots are sorted, so those at or below v are the first ones.
-        below = F.size(F.filter(knots, lambda k: k["x"] <= v))
+        # The knots are sorted, so those at or below v are the first ones; halving finds their number.
+        halves = F.slice(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), 32 - F.length(F.bin(F.size(knots))), F.length(F.bin(F.size(knots))))
+        below = F.aggregate(halves, F.lit(0), lambda n, half: F.when(F.get(knots, n + half - 1)["x"] <= v, n + half).otherwise(n))
         return let(
             below,
             lambda n: F.struct(

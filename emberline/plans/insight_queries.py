@@ -468,7 +468,8 @@ def score_record(spark: SparkSession, d: str) -> DataFrame:
 def explanation_cache(spark: SparkSession, d: str) -> DataFrame:
     """Explanations come from the audit rows that scoring appended, the newest of each loan."""
     log = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
-    scored = records(spark, d)
+    # Scored once for both appends.
+    scored = cut_lineage(records(spark, d))
     append_log(st.audit_rows(scored), log)
     append_log(st.audit_rows(scored, "again").where(F.col("loan_id") % 2 == 0), log)
     stored = st.explanations(spark.read.parquet(log))
