@@ -31,7 +31,7 @@ from emberline.plans.book_queries import rounded
 from emberline.plans.registry import query
 from emberline.plans.sqlscore import grade_sql, logit_sql, number, pd_sql
 from emberline.plans.sqlviews import sql, view
-from emberline.session import cut_lineage, ensure_checkpoint_dir
+from emberline.session import cut_lineage, ensure_checkpoint_dir, settle
 from emberline.sources import views
 
 # ---- graph
@@ -469,7 +469,7 @@ def explanation_cache(spark: SparkSession, d: str) -> DataFrame:
     """Explanations come from the audit rows that scoring appended, the newest of each loan."""
     log = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
     # Scored once for both appends.
-    scored = cut_lineage(records(spark, d))
+    scored = settle(records(spark, d))
     append_log(st.audit_rows(scored), log)
     append_log(st.audit_rows(scored, "again").where(F.col("loan_id") % 2 == 0), log)
     stored = st.explanations(spark.read.parquet(log))
