@@ -24,9 +24,15 @@ def letters(chunk: str) -> str:
 
 def hashed(codes: np.ndarray, bits: int) -> np.ndarray:
     """Buckets of n-grams; `codes` has a column for each place."""
-    mixed = np.zeros(len(codes), dtype=np.uint64)
-    for place in range(codes.shape[1]):
-        mixed = (mixed ^ codes[:, place].astype(np.uint64)) * _PLACES[place % 3]
+    return hashed_places(list(codes.T), bits)
+
+
+def hashed_places(places: list[np.ndarray], bits: int) -> np.ndarray:
+    """As `hashed`, an array for each place."""
+    mixed = np.zeros(len(places[0]), dtype=np.uint64)
+    for i, codes in enumerate(places):
+        mixed ^= codes.astype(np.uint64)
+        mixed *= _PLACES[i % 3]
         mixed ^= mixed >> np.uint64(29)
     return (mixed >> np.uint64(7)).astype(np.int64) & ((1 << bits) - 1)
 

@@ -21,14 +21,17 @@ text and, of the labels, doc_id and toxic are read.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 
 from emberline.llm.common import per_batch, read, small_batches
 from emberline.llm.language import fold
-from emberline.llm.ngrams import hashed, letters, summed_counts
+from emberline.llm.ngrams import hashed, hashed_places, letters, summed_counts
 
 #: Buckets of character trigrams and of word features, as powers of two.
 GRAM_BITS, WORD_BITS = 16, 20
@@ -61,6 +64,10 @@ TWINS = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
 SEPARATORS = ".-_*~'` "
+#: Signs that may stand after a letter of a spaced word.
+AFTER = ".,;:?"
+#: What a chunk may be for a spaced run, as bits: one character, a letter of a run, one that begins with a letter.
+BARE, SINGLE, LETTER = 1, 2, 4
 # Costs in nats of reading a character otherwise than as itself.
 SWAP, SKIP, REPEAT, MASKED, TWIN = 1.0, 0.5, 0.2, 0.5, 0.2
 MASK = "*"
@@ -79,34 +86,48 @@ _mixed = regex.compile(r"\p{Latin}.*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrilli
 _signs = "".join(LOOKALIKES)
 
 
-def chunks_of(text: str) -> list[str]:
-    """Lower-case chunks between white space, without a comma or full stop at the end."""
+def lowered(text: str) -> str:
+    """A text in lower case whose chunks between white space have no comma or full stop at the end."""
     text = unicodedata.normalize("NFC", text).lower()
-    return text.replace(", ", " ").replace(". ", " ").replace(".\n", "\n").split()
+    return text.replace(", ", " ").replace(". ", " ").replace(".\n", "\n")
 
 
 def is_single(chunk: str) -> bool:
     """Whether a chunk may be a letter of a spaced word: a letter, look-alike or mask, perhaps with a sign after it."""
-    bare = chunk if len(chunk) == 1 else chunk.rstrip(".,;:?")
+    bare = chunk if len(chunk) == 1 else chunk.rstrip(AFTER)
     return len(bare) == 1 and (bare.isalpha() or bare in LOOKALIKES or bare == MASK)
 
 
-def spaced_out(chunks: list[str]) -> list[str]:
-    """Runs of single characters, two letters at least among them, each with spaces between.
+def kinds_of(chunks: list[str]) -> np.ndarray:
+    """The bits of `BARE`, `SINGLE` and `LETTER` that hold for each chunk, 0 for longer ones."""
+    kinds = np.zeros(len(chunks), dtype=np.int8)
+    for i, chunk in enumerate(chunks):
+        # One character alone or with a sign after it; the others are not looked at.
+        if chunk[1:2] in AFTER:
+            kinds[i] = BARE * (len(chunk) == 1) | SINGLE * is_single(chunk) | LETTER * chunk[:1].isalpha()
+    return kinds
+
+
+def spaced_runs(kinds: np.ndarray) -> list[tuple[int, int]]:
+    """Beginnings and ends of runs of single characters, two letters at least among them.
 
     A run has three or more, of which two neighbours have no sign after them.
     """
-    bare = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) == 1
+    bare = (kinds & BARE).view(bool)
     if not (bare[:-1] & bare[1:]).any():
         return []
-    single = np.fromiter(map(is_single, chunks), dtype=np.int8, count=len(chunks))
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
-    runs = (chunks[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3)
-    return [" ".join(run) for run in runs if sum(c[0].isalpha() for c in run) > 1]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (kinds & SINGLE) >> 1, [0]])))
+    runs = zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+    return [(a, b) for a, b in runs if b - a >= 3 and np.count_nonzero(kinds[a:b] & LETTER) > 1]
 
 
-def word_bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
+def spaced_out(chunks: list[str]) -> list[str]:
+    """The spaced runs of a text's chunks, each with spaces between."""
+    return [" ".join(chunks[a:b]) for a, b in spaced_runs(kinds_of(chunks))]
+
+
+def word_buckets(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, map(str.encode, words)), dtype=np.int64, count=len(words)) & ((1 << WORD_BITS) - 1)
 
 
 def is_mixed(chunk: str) -> bool:
@@ -325,8 +346,7 @@ def beginnings(words: list[str]) -> np.ndarray:
     width = max(BEGINNINGS)
     codes = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
     parts = [hashed(np.hstack([codes[:, :n], np.full((len(words), 1), n, dtype=np.uint32)]), WORD_BITS) for n in BEGINNINGS]
-    whole = np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.int64, count=len(words)) & ((1 << WORD_BITS) - 1)
-    return np.stack([whole, *parts], axis=1)
+    return np.stack([word_buckets(words), *parts], axis=1)
 
 
 class Reader:
@@ -337,42 +357,66 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        #: The number of each chunk's word, and of the words of spaced runs.
-        self.known: dict[str, int] = {}
-        self.words: dict[str, int] = {"": 0}
+        #: Numbers in order of first sight, of chunks and of their words.
+        self.known: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.words: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        #: For each number the chunk, its word and its bits; what is seen but not learnt yet is not among them.
+        self.chunks: list[str] = []
+        self.word_of = np.zeros(0, dtype=np.int32)
+        self.kinds = np.zeros(0, dtype=np.int8)
         self.runs: dict[str, list[int]] = {}
         self.features = np.zeros((1, 1 + len(BEGINNINGS)), dtype=np.int64)
+        self.add([""])
 
-    def add(self, words: Iterable[str]) -> None:
-        fresh = [w for w in dict.fromkeys(words) if w not in self.words]
-        self.words |= zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True)
+    def add(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, with features for new ones."""
+        numbers = np.fromiter(map(self.words.__getitem__, words), dtype=np.int32, count=len(words))
+        fresh = list(itertools.islice(self.words, len(self.features), None))
         if fresh:
             self.features = np.vstack([self.features, beginnings(fresh)])
-
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
-        words = [c if c.isascii() and c.isalpha() and not _double.search(c) else restored_words(c, self.model)[0] for c in new]
-        self.add(words)
-        self.known |= zip(new, map(self.words.__getitem__, words), strict=True)
+        return numbers
+
+    def number(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's chunks in order, an empty one where a text begins or ends with white space.
+
+        Arrow finds the distinct chunks of all texts, so each is looked up once.
+        """
+        split = pc.utf8_split_whitespace(pa.array([lowered(t) if t else "" for t in texts], type=pa.large_string()))
+        found = split.values.dictionary_encode()
+        chunks = found.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int32, count=len(chunks))[found.indices.to_numpy()]
+        return [numbers[a:b] for a, b in itertools.pairwise(split.offsets.to_pylist())]
+
+    def learn(self) -> None:
+        """The words of chunks that got a number since."""
+        new = list(itertools.islice(self.known, len(self.chunks), None))
+        if not new:
+            return
+        words = [c if c.isalpha() and not _double.search(c) and not is_mixed(c) else restored_words(c, self.model)[0] for c in new]
+        self.chunks += new
+        self.word_of = np.concatenate([self.word_of, self.add(words)])
+        self.kinds = np.concatenate([self.kinds, kinds_of(new)])
 
     def learn_runs(self, runs: set[str]) -> None:
         """Spaced runs, of several words perhaps."""
         new = {run: restored_words(run, self.model) for run in runs - self.runs.keys()}
-        self.add(w for words in new.values() for w in words)
+        self.add([w for words in new.values() for w in words])
         self.runs |= {run: [self.words[w] for w in words] for run, words in new.items()}
 
     def read(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the numbers of its distinct words, which are rows of `features`."""
         if len(self.known) + len(self.runs) > REMEMBERED:
             self.forget()
-        split = [chunks_of(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        spaced = [spaced_out(c) for c in split]
-        self.learn_runs({c for chunks in spaced for c in chunks})
+        numbers = self.number(texts)
+        self.learn()
+        spaced = [[" ".join(map(self.chunks.__getitem__, n[a:b].tolist())) for a, b in spaced_runs(self.kinds[n])] for n in numbers]
+        self.learn_runs({run for runs in spaced for run in runs})
         out = []
-        for chunks, runs in zip(split, spaced, strict=True):
-            more = [w for run in runs for w in self.runs[run]]
-            words = np.unique(np.fromiter([*map(self.known.__getitem__, chunks), *more], dtype=np.int64))
+        for seen, runs in zip(numbers, spaced, strict=True):
+            words = self.word_of[seen]
+            if runs:
+                words = np.concatenate([words, np.array([w for run in runs for w in self.runs[run]], dtype=np.int32)])
+            words = np.unique(words)
             out.append(words[words > 0])
         return out
 
@@ -387,22 +431,25 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         found: Counter[str] = Counter()
 
         def add() -> None:
-            pairs = [(w, n) for w, n in ((letters(c), n) for c, n in found.items()) if w]
+            words = list(map(letters, found))
+            some = np.fromiter(map(bool, words), dtype=bool, count=len(words))
+            times = np.fromiter(found.values(), dtype=np.int64, count=len(words))[some]
             found.clear()
-            if not pairs:
+            words = list(filter(None, words))
+            if not words:
                 return
-            np.add.at(held, [word_bucket(w) for w, _ in pairs], [n for _, n in pairs])
-            codes = np.frombuffer("".join(f"  {w} " for w, _ in pairs).encode("utf-32-le"), dtype=np.uint32)
-            lengths = np.array([len(w) for w, _ in pairs]) + 3
-            times = np.repeat([n for _, n in pairs], lengths)[2:]
-            grams = np.stack([codes[:-2], codes[1:-1], codes[2:]], axis=1)
+            np.add.at(held, word_buckets(words), times)
+            # Two spaces ahead of each word and one after it.
+            codes = np.frombuffer(f"  {'   '.join(words)} ".encode("utf-32-le"), dtype=np.uint32)
+            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 3
+            times = np.repeat(times, lengths)[2:]
             # Not those that run from one word into the next.
             ends = np.cumsum(lengths)[:-1]
-            inside = np.ones(len(grams), dtype=bool)
+            inside = np.ones(len(codes) - 2, dtype=bool)
             inside[np.concatenate([ends - 2, ends - 1])] = False
-            grams, times = grams[inside], times[inside]
-            total[0] += np.bincount(hashed(grams[:, :2], GRAM_BITS), times, 1 << GRAM_BITS).astype(np.int64)
-            total[1] += np.bincount(hashed(grams, GRAM_BITS), times, 1 << GRAM_BITS).astype(np.int64)
+            places, times = [codes[i : len(codes) - 2 + i][inside] for i in range(3)], times[inside]
+            for row, buckets in zip(total, (hashed_places(places[:2], GRAM_BITS), hashed_places(places, GRAM_BITS)), strict=True):
+                row += np.bincount(buckets, times, 1 << GRAM_BITS).astype(np.int64)
 
         for frame in frames:
             for text in frame["text"].dropna():
@@ -468,11 +515,15 @@ class Scorer:
     def __init__(self, model: ToxicModel):
         self.model = model
         self.reader = Reader(model.characters)
+        self.words, self.known = self.reader.words, np.zeros(0, dtype=np.float32)
 
     def gains(self, texts: list[str | None]) -> list[np.ndarray]:
         found = self.reader.read(texts)
-        known = self.model.word_gains(self.reader.features)
-        return [known[words] for words in found]
+        if self.words is not self.reader.words:
+            # The reader has started anew, and so do the scores.
+            self.words, self.known = self.reader.words, np.zeros(0, dtype=np.float32)
+        self.known = np.concatenate([self.known, self.model.word_gains(self.reader.features[len(self.known) :])])
+        return [self.known[words] for words in found]
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicModel:

@@ -208,6 +208,46 @@ def test_lattice_equals_exhaustive_search(spark):
         assert set(got) <= every - {word} and len(set(got)) >= min(len(every) - 1, toxicity.READINGS)
 
 
+def flat_model():
+    characters = toxicity.CharacterModel(np.ones((2, 1 << toxicity.GRAM_BITS)), np.ones(1 << toxicity.WORD_BITS, dtype=np.int64))
+    return toxicity.ToxicModel(characters, np.ones((2, 1 << toxicity.WORD_BITS)), np.array([1, 1]))
+
+
+def test_toxicity_looks_at_a_chunk_once(monkeypatch):
+    """Work on chunks and word scores goes with distinct chunks, not with their places nor with batches."""
+    single, scored = [], []
+    is_single, word_gains = toxicity.is_single, toxicity.ToxicModel.word_gains
+    monkeypatch.setattr(toxicity, "is_single", lambda chunk: single.append(chunk) or is_single(chunk))
+    monkeypatch.setattr(toxicity.ToxicModel, "word_gains", lambda self, rows: scored.extend(rows) or word_gains(self, rows))
+    scorer = toxicity.Scorer(flat_model())
+    for _ in range(3):
+        scorer.gains(["a river a stone x y " * 100] * 5)
+    assert {"a", "x", "y"} <= set(single) and len(set(single)) == len(single)
+    assert len(scored) == len(scorer.reader.words)
+
+
+def test_toxicity_chunks_equal_plain_splits(monkeypatch):
+    """Odd white space and empty texts, with and without remembered chunks; word scores follow a reader that starts anew."""
+    g = random.Random(9)
+    parts = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "river", "Stone", "\u00c4pfel", "x", "y", "i.", "\u0130", ", ", ". ", "\x00", "a5", "\u200b"]
+    texts = [None, "", " ", *("".join(g.choices(parts, k=g.randint(1, 40))) for _ in range(300))]
+    model = flat_model()
+    model.gains = np.arange(1 << toxicity.WORD_BITS).astype(np.float32)
+    want = [np.sort(toxicity.Scorer(model).gains([t])[0]).tolist() for t in texts]
+    for remembered in (10, 300_000):
+        monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+        scorer = toxicity.Scorer(model)
+        got = [np.sort(x).tolist() for at in range(0, len(texts), 7) for x in scorer.gains(texts[at : at + 7])]
+        assert got == want
+    reader = toxicity.Reader(model.characters)
+    numbers = reader.number(texts)
+    reader.learn()
+    for text, found in zip(texts, numbers, strict=True):
+        assert [reader.chunks[n] for n in found if reader.chunks[n]] == toxicity.lowered(text or "").split()
+        runs = [" ".join(reader.chunks[n] for n in found[a:b]) for a, b in toxicity.spaced_runs(reader.kinds[found])]
+        assert runs == toxicity.spaced_out(toxicity.lowered(text or "").split())
+
+
 def test_toxicity_of_odd_rows(spark):
     """Very long texts, repeated rows and other columns; equal rows get equal scores."""
     long = "river sto1ne ga$den m***n " * 60_000
