@@ -291,7 +291,8 @@ def gate_reason(spark: SparkSession, d: str) -> DataFrame:
     of = lambda name: F.max(F.when(F.col("model") == name, F.col("auc_roc")))
     both = rows.groupBy("loan_type_segment").agg(of("challenger").alias("challenger"), of("production").alias("production"))
     decided = both.withColumn("g", jr.gate_decision(F.col("challenger"), F.col("production")))
-    return decided.select("loan_type_segment", "g.promoted", "g.reason")
+    # Without an AUC on both sides nothing is decided, so there is no reason either.
+    return decided.select("loan_type_segment", "g.promoted", F.when(F.col("g.promoted").isNotNull(), F.col("g.reason")).alias("reason"))
 
 
 @query("run_log", """SELECT p_brand AS model, version, run_id, metric, value FROM (
