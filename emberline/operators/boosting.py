@@ -3,7 +3,8 @@
 Features become small codes once: numeric ones the number of the quantile range they fall into, categories the rank of
 their level by frequency, and 0 stands for a missing value. The coded rows are written. A job of `REFRESH` rounds is a
 barrier stage: its tasks run together, each reads its share of the rows once, and for each level of a tree they exchange
-sums of gradients, curvatures and rows by (node, feature, code), whose number does not depend on the rows. From the same
+sums of gradients, curvatures and rows by (node, feature, code), whose number does not depend on the rows. Of two children
+the one with fewer rows is summed, the other has the rest of their parent's sums. From the same
 sums every task picks the same splits: a code range, or one level against the rest, and the side for missing values that
 gains more. A job gives its trees to the driver, and the rows are written with their margins, so a lost task repeats one
 job at most. A model goes on from its last tree.
@@ -17,9 +18,14 @@ from __future__ import annotations
 import base64
 import json
 import math
+import os
+import shutil
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cache
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -28,16 +34,20 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.session import settle
+from emberline.session import ensure_checkpoint_dir, settle
 
 #: Most ranges of a numeric feature; most levels of a category that count by themselves, others share a code.
 RANGES, LEVELS = 63, 254
 RATE, RIDGE, LEAST_ROWS, SAMPLED = 0.1, 1.0, 20, 0.8
 #: Rounds of a job.
-REFRESH = 100
-#: Rows for which a job takes one more task while there are cores: an exchange takes a second, as long as the sums of
-#: some 4,000,000 rows. And score buckets of the calib AUC.
-TASK_ROWS, AUC_BUCKETS = 2_000_000, 1024
+REFRESH = 200
+#: Rows for which a job takes one more task while there are cores, if tasks exchange files; the same if they exchange
+#: messages of Spark, which take a second each, as long as the sums of some 4,000,000 rows; and most tasks, as each reads all sums.
+TASK_ROWS, MESSAGE_ROWS, MOST_TASKS = 50_000, 2_000_000, 64
+#: Score buckets of the calib AUC; most combinations of codes that are counted together; rows taken at once.
+AUC_BUCKETS, JOINT, BLOCK = 1024, 4500, 32_768
+#: Seconds in which a task has to see the first files of the others, and in which each later file has to come.
+FIRST_WAIT, LONGEST_WAIT = 10.0, 3600.0
 
 
 @dataclass(frozen=True)
@@ -166,13 +176,80 @@ def tasks_for(rows: DataFrame) -> int:
     """Tasks of a job: one for each `TASK_ROWS` rows, at most as many as can run at the same time."""
     context = rows.sparkSession.sparkContext._jsc.sc()
     together = context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
-    return max(1, min(-(-rows.count() // TASK_ROWS), together))
+    return max(1, min(-(-rows.count() // (TASK_ROWS if shared_folder(rows.sparkSession) else MESSAGE_ROWS)), together, MOST_TASKS))
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder as a path that Python can open; None if it is in another kind of store."""
+    found = urlparse(ensure_checkpoint_dir(spark))
+    return unquote(found.path) if found.scheme in ("", "file") else None
+
+
+class Exchange:
+    """Gives the bytes of each task of a barrier stage to all of them, in the order of the tasks.
+
+    They go through files in a folder that all tasks share, as a message of Spark takes a second. The tasks first try
+    whether each sees the files of all; if one does not, all use messages.
+    """
+
+    def __init__(self, context: BarrierTaskContext, folder: str | None):
+        self.context, self.task, self.tasks = context, context.partitionId(), len(context.getTaskInfos())
+        self.folder, self.step = folder, 0
+        if self.folder:
+            # A repeated stage must not read files of the one that failed.
+            self.folder = os.path.join(folder, context.allGather(uuid.uuid4().hex)[0])
+            try:
+                os.makedirs(self.folder, exist_ok=True)
+                seen = self.through_files(b"", FIRST_WAIT)
+            except OSError:
+                seen = None
+            if not all(context.allGather("" if seen is None else "seen")):
+                self.folder = None
+
+    def gather(self, sent: bytes) -> list[bytes]:
+        if self.folder:
+            return self.through_files(sent, LONGEST_WAIT)
+        return [base64.b64decode(m) for m in self.context.allGather(base64.b64encode(sent).decode())]
+
+    def through_files(self, sent: bytes, wait: float) -> list[bytes]:
+        own, until, got = self.path(self.task), time.monotonic() + wait, []
+        with open(f"{own}.part", "wb") as file:
+            file.write(sent)
+        os.replace(f"{own}.part", own)
+        while len(got) < self.tasks:
+            try:
+                with open(self.path(len(got)), "rb") as file:
+                    got.append(file.read())
+            except FileNotFoundError:
+                if time.monotonic() > until:
+                    raise TimeoutError(f"no sums of task {len(got)} after {wait} seconds") from None
+                time.sleep(0.0005)
+        self.step += 1
+        if self.step > 1:
+            # Who has written this step has read the step before.
+            os.remove(self.path(self.task, self.step - 2))
+        return got
+
+    def path(self, task: int, step: int | None = None) -> str:
+        return os.path.join(self.folder, f"{self.step if step is None else step}-{task}")
 
 
 def chance(margins: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-margins))
 
 
+def joined(sizes: Sequence[int], most: int) -> list[list[int]]:
+    """Features whose codes are counted together, the larger first: groups with at most `most` combinations."""
+    groups: list[list[int]] = []
+    for feature in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+        fitting = (g for g in groups if math.prod(int(sizes[f]) for f in [*g, feature]) <= most)
+        if (group := next(fitting, None)) is None:
+            groups.append([feature])
+        else:
+            group.append(feature)
+    return groups
+
+
 class TaskRows:
     """A task's share of the coded rows, a line for each feature, and where each row stands in the growing tree."""
 
@@ -183,52 +260,70 @@ class TaskRows:
         self.codes, self.y, self.w, self.calib, self.draw, self.margin = (np.concatenate(c, axis=-1) for c in zip(none, *kept, strict=True))
         self.draw, self.sizes = self.draw.astype(np.uint64), sizes
         self.codes = np.ascontiguousarray(self.codes)
-        self.row_numbers = np.arange(len(self.y))
+        self.watched = np.flatnonzero(self.calib)
+        # A pass over codes that are counted together gives the sums of two or more features.
+        self.joint = []
+        for group in joined(sizes, min(JOINT, len(self.y) // 4)):
+            codes = self.codes[group[0]].astype(np.uint16)
+            for feature in group[1:]:
+                codes = codes * np.uint16(sizes[feature]) + self.codes[feature]
+            self.joint.append((group, [int(sizes[f]) for f in group], codes))
 
     def begin(self, turn: int) -> np.ndarray:
         """Draw the rows of a round; the calib sums of all trees so far, a column for each score bucket."""
-        p = chance(self.margin)
         watched = np.zeros((3, AUC_BUCKETS))
-        if self.calib.any():
-            q, cy, cw = np.clip(p[self.calib], 1e-15, 1 - 1e-15), self.y[self.calib], self.w[self.calib]
+        if len(self.watched):
+            q, cy, cw = np.clip(chance(self.margin.take(self.watched)), 1e-15, 1 - 1e-15), self.y.take(self.watched), self.w.take(self.watched)
             bucket = np.minimum((q * AUC_BUCKETS).astype(np.int64), AUC_BUCKETS - 1)
             losses = -cw * (cy * np.log(q) + (1 - cy) * np.log(1 - q))
             watched = np.stack([np.bincount(bucket, what, AUC_BUCKETS) for what in (cw * cy, cw * (1 - cy), losses)])
-        drawn = ((self.draw ^ np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.float64) / 2**32
-        self.some = np.flatnonzero(~self.calib & (drawn < SAMPLED))
-        y, w, p = self.y[self.some], self.w[self.some], p[self.some]
-        self.gradient, self.curvature, self.drawn = w * (p - y), w * p * (1 - p), self.codes[:, self.some]
-        self.place = np.zeros(len(self.y), dtype=np.int64)
+        drawn = (self.draw ^ np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+        self.some = np.flatnonzero(~self.calib & (drawn < np.uint64(math.ceil(SAMPLED * 2**32))))
+        y, w, p = self.y.take(self.some), self.w.take(self.some), chance(self.margin.take(self.some))
+        self.gradient, self.curvature = w * (p - y), w * p * (1 - p)
+        self.place = np.zeros(len(self.y), dtype=np.uint16)
         return watched
 
-    def sums(self, level: int) -> np.ndarray:
-        """Gradient, curvature and rows by (node, feature, code) of the drawn rows."""
-        place, nodes = self.place[self.some], 1 << level
-        made = []
-        for own, size in zip(self.drawn, self.sizes.tolist(), strict=True):
-            slot = place * size + own
-            made.append(np.stack([np.bincount(slot, what, nodes * size).reshape(nodes, size) for what in (self.gradient, self.curvature, None)]))
-        return np.concatenate(made, axis=2).reshape(3, -1)
+    def sums(self, counted: np.ndarray | None = None) -> np.ndarray:
+        """Gradient, curvature and rows by (node, feature, code) of the drawn rows; of the root, or of one child of each
+        node of the last level, those that are `counted`."""
+        at, gradient, curvature, place, nodes = self.some, self.gradient, self.curvature, None, 1
+        if counted is not None:
+            place, nodes = self.place.take(at), len(counted) // 2
+            chosen = np.flatnonzero(counted.take(place))
+            at, gradient, curvature = at.take(chosen), gradient.take(chosen), curvature.take(chosen)
+            place = (place.take(chosen) >> 1).astype(np.int64)
+        out, starts = np.zeros((3, nodes, int(self.sizes.sum()))), np.cumsum(self.sizes) - self.sizes
+        for group, sizes, codes in self.joint:
+            slot, slots = codes.take(at), math.prod(sizes)
+            slot = slot.astype(np.int64) if place is None else place * slots + slot
+            for into, what in zip(out, (gradient, curvature, None), strict=True):
+                found = np.bincount(slot, what, nodes * slots).reshape(nodes, *sizes)
+                for axis, (feature, size) in enumerate(zip(group, sizes, strict=True), start=1):
+                    into[:, starts[feature] : starts[feature] + size] = found.sum(axis=tuple(a for a in range(1, found.ndim) if a != axis))
+        return out.reshape(3, -1)
 
     def descend(self, tree: Tree, level: int) -> None:
-        nodes = range((1 << level) - 1, (2 << level) - 1)
-        feature, left = np.maximum(np.array(tree.feature)[nodes], 0), left_codes(tree, nodes).ravel()
-        own = self.codes.ravel().take(feature.take(self.place) * len(self.y) + self.row_numbers)
-        self.place = 2 * self.place + 1 - left.take(self.place * 256 + own)
+        nodes, rows = range((1 << level) - 1, (2 << level) - 1), len(self.y)
+        begins, left = np.maximum(np.array(tree.feature)[nodes], 0) * rows, left_codes(tree, nodes).ravel()
+        codes, numbers = self.codes.ravel(), np.arange(BLOCK)
+        for at in range(0, rows, BLOCK):
+            place = self.place[at : at + BLOCK].astype(np.int64)
+            own = codes.take(begins.take(place) + at + numbers[: len(place)])
+            self.place[at : at + BLOCK] = 2 * place + 1 - left.take(place * 256 + own)
 
     def finish(self, tree: Tree) -> None:
         self.margin = self.margin + np.array(tree.value).take(self.place)
 
 
-def added_up(together: BarrierTaskContext | None, sums: np.ndarray) -> np.ndarray:
+def added_up(together: Exchange | None, sums: np.ndarray) -> np.ndarray:
     """The sums of all tasks, in their order; what has no rows is not sent."""
     if together is None:
         return sums
     full = sums[:2].any(axis=0) | (sums[2] != 0)
     sent = np.packbits(full).tobytes() + sums[:, full].astype("<f8").tobytes()
     total, ends = np.zeros_like(sums), -(-len(full) // 8)
-    for message in together.allGather(base64.b64encode(sent).decode()):
-        got = base64.b64decode(message)
+    for got in together.gather(sent):
         held = np.unpackbits(np.frombuffer(got, dtype=np.uint8, count=ends), count=len(full)).astype(bool)
         total[:, held] += np.frombuffer(got, dtype="<f8", offset=ends).reshape(3, -1)
     return total
@@ -247,38 +342,63 @@ def watched_metrics(sums: np.ndarray) -> tuple[float, float] | None:
 
 def best_split(hist: np.ndarray, sizes: np.ndarray, n_numeric: int) -> tuple[float, int, int, bool, bool] | None:
     """(gain, feature, code, is a level, missing goes left) of a node; `hist` has a row of sums for each slot."""
-    whole = hist[: sizes[0]].sum(axis=0)
-    worth = lambda s: s[..., 0] ** 2 / (s[..., 1] + RIDGE)
-    best, at = None, 0
-    for feature, size in enumerate(sizes):
-        own = hist[at : at + size]
-        at += size
-        missing, rest = own[0], own[1:]
-        level = feature >= n_numeric
-        left = rest if level else np.cumsum(rest, axis=0)
-        for missing_left in (False, True):
-            sides = left + missing if missing_left else left
-            other = whole - sides
-            gain = worth(sides) + worth(other) - worth(whole)
-            gain[(sides[:, 2] < LEAST_ROWS) | (other[:, 2] < LEAST_ROWS)] = -np.inf
-            code = int(gain.argmax())
-            if gain[code] > 1e-9 and (best is None or gain[code] > best[0] + 1e-9):
-                best = (float(gain[code]), feature, code + 1, level, missing_left)
-    return best
-
-
-def one_tree(rows: TaskRows, together: BarrierTaskContext | None, model: Boosted, depth: int, first: np.ndarray) -> Tree | None:
+    return best_splits(hist.T[:, None], sizes, n_numeric)[0]
+
+
+def best_splits(sums: np.ndarray, sizes: np.ndarray, n_numeric: int) -> list[tuple[float, int, int, bool, bool] | None]:
+    """The best split of each node, all nodes and features in one step; `sums` is (3, nodes, slots)."""
+    starts, codes = np.cumsum(sizes) - sizes, np.arange(1, max(int(sizes.max()), 2))
+    there = codes < sizes[:, None]
+    # A line of codes for each feature; what a shorter one lacks is read from a slot without rows.
+    padded = np.concatenate([sums, np.zeros((*sums.shape[:2], 1))], axis=2)
+    left = padded[:, :, np.where(there, starts[:, None] + codes, sums.shape[2])]
+    left[:, :, :n_numeric] = np.cumsum(left[:, :, :n_numeric], axis=3)
+    missing, whole = sums[:, :, starts][..., None], sums[:, :, : sizes[0]].sum(axis=2)[:, :, None, None]
+    worth = lambda s: s[0] ** 2 / (s[1] + RIDGE)
+    gains, at = [], []
+    for sides in (left, left + missing):
+        other = whole - sides
+        gain = worth(sides) + worth(other) - worth(whole)
+        gain[(sides[2] < LEAST_ROWS) | (other[2] < LEAST_ROWS) | ~there] = -np.inf
+        at.append(gain.argmax(axis=2))
+        gains.append(gain.max(axis=2))
+    found = []
+    for of_node, code_of in zip(np.stack(gains, axis=2).tolist(), np.stack(at, axis=2).tolist(), strict=True):
+        best = None
+        for feature, (own, code) in enumerate(zip(of_node, code_of, strict=True)):
+            for missing_left in (False, True):
+                # Equal columns have equal gains but for rounding; the first of them is taken.
+                if own[missing_left] > 1e-9 and (best is None or own[missing_left] > best[0] + 1e-9 * max(1.0, best[0])):
+                    best = (own[missing_left], feature, code[missing_left] + 1, feature >= n_numeric, missing_left)
+        found.append(best)
+    return found
+
+
+def children(parents: np.ndarray, some: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Sums of both children of each node, from its own and those of the counted child."""
+    rest = parents - some
+    # A difference of sums without rows is rounding.
+    rest[:, rest[2] == 0] = 0.0
+    both = np.empty((3, len(counted), parents.shape[2]))
+    both[:, counted], both[:, ~counted] = some, rest
+    return both
+
+
+def one_tree(rows: TaskRows, together: Exchange | None, model: Boosted, depth: int, first: np.ndarray) -> Tree | None:
     """The next tree, an exchange for each level after the first; None where no split gains."""
     sizes = model.sizes()
     total, inner = int(sizes.sum()), (1 << depth) - 1
     tree = Tree([-1] * inner, [0] * inner, [False] * inner, [False] * inner, [0.0] * (1 << depth))
+    sums, fewer = first.reshape(3, 1, total), np.zeros(0, dtype=bool)
     for level in range(depth):
-        sums = added_up(together, rows.sums(level)) if level else first
-        for place in range(1 << level):
+        if level:
+            counted = np.stack([~fewer, fewer], axis=1).ravel()
+            sums = children(sums, added_up(together, rows.sums(counted)).reshape(3, -1, total), counted)
+        fewer = np.ones(1 << level, dtype=bool)
+        for place, found in enumerate(best_splits(sums, sizes, len(model.numeric))):
             node = (1 << level) - 1 + place
-            hist = sums[:, place * total : (place + 1) * total].T
+            hist = sums[:, place].T
             whole = hist[: sizes[0]].sum(axis=0)
-            found = best_split(hist, sizes, len(model.numeric))
             sides = [whole, np.zeros(3)]
             if found:
                 _, feature, code, is_level, missing_left = found
@@ -290,6 +410,7 @@ def one_tree(rows: TaskRows, together: BarrierTaskContext | None, model: Boosted
                     tree.missing_left[node] = missing_left = bool(2 * left[2] >= whole[2])
                 left = left + own[0] if missing_left else left
                 sides = [left, whole - left]
+                fewer[place] = 2 * left[2] >= whole[2]
             if level == depth - 1:
                 for side, s in enumerate(sides):
                     tree.value[2 * place + side] = float(-RATE * s[0] / (s[1] + RIDGE))
@@ -303,17 +424,18 @@ def more_rounds(rows: DataFrame, model: Boosted, history: list[tuple[float, floa
     `rows` holds margins of all trees of the model; `left` are the rounds still allowed.
     """
     sizes = model.sizes()
-    shared = rows.sparkSession.sparkContext.broadcast((model, history))
+    shared, folder = rows.sparkSession.sparkContext.broadcast((model, history)), shared_folder(rows.sparkSession)
+    folder = folder and os.path.join(folder, f"sums-{uuid.uuid4().hex}")
 
     def batches(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
-        together = context if len(context.getTaskInfos()) > 1 else None
+        together = Exchange(context, folder) if len(context.getTaskInfos()) > 1 else None
         (model, history), held = shared.value, TaskRows(arrived, sizes)
         trees, history, ended = list(model.trees), list(history), False
         begun = len(trees)
         while not ended and len(trees) - begun < REFRESH:
             watched = held.begin(len(trees))
-            both = added_up(together, np.concatenate([watched, held.sums(0)], axis=1))
+            both = added_up(together, np.concatenate([watched, held.sums()], axis=1))
             watched, first = both[:, :AUC_BUCKETS], both[:, AUC_BUCKETS:]
             if metrics := watched_metrics(watched):
                 history.append(metrics)
@@ -328,6 +450,8 @@ def more_rounds(rows: DataFrame, model: Boosted, history: list[tuple[float, floa
             yield pa.RecordBatch.from_arrays([pa.array([found])], names=["found"])
 
     found = json.loads(rows.mapInArrow(batches, "found string", barrier=True).collect()[0][0])
+    if folder:
+        shutil.rmtree(folder, ignore_errors=True)
     model = replace(model, trees=(*model.trees, *(Tree(**t) for t in found["trees"])))
     return model, [tuple(h) for h in found["history"]], found["ended"]
 

@@ -2,10 +2,14 @@
 
 import itertools
 import math
+import os
 import tempfile
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from emberline.operators import boosting as bo
@@ -166,3 +170,95 @@ def test_unseen_levels_and_empty_tables(spark, model):
     assert all(0 < r["p"] < 1 for r in bo.scored(new, model, "p").collect())
     nothing = bo.boost(new, ["a", "b"], ["kind"], "y", rounds=3)
     assert nothing.trees == () and bo.scored(new, nothing, "p").first()["p"] == pytest.approx(0.5)
+
+
+class Stage:
+    """A barrier stage of threads; counts the messages."""
+
+    def __init__(self, tasks):
+        self.said, self.met, self.messages = [None] * tasks, threading.Barrier(tasks, timeout=30), 0
+
+    def task(self, number):
+        stage = self
+
+        class Context:
+            def partitionId(self):  # noqa: N802
+                return number
+
+            def getTaskInfos(self):  # noqa: N802
+                return stage.said
+
+            def allGather(self, text):  # noqa: N802
+                stage.messages += number == 0
+                stage.said[number] = text
+                stage.met.wait()
+                heard = list(stage.said)
+                stage.met.wait()
+                return heard
+
+        return Context()
+
+
+def exchanged(folders, rounds=30):
+    """What each of some tasks gets in each round, and the stage; a task may see another folder than the others."""
+    stage = Stage(len(folders))
+
+    def run(number):
+        together = bo.Exchange(stage.task(number), folders[number])
+        return [together.gather(f"{number}-{r}".encode() * (r + number)) for r in range(rounds)]
+
+    with ThreadPoolExecutor(len(folders)) as pool:
+        return list(pool.map(run, range(len(folders)))), stage
+
+
+def test_sums_go_through_files_and_not_a_message_each(tmp_path):
+    want = [[f"{t}-{r}".encode() * (r + t) for t in range(3)] for r in range(30)]
+    got, stage = exchanged([str(tmp_path)] * 3)
+    assert got == [want] * 3 and stage.messages == 2
+    # Only the files of the last round are still there.
+    assert sum(len(files) for _, _, files in os.walk(tmp_path)) == 3
+
+
+def test_tasks_that_share_no_folder_use_messages(tmp_path, monkeypatch):
+    monkeypatch.setattr(bo, "FIRST_WAIT", 0.2)
+    want = [[f"{t}-{r}".encode() * (r + t) for t in range(3)] for r in range(5)]
+    got, stage = exchanged([str(tmp_path / "one"), str(tmp_path / "one"), str(tmp_path / "two")], 5)
+    assert got == [want] * 3 and stage.messages == 7
+    got, stage = exchanged([None] * 3, 5)
+    assert got == [want] * 3 and stage.messages == 5
+
+
+def test_sums_of_a_child_and_of_codes_counted_together_equal_plain_sums():
+    g = np.random.default_rng(4)
+    sizes, n = np.array([9, 65, 4, 65, 3]), 40_000
+    assert sorted(sorted(x) for x in bo.joined(sizes, 4500)) == [[0, 2, 4], [1, 3]] and bo.joined(sizes, 10) == [[1], [3], [0], [2], [4]]
+    codes = np.stack([g.integers(0, s, n) for s in sizes], axis=1).astype(np.uint8)
+    columns = [[row.tobytes() for row in codes], (g.random(n) < 0.2).astype(float), g.random(n), g.random(n) < 0.1, g.integers(-(2**62), 2**62, n), g.normal(0, 1, n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["codes", "label", "weight", "calib", "draw", "margin"])
+    rows = bo.TaskRows(iter([batch]), sizes)
+    assert len(rows.joint) == 2
+    rows.begin(3)
+    root = rows.sums().reshape(3, 1, -1)
+    tree = bo.Tree([1, -1, -1], [30, 0, 0], [False] * 3, [True, False, False], [0.0] * 4)
+    rows.descend(tree, 0)
+    goes_right = codes[:, 1] > 30
+    assert (rows.place == goes_right).all()
+    counted = np.array([False, True])
+    both = bo.children(root, rows.sums(counted).reshape(3, 1, -1), counted)
+    starts = np.cumsum(sizes) - sizes
+    for node, inside in ((0, ~goes_right), (1, goes_right)):
+        chosen = inside[rows.some]
+        for feature, size in enumerate(sizes):
+            own = codes[rows.some][chosen, feature]
+            want = [np.bincount(own, what, size) for what in (rows.gradient[chosen], rows.curvature[chosen], None)]
+            assert both[:, node, starts[feature] : starts[feature] + size] == pytest.approx(np.array(want), abs=1e-9)
+    # No rows, no sums, however their parent's were rounded.
+    assert (both[:2, :, :][:, both[2] == 0] == 0).all()
+
+
+def test_the_first_of_equal_columns_splits():
+    g = np.random.default_rng(6)
+    own = np.stack([g.normal(0, 1e5, 12), g.random(12) * 1e5, g.integers(50, 900, 12)])
+    for rounding in (1 - 1e-13, 1 + 1e-13):
+        sums = np.concatenate([own, own * np.array([[rounding], [1.0], [1.0]])], axis=1)[:, None]
+        assert bo.best_splits(sums, np.array([12, 12]), 2)[0][1] == 0
