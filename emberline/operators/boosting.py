@@ -517,36 +517,77 @@ def scored(df: DataFrame, model: Boosted, name: str) -> DataFrame:
 
 
 def shapley(model: Boosted, codes: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Exact interventional Shapley values of the margin, rows × features, averaged over the background rows.
+    """Exact interventional Shapley values of the margin, rows × features, averaged over the background rows."""
+    return looked_up(pass_tables(model, background), codes)
+
+
+def looked_up(tables: Sequence[tuple[list[int], np.ndarray, np.ndarray]], codes: np.ndarray) -> np.ndarray:
+    """Rows × features: the sums of what `pass_tables` give to the rows."""
+    out, codes = np.zeros(codes.shape[::-1]), np.ascontiguousarray(codes.T).astype(np.int64)
+    for features, bits, worth in tables:
+        way = bits[0].take(codes[features[0]])
+        for feature, bit in zip(features[1:], bits[1:], strict=True):
+            way += bit.take(codes[feature])
+        way = way.astype(np.int64)
+        for feature, of_way in zip(features, worth, strict=True):
+            out[feature] += of_way.take(way)
+    return out.T
+
+
+def pass_tables(model: Boosted, background: np.ndarray) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """What a row gets from a tree depends only on the nodes where it would go left. For the leaves of each subtree of up
+    to three levels: the features asked on the way to them; for each a number by code, whose bits are the nodes where
+    the code goes left; and for each what it gets, by the sum of the numbers.
 
     A leaf counts for a row and a background row where each feature of its path lets one of them pass. With a features
     that only the row passes and b that only the background row passes, each of the former gets the leaf's value times
     (a - 1)! b! / (a + b)!, each of the latter loses it times a! (b - 1)! / (a + b)!.
     """
-    out, codes, background = np.zeros((len(model.features), len(codes))), np.ascontiguousarray(codes.T), np.ascontiguousarray(background.T)
+    made, background = [], np.ascontiguousarray(background.T)
     for tree in model.trees:
-        inner, left = len(tree.feature), left_codes(tree, range(len(tree.feature)))
-        passes = [tuple(left[n].take(c[max(tree.feature[n], 0)]) for c in (codes, background)) for n in range(inner)]
-        for leaf, value in enumerate(tree.value):
-            node, path = leaf + inner, {}
-            while node:
-                parent, is_left = (node - 1) // 2, node % 2 == 1
-                own, other = (p if is_left else ~p for p in passes[parent])
-                if tree.feature[parent] >= 0:
-                    had = path.get(tree.feature[parent])
-                    path[tree.feature[parent]] = (own, other) if had is None else (had[0] & own, had[1] & other)
-                elif not is_left:
-                    path = None
-                    break
-                node = parent
-            if not path:
+        inner, depth = len(tree.feature), depth_of(tree)
+        left, top = left_codes(tree, range(inner)), max(depth - 3, 0)
+        for root in range((1 << top) - 1, (2 << top) - 1):
+            leaves = range((root + 1 << depth - top) - 1 - inner, (root + 2 << depth - top) - 1 - inner)
+            paths = [path_to(tree, leaf) for leaf in leaves]
+            nodes = sorted({node for path in paths for node, _ in path or ()})
+            if not nodes:
                 continue
-            own, other = (sum(p[side].astype(np.int64) << i for i, p in enumerate(path.values())) for side in (0, 1))
-            # What a row gets depends on which features of the path let it pass, so on a few cases.
-            table = value * (shares(len(path)) @ (np.bincount(other, minlength=1 << len(path)) / len(other)))
-            for i, feature in enumerate(path):
-                out[feature] += table[i].take(own)
-    return out.T
+            features = sorted({tree.feature[n] for n in nodes})
+            every, kind = np.arange(1 << len(nodes)), np.min_scalar_type((1 << len(nodes)) - 1)
+            bits, worth = np.zeros((len(features), 256), dtype=kind), np.zeros((len(features), len(every)))
+            passes = {}
+            for i, node in enumerate(nodes):
+                bits[features.index(tree.feature[node])] |= left[node].astype(kind) << kind.type(i)
+                passes[node] = every >> i & 1 == 1, left[node].take(background[tree.feature[node]])
+            for leaf, path in zip(leaves, paths, strict=True):
+                let = {}
+                for node, is_left in path or ():
+                    own, other = (p if is_left else ~p for p in passes[node])
+                    had = let.get(tree.feature[node])
+                    let[tree.feature[node]] = (own, other) if had is None else (had[0] & own, had[1] & other)
+                if not let:
+                    continue
+                own, other = (sum(p[side].astype(np.int64) << i for i, p in enumerate(let.values())) for side in (0, 1))
+                # What a row gets depends on which features of the path let it pass, so on a few cases.
+                table = tree.value[leaf] * (shares(len(let)) @ (np.bincount(other, minlength=1 << len(let)) / len(other)))
+                for i, feature in enumerate(let):
+                    worth[features.index(feature)] += table[i].take(own)
+            made.append((features, bits, worth))
+    return made
+
+
+def path_to(tree: Tree, leaf: int) -> list[tuple[int, bool]] | None:
+    """Nodes with a feature on the way to a leaf, and whether it goes left there; None if no row comes to it."""
+    node, path = leaf + len(tree.feature), []
+    while node:
+        parent, is_left = (node - 1) // 2, node % 2 == 1
+        if tree.feature[parent] >= 0:
+            path.append((parent, is_left))
+        elif not is_left:
+            return None
+        node = parent
+    return path
 
 
 @cache
@@ -568,14 +609,15 @@ def shares(size: int) -> np.ndarray:
 def attributions(df: DataFrame, key: str, model: Boosted, background: pd.DataFrame) -> DataFrame:
     """(key, feature, contribution) of the margin against bounded background rows; contributions of a key add up to
     its margin less the mean margin of the background."""
-    shared = df.sparkSession.sparkContext.broadcast((model, model.codes(background)))
+    # The tables do not depend on the rows, some 30 kB for a tree.
+    shared = df.sparkSession.sparkContext.broadcast((model, pass_tables(model, model.codes(background))))
 
     def batches(arrived: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, against = shared.value
+        model, tables = shared.value
         for frame in arrived:
             for at in range(0, len(frame), 5000):
                 some = frame.iloc[at : at + 5000]
-                values = shapley(model, model.codes(some), against)
+                values = looked_up(tables, model.codes(some))
                 yield pd.DataFrame({key: np.repeat(some[key].to_numpy(), values.shape[1]), "feature": list(model.features) * len(some), "contribution": values.ravel()})
 
     columns = [F.col(c).cast("double").alias(c) for c in model.numeric] + [F.col(c).cast("string").alias(c) for c in model.categories]

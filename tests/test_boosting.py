@@ -262,3 +262,30 @@ def test_the_first_of_equal_columns_splits():
     for rounding in (1 - 1e-13, 1 + 1e-13):
         sums = np.concatenate([own, own * np.array([[rounding], [1.0], [1.0]])], axis=1)[:, None]
         assert bo.best_splits(sums, np.array([12, 12]), 2)[0][1] == 0
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4, 5])
+def test_shapley_values_from_tables_equal_full_enumeration(depth):
+    """Trees that ask a feature twice on a path or send all rows left; a row costs a lookup for each feature of a table."""
+    g = np.random.default_rng(depth)
+    inner, names = (1 << depth) - 1, ["a", "b", "c", "d"]
+    trees = tuple(
+        bo.Tree([int(f) for f in g.choice([-1, 0, 1, 2, 3], inner, p=[0.1, 0.3, 0.2, 0.2, 0.2])], [int(c) for c in g.integers(1, 5, inner)],
+                [bool(v) for v in g.random(inner) < 0.3], [bool(v) for v in g.random(inner) < 0.5], [float(v) for v in g.normal(0, 1, inner + 1)])
+        for _ in range(6)
+    )
+    model = bo.Boosted(tuple(names), (), {n: [1.0, 2.0, 3.0, 4.0] for n in names}, {}, 0.2, trees)
+    codes, against = g.integers(0, 6, (9, 4)).astype(np.uint8), g.integers(0, 6, (5, 4)).astype(np.uint8)
+    tables = bo.pass_tables(model, against)
+    assert len(tables) <= len(trees) << max(depth - 3, 0) and all(worth.shape[1] <= 1 << depth + 4 for _, _, worth in tables)
+    got = bo.looked_up(tables, codes)
+    for row, want in zip(codes, got, strict=True):
+        found = np.zeros(4)
+        for order in itertools.permutations(range(4)):
+            mixed = against.copy()
+            was = model.margins(mixed)
+            for feature in order:
+                mixed[:, feature] = row[feature]
+                found[feature] += (model.margins(mixed) - was).mean() / 24
+                was = model.margins(mixed)
+        assert want == pytest.approx(found, abs=1e-9)
