@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,26 +30,45 @@ HOUR = 3600
 KNOWN_HOURS = 24 * 30
 #: Event ids of a loan that are read and written with its values.
 FEW_IDS = 1000
+#: Groups of loans that a stream deals its events to, fixed for the life of a checkpoint; and offline loans of a part.
+GROUPS, PART_LOANS = 2048, 64
 
 
 def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One loan's rows of a micro-batch in (ts, event_id) order, a slice at a time, however Arrow batches cut them.
+    """The rows of a micro-batch in (loan, ts, event_id) order, a slice at a time, however Arrow batches cut them.
 
     A streaming plan cannot sort, so they are sorted here. What a trigger admits bounds them.
     """
     held = list(batches)
-    rows = pd.concat(held, ignore_index=True).sort_values(ORDER) if held else pd.DataFrame()
+    rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+    rows = rows.sort_values([c for c in ("loan_id", *ORDER) if c in rows]) if len(rows) else rows
     for at in range(0, len(rows), FOLD_ROWS):
         yield rows.iloc[at : at + FOLD_ROWS]
 
 
-class Rescorer(StatefulProcessor):
-    """Folds a loan's events, in (ts, event_id) order over a micro-batch, into its held values.
+@dataclass
+class Loan:
+    """What is held of a loan; `added` are the ids and hours of this micro-batch."""
+
+    x: list[float]
+    newest: int | None = None
+    few: dict[int, int] = field(default_factory=dict)
+    many: bool = False
+    named: dict[str, float] = field(default_factory=dict)
+    part: tuple[int, int] | None = None
+    added: dict[int, int] = field(default_factory=dict)
+    reached: int | None = None
 
-    The offline features are the initial state, so no batch reads them again. Up to `FEW_IDS` event ids stand beside the
-    values, as each call to the store has its price. With more, every id is an entry of its own, and a batch writes the
-    entries that it adds. Once the loan's newest event is `known_hours` past an event, its id goes, of entries by slices
-    of an hour. An event with a known id is a repeat and is left out. An event older than the
+
+class Rescorer(StatefulProcessor):
+    """Folds the events of each loan, in (ts, event_id) order over a micro-batch, into its held values.
+
+    A key is a group of loans, as each key and each call to the store have their price; the loans of a group are folded
+    together. The offline features are the initial state, so no batch reads them again. They stand in parts of some
+    `PART_LOANS` loans, of which a batch reads those it needs; with its first event a loan goes from its part to an entry
+    of its own. Up to `FEW_IDS` event ids stand beside the loan's values. With more, every id is an entry of its own,
+    and a batch writes the entries that it adds. Once the loan's newest event is `known_hours` past an event, its id
+    goes, of entries by slices of an hour. An event with a known id is a repeat and is left out. An event older than the
     known hours could be either, so it is given back as `too_late`; any other late event is applied when it comes.
     Events of a loan without offline features are given back as `unknown_loan`.
     """
@@ -56,76 +77,147 @@ class Rescorer(StatefulProcessor):
         self.known_hours = known_hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getValueState("values", "x array<double>, newest bigint, ids binary, hours binary, many boolean")
-        self.named = handle.getMapState("named", "name string", "value double")
-        self.seen = handle.getMapState("seen", "id bigint", "hour bigint")
-        self.slices = handle.getMapState("slices", "hour bigint, first bigint", "ids array<bigint>")
+        self.offline = handle.getMapState("offline", "parts int, part int", "loans binary, x binary")
+        self.loans = handle.getMapState("loans", "loan bigint", "x binary, newest bigint, ids binary, hours binary, many boolean, named string")
+        self.seen = handle.getMapState("seen", "loan bigint, id bigint", "hour bigint")
+        self.slices = handle.getMapState("slices", "loan bigint, hour bigint, first bigint", "ids array<bigint>")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        self.values.update(([float(v) for v in initialState["base"].iloc[0]], None, b"", b"", False))
+        """A row with the loans of the group and their values one after another; without `loans` the key is the loan."""
+        row = initialState.iloc[0]
+        loans = np.array(row["loans"] if "loans" in initialState else key, dtype="<i8")
+        x = np.array(row["base"], dtype="<f8").reshape(len(loans), -1)
+        parts = -(-len(loans) // PART_LOANS)
+        of = parts_of(loans, parts)
+        for part in np.unique(of).tolist():
+            self.offline.updateValue((parts, part), (loans[of == part].tobytes(), x[of == part].tobytes()))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.values.get() if self.values.exists() else None
-        x, newest, ids, hours_of, many = held or (None, None, b"", b"", False)
-        oldest = None if newest is None else newest - self.known_hours
-        few = dict(zip(*(np.frombuffer(v, dtype="<i8").tolist() for v in (ids, hours_of)), strict=True))
-        named = {k[0]: v[0] for k, v in self.named.iterator()}
-        was, added, reached = dict(named), {}, newest
+        held: dict[int, Loan | None] = {}
         for batch in in_order(rows):
-            rows_of = batch.drop_duplicates("event_id")
-            known = [i in added or i in few or (many and self.seen.containsKey((i,))) for i in rows_of["id_hash"].tolist()]
-            rows_of = rows_of[~np.array(known, dtype=bool)]
+            rows_of = batch.drop_duplicates(["loan_id", "event_id"])
+            loans, ids = rows_of["loan_id"].tolist(), rows_of["id_hash"].tolist()
             hours = (rows_of["ts"].astype("datetime64[s]").astype("int64") // HOUR).to_numpy()
-            late = np.zeros(len(rows_of), dtype=bool) if oldest is None else hours < oldest
-            refused = rows_of if held is None else rows_of[late]
+            self.fetch(held, loans)
+            problems = []
+            for loan, event, hour in zip(loans, ids, hours.tolist(), strict=True):
+                one, problem = held[loan], None
+                if one is None:
+                    problem = "unknown_loan"
+                elif event in one.added or event in one.few or (one.many and self.seen.containsKey((loan, event))):
+                    problem = "repeat"
+                elif one.newest is not None and hour < one.newest - self.known_hours:
+                    problem = "too_late"
+                else:
+                    one.added[event] = hour
+                    one.reached = hour if one.reached is None else max(one.reached, hour)
+                problems.append(problem)
+            rows_of = rows_of.assign(problem=np.array(problems, dtype=object))
+            refused = rows_of[rows_of["problem"].isin(["unknown_loan", "too_late"])]
             if len(refused):
                 nothing = [None] * len(refused)
-                problem = "unknown_loan" if held is None else "too_late"
-                yield refused[["event_id", "ts", "loan_id", "type"]].assign(before=nothing, after=nothing, named=nothing, problem=problem)
-            if held is None or late.all():
+                yield refused[["event_id", "ts", "loan_id", "type", "problem"]].assign(before=nothing, after=nothing, named=nothing)
+            rows_of = rows_of[rows_of["problem"].isna()]
+            if not len(rows_of):
                 continue
-            rows_of, hours = rows_of[~late], hours[~late]
-            added |= dict(zip(rows_of["id_hash"].tolist(), hours.tolist(), strict=True))
-            reached = int(hours.max()) if reached is None else max(reached, int(hours.max()))
-            _, before, after = next(state.walked(iter([rows_of.assign(start=[x] * len(rows_of))]), ["loan_id"], "start"))
+            starts = [held[loan].x for loan in rows_of["loan_id"].tolist()]
+            _, before, after = next(state.walked(iter([rows_of.assign(start=starts)]), ["loan_id"], "start"))
             shown = []
-            for updates in rows_of["feature_updates"]:
-                named = {**named, **{n: v for n, v in dict(updates or {}).items() if n not in state.FEATURES}}
-                shown.append(named)
-            x = after[-1].tolist()
-            yield rows_of[["event_id", "ts", "loan_id", "type"]].assign(before=before.tolist(), after=after.tolist(), named=shown, problem=None)
-        if added:
-            before = reached - self.known_hours
-            few = {i: hour for i, hour in (few | added).items() if hour >= before}
-            if many or len(few) > FEW_IDS:
-                self.remember(few)
-                self.forget(before)
-                few, many = {}, self.slices.exists()
-            for name, value in named.items():
-                if name not in was or was[name] != value:
-                    self.named.updateValue((name,), (value,))
-            ids, hours_of = (np.array(list(v), dtype="<i8").tobytes() for v in (few.keys(), few.values()))
-            self.values.update((x, reached, ids, hours_of, many))
-
-    def remember(self, added: dict[int, int]) -> None:
+            for loan, updates, x in zip(rows_of["loan_id"].tolist(), rows_of["feature_updates"], after, strict=True):
+                one = held[loan]
+                one.x = x
+                if new := {n: v for n, v in dict(updates or {}).items() if n not in state.FEATURES}:
+                    one.named = {**one.named, **new}
+                shown.append(one.named)
+            yield rows_of[["event_id", "ts", "loan_id", "type", "problem"]].assign(before=before.tolist(), after=after.tolist(), named=shown)
+        self.write({loan: one for loan, one in held.items() if one and one.added})
+
+    def fetch(self, held: dict[int, Loan | None], wanted: Iterable[int]) -> None:
+        """Add the loans that are not held yet; None for a loan without offline features."""
+        wanted = np.array(sorted(set(wanted) - held.keys()), dtype="<i8")
+        if not len(wanted):
+            return
+        for parts, kept in self.parts_kept().items():
+            of = parts_of(wanted, parts)
+            for part in kept & set(of.tolist()):
+                loans, x = self.offline_part(parts, part)
+                places = dict(zip(loans.tolist(), range(len(loans)), strict=True))
+                for loan in wanted[of == part].tolist():
+                    if loan in places:
+                        held[loan] = Loan(x[places[loan]], part=(parts, part))
+        for loan in wanted.tolist():
+            if loan not in held:
+                held[loan] = self.entry(loan) if self.loans.containsKey((loan,)) else None
+
+    def parts_kept(self) -> dict[int, set[int]]:
+        kept: dict[int, set[int]] = {}
+        for parts, part in self.offline.keys():
+            kept.setdefault(parts, set()).add(part)
+        return kept
+
+    def offline_part(self, parts: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        loans, x = self.offline.getValue((parts, part))
+        return np.frombuffer(loans, dtype="<i8"), np.frombuffer(x, dtype="<f8").reshape(len(loans) // 8, -1)
+
+    def entry(self, loan: int) -> Loan:
+        x, newest, ids, hours, many, named = self.loans.getValue((loan,))
+        few = dict(zip(*(np.frombuffer(v, dtype="<i8").tolist() for v in (ids, hours)), strict=True))
+        return Loan(np.frombuffer(x, dtype="<f8"), newest, few, many, json.loads(named), reached=newest)
+
+    def write(self, changed: dict[int, Loan]) -> None:
+        stored = {}
+        for loan, one in changed.items():
+            before = one.reached - self.known_hours
+            one.few = {i: hour for i, hour in (one.few | one.added).items() if hour >= before}
+            if one.many or len(one.few) > FEW_IDS:
+                self.remember(loan, one.few)
+                one.few, stored[loan] = {}, before
+        kept = self.forget(stored) if stored else set()
+        left: dict[tuple[int, int], list[int]] = {}
+        for loan, one in changed.items():
+            ids, hours = (np.array(list(v), dtype="<i8").tobytes() for v in (one.few.keys(), one.few.values()))
+            value = np.array(one.x, dtype="<f8").tobytes()
+            self.loans.updateValue((loan,), (value, one.reached, ids, hours, loan in kept, json.dumps(one.named)))
+            if one.part:
+                left.setdefault(one.part, []).append(loan)
+        for part, gone in left.items():
+            loans, x = self.offline_part(*part)
+            stay = ~np.isin(loans, gone)
+            if stay.any():
+                self.offline.updateValue(part, (loans[stay].tobytes(), x[stay].tobytes()))
+            else:
+                self.offline.removeKey(part)
+
+    def remember(self, loan: int, added: dict[int, int]) -> None:
         by_hour: dict[int, list[int]] = {}
         for event, hour in added.items():
-            self.seen.updateValue((event,), (hour,))
+            self.seen.updateValue((loan, event), (hour,))
             by_hour.setdefault(hour, []).append(event)
         for hour, ids in by_hour.items():
-            self.slices.updateValue((hour, ids[0]), (ids,))
-
-    def forget(self, before: int) -> None:
-        """Drop the ids of all hours before the given one; reads the names of slices, not the ids of others."""
-        for hour, first in [k for k in self.slices.keys() if k[0] < before]:  # noqa: SIM118
-            for event in self.slices.getValue((hour, first))[0]:
-                self.seen.removeKey((int(event),))
-            self.slices.removeKey((hour, first))
+            self.slices.updateValue((loan, hour, ids[0]), (ids,))
+
+    def forget(self, before: dict[int, int]) -> set[int]:
+        """Drop the ids of all hours before the given one of their loan; reads the names of slices, not the ids of
+        others. The loans that have slices left."""
+        kept = set()
+        for loan, hour, first in list(self.slices.keys()):
+            if hour >= before.get(loan, hour):
+                kept.add(loan)
+                continue
+            for event in self.slices.getValue((loan, hour, first))[0]:
+                self.seen.removeKey((loan, int(event)))
+            self.slices.removeKey((loan, hour, first))
+        return kept
 
     def close(self) -> None:
         pass
 
 
+def parts_of(loans: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each loan of a group; the product spreads ids of any pattern."""
+    return ((loans.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(max(parts, 1))).astype(np.int64)
+
+
 def rescore_stream(
     events: DataFrame, features: DataFrame, scorer: LinearHazard, key: str = "borrower_id", known_hours: int = KNOWN_HOURS
 ) -> DataFrame:
@@ -135,11 +227,14 @@ def rescore_stream(
     unknown to a running query. A new checkpoint starts from the table anew.
     """
     effect = state.event_effect(F.col("type"), F.col("feature_updates"))
+    group = F.pmod(F.xxhash64("loan_id"), F.lit(GROUPS)).alias("loans_group")
     rows = events.withColumn("e", effect).select(
-        "event_id", "ts", "loan_id", "type", "feature_updates", F.xxhash64("event_id").alias("id_hash"), "e.scale", "e.shift", "e.cap"
+        group, "event_id", "ts", "loan_id", "type", "feature_updates", F.xxhash64("event_id").alias("id_hash"), "e.scale", "e.shift", "e.cap"
     )
-    base = replay.base_values(features, key).select(F.col("loan_id").cast("bigint").alias("loan_id"), "base").groupBy("loan_id")
-    states = rows.groupBy("loan_id").transformWithStateInPandas(Rescorer(known_hours), OUTPUT, "Append", "None", base)
+    loans = replay.base_values(features, key).select(F.col("loan_id").cast("bigint").alias("loan_id"), "base").where(F.col("loan_id").isNotNull())
+    grouped = loans.groupBy(group).agg(F.collect_list(F.struct("loan_id", "base")).alias("r"))
+    base = grouped.select("loans_group", F.col("r.loan_id").alias("loans"), F.flatten("r.base").alias("base")).groupBy("loans_group")
+    states = rows.groupBy("loans_group").transformWithStateInPandas(Rescorer(known_hours), OUTPUT, "Append", "None", base)
     return replay.score_states(states, scorer, "after", "named", "problem")
 
 

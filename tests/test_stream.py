@@ -363,3 +363,48 @@ def test_few_ids_cost_no_call_each_and_many_are_still_known():
     assert send(*range(505, 1700)) == list(range(510, 1700))
     assert len(store.states["seen"]) == 1700 and send(3, 600, 1699, 1700) == [1700]
     assert send(200_000) == [200_000] and len(store.states["seen"]) == 1 and send(200_000, 200_001) == [200_001]
+
+
+@pytest.mark.parametrize("fold", [50, 10_000])
+def test_loans_of_a_group_are_folded_together_with_few_calls(monkeypatch, fold):
+    """A thousand offline loans cost a call for some 64; a batch reads the parts of its loans and writes an entry a loan."""
+    monkeypatch.setattr(rescore, "FOLD_ROWS", fold)
+    store, rng, width = Store(), random.Random(fold), len(state.FEATURES)
+    group = rescore.Rescorer(known_hours=100_000)
+    group.init(store)
+    base = np.arange(1000.0 * width).reshape(1000, width) / 7
+    base[5, state.LATE] = np.nan
+    group.handleInitialState((3,), pd.DataFrame({"loans": [list(range(0, 3000, 3))], "base": [base.ravel()]}), None)
+    assert store.calls <= 2 * 1000 / 64
+    events = [(rng.choice([0, 3, 15, 30, 2997, 1]), str(i), pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=rng.randint(0, 600))) for i in range(400)]
+
+    def send(chosen):
+        n = len(chosen)
+        scale, shift = np.ones((n, width)), np.zeros((n, width))
+        scale[:, state.LATE], shift[:, 0] = 0.5, [int(name) for _, name, _ in chosen]
+        rows = pd.DataFrame({"event_id": [e[1] for e in chosen], "ts": [e[2] for e in chosen], "loan_id": [e[0] for e in chosen], "type": "x",
+                             "feature_updates": [{"margin": float(e[1])} if int(e[1]) % 9 == 0 else None for e in chosen], "id_hash": [int(e[1]) * 11 for e in chosen],
+                             "scale": list(scale), "shift": list(shift), "cap": [np.full(width, np.inf)] * n})
+        return pd.concat([*group.handleInputRows((3,), iter([rows[: n // 3], rows[n // 3 :]]), None), pd.DataFrame()])
+
+    held, names = {loan: base[loan // 3].copy() for loan in (0, 3, 15, 30, 2997)}, {}
+    for first, part in ((0, events[:250]), (250, events[200:])):
+        calls = store.calls
+        got = send(part).set_index("event_id")
+        # Each of the few loans: whether it has an entry, the entry, and the new entry; and its part read and written.
+        assert store.calls - calls <= 6 * 5 + 2 * -(-len(part) // fold) * 2
+        assert set(got[got["problem"] == "unknown_loan"].index) == {e[1] for e in part if e[0] == 1}
+        fresh = sorted((e for e in part if e[0] != 1 and int(e[1]) >= first), key=lambda e: (e[2], e[1]))
+        assert set(got[got["problem"].isna()].index) == {e[1] for e in fresh}
+        for loan, name, _ in fresh:
+            was = held[loan]
+            held[loan] = was.copy()
+            held[loan][state.LATE] = (0.0 if np.isnan(was[state.LATE]) else was[state.LATE]) * 0.5
+            held[loan][0] += int(name)
+            if int(name) % 9 == 0:
+                names[loan] = {"margin": float(name)}
+            assert got.loc[name, "before"] == pytest.approx(was.tolist(), nan_ok=True)
+            assert got.loc[name, "after"] == pytest.approx(held[loan].tolist(), nan_ok=True)
+            assert got.loc[name, "named"] == names.get(loan, {})
+    kept = [np.frombuffer(loans, dtype="<i8") for loans, _ in store.states["offline"].values()]
+    assert sorted(np.concatenate(kept).tolist()) == sorted(set(range(0, 3000, 3)) - held.keys()) and store.states["loans"].keys() == {(loan,) for loan in held}
