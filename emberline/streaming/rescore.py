@@ -83,10 +83,11 @@ class Rescorer(StatefulProcessor):
         self.slices = handle.getMapState("slices", "loan bigint, hour bigint, first bigint", "ids array<bigint>")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        """A row with the loans of the group and their values one after another; without `loans` the key is the loan."""
+        """A row with the loans of the group and their values one after another; without `loans` the key is the loan. Of a
+        loan that comes several times the first is taken."""
         row = initialState.iloc[0]
-        loans = np.array(row["loans"] if "loans" in initialState else key, dtype="<i8")
-        x = np.array(row["base"], dtype="<f8").reshape(len(loans), -1)
+        loans, first = np.unique(np.array(row["loans"] if "loans" in initialState else key, dtype="<i8"), return_index=True)
+        x = np.array(row["base"], dtype="<f8").reshape(-1, len(state.FEATURES))[first]
         parts = -(-len(loans) // PART_LOANS)
         of = parts_of(loans, parts)
         for part in np.unique(of).tolist():

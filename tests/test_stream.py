@@ -374,7 +374,9 @@ def test_loans_of_a_group_are_folded_together_with_few_calls(monkeypatch, fold):
     group.init(store)
     base = np.arange(1000.0 * width).reshape(1000, width) / 7
     base[5, state.LATE] = np.nan
-    group.handleInitialState((3,), pd.DataFrame({"loans": [list(range(0, 3000, 3))], "base": [base.ravel()]}), None)
+    # Loan 0 comes twice.
+    loans, values = [*range(0, 3000, 3), 0], np.concatenate([base, -base[:1] - 1])
+    group.handleInitialState((3,), pd.DataFrame({"loans": [loans], "base": [values.ravel()]}), None)
     assert store.calls <= 2 * 1000 / 64
     events = [(rng.choice([0, 3, 15, 30, 2997, 1]), str(i), pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=rng.randint(0, 600))) for i in range(400)]
 
